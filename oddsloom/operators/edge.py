@@ -45,21 +45,32 @@ def dual_token_prices(
     width: int | None,
 ) -> DataFrame:
     """Latest up and down price known at each decision, both no older than `max_age` and not from
-    before the market's start; decisions lacking either are dropped."""
-    out = decisions
-    for label, column in (("up", up), ("down", down)):
-        quoted = prices.select(
-            F.col(token).alias(column), F.col(price_ts).alias("ts"), F.col(price).alias("price"), *tie
-        )
-        out = asof_backward(
-            out, quoted, column, decision_ts, "ts", ["price"], width, right_tie=tie, prefix=f"{label}_"
-        )
-    age = F.col(decision_ts) - F.least(F.col("up_ts"), F.col("down_ts"))
+    before the market's start; decisions lacking either are dropped.
+
+    A decision asks for its two tokens with two probes of one as-of scan, so prices are shuffled
+    once; the probes meet again by the decision's own columns, which must identify it.
+    """
+    own = decisions.columns
+    probes = decisions.withColumn(
+        "__leg", F.explode(F.array(F.struct(F.lit("up").alias("leg"), F.col(up).alias("token")),
+                                   F.struct(F.lit("down").alias("leg"), F.col(down).alias("token"))))
+    ).select(*own, F.col("__leg.leg").alias("__which"), F.col("__leg.token").alias("__token"))
+    quoted = prices.select(
+        F.col(token).alias("__token"), F.col(price_ts).alias("__at"), F.col(price).alias("__price"), *tie
+    )
+    hits = asof_backward(
+        probes, quoted, "__token", decision_ts, "__at", ["__price"], width, right_tie=tie
+    ).filter(F.col("__at") >= F.col(market_start))
+    leg = lambda which, column: F.max(F.when(F.col("__which") == which, F.col(column)))
+    both = hits.groupBy(*own).agg(
+        leg("up", "__at").alias("up_ts"),
+        leg("up", "__price").alias("up_price"),
+        leg("down", "__at").alias("down_ts"),
+        leg("down", "__price").alias("down_price"),
+    )
     return (
-        out.filter(
-            (F.col("up_ts") >= F.col(market_start)) & (F.col("down_ts") >= F.col(market_start))
-        )
-        .withColumn("price_age_ns", age)
+        both.filter("up_ts IS NOT NULL AND down_ts IS NOT NULL")
+        .withColumn("price_age_ns", F.col(decision_ts) - F.least("up_ts", "down_ts"))
         .filter(F.col("price_age_ns") <= max_age)
     )
 
@@ -128,9 +139,12 @@ def first_persistent_entry(
             & (step <= max_gap),
             F.lit(False),
         )
-        seen = seen.withColumn("__break", F.when(~linked, F.col("__pos")))
-        seen = scan(seen, line, {"__start": latest(F.col("__break"))})
-        rows = seen.filter(F.col("__pos") - F.col("__start") + 1 >= signals)
+        if signals == 2:
+            rows = seen.filter(linked)
+        else:
+            seen = seen.withColumn("__break", F.when(~linked, F.col("__pos")))
+            seen = scan(seen, line, {"__start": latest(F.col("__break"))})
+            rows = seen.filter(F.col("__pos") - F.col("__start") + 1 >= signals)
     return (
         rows.filter("__ok")
         .groupBy(*keys)

@@ -24,21 +24,28 @@ CHUNK = "__chunk"
 
 @dataclass(frozen=True)
 class Timeline:
-    """Keys, a total order inside a key (leading column numeric), and the chunk width."""
+    """Keys, a total order inside a key (leading column numeric), and the chunk width.
+
+    `by` replaces the width with any expression that never decreases along the order, for keys
+    whose leading column is text or too coarse (the first characters of a transaction hash).
+    """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
     width: int | float | None
+    by: Column | None = None
 
     @classmethod
-    def of(cls, keys: str | Sequence[str], order: str | Sequence[str], width) -> Timeline:
+    def of(
+        cls, keys: str | Sequence[str], order: str | Sequence[str], width=None, by: Column | None = None
+    ) -> Timeline:
         as_tuple = lambda x: (x,) if isinstance(x, str) else tuple(x)
-        return cls(as_tuple(keys), as_tuple(order), width)
+        return cls(as_tuple(keys), as_tuple(order), width, by)
 
     def chunk(self) -> Column:
+        if self.by is not None:
+            return self.by
         lead = F.col(self.order[0])
-        if self.width is None:
-            return F.lit(0).cast("bigint")
         return F.floor(lead / F.lit(self.width)) if isinstance(self.width, float) else (
             (lead - F.pmod(lead, F.lit(self.width).cast("bigint"))) / F.lit(self.width)
         ).cast("bigint")
@@ -147,6 +154,11 @@ def following(value: Column) -> Scan:
     )
 
 
+def before(inner: Scan) -> Scan:
+    """The same running quantity, leaving the current row out."""
+    return replace(inner, local=lambda _, ordered: inner.local(_before(ordered), ordered))
+
+
 def _all(spec: WindowSpec) -> WindowSpec:
     return spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -200,7 +212,7 @@ def scan(df: DataFrame, line: Timeline, outs: Mapping[str, Scan], inclusive: boo
     """Add the running columns `outs`; `inclusive=False` leaves the current row out of its frame."""
     keys = list(line.keys)
     kept = [c for c in df.columns if c not in outs]
-    if line.width is None:
+    if line.width is None and line.by is None:
         ordered = line.window()
         frame = ordered.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         none = F.lit(None)

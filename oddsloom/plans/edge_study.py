@@ -57,6 +57,7 @@ def decisions(t: Tables):
         ((F.col("size") + 0.5) / 100).alias("p_up"),
         (F.col("event_id") % 2).cast("int").alias("label"),
         ((F.col("ts_ns") - start) / F.lit(UNIT)).alias("elapsed"),
+        "event_id",
     )
 
 
