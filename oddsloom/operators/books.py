@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -315,28 +316,28 @@ def top_of_book(
     )
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["event_index", "part"])
+        pdf = pdf.sort_values(["event_index", "part"], kind="stable")
+        index = pdf["event_index"].to_numpy()
+        ends = np.append(index[1:] != index[:-1], True) & (index >= 0)
         book: dict[int, dict[float, float]] = {SIDE_BUY: {}, SIDE_SELL: {}}
-        out = []
-        for index, group in pdf.groupby("event_index", sort=False):
-            for action, side, price, amount in zip(
-                group["action"], group["side"], group["price"], group["size"]
-            ):
-                if action == ACTION_CLEAR:
-                    book[SIDE_BUY].clear()
-                    book[SIDE_SELL].clear()
-                elif amount > 0:
-                    book[side][price] = amount
-                else:
-                    book[side].pop(price, None)
-            if index >= 0 and book[SIDE_BUY] and book[SIDE_SELL]:
+        rows_out, tops = [], []
+        steps = zip(pdf["action"].tolist(), pdf["side"].tolist(), pdf["price"].tolist(), pdf["size"].tolist())
+        for i, (action, side, price, amount) in enumerate(steps):
+            if action == ACTION_CLEAR:
+                book[SIDE_BUY].clear()
+                book[SIDE_SELL].clear()
+            elif amount > 0:
+                book[side][price] = amount
+            else:
+                book[side].pop(price, None)
+            if ends[i] and book[SIDE_BUY] and book[SIDE_SELL]:
                 bid, ask = max(book[SIDE_BUY]), min(book[SIDE_SELL])
                 if bid < ask:
-                    out.append(
-                        [group[token].iat[0], index, *[group[c].iat[0] for c in keep], bid, ask,
-                         book[SIDE_BUY][bid], book[SIDE_SELL][ask]]
-                    )
-        return pd.DataFrame(out, columns=schema.names)
+                    rows_out.append(i)
+                    tops.append((bid, ask, book[SIDE_BUY][bid], book[SIDE_SELL][ask]))
+        out = pdf.iloc[rows_out][[token, "event_index", *keep]].reset_index(drop=True)
+        quoted = pd.DataFrame(tops, columns=["bid", "ask", "bid_size", "ask_size"], dtype="float64")
+        return pd.concat([out, quoted], axis=1)
 
     return feed.groupBy(token, "__c").applyInPandas(replay, schema)
 

@@ -8,6 +8,7 @@ from oddsloom.functions.codes import BUY_WORDS, SELL_WORDS
 from oddsloom.operators import books, trades
 from oddsloom.plans.analogs import DAY_NS, TICK_CHUNK, TICKS, Tables, nanos
 from oddsloom.plans.registry import query
+from oddsloom.session import settle
 
 EPOCH_2024 = 1_704_067_200_000_000_000
 START, END = EPOCH_2024 + 2 * DAY_NS, EPOCH_2024 + 25 * DAY_NS
@@ -355,7 +356,7 @@ def _payload(t: Tables):
     FROM best b JOIN emitted e USING (asset_id, event_index) WHERE bid < ask""",
 )
 def _tops(t: Tables):
-    tops = books.top_of_book(l2_deltas(t), token="asset_id", events_per_chunk=20, keep=["ts_event"])
+    tops = books.top_of_book(settle(l2_deltas(t)), token="asset_id", events_per_chunk=50, keep=["ts_event"])
     return tops.withColumns(books.book_measures("bid", "ask", "bid_size", "ask_size"))
 
 
