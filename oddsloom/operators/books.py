@@ -19,6 +19,7 @@ from oddsloom.functions.codes import (
     SIDE_NONE,
     SIDE_SELL,
 )
+from oddsloom.functions.integers import floor_div
 from oddsloom.operators.timeline import (
     Timeline,
     following,
@@ -269,7 +270,7 @@ def top_of_book(
     size = F.lit(events_per_chunk)
     rows = deltas.withColumns(
         {
-            "__c": F.floor(F.col("event_index") / size),
+            "__c": floor_div("event_index", size),
             "__rev": -F.col("event_index"),
             "__revpart": -F.col("part"),
         }
@@ -286,7 +287,7 @@ def top_of_book(
         .groupBy(token, "side", "price", "__c")
         .agg(
             F.max_by(
-                F.struct("size", "action", F.floor(F.col("__clear") / size).alias("clear_c")),
+                F.struct("size", "action", floor_div("__clear", size).alias("clear_c")),
                 F.struct("event_index", "part"),
             ).alias("e")
         )

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddsloom.functions.integers import floor_div
 from oddsloom.operators.asof import asof_backward
 from oddsloom.operators.timeline import Timeline, latest, previous, running_count, scan
 from oddsloom.session import DAY_NS
@@ -194,4 +195,4 @@ def sensitivity(candidates: DataFrame, scenarios: Sequence[Mapping[str, float]])
 
 
 def utc_day(ts_ns: str) -> Column:
-    return F.floor(F.col(ts_ns) / F.lit(DAY_NS))
+    return floor_div(ts_ns, DAY_NS)

@@ -19,6 +19,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from oddsloom.functions.integers import floor_div
+
 CHUNK = "__chunk"
 
 
@@ -46,9 +48,9 @@ class Timeline:
         if self.by is not None:
             return self.by
         lead = F.col(self.order[0])
-        return F.floor(lead / F.lit(self.width)) if isinstance(self.width, float) else (
-            (lead - F.pmod(lead, F.lit(self.width).cast("bigint"))) / F.lit(self.width)
-        ).cast("bigint")
+        if isinstance(self.width, float):
+            return F.floor(lead / F.lit(self.width))
+        return floor_div(lead, self.width)
 
     def rank(self) -> Column:
         return F.struct(*[F.col(c) for c in self.order])
@@ -273,7 +275,7 @@ def row_frames(
     keys = [keys] if isinstance(keys, str) else list(keys)
     size = max(rows_per_chunk, back)
     kept = [c for c in df.columns if c not in outs]
-    home = F.floor(F.col(pos) / F.lit(size))
+    home = floor_div(pos, size)
     lent = (F.col(pos) % F.lit(size)) >= F.lit(size - back)
     spread = df.withColumn("__home", home).withColumn(
         CHUNK,
@@ -311,7 +313,7 @@ def linear_recurrence(
     keys = [keys] if isinstance(keys, str) else list(keys)
     decay = 1.0 - alpha
     columns = df.columns
-    base = df.withColumn(CHUNK, F.floor(F.col(pos) / F.lit(rows_per_chunk)))
+    base = df.withColumn(CHUNK, floor_div(pos, rows_per_chunk))
     schema = base.withColumn("__local", F.lit(0.0)).schema
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:

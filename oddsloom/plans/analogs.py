@@ -28,9 +28,9 @@ FILLS = """fills AS (
          l_linenumber AS line_no, l_suppkey AS account,
          CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS action,
          CASE WHEN l_linestatus = 'O' THEN 'yes' ELSE 'no' END AS side,
-         l_extendedprice / l_quantity / 110000 AS price, l_quantity AS quantity, l_tax AS commission
+         round(l_extendedprice / l_quantity / 110000, 4) AS price, l_quantity AS quantity, l_tax AS commission
   FROM lineitem
-  WHERE l_extendedprice / l_quantity / 110000 > 0 AND l_extendedprice / l_quantity / 110000 < 1)"""
+  WHERE round(l_extendedprice / l_quantity / 110000, 4) > 0 AND round(l_extendedprice / l_quantity / 110000, 4) < 1)"""
 
 FORECASTS = """forecasts AS (
   SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey AS market, epoch_us(l_shipdate) * 1000 AS ts_ns,
@@ -77,7 +77,7 @@ class Tables:
 
     @cached_property
     def fills(self) -> DataFrame:
-        ratio = F.col("l_extendedprice") / F.col("l_quantity") / 110000
+        ratio = F.round(F.col("l_extendedprice") / F.col("l_quantity") / 110000, 4)
         return (
             self.read("lineitem")
             .filter((ratio > 0) & (ratio < 1))
