@@ -274,8 +274,21 @@ def opening_reference(
         left, right.withColumnsRenamed({"__a": f"{name}_at", "__p": name}), on, at, f"{name}_at", [name], width,
         right_tie=tie,
     )
-    out = look(decisions, refs.drop("__s"), keys, decision_ts, "latest_reference")
-    out = look(out, refs.drop("__s"), keys, market_start, "__early")
+    # Both plain lookups go through one scan, as two probes per decision.
+    own = decisions.columns
+    moments = F.array(
+        F.struct(F.lit("now").alias("m"), F.col(decision_ts).alias("t")),
+        F.struct(F.lit("start").alias("m"), F.col(market_start).alias("t")),
+    )
+    probes = decisions.withColumn("__m", F.explode(moments)).select(
+        *own, F.col("__m.m").alias("__which"), F.col("__m.t").alias("__probe_ts")
+    )
+    hits = look(probes, refs.drop("__s"), keys, "__probe_ts", "__hit")
+    at = lambda which, column: F.max(F.when(F.col("__which") == which, F.col(column)))
+    out = hits.groupBy(*own).agg(
+        at("now", "__hit").alias("latest_reference"), at("now", "__hit_at").alias("latest_reference_at"),
+        at("start", "__hit").alias("__early"), at("start", "__hit_at").alias("__early_at"),
+    )
     first = ceil_div("__s", grid_ns)
     last = ceil_div("__a", grid_ns) - 1
     late = (
@@ -330,14 +343,18 @@ def opening_features(
     """
     own = decisions.columns
     per_venue = decisions.withColumn("venue", F.explode(F.array(*[F.lit(v) for v in venues])))
+    # Stages are written out, so that no stage replays the ones before it.
+    trades = settle(trades)
     trade_seg = decision_segments(
         per_venue, trades, keys=[key, "venue"], decision_ts=decision_ts, ts=ts, tie=tie, width=width
     )
+    trade_seg = settle(trade_seg)
     real = trades.filter(F.col("price").isNotNull())
     windowed = trade_windows(
         trade_seg, real, keys=[key, "venue", "segment"], decision_ts=decision_ts, ts=ts, tie=tie,
         windows_ns=windows_ns, width=width,
     )
+    windowed = settle(windowed)
     tops = books.filter(F.col("bid").isNotNull()).select(
         key, "venue", "segment", F.col(ts).alias("book_ts"), *tie, "bid", "ask", "bid_size", "ask_size"
     )
@@ -360,7 +377,7 @@ def opening_features(
         *[f"{m}_{w}" for w in windows_ns for m in ("return", "rv", "flow")],
         "book_imbalance", "microprice_distance", "spread_bps", "trade_age", "book_age", "gap", "price", "last_ts", "book_ts",
     ]
-    wide = venue_pivot(booked, own=own, venue="venue", venues=venues, columns=kept)
+    wide = settle(venue_pivot(booked, own=own, venue="venue", venues=venues, columns=kept))
     wide = opening_reference(
         wide, references, keys=[key], decision_ts=decision_ts, market_start=market_start, available=ts,
         source_ts="source_ts", price="price", tie=tie, retention_ns=retention_ns, grid_ns=grid_ns, width=width,

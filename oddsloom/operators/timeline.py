@@ -16,10 +16,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from oddsloom.functions.integers import floor_div
+from oddsloom.session import settle
 
 CHUNK = "__chunk"
 
@@ -297,57 +299,58 @@ def linear_recurrence(
     df: DataFrame,
     keys: str | Sequence[str],
     pos: str,
-    value: str,
-    alpha: float,
-    out: str,
+    outs: Mapping[str, tuple[str, float]],
     rows_per_chunk: int = 100_000,
 ) -> DataFrame:
-    """y[i] = (1-alpha)*y[i-1] + alpha*x[i] from position 0 on, with y[0] = x[0].
+    """For each `out: (x, alpha)`: y[i] = (1-alpha)*y[i-1] + alpha*x[i] with y[0] = x[0], `pos` from 0.
 
-    The recurrence is affine in the value entering a chunk: y = decay^n * y_in + local. Chunks are
-    smoothed independently from zero, the affine maps are composed over one row per chunk, and the
-    entering value is added back.
+    The recurrence is affine in the value entering a chunk: y = decay^n * y_in + local. Chunks of
+    `rows_per_chunk` positions are smoothed independently from zero, the affine maps are composed
+    over one row per chunk, and the entering value is added back. The smoothed rows are settled, so
+    that Python sees each row once.
     """
-    import pandas as pd
-
     keys = [keys] if isinstance(keys, str) else list(keys)
-    decay = 1.0 - alpha
     columns = df.columns
     base = df.withColumn(CHUNK, floor_div(pos, rows_per_chunk))
-    schema = base.withColumn("__local", F.lit(0.0)).schema
+    schema = base.withColumns({f"__local_{o}": F.lit(0.0) for o in outs}).schema
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos)
-        x = pdf[value].astype("float64")
-        if pdf[CHUNK].iat[0] == 0:
-            local = x.ewm(alpha=alpha, adjust=False).mean()
-        else:
-            padded = pd.concat([pd.Series([0.0]), x], ignore_index=True)
-            local = padded.ewm(alpha=alpha, adjust=False).mean().iloc[1:]
-        return pdf.assign(__local=local.to_numpy())
-
-    local = base.groupBy(*keys, CHUNK).applyInPandas(smooth, schema)
-    # One row per chunk: its last local value and its decay factor; a chunk's outgoing value only
-    # needs the chunk before it once locals are expressed relative to decay^(rows so far).
+        for out, (value, alpha) in outs.items():
+            x = pdf[value].astype("float64")
+            if pdf[CHUNK].iat[0] == 0:
+                local = x.ewm(alpha=alpha, adjust=False).mean()
+            else:
+                padded = pd.concat([pd.Series([0.0]), x], ignore_index=True)
+                local = padded.ewm(alpha=alpha, adjust=False).mean().iloc[1:]
+            pdf[f"__local_{out}"] = local.to_numpy()
+        return pdf
+
+    local = settle(base.groupBy(*keys, CHUNK).applyInPandas(smooth, schema))
     ends = local.groupBy(*keys, CHUNK).agg(
-        F.max_by("__local", pos).alias("end"), F.count(F.lit(1)).alias("n")
+        F.count(F.lit(1)).alias("n"), *[F.max_by(f"__local_{o}", pos).alias(f"end_{o}") for o in outs]
     )
-    ends_schema = local.select(*keys, CHUNK).withColumn("__in", F.lit(0.0)).schema
+    entering = local.select(*keys, CHUNK).withColumns({f"__in_{o}": F.lit(0.0) for o in outs}).schema
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(CHUNK)
-        entering, y = [], 0.0
-        for end, n in zip(pdf["end"], pdf["n"]):
-            entering.append(y)
-            y = decay**n * y + end
-        return pdf[[*keys, CHUNK]].assign(__in=entering)
-
-    carry = ends.groupBy(*keys).applyInPandas(compose, ends_schema)
-    steps = F.col(pos) - F.col(CHUNK) * F.lit(rows_per_chunk) + 1
-    return (
-        local.join(carry, [*keys, CHUNK], "left")
-        .withColumn(out, F.col("__local") + F.pow(F.lit(decay), steps) * F.col("__in"))
-        .select(*columns, out)
+        out_rows = pdf[[*keys, CHUNK]].copy()
+        for out, (_, alpha) in outs.items():
+            carried, y = [], 0.0
+            for end, n in zip(pdf[f"end_{out}"], pdf["n"]):
+                carried.append(y)
+                y = (1.0 - alpha) ** n * y + end
+            out_rows[f"__in_{out}"] = carried
+        return out_rows
+
+    carry = ends.groupBy(*keys).applyInPandas(compose, entering)
+    steps = F.pmod(F.col(pos), F.lit(rows_per_chunk)) + 1
+    return local.join(carry, [*keys, CHUNK], "left").select(
+        *columns,
+        *[
+            (F.col(f"__local_{o}") + F.pow(F.lit(1.0 - alpha), steps) * F.col(f"__in_{o}")).alias(o)
+            for o, (_, alpha) in outs.items()
+        ],
     )
 
 
