@@ -1,0 +1 @@
+"""Model fits as Spark jobs."""
