@@ -347,11 +347,11 @@ def book_measures(bid: str, ask: str, bid_size: str, ask_size: str) -> dict[str,
     """Imbalance, microprice distance from the midpoint, and spread in basis points."""
     b, a, bs, az = F.col(bid), F.col(ask), F.col(bid_size), F.col(ask_size)
     total, mid = bs + az, (b + a) / 2
-    micro = (a * bs + b * az) / total
+    micro = F.try_divide(a * bs + b * az, total)
     zero = F.lit(0.0)
     absent = F.col(bid).isNull()
     return {
-        "book_imbalance": F.when(absent, zero).otherwise((bs - az) / total),
-        "microprice_distance": F.when(absent, zero).otherwise(micro / mid - 1),
-        "spread_bps": F.when(absent, zero).otherwise((a - b) / mid * 10_000),
+        "book_imbalance": F.when(absent, zero).otherwise(F.try_divide(bs - az, total)),
+        "microprice_distance": F.when(absent, zero).otherwise(F.try_divide(micro, mid) - 1),
+        "spread_bps": F.when(absent, zero).otherwise(F.try_divide(a - b, mid) * 10_000),
     }

@@ -134,7 +134,7 @@ def trade_windows(
     signed = F.when(F.col(side) == "buy", notional).when(F.col(side) == "sell", -notional).otherwise(0.0)
     step = F.log(F.col(price) / F.col("prev_value"))
     raw = trailing_at(
-        decisions, trades, keys=keys, decision_ts=decision_ts, ts=ts, tie=tie, value=price,
+        decisions, trades.filter(F.col(price) > 0), keys=keys, decision_ts=decision_ts, ts=ts, tie=tie, value=price,
         sums={"notional": notional, "signed": signed}, links={"r2": step * step}, windows=windows_ns, width=width,
     )
     zero = F.lit(0.0)
@@ -162,7 +162,7 @@ def kline_windows(
     longest = max(windows_ns, key=windows_ns.get)
     step = F.log(F.col("close") / F.col("prev_value"))
     raw = trailing_at(
-        decisions, klines, keys=keys, decision_ts=decision_ts, ts=available, tie=[], value="close",
+        decisions, klines.filter("close > 0"), keys=keys, decision_ts=decision_ts, ts=available, tie=[], value="close",
         sums={"volume": F.col("volume"), "quote": F.col("quote_volume"), "taker": F.col("taker_buy_volume")},
         links={
             "r2": step * step,
@@ -379,7 +379,7 @@ def opening_features(
     ]
     wide = settle(venue_pivot(booked, own=own, venue="venue", venues=venues, columns=kept))
     wide = opening_reference(
-        wide, references, keys=[key], decision_ts=decision_ts, market_start=market_start, available=ts,
+        wide, references.filter("price > 0"), keys=[key], decision_ts=decision_ts, market_start=market_start, available=ts,
         source_ts="source_ts", price="price", tie=tie, retention_ns=retention_ns, grid_ns=grid_ns, width=width,
     )
     elapsed = (F.col(decision_ts) - F.col(market_start)) / F.lit(unit_ns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -252,3 +252,29 @@ def catalog_days(catalog: DataFrame, *, start: str, end: str, window_start: int,
     return catalog.filter(first <= last).withColumn("day", F.explode(F.sequence(first, last)))
 
 
+
+
+def parameter_search(
+    params: DataFrame,
+    evaluate: Callable[[DataFrame, str], DataFrame],
+    *,
+    trial: str,
+    initial_cash: float,
+    min_fills: int,
+    top_k: int,
+) -> DataFrame:
+    """Evaluate all trials on training windows, promote the best to the holdout windows, rank.
+
+    `evaluate(params, split)` returns one row per trial and window with pnl, max_drawdown, fills,
+    coverage and terminated_early. It gets the whole parameter table at once, so a signal family is
+    one plan over parameters x windows x prices, not a job per trial.
+    """
+
+    def scored(rows: DataFrame, split: str) -> DataFrame:
+        out = rows.withColumn("split", F.lit(split))
+        return out.withColumn("score", trial_scores(out, initial_cash=initial_cash, min_fills=min_fills))
+
+    train = settle(scored(evaluate(params, "train"), "train"))
+    best = promoted(leaderboard(train, trial=trial), trial=trial, k=top_k).select(trial)
+    holdout = scored(evaluate(params.join(best, trial, "left_semi"), "holdout"), "holdout")
+    return ranked(leaderboard(train.unionByName(holdout), trial=trial), trial=trial)

@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from oddsloom.functions.codes import (
     AGGRESSOR_BUYER,
@@ -187,7 +188,7 @@ def dollar_price(text: Column) -> Column:
     return F.when((scaled >= 0) & (scaled <= 1), scaled)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def shake_id(raw: pd.Series) -> pd.Series:
     """18-byte SHAKE-256 digest; Spark has no built-in for it."""
     return raw.map(lambda text: hashlib.shake_256(text.encode()).hexdigest(18), na_action="ignore")

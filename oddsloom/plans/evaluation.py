@@ -24,7 +24,7 @@ BIN = "CASE WHEN p_up < 0.1 THEN 0 WHEN p_up < 0.2 THEN 1 WHEN p_up < 0.3 THEN 2
 
 @query(
     "probability_scores",
-    "A1 A6",
+    "A1 A6 X10",
     f"""WITH {FORECASTS},
     b AS (SELECT *, {BIN} AS bin, {LL} AS ll FROM forecasts),
     e AS (

@@ -133,16 +133,16 @@ def _buckets(t: Tables):
     return sl.last_per_bucket(t.ticks, keys=["user_id"], ts="ts_ns", tie=["event_id"], value="price", bucket_ns=6 * HOUR)
 
 
-GRID = """g AS (SELECT DISTINCT r_regionkey AS region, w AS "window", h AS threshold FROM region, (SELECT unnest([10, 20, 10, 40]) AS w), (SELECT unnest([1, 2, 3]) AS h)),
-params AS (SELECT *, '{"region":' || region || ',"threshold":' || threshold || ',"window":' || "window" || '}' AS params FROM g)"""
+GRID = """g AS (SELECT DISTINCT l_partkey AS market, w AS "window", h AS threshold FROM lineitem, (SELECT unnest([10, 20, 10, 40]) AS w), (SELECT unnest([1, 2, 3]) AS h)),
+params AS (SELECT *, '{"market":' || market || ',"threshold":' || threshold || ',"window":' || "window" || '}' AS params FROM g)"""
 
 
 def grid(t: Tables):
-    base = t.read("nation").select(F.col("n_regionkey").alias("region"))
+    base = t.read("lineitem").select(F.col("l_partkey").alias("market")).distinct()
     return sl.parameter_grid(base, {"window": [10, 20, 10, 40], "threshold": [1, 2, 3]})
 
 
-@query("parameter_grid", "U3 E4", f'WITH {GRID} SELECT region, "window", threshold, params FROM params')
+@query("parameter_grid", "U3 E4", f'WITH {GRID} SELECT market, "window", threshold, params FROM params')
 def _grid(t: Tables):
     return grid(t)
 
@@ -150,10 +150,10 @@ def _grid(t: Tables):
 @query(
     "grid_subset",
     "K8",
-    f'WITH {GRID} SELECT region, "window", threshold FROM params ORDER BY md5(\'7:\' || params) LIMIT 12',
+    f'WITH {GRID} SELECT market, "window", threshold FROM params ORDER BY md5(\'7:\' || params) LIMIT 12',
 )
 def _subset(t: Tables):
-    return sl.grid_subset(grid(t), columns=["region", "window", "threshold"], seed=7, limit=12).select("region", "window", "threshold")
+    return sl.grid_subset(grid(t), columns=["market", "window", "threshold"], seed=7, limit=12).select("market", "window", "threshold")
 
 
 TRIALS = """runs AS (
@@ -210,6 +210,52 @@ def _promoted(t: Tables):
     return sl.promoted(board, trial="trial", k=20).select("trial", F.round("train_median_score", 6).alias("train_median_score"))
 
 
+SEARCH_SPLIT = EPOCH_2024 + 20 * DAY_NS
+SEARCH = f"""{TICKS},
+p AS (SELECT k AS trial, CAST(0.02 AS DOUBLE) * k AS drop FROM (SELECT unnest(range(1, 9)) AS k)),
+moves AS (SELECT user_id, ts_ns, event_id, lead(price) OVER w - price AS gain, lag(price) OVER w - price AS fell FROM ticks WINDOW w AS (PARTITION BY user_id ORDER BY ts_ns, event_id)),
+ev AS (
+  SELECT trial, CASE WHEN ts_ns < {SEARCH_SPLIT} THEN 'train' ELSE 'holdout' END AS split, ts_ns // {5 * DAY_NS} AS win, sum(gain) AS pnl, max(abs(gain)) AS dd, count(*) AS fills
+  FROM p JOIN moves ON fell >= drop AND gain IS NOT NULL GROUP BY 1, 2, 3),
+sc AS (SELECT *, pnl - 0.5 * dd - CASE WHEN fills < 5 THEN 2.0 ELSE 0.0 END AS score FROM ev),
+best AS (SELECT trial FROM (SELECT trial, median(score) AS m FROM sc WHERE split = 'train' GROUP BY 1) ORDER BY m DESC, trial LIMIT 3)"""
+
+
+@query(
+    "parameter_search",
+    "E3 A28 A29 K3",
+    f"""WITH {SEARCH}
+    SELECT trial, round(median(score) FILTER (WHERE split = 'train'), 6) AS train_median_score, round(median(score) FILTER (WHERE split = 'holdout' AND trial IN (SELECT trial FROM best)), 6) AS holdout_median_score,
+           CAST(median(fills) FILTER (WHERE split = 'train') AS DOUBLE) AS train_median_fills FROM sc GROUP BY 1""",
+)
+def _search(t: Tables):
+    from oddsloom.operators.timeline import Timeline, following, previous, scan
+
+    moves = scan(
+        t.ticks.select("user_id", "ts_ns", "event_id", "price"), Timeline.of("user_id", ["ts_ns", "event_id"], TICK_CHUNK),
+        {"next": following(F.col("price")), "was": previous(F.col("price"))},
+    ).select("ts_ns", (F.col("next") - F.col("price")).alias("gain"), (F.col("was") - F.col("price")).alias("fell"))
+
+    def evaluate(params, split):
+        part = moves.filter((F.col("ts_ns") < SEARCH_SPLIT) == F.lit(split == "train")).filter("gain IS NOT NULL")
+        # Trials differ by one number: each row is laid out over the literal ladder, then kept for the
+        # trials asked for.
+        ladder = F.array(*[F.struct(F.lit(k).cast("bigint").alias("trial"), F.lit(0.02 * k).alias("drop")) for k in range(1, 9)])
+        laid = part.withColumn("x", F.explode(ladder)).select("ts_ns", "gain", "fell", "x.*").filter("fell >= drop")
+        hits = laid.join(params.select("trial"), "trial", "left_semi")
+        return hits.groupBy("trial", floor_div("ts_ns", 5 * DAY_NS).alias("win")).agg(
+            F.sum("gain").alias("pnl"), F.max(F.abs("gain")).alias("max_drawdown"), F.count(F.lit(1)).alias("fills"),
+            F.lit(1.0).alias("coverage"), F.lit(False).alias("terminated_early"),
+        )
+
+    params = t.spark.range(1, 9).select(F.col("id").alias("trial"), (F.lit(0.02) * F.col("id")).alias("drop"))
+    board = sl.parameter_search(params, evaluate, trial="trial", initial_cash=100.0, min_fills=5, top_k=3)
+    return board.select(
+        "trial", F.round("train_median_score", 6).alias("train_median_score"),
+        F.round("holdout_median_score", 6).alias("holdout_median_score"), "train_median_fills",
+    )
+
+
 @query(
     "window_coverage",
     "A30",
