@@ -130,6 +130,7 @@ def first_persistent_entry(
                 "__prev": previous(F.struct(F.col(side).alias("s"), F.col(ts).alias("t"), "__ok")),
                 "__pos": running_count(),
             },
+            hold=signals > 2,
         )
         step = F.col(ts) - F.col("__prev.t")
         linked = F.coalesce(

@@ -68,7 +68,7 @@ def trailing_at(
     """
     own = decisions.columns
     line = Timeline.of(keys, [ts, *tie], width)
-    linked = scan(facts, line, {"__prev": previous(F.struct(F.col(value).alias("v"), F.col(ts).alias("t")))})
+    linked = scan(facts, line, {"__prev": previous(F.struct(F.col(value).alias("v"), F.col(ts).alias("t")))}, hold=True)
     linked = linked.withColumns({"prev_value": F.col("__prev.v"), "prev_ts": F.col("__prev.t")})
     names = [*sums, *links]
     linked = linked.withColumns(
@@ -452,6 +452,7 @@ def token_book_states(
             "__base": whole_first(F.when(has, F.col("epoch_id"))),
             "tick_changed_seen": running_max(F.col("tick_changed")),
         },
+        hold=True,
     )
     lost = F.col("reset_book") & F.coalesce(F.col("__was.known"), F.lit(False))
     moved = has & (F.col("epoch_id") != F.col("__base"))
@@ -514,7 +515,7 @@ def bucket_features(
     observed seconds are the sums over all seconds, and each needs two as-of probes only.
     """
     line = Timeline.of(key, "second", width)
-    stepped = scan(buckets, line, {"__was": previous(F.col("price"))})
+    stepped = scan(buckets, line, {"__was": previous(F.col("price"))}, hold=True)
     step = F.coalesce(F.col("price") - F.col("__was"), F.lit(0.0))
     summed = settle(
         scan(

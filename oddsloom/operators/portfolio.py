@@ -455,6 +455,7 @@ def return_drawdown(returns: DataFrame, *, keys: Sequence[str], order: Sequence[
             "__zeros": running_count(growth == 0),
             "__signs": running_count(growth < 0),
         },
+        hold=True,
     )
     sign = F.when(F.col("__signs") % 2 == 1, -1.0).otherwise(1.0)
     out = out.withColumn("cumulative", F.when(F.col("__zeros") > 0, 0.0).otherwise(F.exp("__log") * sign))
@@ -476,9 +477,11 @@ def final_metrics(curve: DataFrame, *, keys: Sequence[str], order: Sequence[str]
 
 # ---------------------------------------------------------------- returns
 
-def simple_returns(series: DataFrame, *, keys: Sequence[str], order: Sequence[str], value: str, width: int) -> DataFrame:
+def simple_returns(
+    series: DataFrame, *, keys: Sequence[str], order: Sequence[str], value: str, width: int, hold: bool = False
+) -> DataFrame:
     """Change relative to the previous point; NULL at the first point and after a zero."""
-    out = scan(series, Timeline.of(keys, order, width), {"__was": previous(F.col(value))})
+    out = scan(series, Timeline.of(keys, order, width), {"__was": previous(F.col(value))}, hold=hold)
     return out.withColumn("ret", F.when(F.col("__was") != 0, F.col(value) / F.col("__was") - 1)).drop("__was")
 
 
@@ -488,7 +491,7 @@ def return_stats(series: DataFrame, *, keys: Sequence[str], order: Sequence[str]
     Sharpe: mean / sample deviation * sqrt(252). Sortino: mean / root mean square of negative
     returns over all returns * sqrt(252). Profit factor: gains / losses.
     """
-    rets = simple_returns(series, keys=keys, order=order, value=value, width=width)
+    rets = simple_returns(series, keys=keys, order=order, value=value, width=width, hold=True)
     dd = return_drawdown(
         rets.withColumn("__r", F.coalesce("ret", F.lit(0.0))), keys=keys, order=order, ret="__r", width=width
     )
@@ -590,7 +593,9 @@ def rolling_sharpe(
     """
     ts = order[0]
     line = Timeline.of(key, order, width)
-    base = scan(series, line, {"__was": previous(F.struct(F.col(value).alias("v"), F.col(ts).alias("t")))})
+    base = scan(
+        series, line, {"__was": previous(F.struct(F.col(value).alias("v"), F.col(ts).alias("t")))}, hold=True
+    )
     base = base.withColumns(
         {
             "__r": F.when(F.col("__was.v") != 0, F.col(value) / F.col("__was.v") - 1),

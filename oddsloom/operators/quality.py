@@ -64,6 +64,7 @@ def quality_gate(
             rows,
             line,
             {"__last": before(latest(F.when(live, F.col(available)))), "__n": running_count(live)},
+            hold=True,
         )
         falls = F.coalesce(F.col(available) < F.col("__last"), F.lit(False))
         step = scan(
@@ -117,7 +118,7 @@ def monotone_availability(
     """max(source, receive, previous availability); a source time falling back by the tolerance or
     more drops the carried value."""
     line = Timeline.of(keys, order, width)
-    seen = scan(events, line, {"__was": previous(F.col(source_ts))})
+    seen = scan(events, line, {"__was": previous(F.col(source_ts))}, hold=True)
     seen = seen.withColumn("__back", F.coalesce(F.col(source_ts) + tolerance_ns <= F.col("__was"), F.lit(False)))
     seen = scan(seen, line, {"__part": running_count(F.col("__back"))})
     base = F.greatest(F.col(source_ts), F.col(receive_ts))

@@ -121,7 +121,7 @@ def downsample(
         F.col("__keep") | (pos == 0) | (pos == n - 1) | (place == F.col("__low.at")) | (back == F.col("__high.at"))
     )
     rows = rows.withColumn("__must", must)
-    counted = scan(rows, line, {"__m": whole_sum(F.col("__must").cast("bigint"))})
+    counted = scan(rows, line, {"__m": whole_sum(F.col("__must").cast("bigint"))}, hold=True)
     m = F.col("__m")
     budget = F.greatest(F.lit(100).cast("bigint"), F.lit(max_points) - m)
     counted = counted.withColumn("__stride", F.greatest(F.lit(1).cast("bigint"), floor_div(n, budget)))

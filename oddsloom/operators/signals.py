@@ -175,7 +175,7 @@ def ema_crossover(
     """
     p = F.col(price)
     line = Timeline.of(keys, order, width)
-    placed = number(prices, line, "__pos")
+    placed = number(prices, line, "__pos", hold=True)
     seeded = scan(
         placed,
         line,
@@ -207,7 +207,7 @@ def rsi(
 ) -> DataFrame:
     """Wilder's RSI: mean of the first `period` changes, then smoothed; 100 without losses."""
     line = Timeline.of(keys, order, width)
-    moved = scan(prices, line, {"__was": previous(F.col(price)), "__pos": before_count()})
+    moved = scan(prices, line, {"__was": previous(F.col(price)), "__pos": before_count()}, hold=True)
     change = F.col(price) - F.col("__was")
     moved = moved.withColumns(
         {"__gain": F.greatest(change, F.lit(0.0)), "__loss": F.greatest(-change, F.lit(0.0))}

@@ -54,6 +54,11 @@ class Timeline:
             return F.floor(lead / F.lit(self.width))
         return floor_div(lead, self.width)
 
+    def chunk_name(self) -> str:
+        """Column that holds the chunk; equal for timelines that cut a key in the same way."""
+        cut = "by" if self.by is not None else f"{self.order[0]}_{self.width}"
+        return ("__chunk_" + "_".join((*self.keys, cut))).replace(".", "_")
+
     def rank(self) -> Column:
         return F.struct(*[F.col(c) for c in self.order])
 
@@ -212,10 +217,18 @@ def whole_last(value: Column) -> Scan:
     )
 
 
-def scan(df: DataFrame, line: Timeline, outs: Mapping[str, Scan], inclusive: bool = True) -> DataFrame:
-    """Add the running columns `outs`; `inclusive=False` leaves the current row out of its frame."""
+def scan(
+    df: DataFrame, line: Timeline, outs: Mapping[str, Scan], inclusive: bool = True, hold: bool = False
+) -> DataFrame:
+    """Add the running columns `outs`; `inclusive=False` leaves the current row out of its frame.
+
+    `hold` keeps the chunk column for a following scan on the same timeline, whose rows then are
+    already partitioned and sorted as it needs them; the last scan of a chain drops it.
+    """
     keys = list(line.keys)
-    kept = [c for c in df.columns if c not in outs]
+    chunk = line.chunk_name()
+    held = chunk in df.columns and line.by is None
+    kept = [c for c in df.columns if c not in outs and (hold or c != chunk)]
     if line.width is None and line.by is None:
         ordered = line.window()
         frame = ordered.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -227,26 +240,28 @@ def scan(df: DataFrame, line: Timeline, outs: Mapping[str, Scan], inclusive: boo
                 for name, s in outs.items()
             ],
         )
-    base = df.withColumn(CHUNK, line.chunk())
-    ordered = Window.partitionBy(*keys, CHUNK).orderBy(*line.order)
+    base = df if held else df.withColumn(chunk, line.chunk())
+    ordered = Window.partitionBy(*keys, chunk).orderBy(*line.order)
     frame = ordered.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     specs = list(outs.items())
+    if hold and chunk not in kept:
+        kept.append(chunk)
     local = base.select(
         "*", *[s.local(frame, ordered).alias(f"__here_{i}") for i, (_, s) in enumerate(specs)]
     )
-    totals = base.groupBy(*keys, CHUNK).agg(
+    totals = base.groupBy(*keys, chunk).agg(
         *[s.total(line).alias(f"__total_{i}") for i, (_, s) in enumerate(specs)]
     )
-    spec = Window.partitionBy(*keys).orderBy(CHUNK)
+    spec = Window.partitionBy(*keys).orderBy(chunk)
     carry = totals.select(
         *keys,
-        CHUNK,
+        chunk,
         *[
             s.fold(F.col(f"__total_{i}"), spec).alias(f"__carry_{i}")
             for i, (_, s) in enumerate(specs)
         ],
     )
-    joined = local.join(carry, [*keys, CHUNK], "left")
+    joined = local.join(carry, [*keys, chunk], "left")
     return joined.select(
         *kept,
         *[
@@ -256,9 +271,21 @@ def scan(df: DataFrame, line: Timeline, outs: Mapping[str, Scan], inclusive: boo
     )
 
 
-def number(df: DataFrame, line: Timeline, out: str = "pos") -> DataFrame:
+def number(df: DataFrame, line: Timeline, out: str = "pos", hold: bool = False) -> DataFrame:
     """Dense 0-based position of each row inside its key."""
-    return scan(df, line, {out: running_count()}, inclusive=False)
+    return scan(df, line, {out: running_count()}, inclusive=False, hold=hold)
+
+
+def occurrence(df: DataFrame, line: Timeline, same: str, out: str) -> DataFrame:
+    """0-based position among neighbouring rows with an equal `same` value, on the key's own timeline.
+
+    With `same` leading the order this numbers the rows of one instant without making every instant
+    a group of its own.
+    """
+    rows = scan(df, line, {"__at": running_count(), "__same": previous(F.struct(same))}, hold=True)
+    fresh = F.coalesce(F.col(f"__same.{same}") != F.col(same), F.lit(True))
+    rows = scan(rows.withColumn("__new", F.when(fresh, F.col("__at"))), line, {"__start": latest(F.col("__new"))})
+    return rows.withColumn(out, F.col("__at") - F.col("__start")).drop("__at", "__same", "__new", "__start")
 
 
 def row_frames(

@@ -18,7 +18,7 @@ from oddsloom.functions.codes import (
     MISSING_FILL_ID,
     SELL_WORDS,
 )
-from oddsloom.operators.timeline import Timeline, number, running_count, scan
+from oddsloom.operators.timeline import Timeline, number, occurrence
 from oddsloom.session import NANOS
 
 
@@ -49,10 +49,8 @@ def public_trades(
     usable side, so accepted and rejected tables are filters of one result.
     """
     order = [seconds, tx, side, price, size]
-    in_second = Timeline.of([token, seconds], order[1:], by=F.substring(F.col(tx), 1, 6))
-    in_tx = Timeline.of([tx, token], order, width_s)
-    rows = number(df, in_second, "__in_second")
-    rows = number(rows, in_tx, "__in_tx")
+    rows = occurrence(df, Timeline.of(token, order, width_s), seconds, "__in_second")
+    rows = number(rows, Timeline.of([tx, token], order, width_s), "__in_tx")
     clean = F.upper(F.trim(F.col(side)))
     value = _finite(F.col(price))
     return rows.select(
@@ -118,7 +116,7 @@ def onchain_fills(
         given = F.col(raw_id)
         ident = F.when(given.isNull() | (given == "") | (F.lower(given) == "nan"), missing).otherwise(given)
     rows = rows.withColumn("__id", ident)
-    rows = number(rows, Timeline.of([token, ts], [ts, pos], width), "__same_ns")
+    rows = occurrence(rows, Timeline.of(token, [ts, pos], width), ts, "__same_ns")
     rows = number(rows, Timeline.of([token, "__id"], [ts, pos], width), "__same_id")
     word = F.replace(F.lower(F.trim(F.col(side))), F.lit("-"), F.lit("_")) if side else F.lit(None)
     parts = [F.expr("right(__id, 24)")]
@@ -212,9 +210,9 @@ def exchange_trades(
 
     Counters advance on malformed rows too; those rows are then left out.
     """
-    line = Timeline.of([ticker, ts], [ts, pos], width)
     same = Timeline.of([ticker, ts, price, size, taker], [ts, pos], width)
-    rows = number(number(df, line, "__tie"), same, "__occurrence")
+    rows = occurrence(df, Timeline.of(ticker, [ts, pos], width), ts, "__tie")
+    rows = number(rows, same, "__occurrence") if fallback_ids else rows
     room = F.lit(NANOS - 1) - F.pmod(F.col(ts), F.lit(NANOS))
     parsed = dollar_price(F.col(price))
     if price_dollars:
@@ -267,9 +265,3 @@ def replay_order(books: DataFrame, trades: DataFrame, *, key: str, width: int) -
     )
     return number(both, Timeline.of(key, ["ts_event", "priority", "ts_init", "pos"], width), "replay_pos")
 
-
-__all__ = [
-    "accepted_trades", "candles_to_bars", "dollar_price", "exchange_trades", "last_trade_ticks",
-    "onchain_fills", "public_trades", "rejected_trades", "replay_order", "running_count", "scan",
-    "with_availability",
-]

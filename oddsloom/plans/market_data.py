@@ -356,7 +356,7 @@ def _payload(t: Tables):
     FROM best b JOIN emitted e USING (asset_id, event_index) WHERE bid < ask""",
 )
 def _tops(t: Tables):
-    tops = books.top_of_book(settle(l2_deltas(t)), token="asset_id", events_per_chunk=50, keep=["ts_event"])
+    tops = books.top_of_book(settle(l2_deltas(t)), token="asset_id", events_per_chunk=1_000, keep=["ts_event"])
     return tops.withColumns(books.book_measures("bid", "ask", "bid_size", "ask_size"))
 
 

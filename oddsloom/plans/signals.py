@@ -220,7 +220,7 @@ def _sharpe(t: Tables):
 )
 def _ema(t: Tables):
     out = sg.ema_crossover(
-        prices(t), keys=KEYS, order=ORDER, price="price", fast=5, slow=20, buffer=0.01, width=TICK_CHUNK, rows_per_chunk=30
+        prices(t), keys=KEYS, order=ORDER, price="price", fast=5, slow=20, buffer=0.01, width=TICK_CHUNK, rows_per_chunk=1_000
     )
     return out.select("event_id", F.round("fast_ema", 6).alias("fast_ema"), F.round("slow_ema", 6).alias("slow_ema"), "signal")
 
@@ -238,7 +238,7 @@ def _ema(t: Tables):
     SELECT p.event_id, round(CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END, 6) AS rsi FROM it JOIN p ON p.user_id = it.user_id AND p.pos = it.pos""",
 )
 def _rsi(t: Tables):
-    out = sg.rsi(prices(t), keys=KEYS, order=ORDER, price="price", period=14, width=TICK_CHUNK, rows_per_chunk=25)
+    out = sg.rsi(prices(t), keys=KEYS, order=ORDER, price="price", period=14, width=TICK_CHUNK, rows_per_chunk=1_000)
     return out.select("event_id", F.round("rsi", 6).alias("rsi"))
 
 
