@@ -1,14 +1,20 @@
 """Ordered scans that do not depend on any key being small.
 
-A plain `Window.partitionBy(key)` puts all rows of one key into one task. Here every scan splits a
-key's timeline into chunks of a fixed width of the leading order column and works in two levels:
+A plain `Window.partitionBy(key)` puts all rows of one key into one task. Here a key that holds too
+many rows has its timeline split into chunks of a fixed width of the leading order column, and is
+scanned in two levels:
 
 1. inside (key, chunk), an ordinary window;
 2. over one pre-aggregated row per (key, chunk), a prefix that is joined back to the chunk's rows.
 
-The large side is shuffled once, by (key, chunk); the prefix table has one row per chunk. Results
-equal those of the single window. `width=None` asks for the plain window and is meant only for
-keys whose row count is bounded by construction (a market's decision grid, one row per day).
+All other keys keep one window each. Which keys are hot is found by counting rows per hash bucket of
+the key: at most HASH_BUCKETS counts, so the list of hot buckets is safe to broadcast, and the pass
+reads the key columns only. Rows are shuffled once, by (key, chunk). Without hot keys the second
+level is empty and AQE drops it. Results equal those of the single window either way.
+
+`oddsloom.hotRows` in the session sets the rows a bucket may hold before it counts as hot (0 splits
+every key, as the tests do). `width=None` asks for the plain window and is meant only for keys whose
+row count is bounded by construction (a market's decision grid, one row per day).
 """
 
 from __future__ import annotations
@@ -24,6 +30,8 @@ from oddsloom.functions.integers import floor_div
 from oddsloom.session import settle
 
 CHUNK = "__chunk"
+HASH_BUCKETS = 65_536
+HOT_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -77,7 +85,6 @@ class Scan:
     total: Callable[[Timeline], Column]
     fold: Callable[[Column, WindowSpec], Column]
     merge: Callable[[Column, Column], Column]
-    single: Callable[[WindowSpec, WindowSpec], Column] | None = None
 
 
 def _before(spec: WindowSpec) -> WindowSpec:
@@ -179,11 +186,10 @@ def whole(
 ) -> Scan:
     """A whole-key aggregate handed to each row through its chunk, not through a join on the key."""
     return Scan(
-        lambda *_: F.lit(None),
+        lambda _, ordered: single(_all(ordered)),
         total,
         lambda part, spec: combine(part).over(_all(spec)),
-        lambda _, carried: carried,
-        lambda _, ordered: single(_all(ordered)),
+        lambda here, carried: F.coalesce(carried, here),
     )
 
 
@@ -217,6 +223,14 @@ def whole_last(value: Column) -> Scan:
     )
 
 
+def hot_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("oddsloom.hotRows", str(HOT_ROWS)))
+
+
+def _bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(HASH_BUCKETS)).cast("int")
+
+
 def scan(
     df: DataFrame, line: Timeline, outs: Mapping[str, Scan], inclusive: bool = True, hold: bool = False
 ) -> DataFrame:
@@ -226,40 +240,48 @@ def scan(
     already partitioned and sorted as it needs them; the last scan of a chain drops it.
     """
     keys = list(line.keys)
-    chunk = line.chunk_name()
-    held = chunk in df.columns and line.by is None
-    kept = [c for c in df.columns if c not in outs and (hold or c != chunk)]
+    specs = list(outs.items())
+    back = 0 if inclusive else -1
     if line.width is None and line.by is None:
         ordered = line.window()
-        frame = ordered.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        frame = ordered.rowsBetween(Window.unboundedPreceding, back)
         none = F.lit(None)
         return df.select(
-            *kept,
-            *[
-                (s.single(frame, ordered) if s.single else s.merge(s.local(frame, ordered), none)).alias(name)
-                for name, s in outs.items()
-            ],
+            *[c for c in df.columns if c not in outs],
+            *[s.merge(s.local(frame, ordered), none).alias(name) for name, s in specs],
         )
-    base = df if held else df.withColumn(chunk, line.chunk())
-    ordered = Window.partitionBy(*keys, chunk).orderBy(*line.order)
-    frame = ordered.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    specs = list(outs.items())
+    chunk, bucket = line.chunk_name(), "__bucket"
+    held = chunk in df.columns and line.by is None
+    kept = [c for c in df.columns if c not in outs and (hold or c != chunk)]
     if hold and chunk not in kept:
         kept.append(chunk)
-    local = base.select(
-        "*", *[s.local(frame, ordered).alias(f"__here_{i}") for i, (_, s) in enumerate(specs)]
-    )
-    totals = base.groupBy(*keys, chunk).agg(
-        *[s.total(line).alias(f"__total_{i}") for i, (_, s) in enumerate(specs)]
+    rows = df.withColumn(bucket, _bucket(keys))
+    if held:
+        # Hot keys were told before: their rows carry a chunk.
+        part = rows.filter(F.col(chunk).isNotNull())
+        hot = part.groupBy(bucket).agg(F.count(F.lit(1)).alias("__n")).select(bucket)
+        base = rows.drop(bucket)
+    else:
+        hot = (
+            rows.groupBy(bucket)
+            .agg(F.count(F.lit(1)).alias("__n"))
+            .filter(F.col("__n") > hot_rows(df))
+            .select(bucket)
+        )
+        part = rows.withColumn(chunk, line.chunk())
+        marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), bucket, "left")
+        base = marked.withColumn(chunk, F.when(F.col("__hot"), line.chunk())).drop(bucket, "__hot")
+    ordered = Window.partitionBy(*keys, chunk).orderBy(*line.order)
+    frame = ordered.rowsBetween(Window.unboundedPreceding, back)
+    local = base.select("*", *[s.local(frame, ordered).alias(f"__here_{i}") for i, (_, s) in enumerate(specs)])
+    totals = (
+        part.join(F.broadcast(hot), bucket, "left_semi")
+        .groupBy(*keys, chunk)
+        .agg(*[s.total(line).alias(f"__total_{i}") for i, (_, s) in enumerate(specs)])
     )
     spec = Window.partitionBy(*keys).orderBy(chunk)
     carry = totals.select(
-        *keys,
-        chunk,
-        *[
-            s.fold(F.col(f"__total_{i}"), spec).alias(f"__carry_{i}")
-            for i, (_, s) in enumerate(specs)
-        ],
+        *keys, chunk, *[s.fold(F.col(f"__total_{i}"), spec).alias(f"__carry_{i}") for i, (_, s) in enumerate(specs)]
     )
     joined = local.join(carry, [*keys, chunk], "left")
     return joined.select(

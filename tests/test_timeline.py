@@ -26,7 +26,17 @@ def frame(spark):
 
 
 @pytest.mark.parametrize("width", [7, 100, 10_000, None])
-def test_scans_equal_the_plain_window(frame, width):
+@pytest.mark.parametrize("hot", ["0", "150", "1000000"])
+def test_scans_equal_the_plain_window(spark, frame, width, hot):
+    """Every key split, only the hot one, and none."""
+    spark.conf.set("oddsloom.hotRows", hot)
+    try:
+        _compare_with_pandas(frame, width)
+    finally:
+        spark.conf.set("oddsloom.hotRows", "0")
+
+
+def _compare_with_pandas(frame, width):
     pdf, sdf = frame
     line = tl.Timeline.of("k", ["t", "i"], width)
     v = F.col("v")
