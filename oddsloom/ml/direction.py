@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.operators.evaluate import calibration_line, clipped, log_loss, logit
-from oddsloom.session import settle
+from oddsloom.session import beside, settle
 
 # Fixed values.
 MIN_ISOTONIC_ROWS = 2_000
@@ -77,12 +77,10 @@ def pick_temperature(df: DataFrame, *, p: str, y: str, weight: str, grid: Sequen
         (F.sum(F.col("__w") * log_loss(F.col("__q"), F.col("__y"))) / F.sum("__w")).alias("log_loss"),
         (F.sum(F.col("__w") * (F.col("__q") - F.col("__y")) * (F.col("__q") - F.col("__y"))) / F.sum("__w")).alias("brier"),
     )
-    one = F.lit(0).alias("__one")
-    base = scored.filter("temperature IS NULL").select(F.col("log_loss").alias("l0"), F.col("brier").alias("b0"), one)
+    base = scored.filter("temperature IS NULL").select(F.col("log_loss").alias("l0"), F.col("brier").alias("b0"))
     better = (F.col("log_loss") < F.col("l0")) & (F.col("brier") < F.col("b0"))
     return (
-        scored.filter("temperature IS NOT NULL").select("*", one).join(base, "__one")
-        .agg(F.min_by("temperature", F.when(better, F.struct("log_loss", "brier", "temperature"))).alias("temperature"))
+        beside(scored.filter("temperature IS NOT NULL"), base).agg(F.min_by("temperature", F.when(better, F.struct("log_loss", "brier", "temperature"))).alias("temperature"))
     )
 
 

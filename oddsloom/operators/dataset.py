@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsloom.functions.integers import floor_div
 from oddsloom.operators.timeline import Timeline, scan, whole_max, whole_min
-from oddsloom.session import DAY_NS, HOUR_NS, NANOS
+from oddsloom.session import DAY_NS, HOUR_NS, NANOS, beside
 
 MINUTE_NS = 60 * NANOS
 
@@ -102,12 +102,8 @@ def walk_forward(
         F.min(feature_ts).alias("lo"), F.max(feature_ts).alias("hi"), F.max(label_ts).alias("deadline")
     )
     ends = spans.agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
-    one = F.lit(0).alias("__one")
-    spans = spans.select("*", one).join(ends.select("*", one), "__one").withColumn(
-        "sealed", F.col("hi") >= F.col("last") - holdout
-    )
-    sealed_start = spans.filter("sealed").agg(F.min("lo").alias("sealed_start")).select("*", one)
-    spans = spans.join(sealed_start, "__one").drop("__one")
+    spans = beside(spans, ends).withColumn("sealed", F.col("hi") >= F.col("last") - holdout)
+    spans = beside(spans, spans.filter("sealed").agg(F.min("lo").alias("sealed_start")))
     first_test = F.col("first") + (train + calibration + 2 * embargo)
     # Fold k tests [first_test + k*step, + test), as long as that ends before the sealed part.
     folds_until = floor_div(F.col("sealed_start") - test - first_test, step)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from oddsloom.functions.integers import floor_div
 from oddsloom.operators.edge import entry_metrics, first_persistent_entry, utc_day
 from oddsloom.operators.timeline import quantiles
-from oddsloom.session import DAY_NS, settle
+from oddsloom.session import DAY_NS, beside, settle
 
 # Fixed values.
 EPSILON = 1e-6
@@ -319,8 +319,7 @@ def paired_bootstrap(
         F.percentile("__l", 0.025).alias("log_loss_ci_lower"), F.percentile("__l", 0.975).alias("log_loss_ci_upper"),
         F.percentile("__r", 0.025).alias("brier_ci_lower"), F.percentile("__r", 0.975).alias("brier_ci_upper"),
     )
-    one = F.lit(0).alias("__one")
-    return point.select("*", one).join(ci.select("*", one), "__one").drop("__one").filter("days >= 2")
+    return beside(point, ci).filter("days >= 2")
 
 
 def threshold_sweep(
@@ -388,9 +387,7 @@ def direction_gate(evidence: DataFrame, bands: DataFrame) -> DataFrame:
         (c("__few"), "target_bin_insufficient_samples"),
         (c("__off"), "target_bin_calibration_error_exceeds_limit"),
     ]
-    one = F.lit(0).alias("__one")
-    joined = evidence.select("*", one).join(worst.select("*", one), "__one").drop("__one")
-    return _decide(joined, checks).drop("__few", "__off")
+    return _decide(beside(evidence, worst), checks).drop("__few", "__off")
 
 
 def maker_gate(evidence: DataFrame) -> DataFrame:
@@ -430,12 +427,11 @@ def select_candidate(candidates: DataFrame, *, baseline_kind: str = "logistic",
     beats it on all three and whose paired intervals against it are above zero."""
     rank = F.struct("log_loss", "brier", "calibration_error", "name")
     best = candidates.filter(F.col("kind") == baseline_kind).agg(F.min_by(F.struct("*"), rank).alias("best"))
-    one = F.lit(0).alias("__one")
-    pairs = candidates.filter(F.col("kind") == challenger_kind).select("*", one).join(
-        best.select("*", one), "__one", "right"
-    )
+    # Baselines stay in the rows, so that a result exists without any challenger.
+    pairs = beside(candidates.filter(F.col("kind").isin(baseline_kind, challenger_kind)), best)
     wins = (
-        (F.col("log_loss") < F.col("best.log_loss"))
+        (F.col("kind") == challenger_kind)
+        & (F.col("log_loss") < F.col("best.log_loss"))
         & (F.col("brier") < F.col("best.brier"))
         & (F.col("calibration_error") < F.col("best.calibration_error"))
         & (F.col("paired_baseline") == F.col("best.name"))

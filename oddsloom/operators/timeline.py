@@ -293,6 +293,14 @@ def scan(
     )
 
 
+def fitting_width(df: DataFrame, keys: Sequence[str], lead: str, target_rows: int, probe: int) -> int:
+    """Chunk width at which the densest `probe`-wide stretch of any key yields about `target_rows` rows."""
+    densest = (
+        df.groupBy(*keys, floor_div(lead, probe).alias("__s")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    )
+    return probe if not densest else max(1, probe * target_rows // int(densest))
+
+
 def number(df: DataFrame, line: Timeline, out: str = "pos", hold: bool = False) -> DataFrame:
     """Dense 0-based position of each row inside its key."""
     return scan(df, line, {out: running_count()}, inclusive=False, hold=hold)

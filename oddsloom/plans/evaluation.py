@@ -16,7 +16,7 @@ from oddsloom.plans.edge_study import (
     rounded,
 )
 from oddsloom.plans.registry import query
-from oddsloom.session import settle
+from oddsloom.session import beside, settle
 
 LL = "-(outcome * ln(least(1 - 1e-6, greatest(1e-6, p_up))) + (1 - outcome) * ln(1 - least(1 - 1e-6, greatest(1e-6, p_up))))"
 BIN = "CASE WHEN p_up < 0.1 THEN 0 WHEN p_up < 0.2 THEN 1 WHEN p_up < 0.3 THEN 2 WHEN p_up < 0.4 THEN 3 WHEN p_up < 0.5 THEN 4 WHEN p_up < 0.6 THEN 5 WHEN p_up < 0.7 THEN 6 WHEN p_up < 0.8 THEN 7 WHEN p_up < 0.9 THEN 8 ELSE 9 END"
@@ -435,8 +435,6 @@ def _selection(t: Tables):
     best = models.filter("kind = 'logistic'").agg(
         F.min_by("name", F.struct("log_loss", "brier", "calibration_error", "name")).alias("paired_baseline")
     )
-    one = F.lit(0).alias("one")
-    models = models.select("*", one).join(best.select("*", one), "one").drop("one")
-    return ev.select_candidate(models)
+    return ev.select_candidate(beside(models, best))
 
 

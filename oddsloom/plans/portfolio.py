@@ -204,14 +204,14 @@ def _curve(t: Tables):
     peaks AS (SELECT folio, ts_ns, equity, max(equity) OVER (PARTITION BY folio ORDER BY ts_ns) AS peak FROM curve)
     SELECT folio, round(arg_max(equity, ts_ns), 5) AS final_equity,
            round(max(CASE WHEN peak > 0 THEN (peak - equity) / peak ELSE 0 END), 9) AS max_drawdown,
-           round((arg_max(equity, ts_ns) - 1000000) / 1000000, 9) AS total_return
+           round((arg_max(equity, ts_ns) - 1000000) / 1000000, 10) AS total_return
     FROM peaks GROUP BY 1""",
 )
 def _final(t: Tables):
     out = pf.final_metrics(curve(t), keys=["folio"], order=["ts_ns"], initial=1_000_000, width=FILL_CHUNK)
     return out.select(
         "folio", F.round("final_equity", 5).alias("final_equity"), F.round("max_drawdown", 9).alias("max_drawdown"),
-        F.round("total_return", 9).alias("total_return"),
+        F.round("total_return", 10).alias("total_return"),
     )
 
 

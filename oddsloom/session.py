@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 NANOS = 1_000_000_000
 DAY_NS = 86_400 * NANOS
@@ -49,6 +50,12 @@ def shared_folder(spark: SparkSession) -> str:
     return scratch
 
 
+def beside(df: DataFrame, single: DataFrame, how: str = "inner") -> DataFrame:
+    """Put the one row of a global aggregate next to every row; one row is always safe to broadcast."""
+    one = F.lit(0).alias("__one")
+    return df.select("*", one).join(F.broadcast(single.select("*", one)), "__one", how).drop("__one")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
