@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -316,31 +315,46 @@ def top_of_book(
         .schema
     )
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["event_index", "part"], kind="stable")
-        index = pdf["event_index"].to_numpy()
-        ends = np.append(index[1:] != index[:-1], True) & (index >= 0)
+    names = [*keep, "event_index"]
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows arrive sorted by (token, chunk, event, part); an event is closed by the next one's first row."""
         book: dict[int, dict[float, float]] = {SIDE_BUY: {}, SIDE_SELL: {}}
-        rows_out, tops = [], []
-        steps = zip(pdf["action"].tolist(), pdf["side"].tolist(), pdf["price"].tolist(), pdf["size"].tolist())
-        for i, (action, side, price, amount) in enumerate(steps):
-            if action == ACTION_CLEAR:
-                book[SIDE_BUY].clear()
-                book[SIDE_SELL].clear()
-            elif amount > 0:
-                book[side][price] = amount
-            else:
-                book[side].pop(price, None)
-            if ends[i] and book[SIDE_BUY] and book[SIDE_SELL]:
+        chunk, event, out = None, None, []
+
+        def close() -> None:
+            if event is not None and event[-1] >= 0 and book[SIDE_BUY] and book[SIDE_SELL]:
                 bid, ask = max(book[SIDE_BUY]), min(book[SIDE_SELL])
                 if bid < ask:
-                    rows_out.append(i)
-                    tops.append((bid, ask, book[SIDE_BUY][bid], book[SIDE_SELL][ask]))
-        out = pdf.iloc[rows_out][[token, "event_index", *keep]].reset_index(drop=True)
-        quoted = pd.DataFrame(tops, columns=["bid", "ask", "bid_size", "ask_size"], dtype="float64")
-        return pd.concat([out, quoted], axis=1)
+                    out.append((chunk[0], event[-1], *event[:-1], bid, ask, book[SIDE_BUY][bid], book[SIDE_SELL][ask]))
 
-    return feed.groupBy(token, "__c").applyInPandas(replay, schema)
+        for pdf in batches:
+            rows = zip(
+                zip(pdf[token], pdf["__c"]), zip(*[pdf[c] for c in names]), pdf["action"], pdf["side"], pdf["price"], pdf["size"]
+            )
+            for place, stamp, action, side, price, amount in rows:
+                if place != chunk or stamp[-1] != event[-1]:
+                    close()
+                    event = stamp
+                if place != chunk:
+                    book, chunk = {SIDE_BUY: {}, SIDE_SELL: {}}, place
+                if action == ACTION_CLEAR:
+                    book[SIDE_BUY].clear()
+                    book[SIDE_SELL].clear()
+                elif amount > 0:
+                    book[side][price] = amount
+                else:
+                    book[side].pop(price, None)
+            yield pd.DataFrame(out, columns=schema.names)
+            out.clear()
+        close()
+        yield pd.DataFrame(out, columns=schema.names)
+
+    return (
+        feed.repartition(token, "__c")
+        .sortWithinPartitions(token, "__c", "event_index", "part")
+        .mapInPandas(replay, schema)
+    )
 
 
 def book_measures(bid: str, ask: str, bid_size: str, ask_size: str) -> dict[str, Column]:

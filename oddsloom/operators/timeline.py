@@ -19,7 +19,7 @@ row count is bounded by construction (a market's decision grid, one row per day)
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -371,22 +371,39 @@ def linear_recurrence(
     base = df.withColumn(CHUNK, floor_div(pos, rows_per_chunk))
     schema = base.withColumns({f"__local_{o}": F.lit(0.0) for o in outs}).schema
 
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        for out, (value, alpha) in outs.items():
-            x = pdf[value].astype("float64")
-            if pdf[CHUNK].iat[0] == 0:
-                local = x.ewm(alpha=alpha, adjust=False).mean()
-            else:
-                padded = pd.concat([pd.Series([0.0]), x], ignore_index=True)
-                local = padded.ewm(alpha=alpha, adjust=False).mean().iloc[1:]
-            pdf[f"__local_{out}"] = local.to_numpy()
-        return pdf
-
-    local = settle(base.groupBy(*keys, CHUNK).applyInPandas(smooth, schema))
+    cut = [*keys, CHUNK]
+
+    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows arrive sorted by (key, chunk, position); a batch may end inside a chunk."""
+        open_chunk, ended = None, {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            piece = (pdf[cut] != pdf[cut].shift()).any(axis=1).cumsum()
+            step = piece.groupby(piece).cumcount()
+            goes_on = (piece == 1) & (tuple(pdf[cut].iloc[0]) == open_chunk)
+            from_zero = (pdf[CHUNK] > 0) | goes_on
+            for out, (value, alpha) in outs.items():
+                x = pdf[value].astype("float64")
+                y = x.groupby(piece).ewm(alpha=alpha, adjust=False).mean().droplevel(0)
+                decay = (1.0 - alpha) ** step
+                seed = (1.0 - alpha) * x.groupby(piece).transform("first") * decay
+                y = y - seed.where(from_zero, 0.0)
+                y = y + (decay * (1.0 - alpha) * ended.get(out, 0.0)).where(goes_on, 0.0)
+                pdf[f"__local_{out}"] = y
+                ended[out] = float(y.iloc[-1])
+            open_chunk = tuple(pdf[cut].iloc[-1])
+            yield pdf
+
+    local = settle(
+        base.repartition(*cut).sortWithinPartitions(*cut, pos).mapInPandas(smooth, schema)
+    )
     ends = local.groupBy(*keys, CHUNK).agg(
         F.count(F.lit(1)).alias("n"), *[F.max_by(f"__local_{o}", pos).alias(f"end_{o}") for o in outs]
     )
+    # Only keys of several chunks have anything to hand on.
+    several = ends.filter(F.col(CHUNK) > 0).select(*keys).distinct()
+    ends = ends.join(several, keys, "left_semi")
     entering = local.select(*keys, CHUNK).withColumns({f"__in_{o}": F.lit(0.0) for o in outs}).schema
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -405,7 +422,10 @@ def linear_recurrence(
     return local.join(carry, [*keys, CHUNK], "left").select(
         *columns,
         *[
-            (F.col(f"__local_{o}") + F.pow(F.lit(1.0 - alpha), steps) * F.col(f"__in_{o}")).alias(o)
+            (
+                F.col(f"__local_{o}")
+                + F.pow(F.lit(1.0 - alpha), steps) * F.coalesce(f"__in_{o}", F.lit(0.0))
+            ).alias(o)
             for o, (_, alpha) in outs.items()
         ],
     )
