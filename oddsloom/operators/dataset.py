@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsloom.functions.integers import floor_div
-from oddsloom.operators.timeline import Timeline, scan, whole_max, whole_min
+from oddsloom.operators.timeline import Timeline, scan
 from oddsloom.session import DAY_NS, HOUR_NS, NANOS, beside
 
 MINUTE_NS = 60 * NANOS
@@ -168,5 +168,5 @@ def coverage_audit(grid: DataFrame, observed: DataFrame, *, keys: Sequence[str],
 
 __all__ = [
     "PROTOCOL", "coverage_audit", "dataset_rows", "decision_grid", "decision_offsets", "early_stopping_split",
-    "walk_forward", "whole_market_dataset", "whole_max", "whole_min",
+    "walk_forward", "whole_market_dataset",
 ]

@@ -11,7 +11,6 @@ from oddsloom.operators.edge import (
     entry_metrics,
     first_persistent_entry,
     regime,
-    sensitivity,
 )
 from oddsloom.plans.analogs import DAY_NS, TICK_CHUNK, TICKS, Tables
 from oddsloom.plans.registry import query

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oddsloom.operators import portfolio as pf
-from oddsloom.operators.asof import asof_backward
-from oddsloom.operators.timeline import Timeline, scan, whole_first
 from oddsloom.plans.analogs import DAY_NS, FILL_CHUNK, FILL_ORDER, FILLS, TICK_CHUNK, TICKS, Tables
 from oddsloom.plans.edge_study import rounded
 from oddsloom.plans.registry import query
@@ -586,5 +584,3 @@ def _bars(t: Tables):
 def _merged(t: Tables):
     return pf.merged_prices(quotes(t), trades(t), market="market", ts="ts_ns", tie=TIE)
 
-
-__all__ = ["Timeline", "asof_backward", "scan", "whole_first"]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddsloom.functions.integers import floor_div, floor_to
+from oddsloom.functions.integers import floor_div
 from oddsloom.operators import markets as mk
 from oddsloom.operators import selection as sl
-from oddsloom.plans.analogs import DAY_NS, FILLS, TICK_CHUNK, TICKS, Tables, nanos
+from oddsloom.plans.analogs import DAY_NS, FILLS, TICK_CHUNK, TICKS, Tables
 from oddsloom.plans.edge_study import rounded
 from oddsloom.plans.registry import query
 
@@ -329,5 +329,3 @@ def _pruned(t: Tables):
         jobs(t), seen, keys=["slug", "day"], now=F.lit(19746 * DAY_NS), recheck_after_ns=12 * DAY_NS
     ).select("slug", "day")
 
-
-__all__ = ["floor_to", "nanos"]
