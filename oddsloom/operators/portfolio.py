@@ -23,6 +23,7 @@ from oddsloom.operators.timeline import (
     whole_min,
     whole_sum,
 )
+from oddsloom.session import settle
 
 OPEN = 1e-12
 YEAR_S = 365.25 * 24 * 3600
@@ -296,11 +297,16 @@ def equity_curve(
     states = _market_states(
         fills, prices, market=market, ts=ts, order=order, tie=tie, width=width, keep=[portfolio]
     )
-    steps = _with_endings(states, ts).groupBy(portfolio, ts).agg(
-        F.sum("d_value").alias("__v"),
-        F.sum("d_cash").alias("__c"),
-        F.sum("d_open").alias("__o"),
-        F.max("real").alias("__real"),
+    # One row per instant: written out, so that the scan and what follows do not replay the markets.
+    steps = settle(
+        _with_endings(states, ts)
+        .groupBy(portfolio, ts)
+        .agg(
+            F.sum("d_value").alias("__v"),
+            F.sum("d_cash").alias("__c"),
+            F.sum("d_open").alias("__o"),
+            F.max("real").alias("__real"),
+        )
     )
     out = scan(
         steps,
@@ -327,8 +333,8 @@ def allocation_changes(
 ) -> DataFrame:
     """Value held in the `top` markets by peak value and in 'Other', at each instant it changes."""
     ts = order[0]
-    states = _market_states(
-        fills, prices, market=market, ts=ts, order=order, tie=tie, width=width, fallback="last"
+    states = settle(
+        _market_states(fills, prices, market=market, ts=ts, order=order, tie=tie, width=width, fallback="last")
     )
     peaks = states.groupBy(market).agg(F.max("value").alias("peak"))
     ranked = (
