@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsloom.llm.common import QUERIES, read, register  # noqa: F401
+from oddsloom.llm.embedding_dedup import embedding_dedup
 from oddsloom.llm.exact_dedup import exact_dedup, halves
 from oddsloom.llm.mixing import mix
 from oddsloom.llm.packing import pack
@@ -78,3 +79,27 @@ FROM d JOIN g ON d.norm = g.norm, b
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return exact_dedup(docs, in_snapshot=halves(docs))
+
+
+LINK_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+         vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+         AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+  FROM embeddings),
+u AS (SELECT * FROM v WHERE usable),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT a, least(a, min(b)) AS component FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.component, v.vec_id) AS component_id,
+       v.vec_id = coalesce(c.component, v.vec_id) AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.a = v.vec_id
+"""
+
+
+@register("op1_embedding_dedup", LINK_SQL)
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(read(spark, sf_dir, "embeddings"))
