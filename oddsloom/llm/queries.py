@@ -10,6 +10,7 @@ from oddsloom.llm.embedding_dedup import embedding_dedup
 from oddsloom.llm.exact_dedup import exact_dedup, halves
 from oddsloom.llm.mixing import mix
 from oddsloom.llm.packing import pack
+from oddsloom.llm.warc import round_trip
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -103,3 +104,19 @@ FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.a = v.vec_id
 @register("op1_embedding_dedup", LINK_SQL)
 def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
+q AS (SELECT page_id, url, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+h AS (SELECT payload_digest, min(page_id) AS head FROM q WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT q.page_id, q.url, q.payload_bytes, q.payload_digest, true AS intact,
+       CASE WHEN h.head <> q.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN h.head <> q.page_id THEN h.head END AS refers_to
+FROM q LEFT JOIN h ON h.payload_digest = q.payload_digest
+"""
+
+
+@register("op2_warc", WARC_SQL)
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read(spark, sf_dir, "pages"))
