@@ -80,3 +80,24 @@ def components(edges: DataFrame) -> DataFrame:
     found = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     only = roots.join(links.select("u"), "u", "left_anti")
     return found.union(only.select(F.col("u").alias("node"), F.col("u").alias("component")))
+
+
+#: Bits of a screen: 512 bitmaps of 4 kB, however many keys there are.
+SCREEN_BITS = 1 << 24
+
+
+def screened(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """The rows of `df` whose `key` may be in the column `name` of `keys`, to thin `df` before an exact join.
+
+    The screen is a bitmap of fixed size, so broadcasting it is safe whatever the number of keys; with very
+    many keys it lets more rows through. It never drops a row that the exact join would keep."""
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(SCREEN_BITS)) + 1
+    bit = spot(F.col(name))
+    maps = keys.groupBy(F.bitmap_bucket_number(bit).alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("__bits")
+    )
+    marked = df.withColumn("__spot", spot(key))
+    met = marked.join(F.broadcast(maps), F.bitmap_bucket_number("__spot") == F.col("__bucket"))
+    place = F.bitmap_bit_position("__spot")
+    octet = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.filter(F.getbit(octet, (place % 8).cast("int")) == 1).select(*df.columns)
