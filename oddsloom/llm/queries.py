@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from oddsloom.llm.common import QUERIES, read, register  # noqa: F401
 from oddsloom.llm.embedding_dedup import embedding_dedup
 from oddsloom.llm.exact_dedup import exact_dedup, halves
+from oddsloom.llm.minhash import near_duplicates
 from oddsloom.llm.mixing import mix
 from oddsloom.llm.packing import pack
 from oddsloom.llm.warc import round_trip
@@ -120,3 +121,8 @@ FROM q LEFT JOIN h ON h.payload_digest = q.payload_digest
 @register("op2_warc", WARC_SQL)
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "pages"))
+
+
+@register("op7_dart_minhash")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
