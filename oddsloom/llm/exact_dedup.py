@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsloom.llm.common import normalised
+from oddsloom.llm.common import normalised, screened
 from oddsloom.session import settle
 
 #: Digests a filter holds; a shard is one task's work.
@@ -142,7 +142,8 @@ def _equal_bytes(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     ends = pairs.select("sha", F.col("s_id").alias("id"), F.lit(0).alias("side")).union(
         pairs.select("sha", F.col("b_id").alias("id"), F.lit(1).alias("side"))
     )
-    met = texts.join(ends, texts["__id"].eqNullSafe(ends["id"])).select("sha", "side", normalised(F.col("__text")).alias("norm"))
+    thin = screened(texts, F.col("__id"), ends, "id")
+    met = thin.join(ends, thin["__id"].eqNullSafe(ends["id"])).select("sha", "side", normalised(F.col("__text")).alias("norm"))
     met = met.filter(F.unhex(F.sha2("norm", 256)) == F.col("sha"))
     one = met.groupBy("sha").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"), F.min("side").alias("x"), F.max("side").alias("y"))
     return one.filter("lo = hi and x = 0 and y = 1").select("sha")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from oddsloom.llm.common import QUERIES, read, register  # noqa: F401
 from oddsloom.llm.embedding_dedup import embedding_dedup
 from oddsloom.llm.exact_dedup import exact_dedup, halves
+from oddsloom.llm.language import identify
 from oddsloom.llm.minhash import near_duplicates
 from oddsloom.llm.mixing import mix
 from oddsloom.llm.packing import pack
@@ -126,3 +127,8 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_dart_minhash")
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@register("op4_language_crf")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
