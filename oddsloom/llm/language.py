@@ -71,13 +71,16 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Letters:
-    """The words of some texts: lower-case letters in a row, where words start, and words before each text."""
+    """The words of some texts: lower-case letters in a row, where words start in it, words before each text,
+    the code point at which each word starts, and the code points before each text."""
 
     code: np.ndarray
     start: np.ndarray
     length: np.ndarray
     before: np.ndarray
     upper: np.ndarray
+    at: np.ndarray
+    cuts: np.ndarray
 
     @classmethod
     def of(cls, data: np.ndarray, offsets: np.ndarray) -> Letters:
@@ -97,7 +100,19 @@ class Letters:
         start = place[at]
         code = lower[points[inside]].astype(np.uint64)
         length = np.diff(np.append(start, len(code)))
-        return cls(code, start, length, np.searchsorted(at, cuts), kind[at] == 2)
+        return cls(code, start, length, np.searchsorted(at, cuts), kind[at] == 2, at, cuts)
+
+    def hashes(self, letters: int | None = None) -> np.ndarray:
+        """Of each whole word, or of its first `letters` letters."""
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        nth = np.arange(len(self.code)) - np.repeat(self.start, self.length)
+        value = mix64(self.code) * np.power(np.uint64(0x9E3779B97F4A7C15), nth.astype(np.uint64))
+        length = self.length
+        if letters:
+            value[nth >= letters] = 0
+            length = np.minimum(length, letters)
+        return mix64(np.add.reduceat(value, self.start) + length.astype(np.uint64))
 
 
 def _slot(value: np.ndarray, kind: int) -> np.ndarray:
@@ -123,9 +138,7 @@ class Features:
             self.affixes.append(np.where(fits, _slot(v[words.start], 8 + k), -1))
             self.affixes.append(np.where(fits, _slot(v[np.maximum(end - k, 0)], 16 + k), -1))
         self.affixes.append(_slot(words.upper.astype(np.uint64), 30))
-        power = np.power(np.uint64(0x9E3779B97F4A7C15), (np.arange(n) - words.start[owner]).astype(np.uint64))
-        whole = np.add.reduceat(mix64(words.code) * power, words.start) if len(words.start) else np.zeros(0, np.uint64)
-        self.hash = mix64(whole + words.length.astype(np.uint64))
+        self.hash = words.hashes()
         if lexicon is not None:
             at = np.searchsorted(lexicon, self.hash)
             known = np.zeros(len(at), bool)

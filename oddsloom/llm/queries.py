@@ -12,6 +12,7 @@ from oddsloom.llm.language import identify
 from oddsloom.llm.minhash import near_duplicates
 from oddsloom.llm.mixing import mix
 from oddsloom.llm.packing import pack
+from oddsloom.llm.privacy import find_private
 from oddsloom.llm.warc import round_trip
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -132,3 +133,8 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_language_crf")
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
+
+
+@register("op8_disclosure")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_private(read(spark, sf_dir, "documents"))
