@@ -9,6 +9,7 @@ from oddsloom.llm.common import QUERIES, read, register  # noqa: F401
 from oddsloom.llm.embedding_dedup import embedding_dedup
 from oddsloom.llm.exact_dedup import exact_dedup, halves
 from oddsloom.llm.language import identify
+from oddsloom.llm.licences import TEMPLATES, scan_licences
 from oddsloom.llm.minhash import near_duplicates
 from oddsloom.llm.mixing import mix
 from oddsloom.llm.packing import pack
@@ -138,3 +139,52 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_disclosure")
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_private(read(spark, sf_dir, "documents"))
+
+
+_ROWS = ", ".join(f"({k}, '{licence}', '{notice}')" for k, (licence, notice) in enumerate(TEMPLATES))
+LICENCE_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         '/' || coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || (doc_id // 100) || '/' || doc_id AS path
+  FROM documents),
+tv AS (SELECT template, licence, w AS word, count(*) AS n
+       FROM (SELECT template, licence, unnest(regexp_split_to_array(lower(notice), '[^a-z0-9]+')) AS w
+             FROM (VALUES {_ROWS}) AS v(template, licence, notice))
+       WHERE w <> '' GROUP BY ALL),
+u AS (SELECT doc_id, -1 AS no, text AS unit FROM d
+      UNION ALL SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) FROM d),
+t AS (SELECT doc_id, no, list_filter(regexp_split_to_array(lower(unit), '[^a-z0-9]+'), lambda w: w <> '') AS toks FROM u),
+w AS (SELECT doc_id, no, unnest(toks) AS word FROM t),
+tf AS (SELECT doc_id, no, word, count(*) AS n FROM w GROUP BY ALL),
+nl AS (SELECT 1 + count(*) AS whole FROM t WHERE no >= 0 AND len(toks) > 0),
+df AS (SELECT v.word, count(tf.word) AS n FROM (SELECT DISTINCT word FROM tv) v LEFT JOIN tf ON tf.word = v.word AND tf.no >= 0 GROUP BY v.word),
+idf AS (SELECT word, ln(whole / (1 + n)) + 1 AS idf, ln(whole) + 1 AS other FROM df, nl),
+tw AS (SELECT template, licence, tv.word, tv.n * idf AS v FROM tv JOIN idf ON idf.word = tv.word),
+tn AS (SELECT template, sqrt(sum(v * v)) AS norm FROM tw GROUP BY template),
+un AS (SELECT doc_id, no, sum(CASE WHEN idf.idf IS NOT NULL THEN (tf.n * idf.idf) ** 2 ELSE tf.n * o.other ** 2 END) AS square
+       FROM tf LEFT JOIN idf ON idf.word = tf.word, (SELECT max(other) AS other FROM idf) o GROUP BY doc_id, no),
+sc AS (SELECT tf.doc_id, tf.no, tw.template, tw.licence, sum(tf.n * idf.idf * tw.v / tn.norm) AS dot
+       FROM tf JOIN idf ON idf.word = tf.word JOIN tw ON tw.word = tf.word JOIN tn ON tn.template = tw.template GROUP BY ALL),
+m AS (SELECT sc.doc_id, sc.no, licence, round(dot / sqrt(square), 9) AS score FROM sc JOIN un ON un.doc_id = sc.doc_id AND un.no = sc.no
+      WHERE round(dot / sqrt(square), 9) >= 0.7),
+b AS (SELECT doc_id, no, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, no ORDER BY score DESC, licence) AS r FROM m) WHERE r = 1),
+o AS (SELECT doc_id, count(*) FILTER (no >= 0) AS n_notices, bool_or(no < 0) AS whole FROM b GROUP BY doc_id),
+ob AS (SELECT doc_id, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) AS r FROM b) WHERE r = 1),
+f AS (SELECT d.doc_id, d.path, coalesce(o.n_notices, 0)::BIGINT AS n_notices, ob.licence AS own_licence, ob.score AS own_score, coalesce(o.whole, false) AS is_licence_file
+      FROM d LEFT JOIN o ON o.doc_id = d.doc_id LEFT JOIN ob ON ob.doc_id = d.doc_id),
+dirs AS (SELECT directory, licence FROM (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS directory, own_licence AS licence,
+         row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY own_score DESC, own_licence) AS r FROM f WHERE is_licence_file) WHERE r = 1),
+a AS (SELECT f.doc_id, max_by(dirs.licence, len(dirs.directory)) AS from_licence, max_by(dirs.directory, len(dirs.directory)) AS from_directory
+      FROM f JOIN dirs ON starts_with(f.path, dirs.directory || '/') WHERE f.own_licence IS NULL GROUP BY f.doc_id)
+SELECT f.doc_id, f.path, f.n_notices, f.own_licence, f.own_score, f.is_licence_file, coalesce(f.own_licence, a.from_licence) AS licence, a.from_directory
+FROM f LEFT JOIN a ON a.doc_id = f.doc_id
+"""
+
+
+@register("op6_licences", LICENCE_SQL)
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table has no paths: source, language and a hundred ids a folder stand for a file tree.
+    part = lambda c: F.coalesce(F.col(c), F.lit("_"))
+    path = F.concat_ws("/", F.lit(""), part("source"), part("lang"), F.expr("doc_id div 100"), F.col("doc_id"))
+    return scan_licences(read(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", path=path)
