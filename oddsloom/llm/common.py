@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,18 +87,43 @@ def components(edges: DataFrame) -> DataFrame:
 SCREEN_BITS = 1 << 24
 
 
-def screened(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
-    """The rows of `df` whose `key` may be in the column `name` of `keys`, to thin `df` before an exact join.
-
-    The screen is a bitmap of fixed size, so broadcasting it is safe whatever the number of keys; with very
-    many keys it lets more rows through. It never drops a row that the exact join would keep."""
+def _marked(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(SCREEN_BITS)) + 1
     bit = spot(F.col(name))
     maps = keys.groupBy(F.bitmap_bucket_number(bit).alias("__bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("__bits")
     )
     marked = df.withColumn("__spot", spot(key))
-    met = marked.join(F.broadcast(maps), F.bitmap_bucket_number("__spot") == F.col("__bucket"))
+    met = marked.join(F.broadcast(maps), F.bitmap_bucket_number("__spot") == F.col("__bucket"), "left")
     place = F.bitmap_bit_position("__spot")
     octet = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return met.filter(F.getbit(octet, (place % 8).cast("int")) == 1).select(*df.columns)
+    return met.withColumn("__may", F.coalesce(F.getbit(octet, (place % 8).cast("int")) == 1, F.lit(False)))
+
+
+def screened(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """The rows of `df` whose `key` may be in the column `name` of `keys`, to thin `df` before an exact join.
+
+    The screen is a bitmap of fixed size, so broadcasting it is safe whatever the number of keys; with very
+    many keys it lets more rows through. It never drops a row that the exact join would keep."""
+    return _marked(df, key, keys, name).filter("__may").select(*df.columns)
+
+
+def unscreened(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """The rows that `screened` leaves out: their `key` is certainly not among the keys."""
+    return _marked(df, key, keys, name).filter("NOT __may").select(*df.columns)
+
+
+def bitmap(keys: DataFrame, name: str, bits: int) -> bytearray:
+    """A bitmap of the low bits of a bigint column. At most `bits` / 32768 rows of 4 kB come to the driver."""
+    spot = F.col(name).bitwiseAND(bits - 1) + 1
+    maps = keys.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
+    out = bytearray(bits // 8)
+    for bucket, part in maps.collect():
+        out[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(part)] = part
+    return out
+
+
+def in_bitmap(value: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each 64-bit value may be among the keys of a bitmap."""
+    spot = value.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+    return (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1

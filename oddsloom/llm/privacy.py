@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from oddsloom.llm.common import screened
+from oddsloom.llm.common import bitmap, in_bitmap, screened
 from oddsloom.llm.language import Letters
 from oddsloom.llm.words import text_slices
 from oddsloom.session import settle
@@ -193,8 +193,7 @@ def _document_counts(screen, schema: pa.Schema):
                 text = np.repeat(np.arange(len(offsets) - 1), np.diff(words.before))
                 found = []
                 for value in _hashes(words):
-                    spot = value.view(np.uint64) & np.uint64(SCREEN_BITS - 1)
-                    hit = (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    hit = in_bitmap(value, bits)
                     found.append(np.stack([value[hit], text[hit]]))
                 pairs = np.unique(np.concatenate(found, axis=1), axis=1)
                 if pairs.shape[1]:
@@ -204,16 +203,6 @@ def _document_counts(screen, schema: pa.Schema):
     return run
 
 
-def _screen(terms: DataFrame) -> bytearray:
-    """A bitmap of the terms: at most SCREEN_BITS / 32768 rows of 4 kB come to the driver."""
-    spot = F.col("term").bitwiseAND(SCREEN_BITS - 1) + 1
-    maps = terms.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
-    bits = bytearray(SCREEN_BITS // 8)
-    for bucket, part in maps.collect():
-        bits[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(part)] = part
-    return bits
-
-
 def disclosing(near: DataFrame, texts: DataFrame, entity_docs: DataFrame, documents: int, *, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(entity, term, action) of the words to generalise or remove."""
     seen = near.groupBy("entity", "term", "stem", "id", "h").agg(F.first("copies").alias("copies"))
@@ -221,7 +210,7 @@ def disclosing(near: DataFrame, texts: DataFrame, entity_docs: DataFrame, docume
     stems = seen.filter("stem <> 0").join(joint.select("entity", "stem").distinct(), ["entity", "stem"], "left_semi")
     stems = stems.select("entity", "stem", "id", "h", "copies").distinct().groupBy("entity", "stem").agg(F.sum("copies").alias("stem_joint"))
     wanted = settle(joint.select("term").union(joint.filter("stem <> 0").select("stem")).distinct())
-    screen = texts.sparkSession.sparkContext.broadcast(_screen(wanted))
+    screen = texts.sparkSession.sparkContext.broadcast(bitmap(wanted, "term", SCREEN_BITS))
     counts = texts.select("text").mapInArrow(_document_counts(screen, to_arrow_schema(_COUNT)), _COUNT)
     counts = settle(counts.groupBy("term").agg(F.sum("docs").alias("docs")).join(wanted, "term", "left_semi"))
     limit = F.pow(F.col("entity_docs") / float(max(documents, 1)), F.lit(1 - alpha))

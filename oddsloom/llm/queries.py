@@ -14,6 +14,7 @@ from oddsloom.llm.minhash import near_duplicates
 from oddsloom.llm.mixing import mix
 from oddsloom.llm.packing import pack
 from oddsloom.llm.privacy import find_private
+from oddsloom.llm.suffix_dedup import remove_repeats
 from oddsloom.llm.warc import round_trip
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -188,3 +189,8 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda c: F.coalesce(F.col(c), F.lit("_"))
     path = F.concat_ws("/", F.lit(""), part("source"), part("lang"), F.expr("doc_id div 100"), F.col("doc_id"))
     return scan_licences(read(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", path=path)
+
+
+@register("op3_suffix_dedup")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
