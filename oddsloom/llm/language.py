@@ -38,6 +38,8 @@ TABLE_BITS = 18
 #: A word of the sample is in the lexicon from this count on.
 LEXICON_COUNT = 5
 UNKNOWN = "und"
+#: Below this score a text is taken to be in no learned language.
+LEAST_SCORE = 0.35
 #: Words of a block of a chain.
 BLOCK = 64
 SLICE_BYTES = 1 << 20
@@ -323,6 +325,22 @@ def _predict(model, schema: pa.Schema):
     return run
 
 
+def _accept(model, text_col: str, least: float):
+    """The rows whose text has a language, decided on Arrow batches of all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(_GUESS)
+        for batch in batches:
+            ids = pa.array(np.arange(len(batch)))
+            keep = np.zeros(len(batch), bool)
+            for guess in _predict(model, schema)(iter([pa.RecordBatch.from_arrays([ids, batch.column(text_col)], names=["id", "text"])])):
+                sure = (np.array(guess.column("lang_pred").to_pylist(), object) != UNKNOWN) & (guess.column("score").to_numpy() >= least)
+                keep[guess.column("id").to_numpy()] = sure
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def held_out(id_col: Column) -> Column:
     """Rows that are never learned from: CRC-32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -337,13 +355,22 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per row of `docs`. The model's size is fixed by its parameters."""
-    parts = model and (model.labels, model.table, model.transitions, model.lexicon)
-    shared = docs.sparkSession.sparkContext.broadcast(parts)
+    shared = _share(docs, model)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     found = rows.mapInArrow(_predict(shared, to_arrow_schema(_GUESS)), _GUESS)
     return found.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
 
 
+def _share(docs: DataFrame, model: Model | None):
+    parts = model and (model.labels, model.table, model.transitions, model.lexicon)
+    return docs.sparkSession.sparkContext.broadcast(parts)
+
+
+def accepted(docs: DataFrame, model: Model | None, *, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of `docs` with a language, with all their columns; in one narrow pass."""
+    return docs.mapInArrow(_accept(_share(docs, model), text_col, least), docs.schema)
+
+
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Fit on a bounded sample of the labelled rows that are not held out, then predict every row."""
     return predict(docs, train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), id_col=id_col, text_col=text_col)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from oddsloom.llm.common import components, screened
+from oddsloom.llm.common import components, screened, unscreened
 from oddsloom.llm.words import mix64, span_hashes, text_slices, word_spans
 from oddsloom.session import settle
 
@@ -242,3 +242,13 @@ def near_duplicates(
         F.col("id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"),
         F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns. Ids are expected to be unique, as exact dedup leaves them.
+
+    Only rows whose id may be among the dropped ones are shuffled to meet them."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
+    gone = settle(found.filter("NOT kept").select(F.col(id_col).alias("__gone")))
+    may = screened(docs, F.col(id_col), gone, "__gone").join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return unscreened(docs, F.col(id_col), gone, "__gone").unionByName(may)

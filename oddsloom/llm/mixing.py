@@ -24,6 +24,8 @@ LEVEL_BITS = 12
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
+#: Sources up to which the plan, a row each, is broadcast.
+BROADCAST_SOURCES = 1 << 16
 
 
 def hash_of(column: Column) -> Column:
@@ -87,36 +89,52 @@ def thresholds(rows: DataFrame, budgets: DataFrame, bits: int = HASH_BITS, step:
         narrow = settle(narrow.join(ends, narrow["source"].eqNullSafe(ends["e_source"]) & (slot == F.col("e_slot")), "left_semi"))
 
 
+def plan(rows: DataFrame, weights: Sequence[int], share: float, most: int) -> DataFrame:
+    """(p_source, source_size, target, passes, cut): a document is taken `passes` times, and once more up to hash `cut`."""
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    table = settle(targets(sums, weights, share, most).withColumn(
+        "passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
+    ).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
+    cuts = thresholds(rows.select("source", "h", "size"), table.select("source", "rest")).withColumnRenamed("source", "c_source")
+    met = table.join(cuts, table["source"].eqNullSafe(cuts["c_source"]))
+    return settle(met.select(F.col("source").alias("p_source"), "source_size", "target", "passes", "cut"))
+
+
+def planned(rows: DataFrame, table: DataFrame, source: Column, h: Column, most: int) -> DataFrame:
+    """`rows` with the plan of their source and their `copies`. A small plan is broadcast; a large one meets the
+    rows in a join whose skewed partitions Spark splits."""
+    small = table.count() <= BROADCAST_SOURCES
+    met = rows.join(F.broadcast(table) if small else table, source.eqNullSafe(table["p_source"]))
+    copies = F.col("passes") + F.when(h <= F.col("cut"), 1).otherwise(0)
+    return met.withColumn("copies", F.least(copies, F.lit(most)).cast("bigint"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return settle(docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), hash_of(F.col(id_col)).alias("h"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+    ))
+
+
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) per row of `docs`."""
-    rows = settle(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), hash_of(F.col(id_col)).alias("h"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-    ))
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = settle(targets(sums, weights, share, most).withColumn(
-        "passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
-    ).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
-    cuts = thresholds(rows.select("source", "h", "size"), plan.select("source", "rest"))
-    cuts = cuts.withColumnRenamed("source", "c_source")
-    plan = plan.join(cuts, plan["source"].eqNullSafe(cuts["c_source"])).withColumnRenamed("source", "p_source").drop("c_source")
-    copies = F.col("passes") + F.when(F.col("h") <= F.col("cut"), 1).otherwise(0)
-    return rows.join(plan, rows["source"].eqNullSafe(plan["p_source"])).select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
-        F.least(copies, F.lit(most)).cast("bigint").alias("copies"),
-    ).withColumn("taken", F.col("size") * F.col("copies"))
+    rows = _rows(docs, id_col, text_col, source_col)
+    met = planned(rows, plan(rows, weights, share, most), F.col("source"), F.col("h"), most)
+    return met.select(
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies",
+        (F.col("size") * F.col("copies")).alias("taken"),
+    )
 
 
-def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST,
+) -> DataFrame:
     """The rows of `docs` as often as the mix takes them, with all their columns."""
-    text, source = F.col(text_col), F.col(source_col)
-    take = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col).select(
-        F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"), "copies"
-    ).distinct()
-    keyed = docs.withColumn("__words", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint"))
-    on = keyed[id_col].eqNullSafe(take["__id"]) & source.eqNullSafe(take["__source"]) & (keyed["__words"] == take["__size"])
-    met = keyed.join(take, on).filter("copies > 0")
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    table = plan(_rows(docs, id_col, text_col, source_col), weights, share, most)
+    met = planned(docs.select(F.struct("*").alias("row")), table, F.col(f"row.`{source_col}`"), hash_of(F.col(f"row.`{id_col}`")), most)
+    again = met.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return again.select("row.*")
