@@ -1,15 +1,18 @@
 """Causal features at decision times: trailing windows, book and reference states, quality flags.
 
-Trailing windows are not evaluated per decision. Facts get running sums once; a window is then the
-difference between the sums at its two ends, found by as-of probes. The work is one scan of the
-facts plus a few probe rows per decision, whatever the window length and event rate.
+Trailing windows are not evaluated per decision. Time is cut into chunks as long as the window, so a
+window is the end of one chunk and the start of the next: each fact carries its chunk's sum up to it
+and from it on, and as-of probes find the two facts at a window's ends. Only facts inside a window
+enter its sums, so a quiet stretch after wild prices keeps its digits. The work is one shuffle of the
+facts plus a few probe rows per decision, whatever the event rate.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsloom.functions.integers import ceil_div, floor_div
@@ -25,7 +28,6 @@ from oddsloom.operators.timeline import (
     previous,
     running_count,
     running_max,
-    running_sum,
     scan,
     whole_first,
 )
@@ -63,38 +65,38 @@ def trailing_at(
     `sums` are quantities of one fact. `links` are quantities of a fact and its predecessor (columns
     `prev_value`, `prev_ts`); a window leaves out the link of its first fact, whose predecessor lies
     outside. Per window w the result has `<w>_first`, `<w>_first_ts` (value and time of its first
-    fact, NULL when the window is empty) and `<w>_<name>`; `last_value`, `last_ts` and `end_columns`
+    fact, NULL when the window is empty), `<w>_before` (the last value before it) and `<w>_<name>`; `last_value`, `last_ts` and `end_columns`
     describe the latest fact at or before the decision. The decision's own columns identify it.
     """
     own = decisions.columns
     line = Timeline.of(keys, [ts, *tie], width)
     linked = scan(facts, line, {"__prev": previous(F.struct(F.col(value).alias("v"), F.col(ts).alias("t")))}, hold=True)
     linked = linked.withColumns({"prev_value": F.col("__prev.v"), "prev_ts": F.col("__prev.t")})
-    names = [*sums, *links]
-    linked = linked.withColumns(
-        {
-            **{f"__x_{n}": c.cast("double") for n, c in sums.items()},
-            **{f"__x_{n}": F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in links.items()},
-        }
-    )
-    head = F.struct(F.col(value).alias("v"), F.col(ts).alias("t"), *[F.col(f"__x_{n}").alias(n) for n in links])
-    # Differences of running sums leave rounding dust; exact counts of non-zero terms tell a true zero.
-    linked = linked.withColumn("__head", head)
-    cumulated = settle(
-        scan(
-            linked,
-            line,
-            {
-                **{f"__c_{n}": running_sum(F.col(f"__x_{n}")) for n in names},
-                **{f"__k_{n}": running_count(F.col(f"__x_{n}") != 0) for n in names},
-                "__next": following(F.col("__head")),
-                "__opening": whole_first(F.col("__head")),
-            },
-        ).select(
-            *keys, F.col(ts).alias("__at"), *tie, F.col(value).alias("__v"), *[f"__{x}_{n}" for n in names for x in "ck"],
-            "__next", "__opening", *end_columns,
-        )
-    )
+    linked = linked.withColumns({f"__x_{n}": F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in {**sums, **links}.items()})
+    chunks = {w: max(int(span), 1) for w, span in windows.items()}
+    # One chunk length that all windows' chunks divide, so that a single shuffle serves them all.
+    coarse = math.lcm(*chunks.values())
+    linked = linked.withColumn("__coarse", floor_div(ts, coarse)).repartition(*keys, "__coarse")
+    ends_in, starts_in = [], []
+    for w, length in chunks.items():
+        here = Window.partitionBy(*keys, "__coarse", floor_div(ts, length)).orderBy(ts, *tie)
+        upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        onward = here.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        later = here.rowsBetween(1, Window.unboundedFollowing)
+        inner = floor_div("prev_ts", length) == floor_div(ts, length)
+        for n in [*sums, *links]:
+            ends_in.append(F.sum(f"__x_{n}").over(upto).alias(f"__{w}_upto_{n}"))
+            if n in links:
+                # The first fact of a chunk reaches back over its edge.
+                ends_in.append(F.sum(F.when(inner, F.col(f"__x_{n}")).otherwise(0.0)).over(upto).alias(f"__{w}_inner_{n}"))
+            starts_in.append(F.coalesce(F.sum(f"__x_{n}").over(later if n in links else onward), F.lit(0.0)).alias(f"{w}_{n}"))
+    kept = [c.alias(n) for c, n in ((F.col(x), x) for x in dict.fromkeys([*keys, ts, *tie, value, *end_columns]))]
+    head = F.struct(F.col(value).alias("v"), F.col(ts).alias("t"), *starts_in)
+    facts_at = settle(linked.select(*kept, *ends_in, head.alias("__head")))
+    carried = ["__v", *(c for c in facts_at.columns if c.startswith("__") and c != "__head"), "__next", "__opening", *end_columns]
+    placed = scan(facts_at, line, {"__next": following(F.col("__head")), "__opening": whole_first(F.col("__head"))})
+    placed = placed.withColumns({"__at": F.col(ts), "__v": F.col(value)})
+    placed = settle(placed.select(*dict.fromkeys([*keys, "__at", *tie, *carried])))
     offsets = F.array(
         F.struct(F.lit("").alias("w"), F.lit(0).cast("bigint").alias("back")),
         *[F.struct(F.lit(w).alias("w"), F.lit(int(s) + 1).cast("bigint").alias("back")) for w, s in windows.items()],
@@ -102,26 +104,26 @@ def trailing_at(
     probes = decisions.withColumn("__p", F.explode(offsets)).select(
         *own, F.col("__p.w").alias("__w"), (F.col(decision_ts) - F.col("__p.back")).alias("__probe_ts")
     )
-    carried = ["__v", *[f"__{x}_{n}" for n in names for x in "ck"], "__next", "__opening", *end_columns]
-    hits = asof_backward(probes, cumulated, list(keys), "__probe_ts", "__at", carried, width, right_tie=tie)
-    state = F.struct("__at", *carried)
-    at = lambda w: F.max_by(state, F.when((F.col("__w") == w) & F.col("__at").isNotNull(), F.lit(1)))
-    ends = hits.groupBy(*own).agg(at("").alias("__e"), *[at(w).alias(f"__w_{w}") for w in windows])
+    hits = asof_backward(probes, placed, list(keys), "__probe_ts", "__at", carried, width, right_tie=tie)
+    at = lambda w, *names: F.max_by(F.struct(*names), F.when((F.col("__w") == w) & F.col("__at").isNotNull(), F.lit(1)))
+    ends = hits.groupBy(*own).agg(
+        at("", "__at", *carried).alias("__e"), *[at(w, "__v", "__next").alias(f"__w_{w}") for w in windows]
+    )
     e = F.col("__e")
     out = [e["__v"].alias("last_value"), e["__at"].alias("last_ts"), *[e[c].alias(c) for c in end_columns]]
     for w, span in windows.items():
         cut = F.col(f"__w_{w}")
         first = F.when(cut.isNotNull(), cut["__next"]).otherwise(e["__opening"])
         filled = e.isNotNull() & (e["__at"] >= F.col(decision_ts) - F.lit(int(span)))
+        now = floor_div(decision_ts, chunks[w])
+        early, reached = floor_div(first["t"], chunks[w]) < now, floor_div(e["__at"], chunks[w]) == now
         out.append(F.when(filled, first["v"]).alias(f"{w}_first"))
         out.append(F.when(filled, first["t"]).alias(f"{w}_first_ts"))
-        for n in names:
-            amount = e[f"__c_{n}"] - F.coalesce(cut[f"__c_{n}"], F.lit(0.0))
-            terms = e[f"__k_{n}"] - F.coalesce(cut[f"__k_{n}"], F.lit(0))
-            if n in links:
-                amount = amount - first[n]
-                terms = terms - F.when(first[n] != 0, 1).otherwise(0)
-            out.append(F.when(filled, F.when(terms > 0, amount).otherwise(0.0)).alias(f"{w}_{n}"))
+        out.append(cut["__v"].alias(f"{w}_before"))
+        for n in [*sums, *links]:
+            alone = e[f"__{w}_inner_{n}"] if n in links else e[f"__{w}_upto_{n}"]
+            both = first[f"{w}_{n}"] + F.when(reached, e[f"__{w}_upto_{n}"]).otherwise(0.0)
+            out.append(F.when(filled, F.when(early, both).otherwise(alone)).alias(f"{w}_{n}"))
     return ends.select(*own, *out)
 
 
@@ -512,36 +514,22 @@ def bucket_features(
     """Momentum, volume over (s - seconds, s] and deviation of per-second changes, at observed seconds.
 
     Prices carry forward, so a second without ticks changes nothing: the sums over the changes of
-    observed seconds are the sums over all seconds, and each needs two as-of probes only.
+    observed seconds are the sums over all seconds.
     """
-    line = Timeline.of(key, "second", width)
-    stepped = scan(buckets, line, {"__was": previous(F.col("price"))}, hold=True)
+    stepped = scan(buckets, Timeline.of(key, "second", width), {"__was": previous(F.col("price"))})
     step = F.coalesce(F.col("price") - F.col("__was"), F.lit(0.0))
-    summed = settle(
-        scan(
-            stepped,
-            line,
-            {
-                "__d": running_sum(step),
-                "__d2": running_sum(step * step),
-                "__v": running_sum(F.col("volume").cast("double")),
-            },
-        )
-    )
-    probe = summed.withColumn("__back", F.col("second") - F.lit(seconds))
-    facts = summed.select(
-        key, F.col("second").alias("__s"), F.col("price").alias("__p0"), F.col("__d").alias("__d0"),
-        F.col("__d2").alias("__d20"), F.col("__v").alias("__v0"),
+    both = trailing_at(
+        buckets.select(key, "second", "price"), stepped, keys=[key], decision_ts="second", ts="second", tie=[], value="price",
+        sums={"d": step, "d2": step * step, "volume": F.col("volume")}, links={}, windows={"w": seconds - 1}, width=width,
     )
-    both = asof_backward(probe, facts, key, "__back", "__s", ["__p0", "__d0", "__d20", "__v0"], width)
     n = F.lit(float(seconds))
-    mean = (F.col("__d") - F.col("__d0")) / n
-    var = (F.col("__d2") - F.col("__d20")) / n - mean * mean
+    mean = F.col("w_d") / n
+    var = F.col("w_d2") / n - mean * mean
     return both.select(
         key, "second", "price",
-        (F.col("price") - F.col("__p0")).alias("momentum"),
-        (F.col("__v") - F.coalesce("__v0", F.lit(0.0))).alias("volume_window"),
-        F.when(F.col("__p0").isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0)))).alias("volatility"),
+        (F.col("price") - F.col("w_before")).alias("momentum"),
+        F.col("w_volume").alias("volume_window"),
+        F.when(F.col("w_before").isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0)))).alias("volatility"),
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddsloom.functions.integers import floor_div
 from oddsloom.operators.timeline import (
     Timeline,
     before,
@@ -27,6 +28,8 @@ from oddsloom.session import settle
 
 OPEN = 1e-12
 YEAR_S = 365.25 * 24 * 3600
+#: Positions of a key in one task of a rolling window.
+SHARPE_ROWS = 100_000
 
 
 def signed_quantity(action="action", side="side", quantity="quantity") -> Column:
@@ -594,47 +597,53 @@ def rolling_sharpe(
 ) -> DataFrame:
     """Rolling Sharpe over clamp(n/20, 20, 500) returns, annualised by the median spacing.
 
-    The window length comes from the data, so the frame is the difference of two prefix sums: a
-    point is joined to the one `window` positions earlier.
+    Positions are cut into blocks of one window length; a window is the end of one block and the
+    start of the next, so its sums hold its own returns only. Tasks take some 100,000 positions
+    each and the block before them, however many rows a key has.
     """
     ts = order[0]
     line = Timeline.of(key, order, width)
     base = scan(
-        series, line, {"__was": previous(F.struct(F.col(value).alias("v"), F.col(ts).alias("t")))}, hold=True
-    )
-    base = base.withColumns(
-        {
-            "__r": F.when(F.col("__was.v") != 0, F.col(value) / F.col("__was.v") - 1),
-            "__gap": (F.col(ts) - F.col("__was.t")).cast("double"),
-        }
-    )
-    r = F.coalesce("__r", F.lit(0.0))
-    placed = scan(
-        base,
-        line,
+        series, line,
         {
-            "__pos": before(running_count()),
-            "__s": running_sum(r),
-            "__q": running_sum(r * r),
-            "__bad": running_count(F.col("__r").isNull()),
+            "__was": previous(F.struct(F.col(value).alias("v"), F.col(ts).alias("t"))), "__pos": before(running_count()),
             "__n": whole_sum(F.lit(1).cast("bigint")),
         },
-    ).filter("__n >= 60")
-    placed = placed.withColumn(
+    )
+    base = settle(base.select(
+        key, *order, "__pos", "__n", F.when(F.col("__was.v") != 0, F.col(value) / F.col("__was.v") - 1).alias("__r"),
+        (F.col(ts) - F.col("__was.t")).cast("double").alias("__gap"),
+    ))
+    w = F.col("window")
+    placed = base.filter("__n >= 60").withColumn(
         "window", F.greatest(F.lit(20), F.least(F.lit(500), F.floor(F.col("__n") / 20))).cast("bigint")
     )
+    placed = placed.withColumn("__size", w * F.ceil(F.lit(SHARPE_ROWS) / w))
+    placed = placed.withColumn("__home", floor_div("__pos", F.col("__size")))
+    lent = F.col("__pos") % F.col("__size") >= F.col("__size") - w
+    both = F.when(lent, F.array("__home", F.col("__home") + 1)).otherwise(F.array("__home"))
+    spread = placed.withColumn("__task", F.explode(both)).repartition(key, "__task")
+    spread = spread.withColumns({"__block": floor_div("__pos", w), "__slot": F.col("__pos") % w})
+    inside = Window.partitionBy(key, "__task", "__block").orderBy("__pos")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = inside.rowsBetween(1, Window.unboundedFollowing)
+    r = F.coalesce("__r", F.lit(0.0))
+    terms = {"s": r, "q": r * r, "bad": F.when(F.col("__r").isNull(), 1.0).otherwise(0.0)}
+    parts = {f"__{x}_{n}": F.coalesce(F.sum(c).over(f), F.lit(0.0)) for n, c in terms.items() for x, f in (("upto", upto), ("later", later))}
+    spread = spread.withColumns(parts)
+    # The rest of the window: the block before, from the slot after this row's on.
+    same_slot = Window.partitionBy(key, "__task", "__slot").orderBy("__block")
+    rest = F.lag(F.struct(*[F.col(f"__later_{n}").alias(n) for n in terms])).over(same_slot)
+    met = spread.withColumn("__rest", rest).filter("__task = __home")
+    # A window that ends its block lies in it alone; the first ones have no block before them.
+    ready = F.col("__pos") >= w
+    total = {n: F.col(f"__upto_{n}") + F.coalesce(F.col(f"__rest.{n}"), F.lit(0.0)) for n in terms}
+    mean = total["s"] / w
+    var = (total["q"] - w * mean * mean) / (w - 1)
+    full = ready & (total["bad"] == 0)
     spacing = quantiles(base, [key], "__gap", {"__median": 0.5}, median_width)
-    early = placed.select(
-        key, (F.col("__pos") + F.col("window")).alias("__pos"), F.col("__s").alias("__s0"),
-        F.col("__q").alias("__q0"), F.col("__bad").alias("__bad0"),
-    )
-    both = placed.join(early, [key, "__pos"], "left").join(spacing, key, "left")
-    w = F.col("window")
-    mean = (F.col("__s") - F.col("__s0")) / w
-    var = (F.col("__q") - F.col("__q0") - w * mean * mean) / (w - 1)
-    full = F.col("__bad") == F.col("__bad0")
     year = F.greatest(F.lit(1.0), F.lit(YEAR_S) / (F.col("__median") / F.lit(ts_per_second)))
-    return both.select(
+    return met.join(spacing, key, "left").select(
         key, *order, "window", F.when(full & (var > 1e-18), mean / F.sqrt(var) * F.sqrt(year)).alias("sharpe")
     )
 
