@@ -116,12 +116,13 @@ def calibration_bins(df: DataFrame, *, p: str, y: str, edges: Sequence[float] =
 
 
 def calibration_line(
-    df: DataFrame, *, p: str, y: str, weight: str | None = None, ridge: float = 0.0, iterations: int = 25
+    df: DataFrame, *, p: str, y: str, weight: str | None = None, ridge: float = 0.0, iterations: int = 100
 ) -> DataFrame:
     """Intercept and slope of a logistic fit on the forecast's logit; NULL with one class only.
 
     Newton steps on two parameters: each iteration brings five sums to the driver. Rows are first
     summed per distinct forecast. `ridge` penalises the slope (1/C of the usual parameterisation).
+    Raises ArithmeticError if the steps do not settle, as on forecasts that part the classes.
     """
     w = F.col(weight) if weight else F.lit(1.0)
     data = settle(
@@ -147,8 +148,10 @@ def calibration_line(
             return spark.createDataFrame([(None, None)], schema)
         da, db = (h11 * s.g0 - s.h01 * g1) / det, (s.h00 * g1 - s.h01 * s.g0) / det
         a, b = a + da, b + db
-        if abs(da) + abs(db) < 1e-12:
+        if abs(da) + abs(db) < 1e-12 * (1 + abs(a) + abs(b)):
             break
+    else:
+        raise ArithmeticError(f"the fit did not settle in {iterations} steps: intercept {a}, slope {b}")
     return spark.createDataFrame([(float(a), float(b))], schema)
 
 

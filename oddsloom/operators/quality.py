@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from oddsloom.operators.timeline import (
     Timeline,
@@ -18,7 +20,8 @@ from oddsloom.operators.timeline import (
 )
 from oddsloom.session import NANOS, settle
 
-MAX_SEEN = 100_000
+#: Passes over all keys before keys that still change are replayed event by event.
+ROUNDS = 6
 MAX_DELAY_NS = NANOS
 
 
@@ -37,19 +40,21 @@ def quality_gate(
     source_ts: str,
     receive_ts: str,
     width: int,
-    max_seen: int = MAX_SEEN,
+    max_seen: int | None = None,
     max_delay_ns: int = MAX_DELAY_NS,
-    max_rounds: int = 50,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """`status` (accepted, duplicate, out_of_order), `epoch_id` and `stale` of every event.
 
     In arrival order: a repeat of an identifier accepted in the current epoch (among the last
-    `max_seen` accepted) is a duplicate; an event available before the last accepted one is out of
+    `max_seen` accepted, if given) is a duplicate; an event available before the last accepted one is out of
     order and opens the next epoch; anything else is accepted.
 
     Duplicates depend on epochs and epochs on duplicates, so the job guesses the duplicates, derives
     everything else with scans, and repeats until the guess reproduces itself. As each row's status
-    follows from earlier rows only, such a fixed point is the sequential answer.
+    follows from earlier rows only, such a fixed point is the sequential answer. It may be many rounds
+    away where few identifiers repeat and times fall back often: keys that still change after
+    `rounds` passes are replayed in order, one task per key holding its epoch's identifiers.
     """
     keys = list(keys)
     line = Timeline.of(keys, [pos], width)
@@ -58,7 +63,7 @@ def quality_gate(
     rows = settle(
         scan(events, same, {"__seen": before(running_count())}).withColumn("__dup", F.col("__seen") > 0).drop("__seen")
     )
-    for _ in range(max_rounds):
+    for _ in range(max(1, rounds)):
         live = ~F.col("__dup")
         step = scan(
             rows,
@@ -82,14 +87,20 @@ def quality_gate(
         )
         again = Timeline.of([*keys, identifier, "__epoch"], [pos], width)
         step = scan(step, again, {"__kept": before(latest(F.when(accepted, F.col("__acc"))))})
-        dup = F.col("__kept").isNotNull() & (F.col("__acc") - F.col("__kept") - 1 < max_seen)
+        dup = F.col("__kept").isNotNull()
+        if max_seen is not None:
+            dup = dup & (F.col("__acc") - F.col("__kept") - 1 < max_seen)
         step = settle(step.withColumn("__dup2", F.coalesce(dup, F.lit(False))))
         if step.filter("__dup <> __dup2").limit(1).count() == 0:
             break
         rows = step.select(*columns, F.col("__dup2").alias("__dup"))
-    else:
-        raise RuntimeError("the gate did not settle")
-    status = F.when(F.col("__dup"), "duplicate").when(F.col("__ooo"), "out_of_order").otherwise("accepted")
+    told = ["__dup2", "__ooo", "__epoch"]
+    moving = step.filter("__dup <> __dup2").select(*keys).distinct()
+    done = step.join(moving, keys, "left_anti").select(*columns, *told)
+    # The replay hands an event's own epoch back; `__epoch` counts the falls before it.
+    again = _replay(step.join(moving, keys, "left_semi").select(*columns), keys, pos, identifier, available, max_seen)
+    step = done.unionByName(again)
+    status = F.when(F.col("__dup2"), "duplicate").when(F.col("__ooo"), "out_of_order").otherwise("accepted")
     epoch = F.col("__epoch") + F.when(F.col("__ooo"), 1).otherwise(0)
     return step.select(
         *columns,
@@ -99,6 +110,33 @@ def quality_gate(
     )
 
 
+def _replay(events: DataFrame, keys: list[str], pos: str, identifier: str, available: str, max_seen: int | None) -> DataFrame:
+    """`__dup2`, `__ooo` and `__epoch` of each event, by going through every key in order."""
+    schema = StructType([*events.schema, *(StructField(n, BooleanType()) for n in ("__dup2", "__ooo")), StructField("__epoch", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, seen, last, epoch = None, {}, None, 0
+        for batch in batches:
+            rows = []
+            for *key, ident, at in zip(*(batch.column(c).to_pylist() for c in (*keys, identifier, available)), strict=True):
+                if key != here:
+                    here, seen, last, epoch = key, {}, None, 0
+                # Identifiers are kept in order of acceptance.
+                known = ident in seen
+                fell = not known and last is not None and at is not None and at < last
+                rows.append((known, fell, epoch))
+                if fell:
+                    seen, last, epoch = {}, None, epoch + 1
+                elif not known:
+                    seen[ident], last = None, at
+                    if max_seen is not None and len(seen) > max_seen:
+                        del seen[next(iter(seen))]
+            names = [*batch.schema.names, "__dup2", "__ooo", "__epoch"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.bool_(), pa.bool_(), pa.int64())))], names=names)
+
+    return events.repartition(*keys).sortWithinPartitions(*keys, pos).mapInArrow(run, schema)
+
+
 def quality_counters(gated: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     """Totals per stream: accepted, duplicate, out of order, stale, epochs."""
     return gated.groupBy(*keys).agg(

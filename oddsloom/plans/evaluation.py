@@ -245,13 +245,13 @@ drawn AS (
     "A22",
     f"""WITH {CANDIDATES}, priced AS (SELECT *, outcome - entry_price AS pnl FROM candidates),
     daily AS (SELECT regime AS g, decision_ts // {DAY_NS} AS day, sum(pnl) AS s, count(*) AS n FROM priced WHERE regime IS NOT NULL GROUP BY 1, 2),
-    {DRAWS.format(b=200, seed=17)},
+    {DRAWS.format(b=1000, seed=17)},
     means AS (SELECT g, b, sum(s) / sum(n) AS m FROM drawn GROUP BY 1, 2)
     SELECT g AS regime, round(quantile_cont(m, 0.025), 6) AS ci95_lower, round(quantile_cont(m, 0.975), 6) AS ci95_upper FROM means GROUP BY 1""",
 )
 def _bootstrap(t: Tables):
     rows = candidates(t).filter("regime IS NOT NULL")
-    out = ev.bootstrap_mean_ci(rows, value="pnl_per_share", ts="decision_ts", by=["regime"], iterations=200)
+    out = ev.bootstrap_mean_ci(rows, value="pnl_per_share", ts="decision_ts", by=["regime"])
     return rounded(out, 6)
 
 
@@ -289,7 +289,7 @@ def _pairs(t: Tables):
     f"""WITH {PAIRS.format(day=DAY_NS)},
     loss AS (SELECT *, -(y * ln(p_b) + (1 - y) * ln(1 - p_b)) + (y * ln(p_c) + (1 - y) * ln(1 - p_c)) AS ll, (y - p_b) ** 2 - (y - p_c) ** 2 AS br FROM pairs),
     daily AS (SELECT 0 AS g, ts // {DAY_NS} AS day, sum(w) AS w, sum(w * ll) AS ll, sum(w * br) AS br FROM loss GROUP BY 1, 2),
-    {DRAWS.format(b=300, seed=17)},
+    {DRAWS.format(b=2000, seed=17)},
     boot AS (SELECT b, sum(ll) / sum(w) AS l, sum(br) / sum(w) AS r FROM drawn GROUP BY 1),
     ci AS (SELECT quantile_cont(l, 0.025) AS l0, quantile_cont(l, 0.975) AS l1, quantile_cont(r, 0.025) AS r0, quantile_cont(r, 0.975) AS r1 FROM boot)
     SELECT round(sum(ll) / sum(w), 6) AS log_loss_improvement, round(sum(br) / sum(w), 6) AS brier_improvement, count(*) AS days,
@@ -297,15 +297,15 @@ def _pairs(t: Tables):
     FROM daily, ci""",
 )
 def _paired(t: Tables):
-    return rounded(ev.paired_bootstrap(paired_rows(t), y="y", weight="w", ts="ts", iterations=300), 6)
+    return rounded(ev.paired_bootstrap(paired_rows(t), y="y", weight="w", ts="ts", iterations=2_000), 6)
 
 
 def _sweep_sql(by: str) -> str:
     return f"""laddered AS (SELECT c.*, t.threshold FROM candidates c, (SELECT CAST(unnest([0.0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.075, 0.10]) AS DOUBLE) AS threshold) t WHERE regime IS NOT NULL),
     {persistent_sql("laddered", "predicted_edge >= threshold", by=f"{by}, threshold, market", signals=1)},
-    m AS (SELECT {by}, threshold, {METRICS}, count(*) / 4500 AS market_coverage FROM chosen GROUP BY {by}, threshold),
+    m AS (SELECT {by}, threshold, {METRICS}, count(*) / (SELECT count(DISTINCT market) FROM candidates WHERE regime IS NOT NULL) AS market_coverage FROM chosen GROUP BY {by}, threshold),
     daily AS (SELECT {by} || ':' || threshold AS g, decision_ts // {DAY_NS} AS day, sum(pnl_per_share) AS s, count(*) AS n FROM chosen GROUP BY 1, 2),
-    {DRAWS.format(b=100, seed=17)},
+    {DRAWS.format(b=1000, seed=17)},
     means AS (SELECT g, b, sum(s) / sum(n) AS mean FROM drawn GROUP BY 1, 2),
     ci AS (SELECT g, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM means GROUP BY 1),
     sweep AS (SELECT m.*, round(ci.lo, 6) AS ci95_lower, round(ci.hi, 6) AS ci95_upper FROM m JOIN ci ON ci.g = m.{by} || ':' || m.threshold)"""
@@ -315,9 +315,10 @@ def sweep(t: Tables):
     rows = candidates(t).filter("regime IS NOT NULL").select(
         "market", "decision_ts", "side", "entry_price", "predicted_edge", "outcome", "pnl_per_share", "regime", "event_id"
     )
+    rows = settle(rows)
     return ev.threshold_sweep(
-        settle(rows), market="market", ts="decision_ts", requested_markets=4500, signals=1, max_gap=8 * HOUR,
-        width=TICK_CHUNK, by=["regime"], iterations=100,
+        rows, market="market", ts="decision_ts", requested_markets=rows.select("market").distinct().count(), signals=1,
+        max_gap=8 * HOUR, width=TICK_CHUNK, by=["regime"],
     )
 
 

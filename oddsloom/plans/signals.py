@@ -243,7 +243,7 @@ def _rsi(t: Tables):
 
 
 LADDER = f"""{TICKS},
-books AS (SELECT event_id, user_id, ts_ns, size AS k, floor(price * 100) / 100 AS p FROM ticks WHERE price > 0.1 AND price < 0.9),
+books AS (SELECT event_id, user_id, ts_ns, size AS k, floor(price * 100) / 100 AS p FROM ticks),
 lv AS (SELECT *, [{{'price': p - 0.01, 'size': CAST(k % 7 + 1 AS DOUBLE)}}, {{'price': p - 0.02, 'size': CAST(k % 5 + 1 AS DOUBLE)}}] AS bids,
               [{{'price': p + 0.01, 'size': CAST(k % 4 + 1 AS DOUBLE)}}, {{'price': p + 0.02, 'size': CAST(k % 3 + 1 AS DOUBLE)}}] AS asks FROM books)"""
 
@@ -251,7 +251,7 @@ lv AS (SELECT *, [{{'price': p - 0.01, 'size': CAST(k % 7 + 1 AS DOUBLE)}}, {{'p
 def ladder(t: Tables):
     k, p = F.col("size"), (F.floor(F.col("price") * 100) / 100)
     lvl = lambda price, size: F.struct(price.alias("price"), size.cast("double").alias("size"))
-    return t.ticks.filter("price > 0.1 AND price < 0.9").select(
+    return t.ticks.select(
         "event_id", "user_id", "ts_ns",
         F.array(lvl(p - 0.01, k % 7 + 1), lvl(p - 0.02, k % 5 + 1)).alias("bids"),
         F.array(lvl(p + 0.01, k % 4 + 1), lvl(p + 0.02, k % 3 + 1)).alias("asks"),
@@ -312,7 +312,7 @@ def _arbitrage(t: Tables):
     "passive_ladder",
     "F12",
     f"""WITH {TICKS},
-    b AS (SELECT event_id, (size + 0.5) / 100 AS p_up, 0.5 AS mid, floor(price * 100) / 100 AS p FROM ticks WHERE price > 0.1 AND price < 0.9),
+    b AS (SELECT event_id, (size + 0.5) / 100 AS p_up, 0.5 AS mid, floor(price * 100) / 100 AS p FROM ticks),
     s AS (SELECT event_id, 'up' AS side, p_up AS fair, CAST(mid AS DOUBLE) AS market, p - 0.02 AS bid, p + 0.02 AS ask FROM b
           UNION ALL SELECT event_id, 'down', 1 - p_up, CAST(1 - mid AS DOUBLE), 1 - p - 0.02, 1 - p + 0.02 FROM b),
     l AS (SELECT s.*, o, round(floor((bid - o * 0.01 + 1e-12) / 0.01) * 0.01, 12) AS price, CASE o WHEN 0 THEN 50.0 WHEN 1 THEN 30.0 ELSE 20.0 END AS size FROM s, (SELECT unnest([0, 1, 3]) AS o)),
@@ -323,7 +323,7 @@ def _arbitrage(t: Tables):
 )
 def _passive(t: Tables):
     p = (F.floor(F.col("price") * 100) / 100)
-    rows = t.ticks.filter("price > 0.1 AND price < 0.9").select(
+    rows = t.ticks.select(
         "event_id", ((F.col("size") + 0.5) / 100).alias("p_up"), F.lit(0.5).alias("mid"), F.lit(0.01).alias("tick"),
         (p - 0.02).alias("up_bid"), (p + 0.02).alias("up_ask"), (1 - p - 0.02).alias("down_bid"), (1 - p + 0.02).alias("down_ask"),
     )

@@ -13,6 +13,8 @@ from oddsloom.streaming import gate
 from oddsloom.streaming import run as st
 
 HOUR = 3_600_000_000_000
+# Accepted identifiers the gate remembers (a fixed value; the operators themselves forget none).
+GATE_MEMORY = 100_000
 
 # Availability jitters back, identifiers repeat now and then, receipts are sometimes late.
 GATE_SQL = f"""WITH RECURSIVE {TICKS},
@@ -58,14 +60,14 @@ def stream_ticks(t: Tables):
 def _gate(t: Tables):
     out = ql.quality_gate(
         gate_events(t.ticks), keys=["user_id"], pos="pos", identifier="identifier", available="available_ts",
-        source_ts="source_ts", receive_ts="receive_ts", width=5_000,
+        source_ts="source_ts", receive_ts="receive_ts", width=5_000, max_seen=GATE_MEMORY,
     )
     return out.select("user_id", "pos", "status", "epoch_id", "stale")
 
 
 @query("stream_quality_gate", "T1 T2", GATE_ROWS)
 def _stream_gate(t: Tables):
-    return st.drain(st.process(gate_events(stream_ticks(t)), ["user_id"], gate.QualityGate()))
+    return st.drain(st.process(gate_events(stream_ticks(t)), ["user_id"], gate.QualityGate(max_seen=GATE_MEMORY)))
 
 
 @query(

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddsloom.functions.integers import floor_div
-from oddsloom.session import DAY_NS, HOUR_NS
+from oddsloom.session import DAY_NS, HOUR_NS, settle
 
 L2_EVENTS = ("book", "price_change", "last_trade_price")
 
@@ -239,16 +239,19 @@ def read_catalog_json(spark: SparkSession, path: str, schema: T.StructType) -> D
 
 
 def group_stride(df: DataFrame, *, group: str, stride: int, order: str | None = None) -> DataFrame:
-    """Every stride-th group, whole. Groups are numbered over one row per group; the first is kept."""
-    from oddsloom.operators.timeline import Timeline, number
-
-    lead = order or group
-    groups = df.groupBy(group).agg(F.min(lead).alias("__lead")).withColumn("__all", F.lit(0))
-    numeric = dict(groups.dtypes)["__lead"] in ("bigint", "int", "double")
-    line = Timeline.of("__all", ["__lead", group], 100 * DAY_NS if numeric and order else None,
-                       None if numeric and order else F.substring(F.col(group).cast("string"), 1, 2))
-    kept = number(groups, line, "__i").filter(F.col("__i") % stride == 0).select(group)
-    return df.join(kept, group, "left_semi")
+    """Every stride-th group, whole, in order of its least `order` value, then name. The first is kept.
+
+    Groups are dealt out in ranges of that order and written; a group's number is its place in its
+    range behind the sizes of the ranges before, one count per range."""
+    lead = F.min(order or group).alias("__lead")
+    ranged = df.groupBy(group).agg(lead).repartitionByRange("__lead", group).withColumn("__part", F.spark_partition_id())
+    groups = settle(ranged)
+    sizes = groups.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__ahead"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy("__lead", group)) - 1
+    kept = groups.withColumn("__i", place).join(F.broadcast(ahead), "__part").filter((F.col("__i") + F.col("__ahead")) % stride == 0)
+    kept = kept.select(F.col(group).alias("__group"))
+    return df.join(kept, df[group].eqNullSafe(kept["__group"]), "left_semi")
 
 
 READERS = {

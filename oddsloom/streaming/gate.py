@@ -18,13 +18,13 @@ def _ordered(rows: Iterator[pd.DataFrame], pos: str) -> pd.DataFrame:
 
 
 class QualityGate(StatefulProcessor):
-    """Duplicate, out-of-order and staleness marks with epochs; the last `max_seen` ids are kept."""
+    """Duplicate, out-of-order and staleness marks with epochs; all ids of an epoch, or the last `max_seen`, are kept."""
 
     schema = (
         "user_id bigint, pos bigint, status string, epoch_id bigint, stale boolean"
     )
 
-    def __init__(self, max_seen: int = 100_000, max_delay_ns: int = 1_000_000_000):
+    def __init__(self, max_seen: int | None = None, max_delay_ns: int = 1_000_000_000):
         self.max_seen = max_seen
         self.max_delay_ns = max_delay_ns
 
@@ -53,7 +53,7 @@ class QualityGate(StatefulProcessor):
             self.seen.updateValue((ident,), (nxt,))
             self.slots.updateValue((nxt,), (ident,))
             nxt += 1
-            if nxt - first > self.max_seen:
+            if self.max_seen is not None and nxt - first > self.max_seen:
                 self.seen.removeKey(self.slots.getValue((first,)))
                 self.slots.removeKey((first,))
                 first += 1
@@ -70,14 +70,14 @@ class DepthSync(StatefulProcessor):
     """Buffers depth updates until a snapshot proves continuity, then applies contiguous ones.
 
     Rows: `kind` (snapshot, delta), ids `first_id`, `final_id`, and level arrays `bids`, `asks` of
-    (price, size); size 0 removes a level. Emits a status and, when applied, the top of book.
+    (price, size); size 0 removes a level. With `max_buffered`, a longer wait drops what was held. Emits a status and, when applied, the top of book.
     """
 
     schema = (
         "user_id bigint, pos bigint, status string, last_id bigint, bid double, ask double, bid_size double, ask_size double"
     )
 
-    def __init__(self, max_buffered: int = 10_000):
+    def __init__(self, max_buffered: int | None = None):
         self.max_buffered = max_buffered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -138,7 +138,7 @@ class DepthSync(StatefulProcessor):
                 else:
                     buffered.append(item)
                     status = "awaiting_snapshot"
-                    if len(buffered) > self.max_buffered:
+                    if self.max_buffered is not None and len(buffered) > self.max_buffered:
                         buffered, status = [], "gap"
                 emit(row.pos, status)
                 continue
