@@ -15,7 +15,8 @@ HOUR = 3_600_000_000_000
 
 # ---------------------------------------------------------------- trailing trade windows
 
-TRADE_WINDOWS = {"6h": 6 * HOUR, "1d": DAY_NS, "5d": 5 * DAY_NS}
+# Hours stand in for seconds.
+TRADE_WINDOWS = {f"{n}h": n * HOUR for n in ft.TRADE_WINDOWS_S}
 
 
 def trade_rows(t: Tables):
@@ -52,7 +53,7 @@ decisions AS (
     "W1",
     f"""WITH {TRADE_SQL}
     SELECT d.user_id, d.event_id, d.ts_ns, {_window_sql(TRADE_WINDOWS)}
-    FROM decisions d LEFT JOIN trades t ON t.user_id = d.user_id AND t.ts_ns <= d.ts_ns AND t.ts_ns >= d.ts_ns - {5 * DAY_NS}
+    FROM decisions d LEFT JOIN trades t ON t.user_id = d.user_id AND t.ts_ns <= d.ts_ns AND t.ts_ns >= d.ts_ns - {max(TRADE_WINDOWS.values())}
     GROUP BY 1, 2, 3""",
 )
 def _trailing(t: Tables):
@@ -126,6 +127,7 @@ def _kline_sql() -> str:
         parts.append(
             f"round(ln(max(e.last_close) / arg_min(k.close, k.available_ts) FILTER (WHERE {inside})), 6) AS return_{w}, "
             f"round(CASE WHEN count(k.close) FILTER (WHERE {inside}) > 0 THEN sqrt(sum(CASE WHEN {inside} AND k.prev_ts >= e.decision_ts - {span} THEN k.r2 ELSE 0 END)) END, 6) AS rv_{w}, "
+            f"CASE WHEN count(k.close) FILTER (WHERE {inside}) > 0 THEN sqrt(sum(CASE WHEN {inside} AND k.prev_ts >= e.decision_ts - {span} THEN k.r2 ELSE 0 END)) END AS rv_{w}_exact, "
             f"round(coalesce((2 * sum(k.taker) FILTER (WHERE {inside}) - {vol}) / {vol}, 0), 6) AS flow_{w}, "
             f"round({vol}, 6) AS volume_{w}, round(max(e.last_close) / (sum(k.quote_volume) FILTER (WHERE {inside}) / {vol}) - 1, 6) AS vwap_distance_{w}"
         )
@@ -151,7 +153,7 @@ def kline_features(t: Tables):
 @query(
     "kline_features",
     "W2 W3 J12",
-    f"WITH {KLINE_FEATURES} SELECT * EXCLUDE (last_close, symbol, t0, offset_ns, resolution) FROM features",
+    f"WITH {KLINE_FEATURES} SELECT * EXCLUDE (last_close, symbol, t0, offset_ns, resolution, {', '.join(f'rv_{w}_exact' for w in KLINE_WINDOWS)}) FROM features",
 )
 def _kline_features(t: Tables):
     out = kline_features(t)
@@ -201,10 +203,10 @@ def _exclusions(t: Tables):
     "proxy_dataset",
     "F8 F9 F3",
     f"""WITH {PROXY},
-    z AS (SELECT f.*, v.weight, ln(last_close / reference) AS br, rv_12h_raw * sqrt((24 - offset_ns / {HOUR}) * 25 / 300) AS sg
-          FROM (SELECT *, rv_12h AS rv_12h_raw FROM failed) f JOIN verdicts v ON f.market = v.market WHERE v.excluded IS NULL)
+    z AS (SELECT f.*, v.weight, ln(last_close / reference) AS br, rv_12h_exact * sqrt((24 - offset_ns / {HOUR}) * 25 / 300) AS sg
+          FROM failed f JOIN verdicts v ON f.market = v.market WHERE v.excluded IS NULL)
     SELECT market || '@' || decision_ts AS sample_id, market AS group_id, decision_ts, weight, CASE WHEN resolution = 'up' THEN 1 ELSE 0 END AS label,
-           round(br, 5) AS boundary_log_return, round(CASE WHEN sg > 0 THEN least(1 - 1e-6, greatest(1e-6, {normal_cdf_sql("br / sg")})) ELSE 0.5 END, 3) AS p_boundary_up
+           round(br, 9) AS boundary_log_return, round(CASE WHEN sg > 0 THEN least(1 - 1e-6, greatest(1e-6, {normal_cdf_sql("br / sg")})) ELSE 0.5 END, 9) AS p_boundary_up
     FROM z""",
 )
 def _proxy(t: Tables):
@@ -214,7 +216,7 @@ def _proxy(t: Tables):
     out = ds.dataset_rows(snaps, verdicts(snaps), market="market", resolution="resolution")
     return out.select(
         "sample_id", "group_id", "decision_ts", "weight", "label",
-        F.round("boundary_log_return", 5).alias("boundary_log_return"), F.round("p_boundary_up", 3).alias("p_boundary_up"),
+        F.round("boundary_log_return", 9).alias("boundary_log_return"), F.round("p_boundary_up", 9).alias("p_boundary_up"),
     )
 
 
@@ -236,7 +238,10 @@ def _coverage(t: Tables):
 # ---------------------------------------------------------------- probability from two books, full rows
 
 VENUES = ["click", "purchase"]
-FULL_WINDOWS = {"6h": 6 * HOUR, "1d": DAY_NS}
+FULL_WINDOWS = TRADE_WINDOWS
+FULL_RV = "30h"
+# Window columns of both venues.
+FULL_COLUMNS = [f"{v}_{m}_{w}" for v in VENUES for w in FULL_WINDOWS for m in ("return", "rv", "flow")]
 
 
 def full_features(t: Tables):
@@ -263,7 +268,7 @@ def full_features(t: Tables):
     )
     return ft.opening_features(
         decisions, tr, books, refs, key="user_id", venues=VENUES, required=["click"], decision_ts="decision_ts",
-        market_start="t0", ts="ts_ns", tie=["no"], windows_ns=FULL_WINDOWS, rv_window="1d", primary="click", unit_ns=HOUR,
+        market_start="t0", ts="ts_ns", tie=["no"], windows_ns=FULL_WINDOWS, rv_window=FULL_RV, primary="click", unit_ns=HOUR,
         stale_units=24.0, reference_stale_units=100.0, retention_ns=10 * DAY_NS, grid_ns=DAY_NS, width=TICK_CHUNK,
         market_units=24.0,
     )
@@ -300,13 +305,14 @@ def _venue_sql(v: str) -> str:
     opened AS (SELECT d.event_id, arg_max(r.price, (r.ts_ns, r.no)) AS opening FROM dec d JOIN newest n USING (event_id)
                JOIN refs r ON r.user_id = d.user_id AND r.ts_ns <= d.ts_ns AND r.source_ts <= d.t0 AND r.ts_ns >= n.latest_at - {10 * DAY_NS} GROUP BY 1),
     joined AS (
-      SELECT d.event_id, d.user_id, d.ts_ns, d.click_seg, c.*  EXCLUDE (event_id, price, last_at, return_6h, rv_6h, flow_6h, return_1d, rv_1d, flow_1d),
-             c.return_6h AS click_return_6h, c.rv_1d AS click_rv_1d, c.flow_1d AS click_flow_1d, p.return_1d AS purchase_return_1d, p.rv_6h AS purchase_rv_6h, p.flow_6h AS purchase_flow_6h,
-             c.price AS cp, c.last_at AS click_at, p.price AS pp, n.latest, n.latest_at, o.opening,
+      SELECT d.event_id, d.user_id, d.ts_ns, d.click_seg, d.t0, {", ".join(f"{c[0]}.{c.partition('_')[2]} AS {c}" for c in FULL_COLUMNS)},
+             c.price AS cp, c.last_at AS click_at, p.price AS pp, p.last_at AS purchase_at, n.latest, n.latest_at, o.opening,
              CASE WHEN c.price IS NOT NULL AND p.price IS NOT NULL THEN (c.price + p.price) / 2 ELSE coalesce(c.price, p.price) END AS consensus
       FROM dec d LEFT JOIN click_e c ON d.event_id = c.event_id LEFT JOIN purchase_e p ON d.event_id = p.event_id
       LEFT JOIN newest n ON d.event_id = n.event_id LEFT JOIN opened o ON d.event_id = o.event_id)
-    SELECT event_id, click_return_6h, click_rv_1d, click_flow_1d, purchase_return_1d, purchase_rv_6h, purchase_flow_6h, click_seg > 0 AS gap,
+    SELECT event_id, {", ".join(FULL_COLUMNS)}, click_seg > 0 AS gap,
+           round(least(coalesce((ts_ns - click_at) / {HOUR}, 86400), 86400), 6) AS click_trade_age, round(least(coalesce((ts_ns - purchase_at) / {HOUR}, 86400), 86400), 6) AS purchase_trade_age,
+           round((ts_ns - t0) / {HOUR}, 6) AS elapsed, round(greatest(0, 24 - (ts_ns - t0) / {HOUR}), 6) AS remaining,
            round(consensus, 9) AS consensus, round(opening, 9) AS opening_reference, round(latest, 9) AS latest_reference,
            round(CASE WHEN cp IS NOT NULL AND pp IS NOT NULL THEN greatest(abs(cp / consensus - 1), abs(pp / consensus - 1)) * 10000 ELSE 0 END, 6) AS dispersion_bps,
            round(coalesce(CASE WHEN opening IS NOT NULL THEN (consensus / latest - 1) * 10000 END, 0), 6) AS reference_basis_bps,
@@ -314,15 +320,16 @@ def _venue_sql(v: str) -> str:
              CASE WHEN click_at IS NULL THEN 'click_book_unavailable' WHEN (ts_ns - click_at) / {HOUR} > 24 THEN 'click_book_stale' END,
              CASE WHEN click_seg > 0 THEN 'click_gap' END, CASE WHEN opening IS NULL THEN 'reference_unavailable' WHEN (ts_ns - latest_at) / {HOUR} > 100 THEN 'reference_stale' END,
              CASE WHEN consensus IS NULL THEN 'consensus_unavailable' END,
-             CASE WHEN consensus IS NULL OR opening IS NULL OR NOT (click_rv_1d > 0) THEN 'volatility_unavailable' END, CASE WHEN click_seg > 0 THEN 'gap' END) AS quality_flags
+             CASE WHEN consensus IS NULL OR opening IS NULL OR NOT (click_rv_{FULL_RV} > 0) THEN 'volatility_unavailable' END, CASE WHEN click_seg > 0 THEN 'gap' END) AS quality_flags
     FROM joined""",
 )
 def _full(t: Tables):
     out = full_features(t)
-    six = ["click_return_6h", "click_rv_1d", "click_flow_1d", "purchase_return_1d", "purchase_rv_6h", "purchase_flow_6h", "dispersion_bps", "reference_basis_bps"]
+    six = [*FULL_COLUMNS, "dispersion_bps", "reference_basis_bps", "click_trade_age", "purchase_trade_age", "elapsed", "remaining"]
+    nine = ["consensus", "opening_reference", "latest_reference"]
     return out.select(
         "event_id", *[F.round(c, 6).alias(c) for c in six], (F.col("click_gap") > 0).alias("gap"),
-        *[F.round(c, 9).alias(c) for c in ("consensus", "opening_reference", "latest_reference")],
+        *[F.round(c, 9).alias(c) for c in nine],
         F.concat_ws(",", "quality_flags").alias("quality_flags"),
     )
 
