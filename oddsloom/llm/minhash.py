@@ -9,8 +9,10 @@ signature costs the shingles plus about t log t darts. Bands of equal coordinate
 that can matter are checked on the exact shingle sets.
 
 Texts with equal words are one representative. Within a band bucket every member first meets one pivot, then
-another; only where a bucket still spans several classes are the remaining pairs across classes formed, since
-pairs within a class change nothing. No pair of a bucket that could join two classes is left out.
+another; only where a bucket still spans several classes are the remaining pairs across classes looked at, since
+pairs within a class change nothing. Small buckets list those pairs; crowded ones are cut into blocks, and each
+pair of blocks is a tile that compares its texts in place and returns a spanning forest of the links it finds, so
+its output does not grow with the square of a group. No pair of a bucket that could join two classes is left out.
 
 Nulls: a null text is empty; texts without words are copies of each other; texts of fewer than five words are
 one shingle. Rows without id are left alone: class null, kept. Repeated rows share class and verdict. Other
@@ -23,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from oddsloom.llm.common import components, screened, unscreened
+from oddsloom.llm.embedding_dedup import hook
 from oddsloom.llm.words import mix64, span_hashes, text_slices, word_spans
 from oddsloom.session import settle
 
@@ -40,6 +44,9 @@ BANDS, ROWS = 28, 5
 #: Rounds in which a bucket's members meet a single pivot.
 PIVOT_ROUNDS = 2
 SEED = 7
+#: Members up to which a bucket lists its pairs; members and shingles of a block of a larger one.
+CROWD = 16
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 SHINGLE_BITS = 48
 
 _SIGNED = StructType().add("id", "long").add("digest", "binary").add("total", "double").add("bands", ArrayType(LongType()))
@@ -174,16 +181,84 @@ def _check(threshold: float):
     return run
 
 
+def sets_of(ids: DataFrame, texts: DataFrame, k: int, counts: bool) -> DataFrame:
+    """(id, shingles, weights) of some texts; rows that repeat an id hold equal texts."""
+    met = screened(texts, F.col("id"), ids, "id").join(ids, "id", "left_semi")
+    return met.mapInArrow(_gather(k, counts, to_arrow_schema(_SETS)), _SETS)
+
+
 def near_pairs(pairs: DataFrame, texts: DataFrame, *, threshold: float, k: int, counts: bool) -> DataFrame:
     """The candidate pairs (a, b) whose exact similarity reaches the threshold. Only their texts are fetched."""
     ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    # Rows that repeat an id hold equal texts here; one of them is enough.
-    met = screened(texts, F.col("id"), ids, "id").join(ids, "id", "left_semi")
-    sets = settle(met.mapInArrow(_gather(k, counts, to_arrow_schema(_SETS)), _SETS))
+    sets = settle(sets_of(ids, texts, k, counts))
     one, two = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"), F.col("weights").alias(f"w{x}")) for x in "ab")
     return pairs.join(one, "a").join(two, "b").mapInArrow(_check(threshold), "a long, b long")
 
 
+def _similarities(x: tuple, others: list[tuple]) -> np.ndarray:
+    """Weighted Jaccard similarity of a set to each of several, all as (elements, weights) sorted by element."""
+    element, weight = x
+    sizes = np.array([len(e) for e, _ in others])
+    flat, flat_w = np.concatenate([e for e, _ in others]), np.concatenate([w for _, w in others]).astype("f8")
+    at = np.minimum(np.searchsorted(element, flat), len(element) - 1)
+    low = np.where(element[at] == flat, np.minimum(weight[at], flat_w), 0)
+    starts = np.cumsum(sizes) - sizes
+    shared = np.add.reduceat(low, starts)
+    return shared / (weight.sum(dtype="f8") + np.add.reduceat(flat_w, starts) - shared)
+
+
+def _tile(threshold: float):
+    """Links across classes between the texts of two blocks of a bucket (or within one), as a spanning forest.
+
+    Pairs that already met in an earlier band are left to it."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block", kind="stable")
+        blocks = rows["block"].to_numpy()
+        cut = int(np.searchsorted(blocks, blocks[0], "right"))
+        left, right = (slice(0, cut), slice(cut, None)) if cut < len(rows) else (slice(0, cut), slice(0, cut))
+        ids, total = rows["id"].to_numpy(), rows["total"].to_numpy()
+        root = np.unique(rows["class"].to_numpy(), return_inverse=True)[1]
+        # Trees are positions: every text hangs on the first of its class.
+        first = np.full(len(rows), len(rows))
+        np.minimum.at(first, root, np.arange(len(rows)))
+        root = first[root]
+        bands = np.stack(rows["bands"].to_numpy())
+        before = int(rows["nth"].iloc[0])
+        sets = [(np.frombuffer(s, "u8"), np.frombuffer(w, "f4")) for s, w in zip(rows["shingles"], rows["weights"], strict=True)]
+        links = []
+        for x in range(left.start, left.stop):
+            may = root[right] != root[x]
+            may &= np.minimum(total[right], total[x]) >= threshold * np.maximum(total[right], total[x])
+            may &= ~(bands[right, :before] == bands[x, :before]).any(axis=1)
+            other = np.flatnonzero(may) + right.start
+            if right == left:
+                other = other[other > x]
+            if not len(other):
+                continue
+            near = other[_similarities(sets[x], [sets[y] for y in other]) >= threshold]
+            fresh = near[np.unique(root[near], return_index=True)[1]]
+            links += [(ids[x], ids[y]) for y in fresh]
+            hook(root, np.full(len(fresh), x), fresh)
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def crowded_links(members: DataFrame, texts: DataFrame, *, threshold: float, k: int, counts: bool) -> DataFrame:
+    """Links (a, b) across classes in the crowded buckets of `members` (band, nth, id, total, class, bands)."""
+    sizes = members.groupBy("band").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    )
+    ids = settle(members.select("id").distinct())
+    sets = settle(sets_of(ids, texts, k, counts))
+    dealt = members.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    tiles = dealt.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.withColumns({"i": F.least("block", "partner"), "j": F.greatest("block", "partner")})
+    full = tiles.join(sets, "id").select("band", "i", "j", "nth", "block", "id", "class", "total", "bands", "shingles", "weights")
+    return full.groupBy("band", "i", "j").applyInPandas(_tile(threshold), "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE,
     counts: bool = False, bands: int = BANDS, rows: int = ROWS, pivot_rounds: int = PIVOT_ROUNDS, seed: int = SEED,
@@ -196,13 +271,12 @@ def near_duplicates(
     named = signed.filter("id is not null")
     heads = named.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     reps = named.join(heads.select("digest", "rep"), (named["digest"] == heads["digest"]) & (named["id"] == heads["rep"]))
-    spots = reps.filter("total > 0").select(F.explode("bands").alias("band"), "id", "total")
-    crowded = spots.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("band")
-    members = settle(spots.join(crowded, "band").distinct())
-    reps_text = texts
+    spots = reps.filter("total > 0").select(F.posexplode("bands").alias("nth", "band"), "id", "total")
+    full = spots.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("band")
+    members = settle(spots.join(full, "band").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return settle(near_pairs(settle(pairs), reps_text, threshold=threshold, k=k, counts=counts))
+        return settle(near_pairs(settle(pairs), texts, threshold=threshold, k=k, counts=counts))
 
     # A ratio of totals below the threshold rules a pair out.
     alike = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
@@ -225,13 +299,18 @@ def near_duplicates(
         ).drop("component")
         mixed = split.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("band")
         split = settle(split.join(mixed, "band"))
-    other = split.select("band", *(F.col(c).alias(f"{c}2") for c in ("id", "total", "class")))
-    cross = split.join(other, "band").filter((F.col("id") < F.col("id2")) & (F.col("class") != F.col("class2")) & alike(F.col("total"), F.col("total2")))
+    sizes = settle(split.groupBy("band").agg(F.count(F.lit(1)).alias("n")))
+    small = split.join(sizes.filter(F.col("n") <= CROWD).select("band"), "band")
+    other = small.select("band", *(F.col(c).alias(f"{c}2") for c in ("id", "total", "class")))
+    cross = small.join(other, "band").filter((F.col("id") < F.col("id2")) & (F.col("class") != F.col("class2")) & alike(F.col("total"), F.col("total2")))
     cross = cross.select(*ends(F.col("id"), F.col("id2"))).distinct()
     if tried is not None:
         cross = cross.join(tried, ["a", "b"], "left_anti")
     found = verified(cross)
     links = found if links is None else links.union(found)
+    crowd = split.join(sizes.filter(F.col("n") > CROWD).select("band"), "band")
+    crowd = settle(crowd.join(reps.select("id", "bands").distinct(), "id"))
+    links = links.union(settle(crowded_links(crowd, texts, threshold=threshold, k=k, counts=counts)))
     class_of = components(links)
     groups = heads.join(class_of.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_id", F.coalesce("component", "rep"))
     sizes = groups.groupBy("class_id").agg(F.sum("n").alias("class_size"))
