@@ -20,9 +20,6 @@ MIN_ISOTONIC_ROWS = 2_000
 TEMPERATURES = (0.5, 0.75, 1.0, 1.5, 2.0)
 
 
-def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
-
 
 def fit_logistic(df: DataFrame, *, features: Sequence[str], label: str, weight: str, c: float = 1.0):
     """L2 logistic on standardised features. The penalty 1/(C * sum of weights) on Spark's averaged

@@ -24,14 +24,6 @@ PROTOCOL = {
 }
 
 
-def decision_offsets(*, cadence: int, start: int, end: int) -> list[int]:
-    """Offsets on multiples of the cadence from the first one at or after `start` through `end`."""
-    first = -(-start // cadence) * cadence
-    out = list(range(first, end + 1, cadence))
-    if not out:
-        raise ValueError("the entry window holds no decision")
-    return out
-
 
 def decision_grid(markets: DataFrame, *, t0: str, offsets_ns: Sequence[int]) -> DataFrame:
     """One row per market and offset; the offsets are a literal list, exploded in place."""
@@ -167,6 +159,6 @@ def coverage_audit(grid: DataFrame, observed: DataFrame, *, keys: Sequence[str],
 
 
 __all__ = [
-    "PROTOCOL", "coverage_audit", "dataset_rows", "decision_grid", "decision_offsets", "early_stopping_split",
+    "PROTOCOL", "coverage_audit", "dataset_rows", "decision_grid", "early_stopping_split",
     "walk_forward", "whole_market_dataset",
 ]

@@ -210,10 +210,6 @@ def first_number(*candidates: Column) -> Column:
     return F.coalesce(*[F.nullif(c.cast("string"), F.lit("")).try_cast("double") for c in candidates])
 
 
-def first_time(*candidates: Column) -> Column:
-    """First candidate that reads as a timestamp, in nanoseconds."""
-    return F.coalesce(*[F.unix_micros(c.try_cast("timestamp")) * 1000 for c in candidates])
-
 
 def passing_markets(
     df: DataFrame, *, volume: str, yes_price: str, expiry: str, min_volume: float, price_min: float | None,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,12 +62,18 @@ def running_positions(fills: DataFrame, *, market: str, order: Sequence[str], wi
 
 # ---------------------------------------------------------------- settlement
 
+def binary_payoff(side: Column, outcome: Column) -> Column:
+    """What one contract pays: the outcome, or its complement on the other side."""
+    return F.when(side == "yes", outcome).otherwise(1 - outcome)
+
+
 def settlement_pnl(
-    fills: DataFrame, outcomes: DataFrame, *, market: str, order: Sequence[str], outcome: str = "outcome"
+    fills: DataFrame, outcomes: DataFrame, *, market: str, order: Sequence[str], outcome: str = "outcome",
+    payoff: Callable[[Column, Column], Column] = binary_payoff,
 ) -> DataFrame:
-    """Profit per market with the open quantity settled at the outcome.
+    """Profit per market with the open quantity settled at `payoff` of contract side and outcome.
 
-    The contract side of the last sided fill decides the payoff. Markets without usable fills or
+    The contract side is that of the last sided fill. Markets without usable fills or
     without an outcome come back NULL or not at all, never as zero.
     """
     usable = fills.filter("quantity > 0 AND price IS NOT NULL")
@@ -84,9 +90,9 @@ def settlement_pnl(
             F.max_by(sided, F.when(sided.isin("yes", "no"), F.struct(*order))), F.lit("yes")
         ).alias("contract_side"),
     )
-    settle = F.when(F.col("contract_side") == "yes", F.col(outcome)).otherwise(1 - F.col(outcome))
+    paid = payoff(F.col("contract_side"), F.col(outcome))
     return sums.join(outcomes.select(market, outcome), market, "left").withColumn(
-        "settlement_pnl", F.col("cash") + settle * F.col("open_quantity") - F.col("commissions")
+        "settlement_pnl", F.col("cash") + paid * F.col("open_quantity") - F.col("commissions")
     )
 
 
