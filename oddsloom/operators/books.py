@@ -20,10 +20,11 @@ from oddsloom.functions.codes import (
 )
 from oddsloom.functions.integers import floor_div
 from oddsloom.operators.timeline import (
+    CHUNK,
     Timeline,
-    following,
     latest,
     number,
+    previous,
     running_count,
     running_max,
     scan,
@@ -159,103 +160,71 @@ def snapshot_diffs(
     """Book snapshots to the deltas between them.
 
     The first non-empty snapshot inside the window is emitted whole; each later one is compared with
-    its predecessor, per side and price text. A level row is sent once as "current" to its own
-    snapshot and once as "previous" to the next, and the two meet in an aggregate whose groups hold
-    at most two rows, so no self-join and no per-token group is formed.
+    its predecessor, per side and price text. The predecessor comes along in the scan, so both books
+    lie in one row and are compared as arrays; only the levels that changed become rows.
     """
     line = Timeline.of(token, [ts, pos], width)
-    rows = df.filter(F.col(ts) <= end).withColumns(
-        {
-            "__inside": F.col(ts) >= start,
-            "__bids": F.arrays_zip(F.col("bid_prices").alias("p"), F.col("bid_sizes").alias("s")),
-            "__asks": F.arrays_zip(F.col("ask_prices").alias("p"), F.col("ask_sizes").alias("s")),
-        }
-    )
-    filled = lambda c: F.exists(c, lambda x: x["s"].cast("double") > 0)
-    rows = rows.withColumn("__filled", F.col("__inside") & (filled("__bids") | filled("__asks")))
+    rows = df.filter(F.col(ts) <= end).withColumns({"__bids": _levels("bid"), "__asks": _levels("ask")})
+    rows = rows.withColumn("__filled", (F.col(ts) >= start) & ((F.size("__bids") > 0) | (F.size("__asks") > 0)))
     rows = scan(
         rows,
         line,
-        {"__n": running_count(), "__shown": running_count(F.col("__filled")), "__next_ts": following(F.col(ts))},
-    )
-    side = lambda code, column: F.transform(
-        column,
-        lambda x, i: F.struct(
-            F.lit(code).alias("side"), x["p"].alias("text"), x["s"].alias("size_text"), i.alias("i")
-        ),
-    )
-    levels = rows.select(
-        token,
-        "__n",
-        F.col(ts).alias("__ts"),
-        "__next_ts",
-        "__shown",
-        (F.col("__filled") & (F.col("__shown") == 1)).alias("__first"),
-        F.explode(F.concat(side(SIDE_BUY, F.col("__bids")), side(SIDE_SELL, F.col("__asks")))).alias("l"),
-    ).select("*", "l.*").drop("l").filter(F.col("size_text").cast("double") > 0)
-    # Two entries of one price text in a side: the later one counts.
-    sent = F.array_compact(
-        F.array(
-            F.when(
-                F.col("__shown") >= 1,
-                F.struct(F.col("__n").alias("n"), F.col("__ts").alias("at"), F.lit(1).alias("now"),
-                         F.col("__first").alias("whole")),
-            ),
-            F.when(
-                (F.col("__shown") >= 1) & F.col("__next_ts").isNotNull(),
-                F.struct((F.col("__n") + 1).alias("n"), F.col("__next_ts").alias("at"), F.lit(0).alias("now"),
-                         F.lit(False).alias("whole")),
-            ),
-        )
-    )
-    newest = lambda flag: F.max_by(
-        F.col("size_text"), F.when(F.col("m.now") == flag, F.col("i"))
-    )
-    pairs = (
-        levels.withColumn("m", F.explode(sent))
-        .groupBy(token, F.col("m.n").alias("n"), F.col("m.at").alias("at"), "side", "text")
-        .agg(newest(1).alias("now"), newest(0).alias("before"), F.max("m.whole").alias("whole"))
-        .filter(F.col("whole") | ~F.col("now").eqNullSafe(F.col("before")))
-    )
-    size = F.coalesce(F.col("now").cast("double"), F.lit(0.0))
-    changes = pairs.select(
-        token, "n", "at", "side", "text", "whole",
-        F.col("text").cast("double").alias("price"),
-        size.alias("size"),
-        F.when(F.col("whole"), ACTION_ADD)
-        .when(size > 0, ACTION_UPDATE)
-        .otherwise(ACTION_DELETE)
-        .alias("action"),
+        {"__shown": running_count(F.col("__filled")), "__was": previous(F.struct("__bids", "__asks"))},
+        hold=True,
     )
+    rows = rows.filter("__shown >= 1").withColumn("__whole", F.col("__filled") & (F.col("__shown") == 1))
+    none = F.array().cast("array<struct<text:string,size_text:string>>")
+    was = lambda side: F.when(~F.col("__whole"), F.col(f"__was.{side}")).otherwise(none)
+    bids, asks = (_changes(F.col(c), was(c), code) for c, code in (("__bids", SIDE_BUY), ("__asks", SIDE_SELL)))
     # One book's levels: bids ascending, then asks descending.
-    signed = F.when(F.col("side") == SIDE_BUY, F.col("price")).otherwise(-F.col("price"))
-    book = Window.partitionBy(token, "n")
-    in_order = book.orderBy("side", signed, F.when(F.col("side") == SIDE_BUY, F.col("text")),
-                            F.col("text").desc())
-    changes = changes.withColumns(
-        {"__i": F.row_number().over(in_order), "__n_rows": F.count(F.lit(1)).over(book)}
+    rows = rows.withColumn("__changes", F.concat(F.array_sort(bids), F.reverse(F.array_sort(asks)))).filter(F.size("__changes") > 0)
+    rows = number(rows.select(token, ts, pos, "__whole", "__changes", *[c for c in rows.columns if c.startswith(CHUNK)]), line, "event_index")
+    clear = F.struct(
+        F.lit(0.0).alias("price"), F.lit("").alias("text"), F.lit(SIDE_NONE).alias("side"), F.lit(0.0).alias("size"), F.lit(0).alias("part")
     )
-    clears = changes.filter("whole AND __i = 1").select(
-        token, "n", "at", F.lit(ACTION_CLEAR).alias("action"), F.lit(SIDE_NONE).alias("side"),
-        F.lit(0.0).alias("price"), F.lit(0.0).alias("size"), F.lit(0).alias("__i"),
-        F.lit(-1).cast("bigint").alias("__n_rows"), F.lit(True).alias("whole"),
+    placed = F.transform(
+        "__changes",
+        lambda x, i: F.struct(x["price"].alias("price"), x["text"].alias("text"), x["side"].alias("side"), x["size"].alias("size"), (i + 1).alias("part")),
     )
-    rows_out = changes.drop("text").unionByName(clears)
-    events = number(
-        changes.groupBy(token, "n").agg(F.max("at").alias("__at")),
-        Timeline.of(token, ["n"], 100_000),
-        "event_index",
-    ).select(token, "n", "event_index")
-    return rows_out.join(events, [token, "n"]).select(
-        token, "event_index", "action", "side", "price", "size",
-        F.when(F.col("__i") == F.col("__n_rows"), FLAG_LAST).otherwise(0).alias("flags"),
-        F.when(F.col("whole"), 0).otherwise(F.col("__i")).cast("int").alias("sequence"),
-        F.col("at").alias("ts_event"),
-        F.col("at").alias("ts_init"),
-        F.col("__i").alias("part"),
+    out = rows.withColumns(
+        {"__last": F.size("__changes"), "l": F.explode(F.when(F.col("__whole"), F.concat(F.array(clear), placed)).otherwise(placed))}
+    )
+    part, size = F.col("l.part"), F.col("l.size")
+    return out.select(
+        token, "event_index",
+        F.when(part == 0, ACTION_CLEAR).when(F.col("__whole"), ACTION_ADD).when(size > 0, ACTION_UPDATE).otherwise(ACTION_DELETE).alias("action"),
+        F.col("l.side").alias("side"), F.col("l.price").alias("price"), size.alias("size"),
+        F.when(part == F.col("__last"), FLAG_LAST).otherwise(0).alias("flags"),
+        F.when(F.col("__whole"), 0).otherwise(part).cast("int").alias("sequence"),
+        F.col(ts).alias("ts_event"),
+        F.col(ts).alias("ts_init"),
+        part.alias("part"),
     )
 
 
+def _levels(side: str) -> Column:
+    """The levels of a side with a positive size; of two entries of one price text the later counts."""
+    both = F.arrays_zip(F.col(f"{side}_prices").alias("text"), F.col(f"{side}_sizes").alias("size_text"))
+    some = F.filter(both, lambda x: x["size_text"].cast("double") > 0)
+    empty = F.array().cast("array<struct<text:string,size_text:string>>")
+
+    def resolved(levels: Column) -> Column:
+        texts = F.transform(levels, lambda x: x["text"])
+        later = lambda x, i: ~F.array_contains(F.slice(texts, i + 2, F.size(texts)), x["text"])
+        return F.when(F.size(F.array_distinct(texts)) == F.size(texts), levels).otherwise(F.filter(levels, later))
+
+    return F.coalesce(F.element_at(F.transform(F.array(some), resolved), 1), empty)
+
+
+def _changes(now: Column, was: Column, side: int) -> Column:
+    """(price, text, side, size) of the levels that are new or differ, and of those that are gone (size 0)."""
+    level = lambda x, size: F.struct(x["text"].cast("double").alias("price"), x["text"].alias("text"), F.lit(side).alias("side"), size.alias("size"))
+    texts = F.transform(now, lambda x: x["text"])
+    gone = F.filter(F.array_except(was, now), lambda x: ~F.array_contains(texts, x["text"]))
+    fresh = F.transform(F.array_except(now, was), lambda x: level(x, x["size_text"].cast("double")))
+    return F.concat(fresh, F.transform(gone, lambda x: level(x, F.lit(0.0))))
+
+
 def top_of_book(
     deltas: DataFrame, *, token: str, events_per_chunk: int = 5_000, keep: Sequence[str] = ("ts_event", "ts_init")
 ) -> DataFrame:

@@ -48,7 +48,7 @@ def quality_gate(
 
     In arrival order: a repeat of an identifier accepted in the current epoch (among the last
     `max_seen` accepted, if given) is a duplicate; an event available before the last accepted one is out of
-    order and opens the next epoch; anything else is accepted.
+    order and opens the next epoch; anything else is accepted. Every event has a time.
 
     Duplicates depend on epochs and epochs on duplicates, so the job guesses the duplicates, derives
     everything else with scans, and repeats until the guess reproduces itself. As each row's status
@@ -128,7 +128,8 @@ def _replay(events: DataFrame, keys: list[str], pos: str, identifier: str, avail
                 if fell:
                     seen, last, epoch = {}, None, epoch + 1
                 elif not known:
-                    seen[ident], last = None, at
+                    seen[ident] = None
+                    last = last if at is None else at
                     if max_seen is not None and len(seen) > max_seen:
                         del seen[next(iter(seen))]
             names = [*batch.schema.names, "__dup2", "__ooo", "__epoch"]

@@ -43,7 +43,7 @@ class QualityGate(StatefulProcessor):
             if self.seen.containsKey((ident,)):
                 out.append((key[0], pos, "duplicate", epoch, False))
                 continue
-            if last is not None and available < last:
+            if last is not None and not pd.isna(available) and available < last:
                 epoch, last, first, nxt = epoch + 1, None, 0, 0
                 self.seen.clear()
                 self.slots.clear()
@@ -57,7 +57,7 @@ class QualityGate(StatefulProcessor):
                 self.seen.removeKey(self.slots.getValue((first,)))
                 self.slots.removeKey((first,))
                 first += 1
-            last = int(available)
+            last = last if pd.isna(available) else int(available)
             out.append((key[0], pos, "accepted", epoch, bool(stale)))
         self.head.update((epoch, last, first, nxt))
         yield pd.DataFrame(out, columns=["user_id", "pos", "status", "epoch_id", "stale"])
