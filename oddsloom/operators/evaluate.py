@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from oddsloom.functions.integers import floor_div
 from oddsloom.operators.edge import entry_metrics, first_persistent_entry, utc_day
 from oddsloom.operators.timeline import quantiles
-from oddsloom.session import DAY_NS, beside, settle
+from oddsloom.session import DAY_NS, beside, release, settle
 
 # Fixed values.
 EPSILON = 1e-6
@@ -152,6 +152,7 @@ def calibration_line(
             break
     else:
         raise ArithmeticError(f"the fit did not settle in {iterations} steps: intercept {a}, slope {b}")
+    release(data)
     return spark.createDataFrame([(float(a), float(b))], schema)
 
 

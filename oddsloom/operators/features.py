@@ -31,7 +31,7 @@ from oddsloom.operators.timeline import (
     scan,
     whole_first,
 )
-from oddsloom.session import NANOS, settle
+from oddsloom.session import NANOS, release, settle
 
 # Fixed values.
 TRADE_WINDOWS_S = (1, 5, 15, 30, 60, 300)
@@ -97,6 +97,7 @@ def trailing_at(
     placed = scan(facts_at, line, {"__next": following(F.col("__head")), "__opening": whole_first(F.col("__head"))})
     placed = placed.withColumns({"__at": F.col(ts), "__v": F.col(value)})
     placed = settle(placed.select(*dict.fromkeys([*keys, "__at", *tie, *carried])))
+    release(facts_at)
     offsets = F.array(
         F.struct(F.lit("").alias("w"), F.lit(0).cast("bigint").alias("back")),
         *[F.struct(F.lit(w).alias("w"), F.lit(int(s) + 1).cast("bigint").alias("back")) for w, s in windows.items()],

@@ -18,7 +18,7 @@ from oddsloom.operators.timeline import (
     running_max,
     scan,
 )
-from oddsloom.session import NANOS, settle
+from oddsloom.session import NANOS, release, settle
 
 #: Passes over all keys before keys that still change are replayed event by event.
 ROUNDS = 6
@@ -63,6 +63,7 @@ def quality_gate(
     rows = settle(
         scan(events, same, {"__seen": before(running_count())}).withColumn("__dup", F.col("__seen") > 0).drop("__seen")
     )
+    table = rows
     for _ in range(max(1, rounds)):
         live = ~F.col("__dup")
         step = scan(
@@ -78,7 +79,7 @@ def quality_gate(
         )
         # An out-of-order event forgets the last time, so in a run of falls every second one passes.
         ooo = live & F.col("__falls") & ((F.col("__n") - F.col("__calm")) % 2 == 1)
-        step = settle(step.withColumn("__ooo", F.coalesce(ooo, F.lit(False))))
+        step = half = settle(step.withColumn("__ooo", F.coalesce(ooo, F.lit(False))))
         accepted = ~F.col("__dup") & ~F.col("__ooo")
         step = scan(
             step,
@@ -91,15 +92,15 @@ def quality_gate(
         if max_seen is not None:
             dup = dup & (F.col("__acc") - F.col("__kept") - 1 < max_seen)
         step = settle(step.withColumn("__dup2", F.coalesce(dup, F.lit(False))))
+        release(table, half)
+        table = step
         if step.filter("__dup <> __dup2").limit(1).count() == 0:
             break
         rows = step.select(*columns, F.col("__dup2").alias("__dup"))
-    told = ["__dup2", "__ooo", "__epoch"]
-    moving = step.filter("__dup <> __dup2").select(*keys).distinct()
-    done = step.join(moving, keys, "left_anti").select(*columns, *told)
-    # The replay hands an event's own epoch back; `__epoch` counts the falls before it.
-    again = _replay(step.join(moving, keys, "left_semi").select(*columns), keys, pos, identifier, available, max_seen)
-    step = done.unionByName(again)
+    else:
+        moving = step.filter("__dup <> __dup2").select(*keys).distinct()
+        done = step.join(moving, keys, "left_anti").select(*columns, "__dup2", "__ooo", "__epoch")
+        step = done.unionByName(_replay(step.join(moving, keys, "left_semi").select(*columns), keys, pos, identifier, available, max_seen))
     status = F.when(F.col("__dup2"), "duplicate").when(F.col("__ooo"), "out_of_order").otherwise("accepted")
     epoch = F.col("__epoch") + F.when(F.col("__ooo"), 1).otherwise(0)
     return step.select(

@@ -63,9 +63,22 @@ def settle(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     Used between chained scans, so that each stage reads its input once from a table that
-    outlives any executor instead of replaying the whole lineage per branch.
+    outlives any executor instead of replaying the whole lineage per branch. `release` removes the
+    table once nothing will read it any more.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/oddsloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.settled_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that `settle` wrote. Only for those that no DataFrame still to be run depends on."""
+    for table in tables:
+        path = getattr(table, "settled_path", None)
+        if path:
+            jvm = table.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
