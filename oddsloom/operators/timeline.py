@@ -7,10 +7,10 @@ scanned in two levels:
 1. inside (key, chunk), an ordinary window;
 2. over one pre-aggregated row per (key, chunk), a prefix that is joined back to the chunk's rows.
 
-All other keys keep one window each. Which keys are hot is found by counting rows per hash bucket of
-the key: at most HASH_BUCKETS counts, so the list of hot buckets is safe to broadcast, and the pass
-reads the key columns only. Rows are shuffled once, by (key, chunk). Without hot keys the second
-level is empty and AQE drops it. Results equal those of the single window either way.
+All other keys keep one window each. Which keys are hot is found first, by counting rows per hash
+bucket of the key: at most HASH_BUCKETS numbers, and the pass reads the key columns only. Rows are
+then shuffled once, by (key, chunk). Without hot keys there is no second level at all: the scan is
+the plain window, and so are the scans chained to it. Results are the same either way.
 
 `oddsloom.hotRows` in the session sets the rows a bucket may hold before it counts as hot (0 splits
 every key, as the tests do). `width=None` asks for the plain window and is meant only for keys whose
@@ -32,6 +32,8 @@ from oddsloom.session import settle
 CHUNK = "__chunk"
 HASH_BUCKETS = 65_536
 HOT_ROWS = 2_000_000
+#: Marks the rows of a chain that found no hot key.
+PLAIN = "__plain"
 
 
 @dataclass(frozen=True)
@@ -227,6 +229,15 @@ def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("oddsloom.hotRows", str(HOT_ROWS)))
 
 
+def hot_buckets(df: DataFrame, keys: Sequence[str]) -> list[int] | None:
+    """Hash buckets of the keys with more than `oddsloom.hotRows` rows: at most HASH_BUCKETS numbers. None stands for all."""
+    limit = hot_rows(df)
+    if limit == 0:
+        return None
+    counts = df.groupBy(_bucket(keys).alias("__bucket")).agg(F.count(F.lit(1)).alias("__n"))
+    return [r[0] for r in counts.filter(F.col("__n") > limit).select("__bucket").collect()]
+
+
 def _bucket(keys: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(HASH_BUCKETS)).cast("int")
 
@@ -242,43 +253,35 @@ def scan(
     keys = list(line.keys)
     specs = list(outs.items())
     back = 0 if inclusive else -1
-    if line.width is None and line.by is None:
+    chunk = line.chunk_name()
+    plain = f"{chunk}{PLAIN}"
+    kept = [c for c in df.columns if c not in outs and (hold or c not in (chunk, plain))]
+
+    def one_window(columns: Sequence[Column | str]) -> DataFrame:
         ordered = line.window()
         frame = ordered.rowsBetween(Window.unboundedPreceding, back)
-        none = F.lit(None)
-        return df.select(
-            *[c for c in df.columns if c not in outs],
-            *[s.merge(s.local(frame, ordered), none).alias(name) for name, s in specs],
-        )
-    chunk, bucket = line.chunk_name(), "__bucket"
+        return df.select(*columns, *[s.merge(s.local(frame, ordered), F.lit(None)).alias(name) for name, s in specs])
+
+    if line.width is None and line.by is None:
+        return one_window(kept)
+    if plain in df.columns:
+        return one_window(kept)
     held = chunk in df.columns and line.by is None
-    kept = [c for c in df.columns if c not in outs and (hold or c != chunk)]
-    if hold and chunk not in kept:
-        kept.append(chunk)
-    rows = df.withColumn(bucket, _bucket(keys))
     if held:
         # Hot keys were told before: their rows carry a chunk.
-        part = rows.filter(F.col(chunk).isNotNull())
-        hot = part.groupBy(bucket).agg(F.count(F.lit(1)).alias("__n")).select(bucket)
-        base = rows.drop(bucket)
+        base = df
     else:
-        hot = (
-            rows.groupBy(bucket)
-            .agg(F.count(F.lit(1)).alias("__n"))
-            .filter(F.col("__n") > hot_rows(df))
-            .select(bucket)
-        )
-        part = rows.withColumn(chunk, line.chunk())
-        marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), bucket, "left")
-        base = marked.withColumn(chunk, F.when(F.col("__hot"), line.chunk())).drop(bucket, "__hot")
+        hot = hot_buckets(df, keys)
+        if hot is not None and not hot:
+            return one_window([*kept, F.lit(None).cast("boolean").alias(plain)] if hold else kept)
+        base = df.withColumn(chunk, line.chunk() if hot is None else F.when(_bucket(keys).isin(hot), line.chunk()))
+    part = base.filter(F.col(chunk).isNotNull())
+    if hold and chunk not in kept:
+        kept.append(chunk)
     ordered = Window.partitionBy(*keys, chunk).orderBy(*line.order)
     frame = ordered.rowsBetween(Window.unboundedPreceding, back)
     local = base.select("*", *[s.local(frame, ordered).alias(f"__here_{i}") for i, (_, s) in enumerate(specs)])
-    totals = (
-        part.join(F.broadcast(hot), bucket, "left_semi")
-        .groupBy(*keys, chunk)
-        .agg(*[s.total(line).alias(f"__total_{i}") for i, (_, s) in enumerate(specs)])
-    )
+    totals = part.groupBy(*keys, chunk).agg(*[s.total(line).alias(f"__total_{i}") for i, (_, s) in enumerate(specs)])
     spec = Window.partitionBy(*keys).orderBy(chunk)
     carry = totals.select(
         *keys, chunk, *[s.fold(F.col(f"__total_{i}"), spec).alias(f"__carry_{i}") for i, (_, s) in enumerate(specs)]
