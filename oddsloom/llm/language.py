@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from oddsloom.llm.words import mix64, text_slices
+from oddsloom.llm.words import mix64, once_per_worker, text_slices
 
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 20_000
@@ -56,19 +56,17 @@ def _letter_table() -> np.ndarray:
     return kinds
 
 
-_TABLES: dict[str, np.ndarray] = {}
+def _both_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Letter kinds, and the lower case of each code point that has a single one."""
+    kinds, lower = _letter_table(), np.arange(0x110000, dtype=np.uint32)
+    for c in np.flatnonzero(kinds == 2):
+        low = chr(c).lower()
+        lower[c] = ord(low) if len(low) == 1 else c
+    return kinds, lower
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Letter kinds, and the lower case of each code point that has a single one."""
-    if not _TABLES:
-        _TABLES["kind"] = kinds = _letter_table()
-        lower = np.arange(0x110000, dtype=np.uint32)
-        for c in np.flatnonzero(kinds == 2):
-            low = chr(c).lower()
-            lower[c] = ord(low) if len(low) == 1 else c
-        _TABLES["lower"] = lower
-    return _TABLES["kind"], _TABLES["lower"]
+    return once_per_worker("letters", _both_tables)
 
 
 @dataclass

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
+from oddsloom.llm.words import once_per_worker
+
 MAX_LENGTH = 1024
 END_ID = 0
 #: How a byte-level BPE splits text into pieces (a fixed value of these vocabularies).
@@ -75,10 +78,7 @@ class Encoder:
     the same ids. Texts that hold one of the file's added tokens always go to the file's own library."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             settings = json.load(f)
         self.added = [t["content"] for t in settings["added_tokens"]]
@@ -88,6 +88,13 @@ class Encoder:
 
             self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def model(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, texts: list[str]) -> Iterator[list[int]]:
         for text in texts:
             if self.fast and not any(t in text for t in self.added):
@@ -98,7 +105,7 @@ class Encoder:
 
 def packer(tokenizer: str, longest: int, end_id: int, schema: pa.Schema):
     def pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = once_per_worker(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
         for batch in batches:
             at = 0
             for texts in _batches(batch.column("text").to_pylist()):
