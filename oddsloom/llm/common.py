@@ -9,10 +9,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsloom.session import prepare, settle
+from oddsloom.session import prepare, release, settle
 
 #: ASCII white space, as Java and RE2 patterns both read it.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -30,6 +32,7 @@ def register(name: str, sql: str | None = None):
 
     def keep(fn):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            small_batches(spark)
             return fn(prepare(spark), sf_dir)
 
         build.__name__ = name
@@ -39,6 +42,13 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most `BATCH_ROWS` rows in an Arrow batch: texts are long, and a batch lies in memory several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -48,20 +58,28 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether links (u, v) are stars: no node points twice, and none that is pointed at points on."""
+    ends = links.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(
+        links.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    nodes = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return not nodes.filter((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (a, b); the component is its smallest node.
 
-    Alternates large-star and small-star steps until an edge set repeats itself: every node ends up
-    pointing at the smallest one it can reach. Each step is two aggregations and a join on the node,
+    Alternates large-star and small-star steps until every node that points anywhere points at one
+    node that points nowhere: the smallest one it can reach. Each step is two aggregations and a join on the node,
     so no neighbourhood is gathered in one place, and each round is a written table. Self edges only
     name their node. The number of rounds grows with the logarithm of the longest path.
     """
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state = settle(both)
     alone = state.filter("u = v").select("u").distinct()
-    links = state.filter("u <> v")
-    mark = None
-    while True:
+    links, table = state.filter("u <> v"), None
+    while not _stars(links):
         # Large star: each strictly larger neighbour of u now hangs on the smallest neighbour of u, or u itself.
         ways = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -71,12 +89,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         links = settle(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        now = links.agg(
-            F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("bigint")), F.sum(F.xxhash64("v", "u") % (1 << 40))
-        ).first()
-        if tuple(now) == mark:
-            break
-        mark = tuple(now)
+        release(*([table] if table else []))
+        table = links
     roots = links.select(F.col("v").alias("u")).union(alone).distinct()
     found = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     only = roots.join(links.select("u"), "u", "left_anti")

@@ -42,7 +42,7 @@ UNKNOWN = "und"
 LEAST_SCORE = 0.35
 #: Words of a block of a chain.
 BLOCK = 64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _GUESS = StructType().add("id", "long").add("lang_pred", "string").add("score", "double")
 

@@ -36,7 +36,7 @@ SUPPORT = 2
 STEM = 4
 #: Bits of the word screen: 8 MB, whatever the number of words.
 SCREEN_BITS = 1 << 26
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("general", "remove")
 

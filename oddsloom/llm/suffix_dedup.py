@@ -49,7 +49,7 @@ CROWD = 2_000
 SPLITS = (4, 0)
 #: Bits of the anchor screen: 16 MB, whatever the number of anchors.
 SCREEN_BITS = 1 << 27
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _ANCHOR = StructType().add("g", "long")
 _RUN = StructType().add("id", "long").add("h", "long").add("p", "integer").add("q", "integer").add("off", "integer").add("g", "long").add("s", "long")
