@@ -8,8 +8,7 @@ Equal coordinates of two documents then have the probability of their weighted J
 signature costs the shingles plus about t log t darts. Bands of equal coordinates give candidates; all of them
 that can matter are checked on the exact shingle sets.
 
-Texts with equal words are one representative. Within a band bucket every member first meets one pivot, then
-another; only where a bucket still spans several classes are the remaining pairs across classes looked at, since
+Texts with equal words are one representative. Within a band bucket every member first meets one pivot; only where a bucket still spans several classes are the remaining pairs across classes looked at, since
 pairs within a class change nothing. Small buckets list those pairs; crowded ones are cut into blocks, and each
 pair of blocks is a tile that compares its texts in place and returns a spanning forest of the links it finds, so
 its output does not grow with the square of a group. No pair of a bucket that could join two classes is left out.
@@ -42,7 +41,7 @@ THRESHOLD = 0.8
 #: 28 bands of 5: a pair at the threshold is missed with probability 1.5e-5.
 BANDS, ROWS = 28, 5
 #: Rounds in which a bucket's members meet a single pivot.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 SEED = 7
 #: Members up to which a bucket lists its pairs; members and shingles of a block of a larger one.
 CROWD = 16
