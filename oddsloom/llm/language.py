@@ -29,10 +29,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from oddsloom.llm.words import mix64, once_per_worker, text_slices
+from oddsloom.session import settle
 
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 20_000
 EPOCHS = 20
+#: Languages up to which their sampling shares are broadcast.
+BROADCAST_LABELS = 4096
 #: Rows of the hashed weight table.
 TABLE_BITS = 18
 #: A word of the sample is in the lexicon from this count on.
@@ -298,7 +301,9 @@ def training_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: st
     fit_rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= sample_chars))
     part = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
     rows = fit_rows.select(F.col(lang_col).alias("lang"), part.alias("part"), F.col(text_col).alias("text"))
-    share = rows.groupBy("lang").agg((sample_docs / F.count(F.lit(1))).alias("share"))
+    # A row per label, as the model has. Beyond what is surely small, texts meet it in a shuffle.
+    share = settle(rows.groupBy("lang").agg((sample_docs / F.count(F.lit(1))).alias("share")))
+    share = F.broadcast(share) if share.count() <= BROADCAST_LABELS else share
     found = rows.join(share, "lang").filter("part < share").select("text", "lang").collect()
     found.sort()
     return [r.text for r in found], [r.lang for r in found]
