@@ -1,10 +1,12 @@
-"""Licence scans: TF-IDF cosine of notices and licence files to templates, then inheritance by directory.
+"""Licence scans: TF-IDF cosine of notices, headers and licence files to templates, then inheritance by directory.
 
-Every line of a text is a possible notice, and every whole text a possible licence file. Both are sparse vectors
-over the templates' words; words outside them only lengthen a vector. Word weights come from how many lines of the
-whole corpus hold a word. A line or text whose part in the template words is too small to reach the threshold is
-dropped by its norm alone; the rest meet the template vectors in an equi-join on the word. A file without a notice
-takes the licence of the nearest directory above it that holds a licence file.
+Units are every line, the runs of adjoining lines that begin at a paragraph or at a line with a telling word (see
+`RUNS`), and every whole text. Template words weigh ln(lines / lines with the word) + 1 over the whole corpus,
+others like a word of no line. A unit reaches the threshold with a template only if it holds one of the words that carry more than 1 -
+threshold ** 2 of the template's squared norm, its anchors; texts and units without any are left out. The others are
+multiplied with the template vectors; those that would pass if their other words had the least weight there is get the
+true norm in a join with the words' line counts. A file without a notice takes the licence of the nearest directory
+above it that holds a licence file.
 
 DataFrame functions only. The template table is a parameter, so the collected word counts and the broadcast
 vectors have its size. Nulls: a null text has no notice; a null path has no directory. Ties: the first licence in
@@ -14,12 +16,13 @@ own and get equal results. Other columns are ignored. No rows: no rows.
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from collections import Counter
-from collections.abc import Callable
+from collections import Counter, defaultdict
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.session import settle
@@ -49,6 +52,25 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: Notices that span several lines in files, as one text each; a line break is a blank.
+HEADERS = (
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-3-Clause", "All rights reserved. Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library. If not, see <https://www.gnu.org/licenses/>."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+)
+#: Lines of a run; one that ends with its text may be shorter.
+RUNS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48)
+
+
+def licence_texts() -> tuple[tuple[str, str], ...]:
+    """The full texts beside this module, named by licence."""
+    return tuple((p.stem, p.read_text()) for p in sorted(Path(__file__).with_name("licence_texts").glob("*.txt")))
+
 
 def words_of(text: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
@@ -58,18 +80,19 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def table_of(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as one literal."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    cells = F.from_json(F.lit(text), "array<struct<" + ", ".join(c.replace(" ", ": ") for c in schema.split(", ")) + ">>")
+    return spark.range(1).select(F.inline(cells))
 
 
-def word_weights(lines: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
-    """Inverse line frequency of each template word, and that of a word no line holds; `lines` has `unit`."""
-    known = F.array(*map(F.lit, vocabulary))
-    held = let(tokens(F.col("unit")), lambda t: F.when(F.size(t) > 0, F.concat(F.array(F.lit("")), F.array_intersect(t, known))))
-    counts = dict(lines.select(F.explode(held).alias("word")).groupBy("word").count().collect())
-    whole = 1 + counts.get("", 0)
-    return {w: math.log(whole / (1 + counts.get(w, 0))) + 1 for w in vocabulary}, math.log(whole) + 1
+def line_counts(lines: DataFrame) -> DataFrame:
+    """(word, lines) for every word; the empty word has the lines with a word. `lines` has `unit`."""
+    held = F.array_distinct(F.concat(F.array(F.lit("")), tokens(F.col("unit"))))
+    held = lines.select(held.alias("held")).filter(F.size("held") > 1)
+    return held.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def template_vectors(templates: tuple, weight: dict[str, float]) -> list[tuple[int, str, str, float]]:
@@ -82,31 +105,89 @@ def template_vectors(templates: tuple, weight: dict[str, float]) -> list[tuple[i
     return out
 
 
-def matches(units: DataFrame, lines: DataFrame, templates: tuple, threshold: float) -> DataFrame:
-    """(key, no, licence, score) of the units (key, no, unit) that reach the threshold, best licence each."""
-    spark = units.sparkSession
+def anchors_of(vectors: list[tuple[int, str, str, float]], lines: dict[str, int], threshold: float) -> list[str]:
+    """Words of which a unit needs one: without them less than threshold ** 2 of a template's squared norm is left."""
+    by, out = defaultdict(list), set()
+    for k, _, word, value in vectors:
+        by[k].append((value * value / (1 + lines.get(word, 0)), word, value * value))
+    for parts in by.values():
+        mass = 0.0
+        for _, word, square in sorted(parts, reverse=True):
+            out.add(word)
+            mass += square
+            if mass > 1 - threshold * threshold + 1e-6:
+                break
+    return sorted(out)
+
+
+def runs_of(lines: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(key, first, last, words) per line of each run of `lines` (key, no, words, telling, begins, n)."""
+    most = max(lengths)
+    begin = lines.filter((F.size("words") > 0) & (F.col("begins") | F.col("telling")))
+    begin = begin.select("key", F.col("no").alias("first"), F.explode(F.array(F.floor(F.col("no") / most), F.floor(F.col("no") / most) + 1)).alias("part"))
+    part = lines.select("key", "no", "words", "n", F.floor(F.col("no") / most).alias("part"))
+    met = begin.join(part, ["key", "part"]).filter(F.col("no").between(F.col("first"), F.col("first") + most - 1))
+    # Of the lengths that reach the end of the text only the first is a run of its own.
+    ends = [F.when((F.col("first") + (lengths[i - 1] if i else 1) < F.col("n")) & (F.col("no") < F.col("first") + m), F.least(F.col("first") + m, F.col("n")) - 1) for i, m in enumerate(lengths)]
+    return met.select("key", "first", F.explode(F.array_compact(F.array(*ends))).alias("last"), "words")
+
+
+def matches(texts: DataFrame, counts: DataFrame, templates: tuple, threshold: float, lengths: tuple[int, ...] = RUNS) -> DataFrame:
+    """(key, first, last, licence, score) of the units that reach the threshold, best licence each; a whole text
+    has the lines -1 to -1. `texts` has (key, text), `counts` the lines of each word."""
+    spark = texts.sparkSession
     vocabulary = sorted({w for _, notice in templates for w in words_of(notice)})
-    weight, other = word_weights(lines, vocabulary)
-    known, weights = F.array(*map(F.lit, vocabulary)), F.create_map(*(F.lit(x) for pair in weight.items() for x in pair))
-    hit = lambda t: lambda w: F.struct(
-        w.alias("word"), (F.size(F.filter(t, lambda x: x == w)) * F.element_at(weights, w)).alias("part"), F.size(F.filter(t, lambda x: x == w)).alias("n")
+    known = dict(counts.filter(F.col("word").isin(["", *vocabulary])).collect())
+    whole = 1 + known.get("", 0)
+    weight = {w: math.log(whole / (1 + known.get(w, 0))) + 1 for w in vocabulary}
+    cells = template_vectors(templates, weight)
+    anchors = anchors_of(cells, known, threshold)
+    telling = lambda t: F.exists(t, lambda w: w.isin(anchors))
+    met = settle(texts.filter(telling(tokens(F.col("text")))).dropDuplicates(["key"]))
+    split = F.split("text", "\n")
+    lines = met.select("key", F.size(split).alias("n"), F.inline(F.transform(split, lambda x, i: F.struct(
+        i.alias("no"), x.alias("unit"), F.coalesce(~F.get(split, i - 1).rlike("[A-Za-z0-9]"), F.lit(True)).alias("begins")))))
+    lines = lines.select("key", "n", "no", "begins", tokens(F.col("unit")).alias("words"))
+    lines = settle(lines.withColumn("telling", telling(F.col("words"))))
+    units = lines.filter("telling").select("key", F.col("no").alias("first"), F.col("no").alias("last"), "words")
+    units = units.union(runs_of(lines, lengths)).union(met.select("key", F.lit(-1).alias("first"), F.lit(-1).alias("last"), tokens(F.col("text"))))
+    unit = ["key", "first", "last"]
+    words = settle(units.select(*unit, F.explode("words").alias("word")).groupBy(*unit, "word").agg(F.count(F.lit(1)).alias("n")))
+    weights = F.broadcast(table_of(spark, sorted(weight.items()), "word string, weight double"))
+    vectors = F.broadcast(table_of(spark, cells, "template int, licence string, word string, value double"))
+    weighed = words.join(weights, "word", "left")
+    # No word weighs less than one.
+    sums = weighed.groupBy(*unit).agg(
+        F.coalesce(F.sum(F.pow(F.col("n") * F.col("weight"), F.lit(2))), F.lit(0.0)).alias("inner"),
+        F.coalesce(F.sum(F.when(F.col("weight").isNull(), F.col("n") * F.col("n"))), F.lit(0)).alias("least"),
+        F.max(F.col("word").isin(anchors)).alias("telling"),
+    ).filter("telling")
+    dots = words.join(weights, "word").join(vectors, "word").groupBy(*unit, "template", "licence").agg(F.sum(F.col("n") * F.col("weight") * F.col("value")).alias("dot"))
+    near = dots.join(sums, unit).filter(F.col("dot") >= threshold * F.sqrt(F.col("inner") + F.col("least")) * (1 - 1e-9))
+    near = settle(near.select(*unit, "licence", "dot", "inner", "least"))
+    other = words.join(near.filter(F.col("least") > 0).select(*unit).distinct(), unit, "left_semi").join(weights, "word", "left_anti")
+    idf = F.lit(math.log(whole) + 1)
+    other = other.join(counts, "word").groupBy(*unit).agg(F.sum(F.pow(F.col("n") * idf, F.lit(2))).alias("outer"))
+    scores = near.join(other, unit, "left").select(*unit, "licence", F.round(F.col("dot") / F.sqrt(F.col("inner") + F.coalesce("outer", F.lit(0.0))), DIGITS).alias("score"))
+    return scores.filter(F.col("score") >= threshold).groupBy(*unit).agg(F.min(F.struct((-F.col("score")).alias("low"), "licence")).alias("best")).select(
+        *unit, F.col("best.licence").alias("licence"), (-F.col("best.low")).alias("score")
     )
-    shape = let(tokens(F.col("unit")), lambda t: F.struct(F.transform(F.array_intersect(t, known), hit(t)).alias("hits"), F.size(t).alias("n")))
-    rows = units.select("key", "no", F.inline(F.array(shape)))
-    inner = F.aggregate("hits", F.lit(0.0), lambda a, h: a + h["part"] * h["part"])
-    foreign = F.col("n") - F.aggregate("hits", F.lit(0), lambda a, h: a + h["n"])
-    rows = rows.select("key", "no", "hits", inner.alias("inner"), (inner + foreign * F.lit(other * other)).alias("square"))
-    # The cosine to any template is at most the share of the norm that lies in the template words.
-    rows = rows.filter((F.col("inner") > 0) & (F.col("inner") >= F.lit(threshold * threshold) * F.col("square") * (1 - 1e-9)))
-    names = ("template", "licence", "word", "value")
-    cells = [F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row, strict=True))) for row in template_vectors(templates, weight)]
-    vectors = spark.range(1).select(F.inline(F.array(*cells)))
-    parts = rows.select("key", "no", "square", F.explode("hits").alias("h")).select("key", "no", "square", F.col("h.word").alias("word"), F.col("h.part").alias("part"))
-    scores = parts.join(F.broadcast(vectors), "word").groupBy("key", "no", "template", "licence", "square").agg(F.sum(F.col("part") * F.col("value")).alias("dot"))
-    scores = scores.select("key", "no", "licence", F.round(F.col("dot") / F.sqrt("square"), DIGITS).alias("score")).filter(F.col("score") >= threshold)
-    return scores.groupBy("key", "no").agg(F.min(F.struct((-F.col("score")).alias("low"), "licence")).alias("best")).select(
-        "key", "no", F.col("best.licence").alias("licence"), (-F.col("best.low")).alias("score")
+
+
+def notices(found: DataFrame) -> DataFrame:
+    """(key, n_notices): matching lines and runs. A run counts if it scores above all its lines, once for runs that
+    overlap; a line counts outside of such runs."""
+    span = F.struct("first", "last", "score")
+    spans = found.filter("first >= 0").groupBy("key").agg(
+        F.array_compact(F.collect_list(F.when(F.col("first") == F.col("last"), span))).alias("single"),
+        F.array_sort(F.array_compact(F.collect_list(F.when(F.col("first") < F.col("last"), span)))).alias("runs"),
     )
+    within = lambda i, r: i["first"].between(r["first"], r["last"])
+    spans = spans.withColumn("runs", F.filter("runs", lambda r: ~F.exists("single", lambda i: within(i, r) & (i["score"] >= r["score"]))))
+    alone = F.filter("single", lambda i: ~F.exists("runs", lambda r: within(i, r)))
+    start = F.struct(F.lit(-1).alias("reach"), F.lit(0).alias("n"))
+    count = F.aggregate("runs", start, lambda a, r: F.struct(F.greatest(a["reach"], r["last"]).alias("reach"), (a["n"] + (r["first"] > a["reach"]).cast("int")).alias("n")))
+    return spans.select("key", (F.size(alone) + count["n"]).alias("n_notices"))
 
 
 def ancestors(path: Column) -> Column:
@@ -126,7 +207,7 @@ def inherited(files: DataFrame, licence_files: DataFrame) -> DataFrame:
 
 
 def scan_licences(
-    files: DataFrame, *, id_col: str, text_col: str, path: Column, templates: tuple = TEMPLATES, threshold: float = THRESHOLD, file_names: str = FILE_NAMES
+    files: DataFrame, *, id_col: str, text_col: str, path: Column, templates: tuple | None = None, threshold: float = THRESHOLD, file_names: str = FILE_NAMES
 ) -> DataFrame:
     """(id, path, n_notices, own_licence, own_score, is_licence_file, licence, from_directory) per row of `files`.
 
@@ -134,14 +215,11 @@ def scan_licences(
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = files.select(F.col(id_col).alias("id"), path.alias("path"), text.alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", "path", "text"))
-    line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("no"), x.alias("unit")))
-    units = rows.select("key", F.inline(F.concat(F.array(F.struct(F.lit(-1).alias("no"), F.col("text").alias("unit"))), line)))
-    lines = rows.select(F.explode(F.split("text", "\n")).alias("unit"))
-    found = settle(matches(units.filter("unit <> ''"), lines.filter("unit <> ''"), templates, threshold))
+    counts = settle(line_counts(rows.select(F.explode(F.split("text", "\n")).alias("unit"))))
+    found = settle(matches(rows.select("key", "text"), counts, (*TEMPLATES, *HEADERS, *licence_texts()) if templates is None else templates, threshold))
     own = found.groupBy("key").agg(
-        F.count_if(F.col("no") >= 0).alias("n_notices"), F.min(F.struct((-F.col("score")).alias("low"), "licence")).alias("best"),
-        F.max(F.col("no") < 0).alias("whole"),
-    )
+        F.min(F.struct((-F.col("score")).alias("low"), "licence")).alias("best"), F.max(F.col("first") < 0).alias("whole"),
+    ).join(notices(found), "key", "left")
     own = own.select("key", "n_notices", F.col("best.licence").alias("own_licence"), (-F.col("best.low")).alias("own_score"), "whole")
     thin = settle(rows.select("id", "path", "key").join(own, "key", "left"))
     named = F.coalesce(F.regexp_extract("path", "[^/]*$", 0).rlike(file_names), F.lit(False))
