@@ -1,8 +1,8 @@
 """Licence scans: TF-IDF cosine of notices, headers and licence files to templates, then inheritance by directory.
 
 Units are every line, the runs of adjoining lines that begin at a paragraph or at a line with a telling word (see
-`RUNS`), and every whole text. Template words weigh ln(lines / lines with the word) + 1 over the whole corpus,
-others like a word of no line. A unit reaches the threshold with a template only if it holds one of the words that carry more than 1 -
+`RUNS`), and every whole text. Word weights are ln(lines / lines with the word) + 1 over the whole corpus, for all
+words. A unit reaches the threshold with a template only if it holds one of the words that carry more than 1 -
 threshold ** 2 of the template's squared norm, its anchors; texts and units without any are left out. The others are
 multiplied with the template vectors; those that would pass if their other words had the least weight there is get the
 true norm in a join with the words' line counts. A file without a notice takes the licence of the nearest directory
@@ -166,7 +166,7 @@ def matches(texts: DataFrame, counts: DataFrame, templates: tuple, threshold: fl
     near = dots.join(sums, unit).filter(F.col("dot") >= threshold * F.sqrt(F.col("inner") + F.col("least")) * (1 - 1e-9))
     near = settle(near.select(*unit, "licence", "dot", "inner", "least"))
     other = words.join(near.filter(F.col("least") > 0).select(*unit).distinct(), unit, "left_semi").join(weights, "word", "left_anti")
-    idf = F.lit(math.log(whole) + 1)
+    idf = F.log(F.lit(float(whole)) / (1 + F.col("lines"))) + 1
     other = other.join(counts, "word").groupBy(*unit).agg(F.sum(F.pow(F.col("n") * idf, F.lit(2))).alias("outer"))
     scores = near.join(other, unit, "left").select(*unit, "licence", F.round(F.col("dot") / F.sqrt(F.col("inner") + F.coalesce("outer", F.lit(0.0))), DIGITS).alias("score"))
     return scores.filter(F.col("score") >= threshold).groupBy(*unit).agg(F.min(F.struct((-F.col("score")).alias("low"), "licence")).alias("best")).select(

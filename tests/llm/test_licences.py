@@ -1,4 +1,7 @@
+import math
+import re
 import textwrap
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -40,3 +43,28 @@ def test_real_licence_files_and_wrapped_headers(spark):
     assert not any(found[at + i].is_licence_file for i in range(len(headers)))
     assert found[at + len(headers)].own_licence == headers[2][0] and found[at + len(headers) + 1].n_notices == 2
     assert all(found[i].own_licence is None and found[i].n_notices == 0 for i in range(at + len(headers) + 2, len(texts)))
+
+
+def test_every_word_has_the_weight_of_its_line_count(spark):
+    notice = "Use of this source code is governed by a BSD-style license that can be"
+    crowd = [f"it can be that {prose(i, 3)}" for i in range(400)]
+    texts = [notice, *crowd, *(f"Licensed under the Apache License, Version 2.0. {prose(900 + i, 2)}" for i in range(50))]
+    got = scan(spark, texts)[0]
+    words = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
+    held = Counter(w for t in texts for w in set(words(t)))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + held[w])) + 1
+    vector = lambda t: {w: n * idf(w) for w, n in Counter(words(t)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    unit, best = vector(notice), 0
+    for licence, text in (*li.TEMPLATES, *li.HEADERS, *li.licence_texts()):
+        other = vector(text)
+        best = max(best, sum(x * other.get(w, 0) for w, x in unit.items()) / norm(unit) / norm(other))
+    assert got.own_licence == "BSD-3-Clause" and math.isclose(got.own_score, best, abs_tol=2e-9)
+
+
+def test_common_words_do_not_push_a_notice_out(spark):
+    notice = "Use of this source code is governed by a BSD-style license that can be"
+    crowd = [f"that can be {prose(i, 4)}" for i in range(300)]
+    more = [f"that can be {prose(2_000 + i, 4)}" for i in range(600)] + ["Use of this source code is governed by a BSD-style license."] * 100
+    alone, among = scan(spark, [notice, *crowd])[0].own_score, scan(spark, [notice, *crowd, *more])[0].own_score
+    assert alone >= li.THRESHOLD and among >= li.THRESHOLD
