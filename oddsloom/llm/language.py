@@ -41,13 +41,13 @@ TABLE_BITS = 18
 #: A word of the sample is in the lexicon from this count on.
 LEXICON_COUNT = 5
 UNKNOWN = "und"
-#: Below this score a text is taken to be in no learned language.
+#: Below this mean confidence of its words a text is taken to be in no learned language.
 LEAST_SCORE = 0.35
 #: Words of a block of a chain.
 BLOCK = 64
 SLICE_BYTES = 1 << 19
 
-_GUESS = StructType().add("id", "long").add("lang_pred", "string").add("score", "double")
+_GUESS = StructType().add("id", "long").add("lang_pred", "string").add("score", "double").add("confidence", "double")
 
 
 def _letter_table() -> np.ndarray:
@@ -317,19 +317,21 @@ def _predict(model, schema: pa.Schema):
                 n = len(offsets) - 1
                 words = Letters.of(data, offsets)
                 some = np.flatnonzero(np.diff(words.before) > 0) if m else np.zeros(0, int)
-                names, scores = np.full(n, UNKNOWN, object), np.zeros(n)
+                names, scores, sure = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
                 if len(some):
                     likely = m.probabilities(words)
                     sums = np.add.reduceat(likely, words.before[some]) / np.diff(words.before)[some, None]
                     names[some] = np.array(m.labels, object)[sums.argmax(axis=1)]
                     scores[some] = np.clip(sums.max(axis=1), 0, 1)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, n), pa.array(names, pa.string()), pa.array(scores)], schema=schema)
+                    # Of each word's own likeliest language, so that a text in many languages loses nothing.
+                    sure[some] = np.clip(np.add.reduceat(likely.max(axis=1), words.before[some]) / np.diff(words.before)[some], 0, 1)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, n), pa.array(names, pa.string()), pa.array(scores), pa.array(sure)], schema=schema)
 
     return run
 
 
 def _accept(model, text_col: str, least: float):
-    """The rows whose text has a language, decided on Arrow batches of all columns."""
+    """The rows whose words fit learned languages, one or several, decided on Arrow batches of all columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(_GUESS)
@@ -337,7 +339,7 @@ def _accept(model, text_col: str, least: float):
             ids = pa.array(np.arange(len(batch)))
             keep = np.zeros(len(batch), bool)
             for guess in _predict(model, schema)(iter([pa.RecordBatch.from_arrays([ids, batch.column(text_col)], names=["id", "text"])])):
-                sure = (np.array(guess.column("lang_pred").to_pylist(), object) != UNKNOWN) & (guess.column("score").to_numpy() >= least)
+                sure = (np.array(guess.column("lang_pred").to_pylist(), object) != UNKNOWN) & (guess.column("confidence").to_numpy() >= least)
                 keep[guess.column("id").to_numpy()] = sure
             yield batch.filter(pa.array(keep))
 
@@ -370,7 +372,7 @@ def _share(docs: DataFrame, model: Model | None):
 
 
 def accepted(docs: DataFrame, model: Model | None, *, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of `docs` with a language, with all their columns; in one narrow pass."""
+    """The rows of `docs` whose words have a mean confidence of `least`, with all their columns; in one narrow pass."""
     return docs.mapInArrow(_accept(_share(docs, model), text_col, least), docs.schema)
 
 
