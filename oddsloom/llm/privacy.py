@@ -1,12 +1,12 @@
 """Personal data in texts, and the words around it that give it away.
 
 Base spans are matches of four patterns. The information-theoretic step asks which other words reveal an entity
-(a base value that several documents hold): over the whole corpus, a word within `CONTEXT` words of an entity
-in at least `SUPPORT` documents discloses it when their pointwise mutual information reaches the share `ALPHA`
-of the entity's information content, PMI(t, e) >= ALPHA * IC(e), that is P(e | t) >= P(e) ** (1 - ALPHA). Near
-the entity such a word is generalised to its stem of `STEM` letters if the stem does not disclose the entity,
-and removed otherwise. Document counts of words cover all documents; only words that can matter are counted,
-picked by a bitmap of fixed size and then exactly.
+(a base value that several documents hold): over the whole corpus, a word that stands in at least `SUPPORT` documents
+of an entity, anywhere in their texts, discloses it when their pointwise mutual information reaches the share `ALPHA`
+of the entity's information content, PMI(t, e) >= ALPHA * IC(e), that is P(e | t) >= P(e) ** (1 - ALPHA). Wherever
+such a word stands, also in documents that lack the entity, it is generalised to its stem of `STEM` letters if the stem
+does not disclose the entity, and removed otherwise. Document counts of words cover all documents; only words that can
+matter are counted, picked by a bitmap of fixed size and then exactly, and so are the places of disclosing words.
 
 Nulls: a null text is empty; a null id is kept. Repeated rows count as documents and get equal spans. Other
 columns are ignored. No rows: no rows. Digit runs of any length are read whole, in linear time.
@@ -31,7 +31,6 @@ from oddsloom.llm.words import text_slices
 from oddsloom.session import settle
 
 ALPHA = 0.9
-CONTEXT = 50
 SUPPORT = 2
 STEM = 4
 #: Bits of the word screen: 8 MB, whatever the number of words.
@@ -51,7 +50,8 @@ _BASE = (
     StructType().add("id", "long").add("h", "long").add("n_email", "long").add("n_ip", "long").add("n_card", "long").add("n_phone", "long")
     .add("base", "string").add("entities", ArrayType(LongType()))
 )
-_NEAR = StructType().add("id", "long").add("h", "long").add("entity", "long").add("term", "long").add("stem", "long").add("start", "long").add("end", "long")
+_HELD = StructType().add("id", "long").add("h", "long").add("entity", "long").add("term", "long").add("stem", "long")
+_PLACE = StructType().add("id", "long").add("h", "long").add("term", "long").add("start", "long").add("end", "long")
 _COUNT = StructType().add("term", "long").add("docs", "long")
 
 
@@ -156,28 +156,47 @@ def _hashes(words: Letters) -> tuple[np.ndarray, np.ndarray]:
     return words.hashes().view(np.int64), np.where(words.length > STEM, stems, 0).astype(np.uint64).view(np.int64)
 
 
-def _near(context: int, schema: pa.Schema):
-    """The words around each base span, outside all of them."""
+def _free(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, ...]:
+    """`terms_of` a text outside its base spans."""
+    term, stem, start, end = terms_of(text)
+    free = np.ones(len(term), bool)
+    for _, a, b in spans:
+        free[np.searchsorted(end, a, "right") : np.searchsorted(start, b)] = False
+    return tuple(x[free] for x in (term, stem, start, end))
 
-    def rows_of(id_, h, text: str) -> set[tuple]:
-        spans = base_spans(text)
-        term, stem, start, end = terms_of(text)
-        free = np.ones(len(term), bool)
-        for _, a, b in spans:
-            free[np.searchsorted(end, a, "right") : np.searchsorted(start, b)] = False
-        term, stem, start, end = (x[free] for x in (term, stem, start, end))
-        out = set()
-        for kind, a, b in spans:
-            entity, here = entity_hash(kind, text[a:b]), np.searchsorted(start, a)
-            part = slice(max(0, here - context), here + context)
-            out.update((id_, h, entity, *x) for x in zip(*(v[part].tolist() for v in (term, stem, start, end))))
-        return out
+
+def _held(schema: pa.Schema):
+    """The different words of each text with each of its entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for id_, h, text in zip(*(batch.column(k).to_pylist() for k in ("id", "h", "text")), strict=True):
-                if rows := rows_of(id_, h, text or ""):
-                    yield _batch(list(rows), schema)
+                spans = base_spans(text or "")
+                term, stem, _, _ = _free(text or "", spans)
+                term, first = np.unique(term, return_index=True)
+                for entity in sorted({entity_hash(k, text[a:b]) for k, a, b in spans}) if len(term) else ():
+                    same = [pa.array([v] * len(term), pa.int64()) for v in (id_, h, entity)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(term), pa.array(stem[first])], schema=schema)
+
+    return run
+
+
+def _places(screen, schema: pa.Schema):
+    """Where words of the screen stand, outside base spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(screen.value, np.uint8)
+        for batch in batches:
+            ids, hashes = batch.column("id").to_pylist(), batch.column("h").to_pylist()
+            for row, data, offsets in text_slices(batch.column("text"), SLICE_BYTES):
+                words = Letters.of(data, offsets)
+                hit = in_bitmap(_hashes(words)[0], bits)
+                for i in np.unique(np.searchsorted(words.before, np.flatnonzero(hit), "right") - 1):
+                    text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
+                    term, _, start, end = _free(text, base_spans(text))
+                    on = in_bitmap(term, bits)
+                    same = [pa.array([v] * int(on.sum()), pa.int64()) for v in (ids[row + i], hashes[row + i])]
+                    yield pa.RecordBatch.from_arrays([*same, *(pa.array(x[on], pa.int64()) for x in (term, start, end))], schema=schema)
 
     return run
 
@@ -203,9 +222,8 @@ def _document_counts(screen, schema: pa.Schema):
     return run
 
 
-def disclosing(near: DataFrame, texts: DataFrame, entity_docs: DataFrame, documents: int, *, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, action) of the words to generalise or remove."""
-    seen = near.groupBy("entity", "term", "stem", "id", "h").agg(F.first("copies").alias("copies"))
+def disclosing(seen: DataFrame, texts: DataFrame, entity_docs: DataFrame, documents: int, *, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """(entity, term, action) of the words to generalise or remove; `seen` has a row per document, entity and word."""
     joint = settle(seen.groupBy("entity", "term", "stem").agg(F.sum("copies").alias("joint")).filter(F.col("joint") >= support))
     stems = seen.filter("stem <> 0").join(joint.select("entity", "stem").distinct(), ["entity", "stem"], "left_semi")
     stems = stems.select("entity", "stem", "id", "h", "copies").distinct().groupBy("entity", "stem").agg(F.sum("copies").alias("stem_joint"))
@@ -225,7 +243,7 @@ def disclosing(near: DataFrame, texts: DataFrame, entity_docs: DataFrame, docume
 
 
 def find_private(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, context: int = CONTEXT, support: int = SUPPORT
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT
 ) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) per row of `docs`."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -239,13 +257,16 @@ def find_private(
     where = settle(shared.select("id", "h", "copies").distinct())
     # Texts that hold a shared entity; a text that several rows share under one id is read once.
     met = screened(texts, F.col("h"), where, "h").dropDuplicates(["id", "h"])
-    near = met.mapInArrow(_near(context, to_arrow_schema(_NEAR)), _NEAR)
-    on = near["id"].eqNullSafe(where["id"]) & (near["h"] == where["h"])
-    near = near.join(where, on, "left_outer").select(near["*"], "copies").filter("copies is not null")
-    near = settle(near.join(entity_docs.select("entity"), "entity", "left_semi"))
-    bad = disclosing(near, texts, entity_docs, documents, alpha=alpha, support=support)
-    # A word near several entities is removed if one of them asks for it.
-    marks = near.join(bad, ["entity", "term"]).groupBy("id", "h", "start", "end").agg(F.max("action").alias("action"))
+    seen = met.mapInArrow(_held(to_arrow_schema(_HELD)), _HELD)
+    on = seen["id"].eqNullSafe(where["id"]) & (seen["h"] == where["h"])
+    seen = seen.join(where, on, "left_outer").select(seen["*"], "copies").filter("copies is not null")
+    seen = settle(seen.join(entity_docs.select("entity"), "entity", "left_semi"))
+    bad = disclosing(seen, texts, entity_docs, documents, alpha=alpha, support=support)
+    # A word of several entities is removed if one of them asks for it.
+    told = settle(bad.groupBy("term").agg(F.max("action").alias("action")))
+    screen = docs.sparkSession.sparkContext.broadcast(bitmap(told, "term", SCREEN_BITS))
+    marks = texts.mapInArrow(_places(screen, to_arrow_schema(_PLACE)), _PLACE).join(told, "term")
+    marks = marks.select("id", "h", "start", "end", "action").distinct()
     lists = marks.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("action", "start", "end"))).alias("marks"))
     more = lists.select(
         F.col("id").alias("m_id"), F.col("h").alias("m_h"), F.array_join(F.transform("marks", lambda m: F.concat_ws(":", m["action"], m["start"], m["end"])), ",").alias("more")
