@@ -230,7 +230,8 @@ def disclosing(seen: DataFrame, texts: DataFrame, entity_docs: DataFrame, docume
     wanted = settle(joint.select("term").union(joint.filter("stem <> 0").select("stem")).distinct())
     screen = texts.sparkSession.sparkContext.broadcast(bitmap(wanted, "term", SCREEN_BITS))
     counts = texts.select("text").mapInArrow(_document_counts(screen, to_arrow_schema(_COUNT)), _COUNT)
-    counts = settle(counts.groupBy("term").agg(F.sum("docs").alias("docs")).join(wanted, "term", "left_semi"))
+    # Not a semi-join, which would be moved ahead of the sum and meet a row per slice of texts.
+    counts = settle(counts.groupBy("term").agg(F.sum("docs").alias("docs")).join(wanted, "term"))
     limit = F.pow(F.col("entity_docs") / float(max(documents, 1)), F.lit(1 - alpha))
     bad = (
         joint.join(entity_docs, "entity").join(counts, "term").filter(F.col("joint") / F.col("docs") >= limit)
