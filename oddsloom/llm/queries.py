@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oddsloom.llm.collocations import collocations
 from oddsloom.llm.common import QUERIES, read, register  # noqa: F401
 from oddsloom.llm.embedding_dedup import embedding_dedup
 from oddsloom.llm.exact_dedup import exact_dedup, halves
@@ -194,3 +195,32 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_suffix_dedup")
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+
+
+COLLOCATION_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                      '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f1 AS (SELECT lang, w[i] AS phrase, count(*) AS f FROM g GROUP BY ALL),
+f2 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM g WHERE i + 1 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f FROM g WHERE i + 2 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+inside AS (SELECT lang, x, y, max(f) AS longer FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+c AS (
+  SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, f2.f AS a, 1 AS k, f2.x AS first, f2.y AS rest FROM f2
+  LEFT JOIN inside s ON s.lang = f2.lang AND s.x = f2.x AND s.y = f2.y WHERE s.longer IS NULL OR 100 * s.longer < 50 * f2.f
+  UNION ALL SELECT lang, x || ' ' || y || ' ' || z, f, 1, x, y || ' ' || z FROM f3
+  UNION ALL SELECT lang, x || ' ' || y || ' ' || z, f, 2, x || ' ' || y, z FROM f3),
+parts AS (SELECT lang, phrase, f FROM f1 UNION ALL SELECT lang, x || ' ' || y, f FROM f2),
+s AS (SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM c JOIN parts l ON l.lang = c.lang AND l.phrase = c.first JOIN parts r ON r.lang = c.lang AND r.phrase = c.rest),
+b AS (SELECT lang, phrase, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM s) WHERE o = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT t.lang, t.rank, t.phrase, t.a, t.l, t.r, n.n, t.score FROM t JOIN n ON n.lang = t.lang WHERE t.rank <= 2000
+"""
+
+
+@register("op13_collocations", COLLOCATION_SQL)
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
