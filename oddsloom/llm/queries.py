@@ -15,6 +15,7 @@ from oddsloom.llm.minhash import near_duplicates
 from oddsloom.llm.mixing import mix
 from oddsloom.llm.packing import pack
 from oddsloom.llm.privacy import find_private
+from oddsloom.llm.secrets import BASE, MORE, secret_report
 from oddsloom.llm.suffix_dedup import remove_repeats
 from oddsloom.llm.warc import round_trip
 
@@ -224,3 +225,31 @@ SELECT t.lang, t.rank, t.phrase, t.a, t.l, t.r, n.n, t.score FROM t JOIN n ON n.
 @register("op13_collocations", COLLOCATION_SQL)
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read(spark, sf_dir, "documents"))
+
+
+def _secret_sql() -> str:
+    # The base kinds as they are worded, their lengths asked for afterwards.
+    rules = [(BASE[0].kind, BASE[0].pattern, 12, 2), ("access", "AKIA[A-Z0-9]+", 18, 0), ("hex", "[0-9a-f]+", 16, 0)]
+    rules += [(rule.kind, rule.pattern, rule.least, rule.group) for rule in MORE]
+    quoted = lambda p: p.replace("'", "''")
+    found = " UNION ALL ".join(
+        f"""SELECT rid, {k} AS no, '{kind}' AS kind, m, sum(length(g) + length(m)) OVER (PARTITION BY rid ORDER BY i) AS upto,
+               length(regexp_extract(m, '{quoted(p)}', {group})) >= {least} AS fits
+        FROM (SELECT rid, unnest(m) AS m, unnest(g[1:len(m)]) AS g, unnest(range(1, len(m) + 1)) AS i
+              FROM (SELECT rid, regexp_extract_all(text, '{quoted(p)}') AS m, string_split_regex(text, '{quoted(p)}') AS g FROM d) WHERE len(m) > 0)"""
+        for k, (kind, p, least, group) in enumerate(rules)
+    )
+    return f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+    f AS ({found}),
+    s AS (SELECT rid, no, upto - length(m) AS start, kind || ':' || CAST(upto - length(m) AS BIGINT) || ':' || CAST(upto AS BIGINT) AS span FROM f WHERE fits),
+    a AS (SELECT rid, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+                 string_agg(span, ',' ORDER BY start, no) FILTER (no < 3) AS base, string_agg(span, ',' ORDER BY start, no) AS spans FROM s GROUP BY rid)
+    SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN a ON a.rid = d.rid"""
+
+
+@register("op12_secrets", _secret_sql())
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(read(spark, sf_dir, "documents"))
