@@ -17,6 +17,7 @@ from oddsloom.llm.packing import pack
 from oddsloom.llm.privacy import find_private
 from oddsloom.llm.secrets import BASE, MORE, secret_report
 from oddsloom.llm.suffix_dedup import remove_repeats
+from oddsloom.llm.vector_codes import compress
 from oddsloom.llm.warc import round_trip
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -253,3 +254,35 @@ def _secret_sql() -> str:
 @register("op12_secrets", _secret_sql())
 def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read(spark, sf_dir, "documents"))
+
+
+def _code_sql() -> str:
+    # A chain of tables: each round's codebooks, then the assignment they give.
+    steps = ["""
+    v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, vec_id, label,
+             list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    w AS (SELECT len(e) // 8 AS w FROM v WHERE rid = 1),
+    x AS MATERIALIZED (SELECT rid, vec_id, label, p, e[p * w + 1 : (p + 1) * w] AS x FROM v, w, range(8) t(p)),
+    b0 AS MATERIALIZED (SELECT p, rid - 1 AS k, x AS c FROM x WHERE rid <= 16)"""]
+    for t in range(7):
+        steps.append(f"""
+    a{t} AS MATERIALIZED (SELECT rid, p, d // 16 AS d, d % 16 AS k FROM (
+      SELECT x.rid, x.p, min(16 * list_sum(list_transform(list_zip(x.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT + b.k) AS d
+      FROM x JOIN b{t} b ON b.p = x.p GROUP BY x.rid, x.p))""")
+        if t < 6:
+            steps.append(f"""
+    m{t} AS (SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+      SELECT a.p, a.k, i, sum(x.x[i])::HUGEINT AS s, count(*) AS n FROM a{t} a JOIN x ON x.rid = a.rid AND x.p = a.p, w, range(1, w + 1) r(i) GROUP BY ALL) GROUP BY p, k),
+    b{t + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.c::BIGINT[], b.c) AS c FROM b{t} b LEFT JOIN m{t} m ON m.p = b.p AND m.k = b.k)""")
+    return "WITH " + ",".join(steps) + """,
+    c AS (SELECT rid, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY rid),
+    l AS (SELECT v.label, sum(c.error)::BIGINT AS label_error FROM c JOIN v ON v.rid = c.rid GROUP BY v.label),
+    h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b6)
+    SELECT v.vec_id, v.label, c.code, c.error, l.label_error, h.codebooks_sha256
+    FROM v JOIN c ON c.rid = v.rid JOIN l ON l.label IS NOT DISTINCT FROM v.label, h"""
+
+
+@register("op11_vector_codes", _code_sql())
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(read(spark, sf_dir, "embeddings"))
