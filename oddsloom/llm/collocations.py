@@ -3,12 +3,14 @@
 Every word of a piece of text opens one window of the longest order, made of lead columns and padded with null
 behind the piece's end. Only these windows are counted. The count of a shorter phrase is the sum over the windows
 it begins, so Spark's ROLLUP over (language, word 1, word 2, ...) sums them all; no shorter n-gram is ever spelled out.
-Windows rarer than `min_count` lose their last word before that: they cannot be phrases, and only their prefixes
-still count.
+
+Most windows hold a pair of words that is too rare for any phrase. A first pass counts pairs by hash, up to `min_count`, in a
+table of fixed size; windows end before a pair whose whole slot is rarer than that, and windows rarer than `min_count` lose
+their last word ahead of ROLLUP. Neither changes the count of a phrase that reaches `min_count`: all its pairs do. With many
+more pairs than slots (2^26) the screen lets everything through, and the shuffle grows to all windows.
 
 A candidate is cut after each of its words; the cut with the lowest score a * a / (l * r) decides. Products are
-decimals of 38 digits, exact for phrases seen up to a million million times. A candidate inside a longer phrase that
-accounts for `absorb` per cent of it is dropped.
+decimals of 38 digits. A candidate inside a longer phrase that accounts for `absorb` per cent of it is dropped.
 
 Windows are counted in the map tasks before they are shuffled by all their words, so a frequent word is no hot key.
 The joins on parts of candidates have one row on one side; Spark splits a skewed other side. The last ranking keeps
@@ -21,47 +23,174 @@ columns, and the document ids, are ignored. Texts without a repeated phrase, or
 
 from __future__ import annotations
 
-import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddsloom.llm.words import mix64, span_hashes, text_slices, word_spans
 from oddsloom.session import settle
 
-#: Characters that end a piece, and a word inside a piece.
-BREAKS = r"[.,;:!?\x0A-\x0D]"
-WORD = r"[^\x20\x09]+"
 LONGEST = 3
 MIN_COUNT = 10
 ABSORB = 50
 TOP = 2000
 SCALE = 1_000_000
-
-
-def pieces(text: Column) -> Column:
-    """Pieces of a text with its ASCII letters in lower case."""
-    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.split(lower, BREAKS)
-
-
-def windows(docs: DataFrame, longest: int, *, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, w1, ..., w`longest`): the words from each word on, null behind the end of its piece."""
-    spread = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.explode(pieces(F.col(text_col))).alias("piece"))
-    words = spread.select("lang", F.regexp_extract_all("piece", F.lit(WORD), F.lit(0)).alias("w")).filter(F.size("w") > 0)
-    leads = [F.slice("w", k + 1, F.size("w")) for k in range(longest)]
-    return words.select("lang", F.inline(F.arrays_zip(*leads)).alias(*_names(longest)))
+#: Slots of the pair screen (a bit each once summed, 8 MB), and slots of a row of it.
+SCREEN_BITS = 26
+_BLOCK_BITS = 12
+#: Bytes of text whose windows are counted together ahead of Spark.
+SLICE_BYTES = 1 << 22
+
+#: Bytes that end a piece, and a word inside a piece; small letters of the ASCII capitals.
+_BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
+_BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
+_GAP[[0x20, 0x09]] = True
+_GAP |= _BREAK
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+
+def _words(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(distinct words, word codes, language of each word, piece of each word, hash of each word with its language)."""
+    langs = batch.column("lang").fill_null("und").dictionary_encode()
+    codes, names = langs.indices.to_numpy(zero_copy_only=False), langs.dictionary
+    for row, data, offsets in text_slices(batch.column("text"), SLICE_BYTES):
+        data = _LOWER[data]
+        starts, ends, before = word_spans(data, offsets, _GAP)
+        if not len(starts):
+            continue
+        owner = np.repeat(np.arange(len(before) - 1), np.diff(before))
+        # Both terms grow along the words; the sum changes where a break or a new text lies between two of them.
+        piece = np.cumsum(_BREAK[data])[starts] + owner
+        at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+        flat = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(data[~_GAP[data]])).dictionary_encode()
+        lang = codes[row + owner]
+        seeds = np.array([span_hashes(np.frombuffer(x, np.uint8), *np.array([[0], [len(x)]]))[0] for x in (str(n).encode() for n in names)], np.uint64)
+        word = flat.indices.to_numpy(zero_copy_only=False)
+        spelled = flat.dictionary
+        edges = np.frombuffer(spelled.buffers()[1], np.int32)[: len(spelled) + 1].astype(np.int64)
+        hashes = span_hashes(np.frombuffer(spelled.buffers()[2], np.uint8)[: edges[-1]], edges[:-1], edges[1:])
+        yield spelled, word, lang, piece, mix64(hashes[word] + seeds[lang])
+
+
+def _slots(piece: np.ndarray, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word has a next one in its piece, and the slot of that pair."""
+    paired = np.zeros(len(piece), bool)
+    paired[:-1] = piece[1:] == piece[:-1]
+    after = np.roll(hashes, -1)
+    return paired, (mix64(hashes * np.uint64(3) + after) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _tally(min_count: int, bits: int):
+    """Counts of pairs per slot, up to `min_count`, as one row per block of slots that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, np.uint16)
+        for batch in batches:
+            for _, _, _, piece, hashes in _words(batch):
+                paired, slot = _slots(piece, hashes, bits)
+                held, n = np.unique(slot[paired], return_counts=True)
+                seen[held] = np.minimum(seen[held] + n, min_count)
+        held = np.flatnonzero(seen)
+        blocks, first = np.unique(held >> _BLOCK_BITS, return_index=True)
+        edges = [*first, len(held)]
+        place, n = (held & ((1 << _BLOCK_BITS) - 1)).astype("<u2"), seen[held].astype("<u2")
+        for k in range(0, len(blocks), 1024):
+            cut = [slice(a, b) for a, b in zip(edges[k : k + 1024], edges[k + 1 : k + 1025])]
+            parts = [pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (place, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[k : k + 1024].astype(np.int32)), *parts], names=["block", "place", "n"])
+
+    return run
+
+
+def _full(min_count: int):
+    """The slots of each block that reach `min_count` over all its rows, as bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, place, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                have = sums.setdefault(block, np.zeros(1 << _BLOCK_BITS, np.uint32))
+                where = np.frombuffer(place, "<u2")
+                have[where] = np.minimum(have[where] + np.frombuffer(n, "<u2"), min_count)
+        bits = [np.packbits(x >= min_count, bitorder="little").tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], names=["block", "bits"])
+
+    return run
+
+
+def pair_screen(texts: DataFrame, min_count: int, bits: int) -> np.ndarray:
+    """A bit per slot: whether its pairs together reach `min_count`. The driver sees 2^bits bits."""
+    tallies = texts.mapInArrow(_tally(min_count, bits), "block int, place binary, n binary")
+    blocks = tallies.repartition("block").mapInArrow(_full(min_count), "block int, bits binary")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    width = (1 << _BLOCK_BITS) // 8
+    for block, part in blocks.collect():
+        out[block * width : (block + 1) * width] = np.frombuffer(part, np.uint8)
+    return out
+
+
+def _ahead(values: np.ndarray, k: int) -> np.ndarray:
+    """The value `k` places on; zero behind the end."""
+    return np.concatenate([values[k:], np.zeros(min(k, len(values)), values.dtype)])
+
+
+def _distinct(rows: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct columns of an array and how often each occurs; all but its first row lie in [-1, base - 1)."""
+    if (int(rows[0].max()) + 1) * base ** (len(rows) - 1) < 1 << 63:
+        key = rows[0]
+        for row in rows[1:]:
+            key = key * base + row + 1
+        _, first, n = np.unique(key, return_index=True, return_counts=True)
+        return rows[:, first], n
+    rows = rows[:, np.lexsort(rows[::-1])]
+    first = np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)]))
+    return rows[:, first], np.diff(np.append(first, rows.shape[1]))
+
+
+def _window(longest: int, bits: int, screen):
+    """Distinct windows of a slice with their number; they end before a pair that the screen knows to be rare."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column("lang").fill_null("und").dictionary_encode().dictionary
+            for spelled, word, lang, piece, hashes in _words(batch):
+                paired, slot = _slots(piece, hashes, bits)
+                paired &= (screen.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                columns, goes_on = [word.astype(np.int64)], np.ones(len(word), bool)
+                for k in range(1, longest):
+                    goes_on = goes_on & _ahead(paired, k - 1)
+                    columns.append(np.where(goes_on, _ahead(word, k), -1))
+                rows, n = _distinct(np.stack([lang, *columns]).astype(np.int64), len(spelled) + 1)
+                for a in range(0, len(n), 1 << 14):
+                    part = rows[:, a : a + (1 << 14)]
+                    leads = [spelled.take(pa.array(x, pa.int64(), mask=x < 0)) for x in part[1:]]
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(part[0])), *leads, pa.array(n[a : a + (1 << 14)])], names=["lang", *_names(longest), "n"])
+
+    return run
 
 
 def _names(longest: int) -> list[str]:
     return [f"w{k + 1}" for k in range(longest)]
 
 
+def windows(docs: DataFrame, longest: int, min_count: int, *, text_col: str, lang_col: str, bits: int = SCREEN_BITS) -> DataFrame:
+    """(lang, w1, ..., w`longest`, n): windows and their number in a slice of text. Of those that agree some are told more than once."""
+    texts = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    screen = docs.sparkSession.sparkContext.broadcast(pair_screen(texts, min_count, bits))
+    schema = ", ".join(["lang string", *[f"{w} string" for w in _names(longest)], "n bigint"])
+    return texts.mapInArrow(_window(longest, bits, screen), schema)
+
+
 def phrase_counts(docs: DataFrame, *, longest: int = LONGEST, min_count: int = MIN_COUNT, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, words, f) of every phrase of up to `longest` words seen `min_count` times, and of every language's empty phrase.
 
     The empty phrase counts all word occurrences."""
     names = _names(longest)
-    top = windows(docs, longest, text_col=text_col, lang_col=lang_col).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("n"))
+    top = windows(docs, longest, min_count, text_col=text_col, lang_col=lang_col).groupBy("lang", *names).agg(F.sum("n").alias("n"))
     top = top.withColumn(names[-1], F.when(F.col("n") >= min_count, F.col(names[-1])))
     sums = top.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # Level 2^k - 1 has summed the last k words away; what is left must be unpadded.

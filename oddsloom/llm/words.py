@@ -51,9 +51,9 @@ def text_slices(column: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[tu
         row = to
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word (a run free of ASCII white space), and words before each text."""
-    solid = ~_BLANK[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word (a run free of `blank` bytes, ASCII white space), and words before each text."""
+    solid = ~blank[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     inner = offsets[:-1][offsets[:-1] < len(data)]
