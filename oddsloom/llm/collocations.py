@@ -4,15 +4,18 @@ Every word of a piece of text opens one window of the longest order, made of lea
 behind the piece's end. Only these windows are counted. The count of a shorter phrase is the sum over the windows
 it begins, so Spark's ROLLUP over (language, word 1, word 2, ...) sums them all; no shorter n-gram is ever spelled out.
 
-Most windows hold a pair of words that is too rare for any phrase. A first pass counts pairs by hash, up to `min_count`, in a
-table of fixed size; windows end before a pair whose whole slot is rarer than that, and windows rarer than `min_count` lose
-their last word ahead of ROLLUP. Neither changes the count of a phrase that reaches `min_count`: all its pairs do. With many
-more pairs than slots (2^26) the screen lets everything through, and the shuffle grows to all windows.
+Windows are nearly as many as words, so they travel packed: a task counts those of a stretch of text, sorts them by bucket
+and language, and writes each bucket as one compressed block of lines. A bucket's blocks are added up where they meet, and
+windows rarer than `min_count` lose their last word there, as do pairs: they cannot be phrases, and only their prefixes
+still count. So ROLLUP gets little more than a row per word and per frequent phrase.
+
+The bucket is told by the first word, so that its counts are complete in one place. Words that occur more than `HOT` times
+are dealt by their first two words, and pairs that do by three. A first pass finds them by counting words and pairs in hashed
+slots; slots shared by chance only deal more finely than needed, and pairs that are not complete in one place keep their words.
 
 A candidate is cut after each of its words; the cut with the lowest score a * a / (l * r) decides. Products are
 decimals of 38 digits. A candidate inside a longer phrase that accounts for `absorb` per cent of it is dropped.
 
-Windows are counted in the map tasks before they are shuffled by all their words, so a frequent word is no hot key.
 The joins on parts of candidates have one row on one side; Spark splits a skewed other side. The last ranking keeps
 `top` rows a language in each task first.
 
@@ -24,9 +27,13 @@ columns, and the document ids, are ignored. Texts without a repeated phrase, or
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.csv as pv
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +45,17 @@ MIN_COUNT = 10
 ABSORB = 50
 TOP = 2000
 SCALE = 1_000_000
-#: Slots of the pair screen (a bit each once summed, 8 MB), and slots of a row of it.
-SCREEN_BITS = 26
-_BLOCK_BITS = 12
-#: Bytes of text whose windows are counted together ahead of Spark.
-SLICE_BYTES = 1 << 22
+#: Words of a bucket, and buckets at least.
+BUCKET_WORDS, BUCKETS = 1 << 21, 64
+#: Tasks that add up buckets.
+MOST_TASKS = 1 << 15
+#: Occurrences from which a word, or a pair, is dealt over many buckets.
+HOT = 1 << 19
+#: Slots in which words and pairs are counted to find those; a task leaves out slots it saw less often than this.
+SLOT_BITS = 22
+SEEN = 8
+#: Bytes of text whose windows are counted together.
+SLICE_BYTES = 1 << 23
 
 #: Bytes that end a piece, and a word inside a piece; small letters of the ASCII capitals.
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
@@ -76,61 +89,47 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.nda
         yield spelled, word, lang, piece, mix64(hashes[word] + seeds[lang])
 
 
-def _slots(piece: np.ndarray, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each word has a next one in its piece, and the slot of that pair."""
+def _pairs(piece: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word has a next one in its piece, and a hash of that pair."""
     paired = np.zeros(len(piece), bool)
     paired[:-1] = piece[1:] == piece[:-1]
-    after = np.roll(hashes, -1)
-    return paired, (mix64(hashes * np.uint64(3) + after) & np.uint64((1 << bits) - 1)).astype(np.int64)
-
-
-def _tally(min_count: int, bits: int):
-    """Counts of pairs per slot, up to `min_count`, as one row per block of slots that has any."""
+    return paired, mix64(hashes * np.uint64(3) + np.roll(hashes, -1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, np.uint16)
-        for batch in batches:
-            for _, _, _, piece, hashes in _words(batch):
-                paired, slot = _slots(piece, hashes, bits)
-                held, n = np.unique(slot[paired], return_counts=True)
-                seen[held] = np.minimum(seen[held] + n, min_count)
-        held = np.flatnonzero(seen)
-        blocks, first = np.unique(held >> _BLOCK_BITS, return_index=True)
-        edges = [*first, len(held)]
-        place, n = (held & ((1 << _BLOCK_BITS) - 1)).astype("<u2"), seen[held].astype("<u2")
-        for k in range(0, len(blocks), 1024):
-            cut = [slice(a, b) for a, b in zip(edges[k : k + 1024], edges[k + 1 : k + 1025])]
-            parts = [pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (place, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks[k : k + 1024].astype(np.int32)), *parts], names=["block", "place", "n"])
 
-    return run
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
 
-def _full(min_count: int):
-    """The slots of each block that reach `min_count` over all its rows, as bits."""
+def _tally(seen_at_least: int):
+    """(slot, n) of words and pairs that a task saw often enough; slot -1 has its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        seen, words = np.zeros(1 << SLOT_BITS, np.int64), 0
         for batch in batches:
-            for block, place, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                have = sums.setdefault(block, np.zeros(1 << _BLOCK_BITS, np.uint32))
-                where = np.frombuffer(place, "<u2")
-                have[where] = np.minimum(have[where] + np.frombuffer(n, "<u2"), min_count)
-        bits = [np.packbits(x >= min_count, bitorder="little").tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], names=["block", "bits"])
+            for _, _, _, piece, hashes in _words(batch):
+                paired, pair = _pairs(piece, hashes)
+                words += len(hashes)
+                for slots in (_slot(hashes), _slot(pair[paired])):
+                    held, n = np.unique(slots, return_counts=True)
+                    seen[held] += n
+        held = np.flatnonzero(seen >= seen_at_least)
+        slots, n = np.append(held, -1), np.append(seen[held], words)
+        for k in range(0, len(slots), 1 << 14):
+            yield pa.RecordBatch.from_arrays([pa.array(slots[k : k + (1 << 14)]), pa.array(n[k : k + (1 << 14)])], names=["slot", "n"])
 
     return run
 
 
-def pair_screen(texts: DataFrame, min_count: int, bits: int) -> np.ndarray:
-    """A bit per slot: whether its pairs together reach `min_count`. The driver sees 2^bits bits."""
-    tallies = texts.mapInArrow(_tally(min_count, bits), "block int, place binary, n binary")
-    blocks = tallies.repartition("block").mapInArrow(_full(min_count), "block int, bits binary")
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    width = (1 << _BLOCK_BITS) // 8
-    for block, part in blocks.collect():
-        out[block * width : (block + 1) * width] = np.frombuffer(part, np.uint8)
-    return out
+def hot_slots(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Which slots hold more than `HOT` words or pairs, and how many words there are. The driver sees at most 2^22 numbers."""
+    sums = texts.mapInArrow(_tally(SEEN), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    hot, words = np.zeros(1 << SLOT_BITS, bool), 0
+    for slot, n in sums.filter((F.col("slot") < 0) | (F.col("n") > HOT)).collect():
+        if slot < 0:
+            words = n
+        else:
+            hot[slot] = True
+    return hot, words
 
 
 def _ahead(values: np.ndarray, k: int) -> np.ndarray:
@@ -138,37 +137,107 @@ def _ahead(values: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([values[k:], np.zeros(min(k, len(values)), values.dtype)])
 
 
-def _distinct(rows: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct columns of an array and how often each occurs; all but its first row lie in [-1, base - 1)."""
+def _starts(rows: np.ndarray) -> np.ndarray:
+    """Where a column of an array differs from the one before."""
+    return np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)]))
+
+
+def _summed(rows: np.ndarray, n: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct columns of an array, in order, and the sums of their `n`. All but the first row lie in [0, base)."""
     if (int(rows[0].max()) + 1) * base ** (len(rows) - 1) < 1 << 63:
         key = rows[0]
         for row in rows[1:]:
-            key = key * base + row + 1
-        _, first, n = np.unique(key, return_index=True, return_counts=True)
-        return rows[:, first], n
-    rows = rows[:, np.lexsort(rows[::-1])]
-    first = np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)]))
-    return rows[:, first], np.diff(np.append(first, rows.shape[1]))
+            key = key * base + row
+        order = np.argsort(key)
+    else:
+        order = np.lexsort(rows[::-1])
+    rows = rows[:, order]
+    first = _starts(rows)
+    return rows[:, first], np.add.reduceat(n[..., order], first, axis=-1)
 
 
-def _window(longest: int, bits: int, screen):
-    """Distinct windows of a slice with their number; they end before a pair that the screen knows to be rare."""
+def _dealt(hashes: np.ndarray, paired: np.ndarray, pair: np.ndarray, third: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each word's window: by one word, by two if that is hot, by three if the pair is.
+
+    `third` has the hash of the third word where the window has one, else 0. Hot pairs lie in buckets of their own."""
+    two = hot[_slot(hashes)] & paired
+    three = two & hot[_slot(pair)]
+    deal = np.where(three, mix64(pair * np.uint64(5) + third), np.where(two, pair, hashes))
+    return (mix64(deal) % np.uint64(buckets)).astype(np.int64) + three * buckets
+
+
+def _pack(longest: int, buckets: int, hot):
+    """(bucket, lang, block): the windows of a slice with their number, as compressed lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             langs = batch.column("lang").fill_null("und").dictionary_encode().dictionary
             for spelled, word, lang, piece, hashes in _words(batch):
-                paired, slot = _slots(piece, hashes, bits)
-                paired &= (screen.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-                columns, goes_on = [word.astype(np.int64)], np.ones(len(word), bool)
+                paired, pair = _pairs(piece, hashes)
+                # Word k of a window, counted from 1; 0 behind the end of the piece.
+                columns, goes_on = [word + 1], np.ones(len(word), bool)
                 for k in range(1, longest):
                     goes_on = goes_on & _ahead(paired, k - 1)
-                    columns.append(np.where(goes_on, _ahead(word, k), -1))
-                rows, n = _distinct(np.stack([lang, *columns]).astype(np.int64), len(spelled) + 1)
-                for a in range(0, len(n), 1 << 14):
-                    part = rows[:, a : a + (1 << 14)]
-                    leads = [spelled.take(pa.array(x, pa.int64(), mask=x < 0)) for x in part[1:]]
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(part[0])), *leads, pa.array(n[a : a + (1 << 14)])], names=["lang", *_names(longest), "n"])
+                    columns.append(np.where(goes_on, _ahead(word, k) + 1, 0))
+                third = np.where(columns[2] > 0, _ahead(hashes, 2), np.uint64(0)) if longest > 2 else np.zeros(len(word), np.uint64)
+                bucket = _dealt(hashes, paired, pair, third, hot.value, buckets)
+                # Equal windows have equal buckets, so the sum over them is their number of times the bucket.
+                told = np.stack([lang, *columns]).astype(np.int64)
+                rows, both = _summed(told, np.stack([np.ones(len(word), np.int64), bucket]), len(spelled) + 1)
+                n, key = both[0], both[1] // both[0]
+                order = np.lexsort((rows[0], key))
+                rows, n, key = rows[:, order], n[order], key[order]
+                words = [spelled.take(pa.array(x - 1, pa.int64(), mask=x == 0)).fill_null("") for x in rows[1:]]
+                lines = pc.binary_join_element_wise(*words, pc.cast(pa.array(n), pa.string()), " ")
+                lines = pc.binary_join_element_wise(lines, "\n", "").cast(pa.large_string())
+                edges, data = np.frombuffer(lines.buffers()[1], np.int64)[: len(n) + 1], lines.buffers()[2]
+                first = _starts(np.stack([key, rows[0]]))
+                cuts = [*edges[first], edges[-1]]
+                blocks = [packer.compress(data.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:])]
+                for k in range(0, len(first), 256):
+                    at = first[k : k + 256]
+                    columns_ = [pa.array(key[at].astype(np.int32)), langs.take(pa.array(rows[0, at])), pa.array(blocks[k : k + 256], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns_, names=["bucket", "lang", "block"])
+
+    return run
+
+
+def _unpack(longest: int, min_count: int, buckets: int):
+    """The windows of each bucket and language, added up; what is too rare to be a phrase has lost its end."""
+    names = _names(longest)
+    form = pv.ParseOptions(delimiter=" ", quote_char=False, escape_char=False)
+    types = pv.ConvertOptions(column_types={**dict.fromkeys(names, pa.string()), "n": pa.int64()}, strings_can_be_null=False)
+    head = " ".join([*names, "n"]).encode() + b"\n"
+
+    def added(blocks: list[bytes], bucket: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Words, windows as places in them (0 is no word), numbers."""
+        opener = zstandard.ZstdDecompressor()
+        text = head + b"".join(opener.decompress(b) for b in blocks)
+        table = pv.read_csv(pa.py_buffer(text), pv.ReadOptions(use_threads=False, block_size=max(1 << 20, len(text))), form, types)
+        flat = pa.chunked_array([pa.array([""]), *[c for name in names for c in table[name].chunks]]).combine_chunks().dictionary_encode()
+        rows, base = flat.indices.to_numpy(zero_copy_only=False)[1:].astype(np.int64).reshape(longest, -1), len(flat.dictionary)
+        rows, n = _summed(rows, table["n"].to_numpy(), base)
+        for k in range(longest, 1, -1):
+            # A prefix of k words is complete here, but for pairs that were dealt by three.
+            if k > 2 or bucket < buckets:
+                first = _starts(rows[:k])
+                rare = np.repeat(np.add.reduceat(n, first) < min_count, np.diff(np.append(first, len(n))))
+                rows[k - 1 :, rare] = 0
+                rows, n = _summed(rows, n, base)
+        return flat.dictionary, rows, n
+
+    def told(bucket: int, lang: str, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        spelled, rows, n = added(blocks, bucket)
+        for a in range(0, len(n), 1 << 14):
+            part = rows[:, a : a + (1 << 14)]
+            leads = [spelled.take(pa.array(x, mask=x == 0)) for x in part]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * part.shape[1], pa.string()), *leads, pa.array(n[a : a + (1 << 14)])], names=["lang", *names, "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((*key, block) for batch in batches for *key, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "block")), strict=True))
+        for (bucket, lang), group in groupby(rows, key=lambda r: r[:2]):
+            yield from told(bucket, lang, [r[2] for r in group])
 
     return run
 
@@ -177,12 +246,16 @@ def _names(longest: int) -> list[str]:
     return [f"w{k + 1}" for k in range(longest)]
 
 
-def windows(docs: DataFrame, longest: int, min_count: int, *, text_col: str, lang_col: str, bits: int = SCREEN_BITS) -> DataFrame:
-    """(lang, w1, ..., w`longest`, n): windows and their number in a slice of text. Of those that agree some are told more than once."""
+def windows(docs: DataFrame, longest: int, min_count: int, *, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, w1, ..., w`longest`, n): windows and their number. What is rarer than `min_count` may have lost its end; some rows agree."""
     texts = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    screen = docs.sparkSession.sparkContext.broadcast(pair_screen(texts, min_count, bits))
+    hot, words = hot_slots(texts)
+    buckets = max(BUCKETS, words // BUCKET_WORDS)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    packed = texts.mapInArrow(_pack(longest, buckets, shared), "bucket int, lang string, block binary")
+    met = packed.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket", "lang")
     schema = ", ".join(["lang string", *[f"{w} string" for w in _names(longest)], "n bigint"])
-    return texts.mapInArrow(_window(longest, bits, screen), schema)
+    return met.mapInArrow(_unpack(longest, min_count, buckets), schema)
 
 
 def phrase_counts(docs: DataFrame, *, longest: int = LONGEST, min_count: int = MIN_COUNT, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -190,8 +263,7 @@ def phrase_counts(docs: DataFrame, *, longest: int = LONGEST, min_count: int = M
 
     The empty phrase counts all word occurrences."""
     names = _names(longest)
-    top = windows(docs, longest, min_count, text_col=text_col, lang_col=lang_col).groupBy("lang", *names).agg(F.sum("n").alias("n"))
-    top = top.withColumn(names[-1], F.when(F.col("n") >= min_count, F.col(names[-1])))
+    top = windows(docs, longest, min_count, text_col=text_col, lang_col=lang_col)
     sums = top.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # Level 2^k - 1 has summed the last k words away; what is left must be unpadded.
     known = F.lit(False)

@@ -59,25 +59,41 @@ def test_equals_brute_force(spark, longest, min_count, absorb, top):
     assert rows_of(got) == brute(TALK, longest, min_count, absorb, top)
 
 
-@pytest.mark.parametrize("slice_bytes", [64, 1 << 22])
-def test_slices_and_a_small_screen_change_nothing(spark, monkeypatch, slice_bytes):
-    monkeypatch.setattr(co, "SLICE_BYTES", slice_bytes)
-    rows = documents() + [(900 + i, prose(i % 4, 50) + " alpha beta gamma.", "xx", "s") for i in range(12)]
-    got = co.collocations(frame(spark, rows), min_count=3)
-    assert rows_of(got) == brute(rows, 3, 3, 50, 2000)
-    # A screen with 16 slots knows no pair to be rare.
-    full = co.windows(frame(spark, TALK), 3, 2, text_col="text", lang_col="lang", bits=co._BLOCK_BITS)
-    every = full.filter("w1 = 'new' AND w2 = 'york'").agg(F.sum("n")).first()[0]
-    assert every == sum(len(re.findall(r"new[ \t]+york", (t or "").lower())) for _, t, *_ in TALK)
-
-
-def test_distinct_without_room_for_one_key():
+@pytest.mark.parametrize("slice_bytes, hot, buckets", [(64, 1 << 19, 3), (1 << 22, 3, 4), (64, 0, 2), (1 << 22, 0, 1)])
+def test_slices_buckets_and_hot_words_change_nothing(spark, monkeypatch, slice_bytes, hot, buckets):
+    for name, value in (("SLICE_BYTES", slice_bytes), ("HOT", hot), ("BUCKETS", buckets), ("SEEN", 1)):
+        monkeypatch.setattr(co, name, value)
+    rows = documents() + TALK + [(900 + i, prose(i % 4, 50) + " alpha beta gamma.", "xx", "s") for i in range(12)]
+    for longest in (2, 3, 4):
+        got = co.collocations(frame(spark, rows), min_count=3, longest=longest)
+        assert rows_of(got) == brute(rows, longest, 3, 50, 2000)
+
+
+def test_odd_words_survive_packing(spark):
+    odd = ["\ufeff", "\ufeffa", '"', "'", "a\x00b", "\x85", "\u2028", "null", "NULL", "NA", "\\", "#", "1", "\U0001f600", "w1"]
+    rows = [(i, " ".join(odd[k:] + odd[:k]), "l 1\n", "s") for i in range(3) for k in range(len(odd))]
+    assert rows_of(co.collocations(frame(spark, rows), min_count=2)) == brute(rows, 3, 2, 50, 2000)
+
+
+def test_a_hot_word_is_dealt_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(co, "HOT", 200)
+    monkeypatch.setattr(co, "SEEN", 1)
+    text = " ".join(f"the of w{i}" for i in range(600))
+    texts = frame(spark, [(1, text, "xx", "s")]).selectExpr("text", "lang")
+    hot, words = co.hot_slots(texts)
+    assert words == 1800 and 3 <= hot.sum() <= 6
+    packed = texts.mapInArrow(co._pack(3, 64, spark.sparkContext.broadcast(hot)), "bucket int, lang string, block binary")
+    sizes = [len(co.zstandard.ZstdDecompressor().decompress(r.block).splitlines()) for r in packed.collect()]
+    assert sum(sizes) == 1800 and max(sizes) < 60
+
+
+def test_sums_without_room_for_one_key():
     import numpy as np
 
-    rows = np.array([[0, 0, 1, 0], [5, 5, 5, 5], [-1, 7, 7, -1]])
-    small, n = co._distinct(rows, 8)
-    wide, m = co._distinct(rows, 1 << 40)
-    assert small.tolist() == wide.tolist() == [[0, 0, 1], [5, 5, 5], [-1, 7, 7]] and n.tolist() == m.tolist() == [2, 1, 1]
+    rows = np.array([[0, 0, 1, 0], [5, 5, 5, 5], [0, 7, 7, 0]])
+    for base in (8, 1 << 40):
+        held, n = co._summed(rows, np.array([1, 2, 4, 8]), base)
+        assert held.tolist() == [[0, 0, 1], [5, 5, 5], [0, 7, 7]] and n.tolist() == [9, 2, 4]
 
 
 def test_scores_are_exact_beyond_64_bits(spark):
