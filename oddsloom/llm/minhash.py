@@ -14,8 +14,9 @@ pair of blocks is a tile that compares its texts in place and returns a spanning
 its output does not grow with the square of a group. No pair of a bucket that could join two classes is left out.
 
 Nulls: a null text is empty; texts without words are copies of each other; texts of fewer than five words are
-one shingle. Rows without id are left alone: class null, kept. Repeated rows share class and verdict. Other
-columns are ignored. No rows: no rows.
+one shingle. Rows without id are left alone: class null, kept. Rows are told apart by the digest of their words, not by
+id: an id with several texts is in the classes of all of them, and each row has the verdict of its own text. Repeated rows
+share class and verdict. Other columns are ignored. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 SHINGLE_BITS = 48
 
 _SIGNED = StructType().add("id", "long").add("digest", "binary").add("total", "double").add("bands", ArrayType(LongType()))
-_SETS = StructType().add("id", "long").add("shingles", "binary").add("weights", "binary")
+_SETS = StructType().add("doc", "long").add("digest", "binary").add("shingles", "binary").add("weights", "binary")
 #: Running probabilities of 0, 1, 2, ... darts in a unit cell.
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(20)])
 
@@ -128,6 +129,24 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.nda
         yield batch.column("id").slice(row, len(offsets) - 1), span_hashes(data, starts, ends), before
 
 
+def _digests(words: np.ndarray, before: np.ndarray) -> list[bytes]:
+    """Of the words of each text."""
+    raw = words.tobytes()
+    return [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(before[:-1], before[1:])]
+
+
+def _told(text_col: str, schema: pa.Schema):
+    """Rows with the digest of their words behind their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(text_col)
+            found = [d for _, words, before in _words(pa.RecordBatch.from_arrays([pa.nulls(len(batch)), column], names=["id", "text"])) for d in _digests(words, before)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], schema=schema)
+
+    return run
+
+
 def _sign(k: int, counts: bool, bands: int, rows: int, seed: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,12 +154,10 @@ def _sign(k: int, counts: bool, bands: int, rows: int, seed: int, schema: pa.Sch
                 n = len(ids)
                 text, shingle, weight = shingle_sets(words, before, k, counts)
                 signature = dart_minhash(text, shingle, weight, n, bands * rows, seed)
-                raw = words.tobytes()
-                digests = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(before[:-1], before[1:])]
                 flat = pa.array(band_hashes(signature, bands, rows).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(digests, pa.binary()), pa.array(np.bincount(text, weight, n)), lists.cast(schema.field("bands").type)], schema=schema
+                    [ids, pa.array(_digests(words, before), pa.binary()), pa.array(np.bincount(text, weight, n)), lists.cast(schema.field("bands").type)], schema=schema
                 )
 
     return run
@@ -153,7 +170,8 @@ def _gather(k: int, counts: bool, schema: pa.Schema):
                 text, shingle, weight = shingle_sets(words, before, k, counts)
                 cut = np.searchsorted(text, np.arange(len(ids) + 1))
                 sets, weights = ([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])] for x in (shingle, weight.astype("f4")))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary()), pa.array(weights, pa.binary())], schema=schema)
+                found = [pa.array(x, pa.binary()) for x in (_digests(words, before), sets, weights)]
+                yield pa.RecordBatch.from_arrays([ids, *found], schema=schema)
 
     return run
 
@@ -180,16 +198,18 @@ def _check(threshold: float):
     return run
 
 
-def sets_of(ids: DataFrame, texts: DataFrame, k: int, counts: bool) -> DataFrame:
-    """(id, shingles, weights) of some texts; rows that repeat an id hold equal texts."""
-    met = screened(texts, F.col("id"), ids, "id").join(ids, "id", "left_semi")
-    return met.mapInArrow(_gather(k, counts, to_arrow_schema(_SETS)), _SETS)
+def sets_of(ids: DataFrame, texts: DataFrame, places: DataFrame, k: int, counts: bool) -> DataFrame:
+    """(id, shingles, weights) of some representatives; `places` (id, doc, digest) has where each one's text is found."""
+    wanted = settle(places.join(ids, "id", "left_semi"))
+    met = screened(texts, F.col("id"), wanted, "doc").join(wanted.select(F.col("doc").alias("id")), "id", "left_semi")
+    sets = met.mapInArrow(_gather(k, counts, to_arrow_schema(_SETS)), _SETS).drop("doc")
+    return sets.join(wanted.select("id", "digest"), "digest").dropDuplicates(["digest"]).select("id", "shingles", "weights")
 
 
-def near_pairs(pairs: DataFrame, texts: DataFrame, *, threshold: float, k: int, counts: bool) -> DataFrame:
+def near_pairs(pairs: DataFrame, texts: DataFrame, places: DataFrame, *, threshold: float, k: int, counts: bool) -> DataFrame:
     """The candidate pairs (a, b) whose exact similarity reaches the threshold. Only their texts are fetched."""
     ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = settle(sets_of(ids, texts, k, counts))
+    sets = settle(sets_of(ids, texts, places, k, counts))
     one, two = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"), F.col("weights").alias(f"w{x}")) for x in "ab")
     return pairs.join(one, "a").join(two, "b").mapInArrow(_check(threshold), "a long, b long")
 
@@ -244,13 +264,13 @@ def _tile(threshold: float):
     return run
 
 
-def crowded_links(members: DataFrame, texts: DataFrame, *, threshold: float, k: int, counts: bool) -> DataFrame:
+def crowded_links(members: DataFrame, texts: DataFrame, places: DataFrame, *, threshold: float, k: int, counts: bool) -> DataFrame:
     """Links (a, b) across classes in the crowded buckets of `members` (band, nth, id, total, class, bands)."""
     sizes = members.groupBy("band").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
     ids = settle(members.select("id").distinct())
-    sets = settle(sets_of(ids, texts, k, counts))
+    sets = settle(sets_of(ids, texts, places, k, counts))
     dealt = members.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tiles = dealt.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.withColumns({"i": F.least("block", "partner"), "j": F.greatest("block", "partner")})
@@ -258,24 +278,26 @@ def crowded_links(members: DataFrame, texts: DataFrame, *, threshold: float, k:
     return full.groupBy("band", "i", "j").applyInPandas(_tile(threshold), "a long, b long")
 
 
-def near_duplicates(
+def _classified(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE,
     counts: bool = False, bands: int = BANDS, rows: int = ROWS, pivot_rounds: int = PIVOT_ROUNDS, seed: int = SEED,
 ) -> DataFrame:
-    """(doc_id, class_id, class_size, kept) per row of `docs`; a class is named by its smallest id.
-
-    `counts` weighs a shingle by how often the text has it, else every shingle weighs 1."""
+    """(id, digest, class_id, class_size, kept) per row of `docs`; rows without id have no digest."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = settle(texts.mapInArrow(_sign(k, counts, bands, rows, seed, to_arrow_schema(_SIGNED)), _SIGNED))
+    signed = texts.mapInArrow(_sign(k, counts, bands, rows, seed, to_arrow_schema(_SIGNED)), _SIGNED)
+    # A number per row, fixed as soon as it is written; the smallest of a digest names its text.
+    signed = settle(signed.withColumn("row", F.monotonically_increasing_id()))
     named = signed.filter("id is not null")
-    heads = named.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    reps = named.join(heads.select("digest", "rep"), (named["digest"] == heads["digest"]) & (named["id"] == heads["rep"]))
+    heads = named.groupBy("digest").agg(F.min("row").alias("key"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    met = named.join(heads.select("digest", F.col("key").alias("row")), ["digest", "row"])
+    reps = met.select(F.col("row").alias("id"), F.col("id").alias("doc"), "digest", "total", "bands")
+    places = reps.select("id", "doc", "digest")
     spots = reps.filter("total > 0").select(F.posexplode("bands").alias("nth", "band"), "id", "total")
     full = spots.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("band")
-    members = settle(spots.join(full, "band").distinct())
+    members = settle(spots.join(full, "band"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return settle(near_pairs(settle(pairs), texts, threshold=threshold, k=k, counts=counts))
+        return settle(near_pairs(settle(pairs), texts, places, threshold=threshold, k=k, counts=counts))
 
     # A ratio of totals below the threshold rules a pair out.
     alike = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
@@ -308,25 +330,38 @@ def near_duplicates(
     found = verified(cross)
     links = found if links is None else links.union(found)
     crowd = split.join(sizes.filter(F.col("n") > CROWD).select("band"), "band")
-    crowd = settle(crowd.join(reps.select("id", "bands").distinct(), "id"))
-    links = links.union(settle(crowded_links(crowd, texts, threshold=threshold, k=k, counts=counts)))
+    crowd = settle(crowd.join(reps.select("id", "bands"), "id"))
+    links = links.union(settle(crowded_links(crowd, texts, places, threshold=threshold, k=k, counts=counts)))
     class_of = components(links)
-    groups = heads.join(class_of.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_id", F.coalesce("component", "rep"))
-    sizes = groups.groupBy("class_id").agg(F.sum("n").alias("class_size"))
-    classes = groups.join(sizes, "class_id").select("digest", "class_id", "class_size")
+    groups = heads.join(class_of.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("component", "key"))
+    sizes = groups.groupBy("class").agg(F.sum("n").alias("class_size"), F.min(F.struct("rep", "digest")).alias("head"))
+    classes = groups.join(sizes, "class").select(
+        "digest", F.col("head.rep").alias("class_id"), "class_size", (F.col("digest") == F.col("head.digest")).alias("is_head")
+    )
     # Rows without id meet no class.
     keyed = signed.select("id", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest"))
     return keyed.join(classes, "digest", "left").select(
-        F.col("id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"),
-        F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"),
+        "id", "digest", "class_id", F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"),
+        F.coalesce(F.col("is_head") & (F.col("id") == F.col("class_id")), F.lit(True)).alias("kept"),
     )
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns. Ids are expected to be unique, as exact dedup leaves them.
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """(doc_id, class_id, class_size, kept) per row of `docs`; a class is named by its smallest id.
+
+    Rows of that id with the text that comes first by its digest stay. `counts` weighs a shingle by how often the text
+    has it, else every shingle weighs 1."""
+    found = _classified(docs, id_col=id_col, text_col=text_col, **settings)
+    return found.select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
 
-    Only rows whose id may be among the dropped ones are shuffled to meet them."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
-    gone = settle(found.filter("NOT kept").select(F.col(id_col).alias("__gone")))
-    may = screened(docs, F.col(id_col), gone, "__gone").join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    return unscreened(docs, F.col(id_col), gone, "__gone").unionByName(may)
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns. Rows are dropped by id and digest, so that an id may have several texts.
+
+    Only rows whose id may be among the dropped ones are read for their digest and shuffled to meet them."""
+    found = _classified(docs, id_col=id_col, text_col=text_col, **settings)
+    gone = settle(found.filter("NOT kept").select(F.col("id").alias("__gone"), F.col("digest").alias("__of")).distinct())
+    schema = StructType([*docs.schema.fields]).add("__digest", "binary")
+    may = screened(docs, F.col(id_col), gone, "__gone").mapInArrow(_told(text_col, to_arrow_schema(schema)), schema)
+    stay = may.join(gone, (F.col(id_col) == F.col("__gone")) & (F.col("__digest") == F.col("__of")), "left_anti").drop("__digest")
+    return unscreened(docs, F.col(id_col), gone, "__gone").unionByName(stay)

@@ -143,6 +143,29 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, path, counts):
     assert all(r.kept and r.class_id is None for r in found if r.doc_id is None)
 
 
+@pytest.mark.parametrize("counts", [False, True])
+def test_near_duplicates_at_the_registered_settings(spark, counts):
+    base, other = prose(51, 90), prose(52, 70)
+    rows = [(i, edited(base, i, i % 8), "xx", "s") for i in range(40)] + [(100 + i, edited(other, i, i % 7), "xx", "s") for i in range(30)]
+    want = classes_by_force({d: t for d, t, *_ in rows}, counts)
+    assert {r.doc_id: r.class_id for r in mh.near_duplicates(frame(spark, rows), counts=counts).collect()} == want
+
+
+def test_an_id_with_several_texts_loses_none_of_them(spark):
+    a, b, c = prose(61, 80), prose(62, 80), prose(63, 80)
+    rows = [(1, a, "xx", "s"), (5, edited(a, 1, 1), "xx", "s"), (5, b, "xx", "s"), (7, c, "xx", "s"), (7, c, "xx", "s"), (8, edited(c, 2, 1), "xx", "s"),
+            (9, b + " more words at its end", "xx", "s"), (None, a, "xx", "s"), (11, a, "xx", "s"), (11, edited(a, 3, 1), "xx", "s")]
+    kept = mh.drop_near_duplicates(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (5, b), (7, c), (7, c), (None, a)])
+    found = Counter((r.doc_id, r.class_id, r.class_size, r.kept) for r in mh.near_duplicates(frame(spark, rows)).collect())
+    assert found == Counter([(1, 1, 4, True), (5, 1, 4, False), (5, 5, 2, True), (7, 7, 3, True), (7, 7, 3, True), (8, 7, 3, False), (9, 5, 2, False),
+                             (None, None, 1, True), (11, 1, 4, False), (11, 1, 4, False)])
+    # Two texts of the smallest id: the first by its digest stays.
+    two = mh.near_duplicates(frame(spark, [(3, a, "xx", "s"), (3, edited(a, 1, 1), "xx", "s")])).collect()
+    assert sorted(r.kept for r in two) == [False, True]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert mh.near_duplicates(frame(spark, [])).count() == 0
     assert mh.drop_near_duplicates(frame(spark, [(1, None, None, None)])).count() == 1
