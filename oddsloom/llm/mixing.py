@@ -5,8 +5,11 @@ rest; the rest is a hash threshold, found by nested histograms: the bucket in wh
 the rest is the only one that is split further. The choice is then a filter on the hash: nothing is sorted
 or sampled, larger budgets contain smaller ones, and reruns agree.
 
-Nulls: a null text has no words; a null source is a source of its own, last in order; null ids share one
-hash. Repeated rows share a hash and are taken together. Other columns are ignored. No rows: no rows.
+Where several rows share an id, or have none, the hash is taken of the id, the text and a number that tells equal rows of
+a source apart, so that such rows too are taken one by one.
+
+Nulls: a null text has no words; a null source is a source of its own, last in order. Other columns are ignored. No rows:
+no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddsloom.llm.common import WORD
+from oddsloom.llm.common import WORD, screened, unscreened
 from oddsloom.session import settle
 
 HASH_BITS = 60
@@ -109,11 +112,38 @@ def planned(rows: DataFrame, table: DataFrame, source: Column, h: Column, most:
     return met.withColumn("copies", F.least(copies, F.lit(most)).cast("bigint"))
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """`rows` (id, source, digest, ...) with their hash `h` in place of the digest; rows of one id and source with equal texts are numbered.
+
+    Rows with an id of their own are not moved. Equal rows are numbered inside the tasks that read them, after what
+    the tasks before them hold, so that no number of them meets in one place."""
+    many = settle(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("__id"), F.lit(True).alias("__many")))
+    if not many.limit(1).count():
+        return rows.withColumn("h", hash_of(F.col("id"))).drop("digest")
+    known = screened(rows, F.col("id"), many, "__id").join(many, F.col("id").eqNullSafe(F.col("__id")), "left")
+    single = unscreened(rows, F.col("id"), many, "__id").unionByName(known.filter("__many IS NULL").select(*rows.columns))
+    again = settle(known.filter("__many").select(*rows.columns, F.monotonically_increasing_id().alias("__seq")))
+    again = again.withColumn("__task", F.shiftright("__seq", 33))
+    same = ("id", "source", "digest")
+    held = again.groupBy(*same, "__task").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*same).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select(*[F.col(c).alias(f"__{c}_") for c in (*same, "__task")], F.coalesce(before, F.lit(0)).alias("__before"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}_")) for c in (*same, "__task")]
+    nth = F.col("__before") + F.row_number().over(Window.partitionBy(*same, "__task").orderBy("__seq"))
+    met = again.join(held, on)
+    text = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), "digest", nth.cast("string"))
+    met = met.withColumn("__text", text).withColumn("h", hash_of(F.col("__text")))
+    return single.withColumn("h", hash_of(F.col("id"))).drop("digest").unionByName(met.select(*[c for c in rows.columns if c != "digest"], "h"))
+
+
+def _facts(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """What `keyed` needs of a row."""
+    return [F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest")]
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return settle(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), hash_of(F.col(id_col)).alias("h"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-    ))
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
+    return settle(keyed(docs.select(*_facts(id_col, text_col, source_col), size.alias("size"))))
 
 
 def mix(
@@ -135,6 +165,7 @@ def mixed(
 ) -> DataFrame:
     """The rows of `docs` as often as the mix takes them, with all their columns."""
     table = plan(_rows(docs, id_col, text_col, source_col), weights, share, most)
-    met = planned(docs.select(F.struct("*").alias("row")), table, F.col(f"row.`{source_col}`"), hash_of(F.col(f"row.`{id_col}`")), most)
+    told = keyed(docs.select(*_facts(id_col, text_col, source_col), F.struct("*").alias("row")))
+    met = planned(told, table, F.col("source"), F.col("h"), most)
     again = met.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return again.select("row.*")

@@ -41,7 +41,8 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1
+           THEN ':' || md5(coalesce(text, '')) || ':' || row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) ELSE '' END), 1, 15) AS BIGINT) AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
              [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w

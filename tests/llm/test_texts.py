@@ -195,7 +195,12 @@ def test_licences_and_their_directories(spark):
 
 def mix_by_force(rows: list[tuple]) -> list[tuple]:
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    h = lambda d: int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:15], 16)
+    text_of = lambda d: "" if d is None else str(d)
+    times, seen, hashes = Counter(r[0] for r in rows), Counter(), []
+    for d, t, _, s in rows:
+        seen[d, s, t or ""] += 1
+        more = f":{hashlib.md5((t or '').encode()).hexdigest()}:{seen[d, s, t or '']}" if times[d] > 1 else ""
+        hashes.append(int(hashlib.md5((text_of(d) + more).encode()).hexdigest()[:15], 16))
     order = sorted({r[3] for r in rows}, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
     whole = {s: sum(size(r[1]) for r in rows if r[3] == s) for s in order}
@@ -211,10 +216,10 @@ def mix_by_force(rows: list[tuple]) -> list[tuple]:
             left -= target[s]
             open_.remove(s)
     out = []
-    for d, t, _, s in rows:
+    for h, (d, t, _, s) in zip(hashes, rows):
         passes = int(target[s] // whole[s]) if whole[s] else 0
-        below = sum(size(r[1]) for r in rows if r[3] == s and h(r[0]) < h(d))
-        upto = sum(size(r[1]) for r in rows if r[3] == s and h(r[0]) <= h(d))
+        below = sum(size(r[1]) for x, r in zip(hashes, rows) if r[3] == s and x < h)
+        upto = sum(size(r[1]) for x, r in zip(hashes, rows) if r[3] == s and x <= h)
         copies = min(2, passes + (below + upto <= 2 * (target[s] - passes * whole[s])))
         out.append((d, s, size(t), whole[s], round(target[s], 6), copies * size(t)))
     return out
@@ -236,6 +241,17 @@ def test_mixing_equals_brute_force_and_repeats(spark, monkeypatch):
     assert mx.mix(frame(spark, [])).count() == mx.mix(frame(spark, [(1, None, None, None)])).filter("taken > 0").count() == 0
 
 
+@pytest.mark.parametrize("ids", ["none", "one", "equal"])
+def test_mixing_meets_its_targets_without_ids_of_their_own(spark, ids):
+    rows = [({"none": None, "one": 7, "equal": None}[ids], "w w" if ids == "equal" else prose(i, 2 + i % 5), "xx", f"s{i % 3}") for i in range(600)]
+    found = mx.mix(frame(spark, rows).repartition(5)).collect()
+    assert Counter((r.doc_id, r.source, r.size, r.source_size, round(r.target, 6), r.taken) for r in found) == Counter(mix_by_force(rows))
+    for source in ("s0", "s1", "s2"):
+        of = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in of) - of[0].target) <= 6
+    assert mx.mixed(frame(spark, rows)).count() == sum(r.copies for r in found)
+
+
 def test_histograms_find_the_exact_cut(spark):
     rng = np.random.default_rng(3)
     rows = [("a" if i % 3 else None, int(h), int(n)) for i, (h, n) in enumerate(zip(rng.integers(0, 1 << 60, 4000), rng.integers(0, 9, 4000)))]
