@@ -6,6 +6,11 @@ tie neighbouring words together, so that a foreign phrase in a text stands out a
 each word's label probabilities; a document's score for a language is the mean over its words, and the largest
 is the prediction. Words are runs of letters, so every word has a letter.
 
+Labels only compare learned languages with each other. Whether a text is in any of them is judged beside the field: letters
+given the two before them, by language, against a background that knows single letters only. A text is accepted if its words,
+each under its own best language, are together about as likely as under the background (`LEAST_GAIN`); texts that switch
+languages are accepted.
+
 Fitting uses a bounded sample of the labelled rows: at most about `sample_docs` documents of each language with
 at most `sample_chars` characters, chosen by hash, whole. Everything else reads all rows and whole texts: a batch
 is worked on as arrays of letters, and long chains are cut into blocks whose transfer matrices are composed, so
@@ -13,7 +18,8 @@ neither long texts nor many short ones cost Python steps per word.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; a null label is not learned from. Ties go to
 the first language in order. Repeated rows are predicted alike. Other columns are ignored. No rows: no rows; no
-labelled rows: everything is `und`.
+labelled rows: everything is `und`. Beyond `most_labels` labels only those with most rows are learned, ties by name; texts
+in others are predicted as the nearest learned one.
 """
 
 from __future__ import annotations
@@ -34,20 +40,22 @@ from oddsloom.session import settle
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 20_000
 EPOCHS = 20
-#: Languages up to which their sampling shares are broadcast.
-BROADCAST_LABELS = 4096
 #: Rows of the hashed weight table.
 TABLE_BITS = 18
 #: A word of the sample is in the lexicon from this count on.
 LEXICON_COUNT = 5
 UNKNOWN = "und"
-#: Below this mean confidence of its words a text is taken to be in no learned language.
-LEAST_SCORE = 0.35
+#: Labels that are learned.
+MOST_LABELS = 256
+#: Nats a letter by which a text must be likelier in learned languages than by the background.
+LEAST_GAIN = -0.5
+#: Weight of the shorter context in a letter's probability, share of unseen letters in the background, and in a language.
+BACK_OFF, UNSEEN, UNSEEN_IN_LANGUAGE = 4.0, 0.25, 1e-6
 #: Words of a block of a chain.
 BLOCK = 64
 SLICE_BYTES = 1 << 19
 
-_GUESS = StructType().add("id", "long").add("lang_pred", "string").add("score", "double").add("confidence", "double")
+_GUESS = StructType().add("id", "long").add("lang_pred", "string").add("score", "double")
 
 
 def _letter_table() -> np.ndarray:
@@ -254,12 +262,52 @@ def forward_backward(scores: np.ndarray, transitions: np.ndarray, before: np.nda
     return both, pairs, total
 
 
+@dataclass
+class LetterModel:
+    """Letters, pairs and triples inside the words of each language, counted in rows of a hashed table."""
+
+    counts: np.ndarray
+    totals: np.ndarray
+    letters: np.ndarray
+
+    @classmethod
+    def of(cls, features: Features, gold: np.ndarray, labels: int) -> LetterModel:
+        counts = np.zeros(((1 << TABLE_BITS) + 1, labels), "f4")
+        owner = np.repeat(gold, features.words.length)
+        for rows in features.grams:
+            np.add.at(counts, (rows, owner), 1)
+        counts[-1] = 0
+        seen, n = np.unique(features.grams[0], return_counts=True)
+        letters = np.zeros(len(counts), "f8")
+        letters[seen] = (1 - UNSEEN) * n / max(n.sum(), 1)
+        totals = np.maximum(np.bincount(owner, minlength=labels), 1).astype("f8")
+        return cls(counts, totals, np.where(letters > 0, letters + UNSEEN / (len(seen) + 1), UNSEEN / (len(seen) + 1)))
+
+    def gains(self, features: Features) -> np.ndarray:
+        """For each word, how much likelier its likeliest language makes it than the background, in nats."""
+        if not len(features.words.start):
+            return np.zeros(0)
+        one, two, three = (self.counts[rows].astype("f8") for rows in features.grams)
+        after = lambda x: np.concatenate([x[1:], x[:1]])
+        letter = (1 - UNSEEN_IN_LANGUAGE) * one / self.totals + UNSEEN_IN_LANGUAGE
+        pair = (two + BACK_OFF * after(letter)) / (one + BACK_OFF)
+        triple = (three + BACK_OFF * after(pair)) / (two + BACK_OFF)
+        words = features.words
+        out = np.zeros((len(words.start), one.shape[1]))
+        # A word's first letter, its second after the first, and each further one after two.
+        inner = np.where((features.grams[2] >= 0)[:, None], np.log(triple), 0)
+        out += np.add.reduceat(inner, words.start)
+        out += np.log(letter[words.start]) + np.where((words.length > 1)[:, None], np.log(pair[words.start]), 0)
+        return out.max(axis=1) - np.add.reduceat(np.log(self.letters[features.grams[0]]), words.start)
+
+
 @dataclass
 class Model:
     labels: list[str]
     table: np.ndarray
     transitions: np.ndarray
     lexicon: np.ndarray
+    spelling: LetterModel
 
     def probabilities(self, words: Letters) -> np.ndarray:
         """Of each label for each word."""
@@ -293,18 +341,17 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float =
         seen_m += step_m**2
         table += (rate * step_t / np.sqrt(seen_t)).astype("f4")
         transitions += rate * step_m / np.sqrt(seen_m)
-    return Model(labels, table, transitions, lexicon)
+    return Model(labels, table, transitions, lexicon, LetterModel.of(features, gold, len(labels)))
 
 
-def training_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, usable: Column, sample_docs: int, sample_chars: int) -> tuple[list[str], list[str]]:
-    """About `sample_docs` labelled texts of each language, by hash; the fit's only bounded input."""
+def training_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, usable: Column, sample_docs: int, sample_chars: int, most_labels: int) -> tuple[list[str], list[str]]:
+    """About `sample_docs` labelled texts of each language, by hash, of `most_labels` languages; the fit's only bounded input."""
     fit_rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= sample_chars))
     part = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
     rows = fit_rows.select(F.col(lang_col).alias("lang"), part.alias("part"), F.col(text_col).alias("text"))
-    # A row per label, as the model has. Beyond what is surely small, texts meet it in a shuffle.
-    share = settle(rows.groupBy("lang").agg((sample_docs / F.count(F.lit(1))).alias("share")))
-    share = F.broadcast(share) if share.count() <= BROADCAST_LABELS else share
-    found = rows.join(share, "lang").filter("part < share").select("text", "lang").collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = settle(counts.orderBy(F.desc("n"), "lang").limit(most_labels).select("lang", (sample_docs / F.col("n")).alias("share")))
+    found = rows.join(F.broadcast(share), "lang").filter("part < share").select("text", "lang").collect()
     found.sort()
     return [r.text for r in found], [r.lang for r in found]
 
@@ -317,15 +364,13 @@ def _predict(model, schema: pa.Schema):
                 n = len(offsets) - 1
                 words = Letters.of(data, offsets)
                 some = np.flatnonzero(np.diff(words.before) > 0) if m else np.zeros(0, int)
-                names, scores, sure = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
+                names, scores = np.full(n, UNKNOWN, object), np.zeros(n)
                 if len(some):
                     likely = m.probabilities(words)
                     sums = np.add.reduceat(likely, words.before[some]) / np.diff(words.before)[some, None]
                     names[some] = np.array(m.labels, object)[sums.argmax(axis=1)]
                     scores[some] = np.clip(sums.max(axis=1), 0, 1)
-                    # Of each word's own likeliest language, so that a text in many languages loses nothing.
-                    sure[some] = np.clip(np.add.reduceat(likely.max(axis=1), words.before[some]) / np.diff(words.before)[some], 0, 1)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, n), pa.array(names, pa.string()), pa.array(scores), pa.array(sure)], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, n), pa.array(names, pa.string()), pa.array(scores)], schema=schema)
 
     return run
 
@@ -334,13 +379,16 @@ def _accept(model, text_col: str, least: float):
     """The rows whose words fit learned languages, one or several, decided on Arrow batches of all columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(_GUESS)
+        m = Model(*model.value) if model.value else None
         for batch in batches:
-            ids = pa.array(np.arange(len(batch)))
             keep = np.zeros(len(batch), bool)
-            for guess in _predict(model, schema)(iter([pa.RecordBatch.from_arrays([ids, batch.column(text_col)], names=["id", "text"])])):
-                sure = (np.array(guess.column("lang_pred").to_pylist(), object) != UNKNOWN) & (guess.column("confidence").to_numpy() >= least)
-                keep[guess.column("id").to_numpy()] = sure
+            for row, data, offsets in text_slices(batch.column(text_col), SLICE_BYTES) if m else ():
+                words = Letters.of(data, offsets)
+                some = np.flatnonzero(np.diff(words.before) > 0)
+                if len(some):
+                    letters = np.add.reduceat(words.length, words.before[some])
+                    gain = np.add.reduceat(m.spelling.gains(Features(words, None)), words.before[some]) / letters
+                    keep[row + some] = gain >= least
             yield batch.filter(pa.array(keep))
 
     return run
@@ -351,9 +399,9 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model | None:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, most_labels: int = MOST_LABELS) -> Model | None:
     texts, langs = training_sample(
-        docs, id_col=id_col, text_col=text_col, lang_col=lang_col, usable=~held_out(F.col(id_col)), sample_docs=sample_docs, sample_chars=sample_chars
+        docs, id_col=id_col, text_col=text_col, lang_col=lang_col, usable=~held_out(F.col(id_col)), sample_docs=sample_docs, sample_chars=sample_chars, most_labels=most_labels,
     )
     return fit(texts, langs) if texts else None
 
@@ -367,12 +415,13 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
 
 
 def _share(docs: DataFrame, model: Model | None):
-    parts = model and (model.labels, model.table, model.transitions, model.lexicon)
+    parts = model and (model.labels, model.table, model.transitions, model.lexicon, model.spelling)
     return docs.sparkSession.sparkContext.broadcast(parts)
 
 
-def accepted(docs: DataFrame, model: Model | None, *, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of `docs` whose words have a mean confidence of `least`, with all their columns; in one narrow pass."""
+def accepted(docs: DataFrame, model: Model | None, *, text_col: str = "text", least: float = LEAST_GAIN) -> DataFrame:
+    """The rows of `docs` whose letters are on average `least` likelier in learned languages than by the background, with all
+    their columns; in one narrow pass. Texts without a letter go."""
     return docs.mapInArrow(_accept(_share(docs, model), text_col, least), docs.schema)
 
 

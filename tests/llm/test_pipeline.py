@@ -9,11 +9,12 @@ from oddsloom.llm.packing import binary_lengths
 from oddsloom.llm.queries import QUERIES, tokenizer_path
 from tests.llm.data import documents, frame
 from tests.llm.test_dedup import classes_by_force
+from tests.llm.test_switched import accepted_by_force
 from tests.llm.test_texts import mix_by_force
 
 
 def test_every_operator_has_one_query():
-    assert Counter(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == Counter(range(1, 11))
+    assert Counter(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == Counter(range(1, 14))
 
 
 def test_run_equals_brute_force(spark, tmp_path):
@@ -23,9 +24,14 @@ def test_run_equals_brute_force(spark, tmp_path):
     frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
 
-    guess = {r.doc_id: r for r in la.identify(docs).collect()}
-    left = [r for r in rows if guess[r[0]].lang_pred != "und" and guess[r[0]].score >= la.LEAST_SCORE]
-    assert {r[0] for r in rows} - {r[0] for r in left} == {40, 41, 42, 45}
+    texts, langs = la.training_sample(
+        docs, id_col="doc_id", text_col="text", lang_col="lang", usable=~la.held_out(docs["doc_id"]), sample_docs=la.SAMPLE_DOCS,
+        sample_chars=la.SAMPLE_CHARS, most_labels=la.MOST_LABELS,
+    )
+    accept = accepted_by_force(texts, langs)
+    left = [r for r in rows if accept(r[1])]
+    assert {40, 41, 42, 45} <= {r[0] for r in rows} - {r[0] for r in left}
+    assert {r[0] for r in rows if r[0] in (10, 20, 30, 50) or r[0] >= 100} <= {r[0] for r in left}
     seen, once = set(), []
     for r in sorted(left, key=lambda r: r[0]):
         if (norm := re.sub(r"[\x20\x09-\x0D]+", " ", r[1])) not in seen:
