@@ -11,6 +11,7 @@ from oddsloom.plans.features import _window_sql
 from oddsloom.plans.registry import query
 from oddsloom.streaming import gate
 from oddsloom.streaming import run as st
+from oddsloom.streaming.venue import venue_features
 
 HOUR = 3_600_000_000_000
 # Accepted identifiers the gate remembers (a fixed value; the operators themselves forget none).
@@ -174,6 +175,63 @@ def _trailing(t: Tables):
     return out.select("user_id", "event_id", "ts_ns", *[F.round(c, 6).alias(c) for c in ("ret", "rv", "flow")])
 
 
+# Days and hours stand in for seconds and milliseconds.
+VENUE_WINDOWS = {"1s": DAY_NS, "5s": 2 * DAY_NS, "15s": 3 * DAY_NS, "30s": 4 * DAY_NS, "60s": 6 * DAY_NS, "300s": 9 * DAY_NS}
+VENUE_RETENTION = 10 * DAY_NS
+_INSIDE = {w: f"FILTER (WHERE t.ts_ns >= d.ts_ns - {span})" for w, span in VENUE_WINDOWS.items()}
+
+
+def venue_rows(ticks):
+    """Clicks and purchases are trades, sign-ups books, errors references or now and then gap marks, views decisions."""
+    size, price = F.col("size"), F.col("price")
+    kinds = {"click": "trade", "purchase": "trade", "signup": "book", "view": "decision"}
+    kind = F.when((F.col("event_type") == "error") & (size % 19 == 0), "gap").when(F.col("event_type") == "error", "reference")
+    for name, means in kinds.items():
+        kind = kind.when(F.col("event_type") == name, means)
+    return ticks.select(
+        "user_id", F.col("event_id").alias("pos"), "ts_ns", "ts", kind.alias("kind"), "price", size.cast("double").alias("quantity"),
+        F.when(F.col("event_type") == "click", 1.0).otherwise(-1.0).alias("sign"), (price - 0.01).alias("bid"), (price + 0.01).alias("ask"),
+        (size + 1).cast("double").alias("bid_size"), (size + 2).cast("double").alias("ask_size"), (F.col("ts_ns") - size * HOUR).alias("source_ns"),
+        (F.col("ts_ns") - (size % 40) * HOUR).alias("start_ns"),
+    )
+
+
+@query(
+    "stream_venue_features",
+    "T5",
+    f"""WITH {TICKS},
+    k AS (SELECT *, CASE WHEN event_type IN ('click', 'purchase') THEN 'trade' WHEN event_type = 'signup' THEN 'book' WHEN event_type = 'view' THEN 'decision'
+                         WHEN size % 19 = 0 THEN 'gap' ELSE 'reference' END AS kind FROM ticks),
+    f AS (SELECT *, count(*) FILTER (kind = 'gap') OVER (PARTITION BY user_id ORDER BY ts_ns, event_id) AS seg FROM k),
+    d AS (SELECT a.user_id, a.event_id, a.ts_ns, a.ts_ns - (a.size % 40) * {HOUR} AS start_ns, count(g.event_id) AS seg
+          FROM k a LEFT JOIN k g ON g.kind = 'gap' AND g.user_id = a.user_id AND g.ts_ns <= a.ts_ns
+          WHERE a.kind = 'decision' AND a.ts_ns // 1000000 + 1 <= (SELECT max(epoch_ms(ts)) - 3600000 FROM events) GROUP BY ALL),
+    t AS (SELECT user_id, seg, ts_ns, event_id, price, price * size AS notional, CASE event_type WHEN 'click' THEN price * size ELSE -price * size END AS signed,
+                 lag(ts_ns) OVER w AS prev_ts, ln(price / lag(price) OVER w) ** 2 AS r2
+          FROM f WHERE kind = 'trade' AND price > 0 WINDOW w AS (PARTITION BY user_id, seg ORDER BY ts_ns, event_id)),
+    w AS (SELECT d.event_id, arg_max(t.price, (t.ts_ns, t.event_id)) AS last_price, max(t.ts_ns) AS last_trade_ns, {", ".join(
+        f"round(coalesce(ln(arg_max(t.price, (t.ts_ns, t.event_id)) {i} / arg_min(t.price, (t.ts_ns, t.event_id)) {i}), 0), 6) AS return_{w}, "
+        f"round(sqrt(coalesce(sum(t.r2) FILTER (WHERE t.prev_ts >= d.ts_ns - {VENUE_WINDOWS[w]}), 0)), 6) AS rv_{w}, "
+        f"round(coalesce(sum(t.signed) {i} / nullif(sum(t.notional) {i}, 0), 0), 6) AS flow_{w}" for w, i in _INSIDE.items())}
+          FROM d LEFT JOIN t ON t.user_id = d.user_id AND t.seg = d.seg AND t.ts_ns <= d.ts_ns GROUP BY d.event_id),
+    b AS (SELECT d.event_id, arg_max({{'p': f.price, 's': f.size, 't': f.ts_ns}}, (f.ts_ns, f.event_id)) AS b
+          FROM d JOIN f ON f.kind = 'book' AND f.user_id = d.user_id AND f.seg = d.seg AND f.ts_ns <= d.ts_ns GROUP BY 1),
+    r AS (SELECT d.event_id, d.start_ns, f.price, f.ts_ns, f.event_id AS no, f.ts_ns - f.size * {HOUR} AS source_ns, max(f.ts_ns) OVER (PARTITION BY d.event_id) AS newest
+          FROM d JOIN f ON f.kind = 'reference' AND f.user_id = d.user_id AND f.seg = d.seg AND f.ts_ns <= d.ts_ns),
+    o AS (SELECT event_id, arg_max(price, (ts_ns, no)) AS latest_reference, max(ts_ns) AS latest_reference_ns,
+                 arg_max(price, (ts_ns, no)) FILTER (WHERE ts_ns >= newest - {VENUE_RETENTION} AND source_ns <= start_ns) AS opening_reference FROM r GROUP BY 1)
+    SELECT d.user_id, d.event_id AS pos, d.ts_ns, w.* EXCLUDE (event_id), round(b.b.p - 0.01, 6) AS bid, round(b.b.p + 0.01, 6) AS ask, b.b.s + 1.0::DOUBLE AS bid_size,
+           b.b.s + 2.0::DOUBLE AS ask_size, b.b.t AS book_ns, o.latest_reference, o.latest_reference_ns, o.opening_reference, d.seg > 0 AS gap
+    FROM d JOIN w ON w.event_id = d.event_id LEFT JOIN b ON b.event_id = d.event_id LEFT JOIN o ON o.event_id = d.event_id""",
+)
+def _venue(t: Tables):
+    out = st.drain(venue_features(
+        venue_rows(stream_ticks(t)), key="user_id", event_time="ts", late="1 hour", windows_ns=VENUE_WINDOWS, retention_ns=VENUE_RETENTION, idle_ns=30 * DAY_NS,
+    ))
+    exact = {"user_id", "pos", "ts_ns", "gap", "last_price", "latest_reference", "opening_reference", "last_trade_ns", "book_ns", "latest_reference_ns"}
+    return out.select(*[c if c in exact else F.round(c, 6).alias(c) for c in out.columns])
+
+
 @query(
     "stream_buckets",
     "T7",

@@ -6,6 +6,7 @@ arrival order first; a batch is bounded by the source's trigger options.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from math import log, sqrt
 
@@ -264,7 +265,7 @@ class TrailingTrades(StatefulProcessor):
         self.trades = handle.getListState("trades", "ts bigint, price double, notional double, signed double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        trades = [tuple(x) for x in self.trades.get()] if self.trades.exists() else []
+        trades = deque(tuple(x) for x in self.trades.get()) if self.trades.exists() else deque()
         out = []
         batch = _ordered(rows, "event_id")
         for ts, event_id, is_trade, price, quantity, sign in zip(
@@ -273,8 +274,8 @@ class TrailingTrades(StatefulProcessor):
             if is_trade:
                 trades.append((int(ts), price, price * quantity, sign * price * quantity))
                 # The latest trade stays as the last price, however old it grows.
-                cut = ts - self.window_ns
-                trades = [x for x in trades if x[0] >= cut]
+                while trades[0][0] < ts - self.window_ns:
+                    trades.popleft()
                 continue
             window = [x for x in trades if x[0] >= ts - self.window_ns]
             if not window:
@@ -286,7 +287,7 @@ class TrailingTrades(StatefulProcessor):
                 (key[0], event_id, ts, log(trades[-1][1] / window[0][1]), sqrt(r2), signed / notional if notional > 0 else 0.0)
             )
         if trades:
-            self.trades.put(trades)
+            self.trades.put(list(trades))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "ts_ns", "ret", "rv", "flow"])
 
     def close(self) -> None:

@@ -30,9 +30,10 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(path)
 
 
-def process(stream: DataFrame, keys: Sequence[str], processor: StatefulProcessor) -> DataFrame:
+def process(stream: DataFrame, keys: Sequence[str], processor: StatefulProcessor, time_mode: str = "None") -> DataFrame:
+    """`time_mode` is EventTime or ProcessingTime for processors with timers; the former needs a watermark."""
     use_rocksdb(stream.sparkSession)
-    return stream.groupBy(*keys).transformWithStateInPandas(processor, processor.schema, "Append", "None")
+    return stream.groupBy(*keys).transformWithStateInPandas(processor, processor.schema, "Append", time_mode)
 
 
 def drain(stream: DataFrame, *, mode: str = "append", partition_by: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
