@@ -9,7 +9,7 @@ from oddsloom.operators import quality as ql
 from oddsloom.plans.analogs import DAY_NS, TICKS, Tables, nanos
 from oddsloom.plans.features import _window_sql
 from oddsloom.plans.registry import query
-from oddsloom.streaming import gate
+from oddsloom.streaming import gate, ladder
 from oddsloom.streaming import run as st
 from oddsloom.streaming.venue import venue_features
 
@@ -124,29 +124,94 @@ def book_stream(ticks):
     )
 
 
-@query("stream_token_books", "T4")
+_LEVEL = "STRUCT(p DOUBLE, s DOUBLE)[]"
+TOKEN_SQL = f"""WITH RECURSIVE {TICKS},
+ev AS (
+  SELECT user_id, event_id AS pos, ts_ns AS source_ts, ts_ns + size * 1000000 AS receive_ts, event_type, (size % 6)::DOUBLE AS size,
+         round(CASE WHEN event_type = 'click' THEN b - 0.03 ELSE b + 0.03 END, 2) AS price, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+         [{{'p': round(b - 0.01, 2), 's': (size % 5 + 1)::DOUBLE}}, {{'p': round(b - 0.02, 2), 's': (size % 3 + 1)::DOUBLE}}]::{_LEVEL} AS bids,
+         [{{'p': round(b + 0.01, 2), 's': (size % 4 + 1)::DOUBLE}}, {{'p': round(b + 0.02, 2), 's': (size % 3 + 1)::DOUBLE}}]::{_LEVEL} AS asks
+  FROM (SELECT *, (10 + size % 60)::DOUBLE / 100 AS b FROM ticks) WHERE event_type IN ('view', 'click', 'purchase', 'signup')),
+g(user_id, n, pos, status, known, ready, available, source, bids, asks) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, false, NULL::BIGINT, NULL::BIGINT, []::{_LEVEL}, []::{_LEVEL} FROM ev
+  UNION ALL
+  SELECT user_id, n, pos, status, known, CASE WHEN event_type = 'signup' OR status = 'awaiting_snapshot' THEN ready ELSE sound END,
+         CASE WHEN status = 'applied' THEN known ELSE available END, CASE WHEN status = 'applied' THEN source_ts ELSE source END,
+         CASE WHEN status = 'awaiting_snapshot' THEN old_bids ELSE nb END, CASE WHEN status = 'awaiting_snapshot' THEN old_asks ELSE na END
+  FROM (
+    SELECT *, CASE WHEN event_type IN ('click', 'purchase') AND NOT ready THEN 'awaiting_snapshot' WHEN event_type = 'signup' OR sound THEN 'applied' ELSE 'invalid' END AS status
+    FROM (
+      SELECT *, coalesce(list_max(list_transform(nb, lambda x: x.p)) < list_min(list_transform(na, lambda x: x.p)), false) AS sound
+      FROM (
+        SELECT e.user_id, e.n, e.pos, e.event_type, e.source_ts, g.ready, g.available, g.source, g.bids AS old_bids, g.asks AS old_asks,
+               CASE WHEN g.available IS NOT NULL AND e.source_ts + 1000000000 > g.source THEN greatest(e.receive_ts, e.source_ts, g.available) ELSE greatest(e.receive_ts, e.source_ts) END AS known,
+               CASE e.event_type WHEN 'view' THEN e.bids WHEN 'click' THEN list_filter(g.bids, lambda x: x.p <> e.price) || CASE WHEN e.size <> 0 THEN [{{'p': e.price, 's': e.size}}]::{_LEVEL} ELSE []::{_LEVEL} END ELSE g.bids END AS nb,
+               CASE e.event_type WHEN 'view' THEN e.asks WHEN 'purchase' THEN list_filter(g.asks, lambda x: x.p <> e.price) || CASE WHEN e.size <> 0 THEN [{{'p': e.price, 's': e.size}}]::{_LEVEL} ELSE []::{_LEVEL} END ELSE g.asks END AS na
+        FROM g JOIN ev e ON e.user_id = g.user_id AND e.n = g.n + 1))))
+SELECT user_id AS asset_id, pos, status, known AS available_ts, CASE WHEN shown THEN b.p END AS bid, CASE WHEN shown THEN a.p END AS ask,
+       CASE WHEN shown THEN b.s END AS bid_size, CASE WHEN shown THEN a.s END AS ask_size
+FROM (SELECT g.*, g.status = 'applied' AND e.event_type <> 'signup' AS shown, list_sort(g.bids, 'DESC')[1] AS b, list_sort(g.asks)[1] AS a
+      FROM g JOIN ev e ON e.user_id = g.user_id AND e.n = g.n)"""
+
+
+@query("stream_token_books", "T4", TOKEN_SQL)
 def _token_books(t: Tables):
-    return st.drain(st.process(book_stream(stream_ticks(t)), ["asset_id"], gate.TokenBooks()))
+    rows = book_stream(stream_ticks(t)).withColumns({"ts_ns": F.col("source_ts"), "ts": F.timestamp_micros(F.expr("source_ts div 1000"))})
+    books = ladder.TokenBooks(idle_ns=30 * DAY_NS)
+    return st.drain(st.process(rows.withWatermark("ts", "1 hour"), ["asset_id"], books, time_mode="EventTime"))
 
 
 def depth_stream(ticks):
-    """A snapshot every sign-up; deltas with contiguous ids but for some dropped ones."""
+    """A snapshot every sign-up, some of them old; deltas with contiguous ids but for some dropped ones."""
     size, b = F.col("size"), (F.lit(10) + F.col("size") % 60).cast("double") / 100
     lvl = lambda p, s: F.struct(F.round(p, 2).alias("price"), s.cast("double").alias("size"))
     snap = F.col("event_type") == "signup"
     final = F.col("event_id") * 10
     return ticks.select(
-        "user_id", F.col("event_id").alias("pos"), F.when(snap, "snapshot").otherwise("delta").alias("kind"),
-        F.when(snap, final - 2000).otherwise(F.when(size % 11 == 0, final - 3).otherwise(F.lit(0))).cast("bigint").alias("first_id"),
-        F.when(snap, final - 5).otherwise(final).cast("bigint").alias("final_id"),
+        "user_id", F.col("event_id").alias("pos"), "ts", "ts_ns", F.when(snap, "snapshot").otherwise("delta").alias("kind"),
+        F.when(~snap & (size % 11 == 0), final - 3).otherwise(0).cast("bigint").alias("first_id"),
+        F.when(snap, final - 5 - size % 3 * 3000).otherwise(final).cast("bigint").alias("final_id"),
         F.array(lvl(b - 0.01, size % 5), lvl(b - 0.05, size % 3 + 1)).alias("bids"),
         F.array(lvl(b + 0.01, size % 4), lvl(b + 0.05, size % 3 + 1)).alias("asks"),
     )
 
 
-@query("stream_depth_sync", "T3")
+_ITEM = f"STRUCT(a BIGINT, z BIGINT, bids {_LEVEL}, asks {_LEVEL})"
+_PUT = "list_filter({0}, lambda x: NOT list_contains(list_transform({1}, lambda y: y.p), x.p)) || list_filter({1}, lambda x: x.s <> 0)"
+# One step takes the next event, or one held update behind a snapshot.
+DEPTH_SQL = f"""WITH RECURSIVE {TICKS},
+ev AS (
+  SELECT user_id, event_id AS pos, event_type = 'signup' AS snap, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+         {{'a': CASE WHEN event_type <> 'signup' AND size % 11 = 0 THEN event_id * 10 - 3 ELSE 0 END, 'z': CASE WHEN event_type = 'signup' THEN event_id * 10 - 5 - size % 3 * 3000 ELSE event_id * 10 END,
+           'bids': [{{'p': round(b - 0.01, 2), 's': (size % 5)::DOUBLE}}, {{'p': round(b - 0.05, 2), 's': (size % 3 + 1)::DOUBLE}}],
+           'asks': [{{'p': round(b + 0.01, 2), 's': (size % 4)::DOUBLE}}, {{'p': round(b + 0.05, 2), 's': (size % 3 + 1)::DOUBLE}}]}}::{_ITEM} AS u
+  FROM (SELECT *, (10 + size % 60)::DOUBLE / 100 AS b FROM ticks)),
+g(user_id, n, pos, status, told, last, bids, asks, held, todo) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, false, NULL::BIGINT, []::{_LEVEL}, []::{_LEVEL}, []::{_ITEM}[], []::{_ITEM}[] FROM ev
+  UNION ALL
+  SELECT user_id, n, pos, status, CASE act WHEN 'start' THEN len(ahead) = 0 WHEN 'follow' THEN len(ahead) = 1 OR status = 'gap' ELSE true END,
+         CASE WHEN act = 'start' THEN u.z WHEN status IN ('gap', 'awaiting_snapshot') THEN NULL WHEN status = 'applied' THEN u.z ELSE last END,
+         CASE WHEN act = 'start' THEN list_filter(u.bids, lambda x: x.s <> 0) WHEN status IN ('gap', 'awaiting_snapshot') THEN [] WHEN status = 'applied' THEN {_PUT.format('bids', 'u.bids')} ELSE bids END,
+         CASE WHEN act = 'start' THEN list_filter(u.asks, lambda x: x.s <> 0) WHEN status IN ('gap', 'awaiting_snapshot') THEN [] WHEN status = 'applied' THEN {_PUT.format('asks', 'u.asks')} ELSE asks END,
+         CASE WHEN act = 'hold' THEN list_append(held, u) WHEN act = 'delta' AND status = 'gap' THEN [u] WHEN act = 'follow' AND status = 'gap' THEN ahead
+              WHEN act = 'old' THEN held WHEN act = 'delta' THEN held ELSE []::{_ITEM}[] END,
+         CASE WHEN act = 'start' THEN ahead WHEN act = 'follow' AND status <> 'gap' THEN ahead[2:] ELSE []::{_ITEM}[] END
+  FROM (
+    SELECT *, CASE WHEN act IN ('hold', 'old') THEN 'awaiting_snapshot' WHEN act = 'start' THEN 'applied' WHEN u.z <= last THEN 'stale' WHEN u.a <= last + 1 THEN 'applied' ELSE 'gap' END AS status
+    FROM (
+      SELECT *, CASE WHEN waits THEN 'follow' WHEN NOT snap AND last IS NULL THEN 'hold' WHEN NOT snap THEN 'delta' WHEN len(ahead) > 0 AND ahead[1].a > u.z + 1 THEN 'old' ELSE 'start' END AS act
+      FROM (
+        SELECT g.user_id, coalesce(e.n, g.n) AS n, coalesce(e.pos, g.pos) AS pos, e.snap, g.last, g.bids, g.asks, g.held, len(g.todo) > 0 AS waits,
+               CASE WHEN len(g.todo) > 0 THEN g.todo[1] ELSE e.u END AS u, CASE WHEN len(g.todo) > 0 THEN g.todo ELSE list_filter(g.held, lambda x: x.z > e.u.z) END AS ahead
+        FROM g LEFT JOIN ev e ON e.user_id = g.user_id AND e.n = g.n + 1 AND len(g.todo) = 0 WHERE len(g.todo) > 0 OR e.n IS NOT NULL))))
+SELECT user_id, pos, status, last AS last_id, CASE WHEN shown THEN b.p END AS bid, CASE WHEN shown THEN a.p END AS ask, CASE WHEN shown THEN b.s END AS bid_size, CASE WHEN shown THEN a.s END AS ask_size
+FROM (SELECT *, coalesce(status = 'applied' AND b.p < a.p, false) AS shown FROM (SELECT *, list_sort(bids, 'DESC')[1] AS b, list_sort(asks)[1] AS a FROM g WHERE told))"""
+
+
+@query("stream_depth_sync", "T3", DEPTH_SQL)
 def _depth(t: Tables):
-    return st.drain(st.process(depth_stream(stream_ticks(t)), ["user_id"], gate.DepthSync()))
+    rows = depth_stream(stream_ticks(t)).withWatermark("ts", "1 hour")
+    return st.drain(st.process(rows, ["user_id"], ladder.DepthSync(idle_ns=30 * DAY_NS), time_mode="EventTime"))
 
 
 def trailing_stream(ticks):

@@ -1,4 +1,4 @@
-"""Stateful processors: quality gate, depth synchroniser, token books, trailing trade features.
+"""Stateful processors: quality gate and trailing trade features. Books are in `ladder`, venue features in `venue`.
 
 Each keeps its state per key in the state store. Within a micro-batch a key's rows are put in
 arrival order first; a batch is bounded by the source's trigger options.
@@ -67,192 +67,6 @@ class QualityGate(StatefulProcessor):
         pass
 
 
-class DepthSync(StatefulProcessor):
-    """Buffers depth updates until a snapshot proves continuity, then applies contiguous ones.
-
-    Rows: `kind` (snapshot, delta), ids `first_id`, `final_id`, and level arrays `bids`, `asks` of
-    (price, size); size 0 removes a level. With `max_buffered`, a longer wait drops what was held. Emits a status and, when applied, the top of book.
-    """
-
-    schema = (
-        "user_id bigint, pos bigint, status string, last_id bigint, bid double, ask double, bid_size double, ask_size double"
-    )
-
-    def __init__(self, max_buffered: int | None = None):
-        self.max_buffered = max_buffered
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "synced boolean, last bigint")
-        self.levels = handle.getMapState("levels", "side int, price double", "size double")
-        self.buffer = handle.getListState(
-            "buffer",
-            "pos bigint, first_id bigint, final_id bigint, bids array<struct<price:double,size:double>>, asks array<struct<price:double,size:double>>",
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        synced, last = self.head.get() if self.head.exists() else (False, None)
-        book: dict[int, dict[float, float]] = {1: {}, 2: {}}
-        if synced:
-            for (side, price), (size,) in self.levels.iterator():
-                book[side][price] = size
-        loaded = {(s, p): q for s in book for p, q in book[s].items()}
-        buffered = list(self.buffer.get()) if self.buffer.exists() else []
-        out = []
-
-        def put(bids, asks) -> None:
-            for side, changes in ((1, bids), (2, asks)):
-                for level in changes:
-                    price, size = level[0], level[1]
-                    if size == 0:
-                        book[side].pop(price, None)
-                    else:
-                        book[side][price] = size
-
-        def emit(pos, status) -> None:
-            top = (None, None, None, None)
-            if status == "applied" and book[1] and book[2] and max(book[1]) < min(book[2]):
-                b, a = max(book[1]), min(book[2])
-                top = (b, a, book[1][b], book[2][a])
-            out.append((key[0], pos, status, last, *top))
-
-        def apply(first, final, bids, asks) -> str:
-            nonlocal last
-            if final <= last:
-                return "stale"
-            if not first <= last + 1 <= final:
-                return "gap"
-            put(bids, asks)
-            last = final
-            return "applied"
-
-        for row in _ordered(rows, "pos").itertuples(index=False):
-            bids = [(x["price"], x["size"]) for x in row.bids]
-            asks = [(x["price"], x["size"]) for x in row.asks]
-            if row.kind == "delta":
-                item = (row.pos, row.first_id, row.final_id, bids, asks)
-                if synced:
-                    status = apply(*item[1:])
-                    if status == "gap":
-                        synced, last, buffered = False, None, [item]
-                        book[1].clear()
-                        book[2].clear()
-                else:
-                    buffered.append(item)
-                    status = "awaiting_snapshot"
-                    if self.max_buffered is not None and len(buffered) > self.max_buffered:
-                        buffered, status = [], "gap"
-                emit(row.pos, status)
-                continue
-            kept = [x for x in buffered if x[2] > row.final_id]
-            if kept and not kept[0][1] <= row.final_id + 1 <= kept[0][2]:
-                synced, last = False, None
-                book[1].clear()
-                book[2].clear()
-                emit(row.pos, "awaiting_snapshot")
-                continue
-            book[1].clear()
-            book[2].clear()
-            put(bids, asks)
-            last, synced, status = row.final_id, True, "applied"
-            for i, item in enumerate(kept):
-                status = apply(*item[1:])
-                if status == "gap":
-                    synced, last, buffered = False, None, kept[i:]
-                    book[1].clear()
-                    book[2].clear()
-                    break
-            if synced:
-                buffered = []
-            emit(row.pos, status)
-        now = {(s, p): q for s in book for p, q in book[s].items()}
-        for k in loaded.keys() - now.keys():
-            self.levels.removeKey(k)
-        for k, q in now.items():
-            if loaded.get(k) != q:
-                self.levels.updateValue(k, (q,))
-        self.head.update((synced, last))
-        if buffered:
-            self.buffer.put(
-                [(int(p), int(f), int(u), [tuple(x) for x in b], [tuple(x) for x in a]) for p, f, u, b, a in buffered]
-            )
-        else:
-            self.buffer.clear()
-        yield pd.DataFrame(
-            out, columns=["user_id", "pos", "status", "last_id", "bid", "ask", "bid_size", "ask_size"]
-        ).astype({"last_id": "Int64", "bid": "float64", "ask": "float64", "bid_size": "float64", "ask_size": "float64"})
-
-    def close(self) -> None:
-        pass
-
-
-class TokenBooks(StatefulProcessor):
-    """Per-token book from snapshots and changes; a crossed or one-sided book waits for a snapshot.
-
-    Availability never falls behind what was already known, unless the source clock fell back by
-    `tolerance_ns` or more.
-    """
-
-    schema = (
-        "asset_id bigint, pos bigint, status string, available_ts bigint, bid double, ask double, bid_size double, ask_size double"
-    )
-
-    def __init__(self, tolerance_ns: int = 1_000_000_000):
-        self.tolerance_ns = tolerance_ns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "snapshot boolean, available bigint, source bigint")
-        self.levels = handle.getMapState("levels", "side int, price double", "size double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ready, available, source = self.head.get() if self.head.exists() else (False, None, None)
-        book: dict[int, dict[float, float]] = {1: {}, 2: {}}
-        for (side, price), (size,) in self.levels.iterator():
-            book[side][price] = size
-        loaded = {(s, p): q for s in book for p, q in book[s].items()}
-        out = []
-        for row in _ordered(rows, "pos").itertuples(index=False):
-            known = max(row.source_ts, row.receive_ts)
-            fell_back = source is not None and row.source_ts + self.tolerance_ns <= source
-            if not fell_back and available is not None:
-                known = max(known, available)
-            top = (None, None, None, None)
-            if row.event_type == "book":
-                for side, levels in ((1, row.bids), (2, row.asks)):
-                    book[side] = {x["price"]: x["size"] for x in levels if x["size"] > 0}
-                ready = True
-            elif row.event_type == "price_change":
-                if not ready:
-                    out.append((key[0], row.pos, "awaiting_snapshot", known, *top))
-                    continue
-                side = 1 if row.side == "BUY" else 2
-                if row.size == 0:
-                    book[side].pop(row.price, None)
-                else:
-                    book[side][row.price] = row.size
-            if row.event_type in ("book", "price_change"):
-                if not book[1] or not book[2] or max(book[1]) >= min(book[2]):
-                    ready = False
-                    out.append((key[0], row.pos, "invalid", known, *top))
-                    continue
-                b, a = max(book[1]), min(book[2])
-                top = (b, a, book[1][b], book[2][a])
-            available, source = int(known), int(row.source_ts)
-            out.append((key[0], row.pos, "applied", known, *top))
-        now = {(s, p): q for s in book for p, q in book[s].items()}
-        for k in loaded.keys() - now.keys():
-            self.levels.removeKey(k)
-        for k, q in now.items():
-            if loaded.get(k) != q:
-                self.levels.updateValue(k, (q,))
-        self.head.update((ready, available, source))
-        yield pd.DataFrame(
-            out, columns=["asset_id", "pos", "status", "available_ts", "bid", "ask", "bid_size", "ask_size"]
-        ).astype({c: "float64" for c in ("bid", "ask", "bid_size", "ask_size")})
-
-    def close(self) -> None:
-        pass
-
-
 class TrailingTrades(StatefulProcessor):
     """Trades of the last `window_ns` per key; decision rows in the stream read their features."""
 

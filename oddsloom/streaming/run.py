@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -102,3 +103,15 @@ def feed_health(
         .otherwise("ok")
     )
     return out.select(feed, "last_ts", age.alias("age_ns"), state.alias("state"))
+
+
+def due(ts_ns) -> int:
+    """The first watermark, in milliseconds, that lies behind a time."""
+    return int(ts_ns) // 1_000_000 + 1
+
+
+def typed(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """Rows as a frame in which whole numbers stay whole beside nulls."""
+    kinds = {"bigint": "Int64", "double": "float64", "boolean": "bool", "string": "object"}
+    parts = [x.split() for x in schema.split(", ")]
+    return pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=kinds[t]) for k, (c, t) in enumerate(parts)})

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from oddsloom.streaming.run import process
+from oddsloom.streaming.run import due, process, typed
 
 TRADE, BOOK, REFERENCE, GAP = range(4)
 _KINDS = {"trade": TRADE, "book": BOOK, "reference": REFERENCE, "gap": GAP}
@@ -122,7 +122,7 @@ class VenueState(StatefulProcessor):
             heard = max(heard, int(batch["ts_ns"].max()))
             for row in batch[batch["kind"] == "decision"].itertuples(index=False):
                 open_.append((int(row.ts_ns), int(row.pos), int(row.start_ns)))
-                self.handle.registerTimer(_due(row.ts_ns))
+                self.handle.registerTimer(due(row.ts_ns))
             for name, kind in _KINDS.items():
                 part = batch[batch["kind"] == name]
                 if kind == TRADE:
@@ -130,7 +130,7 @@ class VenueState(StatefulProcessor):
                 for slot, members in part.groupby(part["ts_ns"] // self.slot_ns):
                     self._add(kind, int(slot), _facts(kind, members), filled)
         if self.idle_ns is not None:
-            self.handle.registerTimer(_due(heard + self.idle_ns))
+            self.handle.registerTimer(due(heard + self.idle_ns))
         self._prune(filled, open_, timerValues.getCurrentWatermarkInMs() * _MS)
         self._keep(filled, open_, heard, gap)
         yield pd.DataFrame([], columns=self.columns)
@@ -147,17 +147,17 @@ class VenueState(StatefulProcessor):
         filled, open_, heard, gap = self._load()
         passed = timerValues.getCurrentWatermarkInMs()
         # The first timer of a batch answers for all that are due; the others find nothing open.
-        due = sorted(d for d in open_ if _due(d[0]) <= passed)
+        ready = sorted(d for d in open_ if due(d[0]) <= passed)
         held: dict = {}
-        out = [self._answer(key[0], decision, filled, held, gap) for decision in due]
-        open_ = [d for d in open_ if _due(d[0]) > passed]
-        if self.idle_ns is not None and not open_ and _due(heard + self.idle_ns) <= passed:
+        out = [self._answer(key[0], decision, filled, held, gap) for decision in ready]
+        open_ = [d for d in open_ if due(d[0]) > passed]
+        if self.idle_ns is not None and not open_ and due(heard + self.idle_ns) <= passed:
             self.slots.clear()
             self.head.clear()
-        elif due:
+        elif ready:
             self._prune(filled, open_, passed * _MS)
             self._keep(filled, open_, heard, gap)
-        yield _typed(out, self.schema)
+        yield typed(out, self.schema)
 
     def _prune(self, filled: set, open_: list, passed: int) -> None:
         horizon = min([passed, *(d[0] for d in open_)])
@@ -235,11 +235,6 @@ class VenueState(StatefulProcessor):
         pass
 
 
-def _due(ts_ns) -> int:
-    """The first watermark, in milliseconds, that lies behind a time."""
-    return int(ts_ns) // _MS + 1
-
-
 def _facts(kind: int, rows: pd.DataFrame) -> list[tuple]:
     """(ts, pos, a, b, c, d, s) of facts: price, notional, signed of trades; both sides of books; price and source time of references."""
     n = len(rows)
@@ -257,13 +252,6 @@ def _facts(kind: int, rows: pd.DataFrame) -> list[tuple]:
     return list(zip(*lists))
 
 
-def _typed(rows: list[tuple], schema: str) -> pd.DataFrame:
-    """Rows as a frame in which whole numbers stay whole beside nulls."""
-    kinds = {"bigint": "Int64", "double": "float64", "boolean": "bool"}
-    parts = [x.split() for x in schema.split(", ")]
-    return pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=kinds[t]) for k, (c, t) in enumerate(parts)})
-
-
 def venue_features(
     stream: DataFrame, *, key: str, event_time: str, late: str, windows_ns: Mapping[str, int], retention_ns: int,
     slot_ns: int | None = None, idle_ns: int | None = None,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from oddsloom.operators import dataset, features, quality, selection, signals
 from oddsloom.operators.timeline import fitting_width
 from oddsloom.sources import store
-from oddsloom.streaming import gate
+from oddsloom.streaming import gate, ladder
 from oddsloom.streaming import run as st
 
 NS = 1_000_000_000
@@ -67,7 +67,7 @@ def test_depth_sync_buffers_applies_and_detects_gaps(spark, rows):
         (1, 7, "snapshot", 0, 16, lv((0.30, 1.0)), lv((0.70, 1.0))),
     ]
     df = spark.createDataFrame(data, f"user_id bigint, pos bigint, kind string, first_id bigint, final_id bigint, bids {LEVELS}, asks {LEVELS}")
-    out = st.drain(st.process(batches(spark, df, "pos"), ["user_id"], gate.DepthSync()))
+    out = st.drain(st.process(batches(spark, df, "pos"), ["user_id"], ladder.DepthSync()))
     assert rows(out, "status", "last_id", "bid", "ask", order=["pos"]) == [
         ("awaiting_snapshot", None, None, None),
         ("awaiting_snapshot", None, None, None),
@@ -94,7 +94,7 @@ def test_token_books_wait_for_a_snapshot_after_a_cross(spark, rows):
         data,
         f"asset_id bigint, pos bigint, source_ts bigint, receive_ts bigint, event_type string, bids {LEVELS}, asks {LEVELS}, side string, price double, size double",
     )
-    out = st.drain(st.process(batches(spark, df, "pos"), ["asset_id"], gate.TokenBooks(tolerance_ns=20)))
+    out = st.drain(st.process(batches(spark, df, "pos"), ["asset_id"], ladder.TokenBooks(tolerance_ns=20)))
     assert rows(out, "status", "available_ts", "bid", "ask", order=["pos"]) == [
         ("awaiting_snapshot", 100, None, None),
         ("applied", 120, 0.4, 0.6),
