@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -20,8 +21,9 @@ from oddsloom.functions.codes import (
 )
 from oddsloom.functions.integers import floor_div
 from oddsloom.operators.timeline import (
-    CHUNK,
+    CUT,
     Timeline,
+    find_cuts,
     latest,
     number,
     previous,
@@ -95,7 +97,8 @@ def l2_deltas(
             (F.col(receive_ts) > after[0])
             | ((F.col(receive_ts) == after[0]) & (F.col("__rank") >= after[1]))
         )
-    line = Timeline.of(token, [receive_ts, "__rank", pos], width)
+    cuts = find_cuts(rows, token, receive_ts, width)
+    line, rows = cuts.line(token, [receive_ts, "__rank", pos]), cuts.mark(rows)
     full = (F.col("__rank") == 0) & (F.size("__bids") + F.size("__asks") > 0)
     rows = scan(rows.withColumn("__full", full), line, {"__seen": running_max(F.col("__full"))})
     inside = F.col(receive_ts).between(start, end)
@@ -163,14 +166,15 @@ def snapshot_diffs(
     its predecessor, per side and price text. The predecessor comes along in the scan, so both books
     lie in one row and are compared as arrays; only the levels that changed become rows.
     """
-    line = Timeline.of(token, [ts, pos], width)
-    rows = df.filter(F.col(ts) <= end).withColumns({"__bids": _levels("bid"), "__asks": _levels("ask")})
+    rows = df.filter(F.col(ts) <= end)
+    cuts = find_cuts(rows, token, ts, width)
+    line, rows = cuts.line(token, [ts, pos]), cuts.mark(rows)
+    rows = rows.withColumns({"__bids": _levels("bid"), "__asks": _levels("ask")})
     rows = rows.withColumn("__filled", (F.col(ts) >= start) & ((F.size("__bids") > 0) | (F.size("__asks") > 0)))
     rows = scan(
         rows,
         line,
         {"__shown": running_count(F.col("__filled")), "__was": previous(F.struct("__bids", "__asks"))},
-        hold=True,
     )
     rows = rows.filter("__shown >= 1").withColumn("__whole", F.col("__filled") & (F.col("__shown") == 1))
     none = F.array().cast("array<struct<text:string,size_text:string>>")
@@ -178,7 +182,7 @@ def snapshot_diffs(
     bids, asks = (_changes(F.col(c), was(c), code) for c, code in (("__bids", SIDE_BUY), ("__asks", SIDE_SELL)))
     # One book's levels: bids ascending, then asks descending.
     rows = rows.withColumn("__changes", F.concat(F.array_sort(bids), F.reverse(F.array_sort(asks)))).filter(F.size("__changes") > 0)
-    rows = number(rows.select(token, ts, pos, "__whole", "__changes", *[c for c in rows.columns if c.startswith(CHUNK)]), line, "event_index")
+    rows = number(rows.select(token, ts, pos, "__whole", "__changes", *[c for c in rows.columns if c == CUT]), line, "event_index")
     clear = F.struct(
         F.lit(0.0).alias("price"), F.lit("").alias("text"), F.lit(SIDE_NONE).alias("side"), F.lit(0.0).alias("size"), F.lit(0).alias("part")
     )
@@ -288,14 +292,15 @@ def top_of_book(
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows arrive sorted by (token, chunk, event, part); an event is closed by the next one's first row."""
-        book: dict[int, dict[float, float]] = {SIDE_BUY: {}, SIDE_SELL: {}}
+        book = {SIDE_BUY: _Levels(), SIDE_SELL: _Levels()}
         chunk, event, out = None, None, []
 
         def close() -> None:
-            if event is not None and event[-1] >= 0 and book[SIDE_BUY] and book[SIDE_SELL]:
-                bid, ask = max(book[SIDE_BUY]), min(book[SIDE_SELL])
+            bids, asks = book[SIDE_BUY], book[SIDE_SELL]
+            if event is not None and event[-1] >= 0 and bids.prices and asks.prices:
+                bid, ask = bids.prices[-1], asks.prices[0]
                 if bid < ask:
-                    out.append((chunk[0], event[-1], *event[:-1], bid, ask, book[SIDE_BUY][bid], book[SIDE_SELL][ask]))
+                    out.append((chunk[0], event[-1], *event[:-1], bid, ask, bids.sizes[bid], asks.sizes[ask]))
 
         for pdf in batches:
             rows = zip(
@@ -305,15 +310,10 @@ def top_of_book(
                 if place != chunk or stamp[-1] != event[-1]:
                     close()
                     event = stamp
-                if place != chunk:
-                    book, chunk = {SIDE_BUY: {}, SIDE_SELL: {}}, place
-                if action == ACTION_CLEAR:
-                    book[SIDE_BUY].clear()
-                    book[SIDE_SELL].clear()
-                elif amount > 0:
-                    book[side][price] = amount
-                else:
-                    book[side].pop(price, None)
+                if place != chunk or action == ACTION_CLEAR:
+                    book, chunk = {SIDE_BUY: _Levels(), SIDE_SELL: _Levels()}, place
+                if action != ACTION_CLEAR:
+                    book[side].put(price, amount)
             yield pd.DataFrame(out, columns=schema.names)
             out.clear()
         close()
@@ -326,6 +326,24 @@ def top_of_book(
     )
 
 
+class _Levels:
+    """One side of a book: sizes by price, and the prices in order, so that the best one is at an end."""
+
+    __slots__ = ("sizes", "prices")
+
+    def __init__(self):
+        self.sizes: dict[float, float] = {}
+        self.prices: list[float] = []
+
+    def put(self, price: float, size: float) -> None:
+        if size > 0:
+            if price not in self.sizes:
+                insort(self.prices, price)
+            self.sizes[price] = size
+        elif self.sizes.pop(price, None) is not None:
+            del self.prices[bisect_left(self.prices, price)]
+
+
 def book_measures(bid: str, ask: str, bid_size: str, ask_size: str) -> dict[str, Column]:
     """Imbalance, microprice distance from the midpoint, and spread in basis points."""
     b, a, bs, az = F.col(bid), F.col(ask), F.col(bid_size), F.col(ask_size)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsloom.functions.integers import floor_div
 from oddsloom.operators.timeline import (
+    find_cuts,
     Timeline,
     before,
     latest,
@@ -200,6 +201,9 @@ def _market_states(
 ) -> DataFrame:
     """Per market and instant: value before and after, cash change, and when the position ends."""
     rank = F.struct(*order)
+    # Hot keys are told by the input, so that nothing of what follows runs for it.
+    keys = [*keep, market]
+    cuts = find_cuts(fills.select(*keys, ts).unionByName(prices.select(*keys, ts)), keys, ts, width)
     filled = fills.withColumns({"__q": signed_quantity(), "__cash": cash_delta()}).groupBy(
         *keep, market, ts
     ).agg(
@@ -221,8 +225,8 @@ def _market_states(
         F.when(F.col("__fill_last").isNotNull(), F.struct(ts, "__fill_last"))
     )
     seen = scan(
-        rows,
-        Timeline.of([*keep, market], ts, width),
+        cuts.mark(rows),
+        cuts.line(keys, ts),
         {
             "position": running_sum(dq),
             "__was": before(running_sum(dq)),

@@ -12,6 +12,10 @@ bucket of the key: at most HASH_BUCKETS numbers, and the pass reads the key colu
 then shuffled once, by (key, chunk). Without hot keys there is no second level at all: the scan is
 the plain window, and so are the scans chained to it. Results are the same either way.
 
+A chain of scans asks only once: `find_cuts` reads keys and leading column in one pass, counts each bucket and sketches the
+quantiles of its times; hot keys are then cut by width and, inside a width, at those quantiles, so that a burst is several tasks
+too. Every scan of the chain takes its timeline from these cuts and runs no job of its own.
+
 `oddsloom.hotRows` in the session sets the rows a bucket may hold before it counts as hot (0 splits
 every key, as the tests do). `width=None` asks for the plain window and is meant only for keys whose
 row count is bounded by construction (a market's decision grid, one row per day).
@@ -34,6 +38,9 @@ HASH_BUCKETS = 65_536
 HOT_ROWS = 2_000_000
 #: Marks the rows of a chain that found no hot key.
 PLAIN = "__plain"
+#: Chunk column of a chain with cuts, and quantiles of a hot bucket.
+CUT = "__cut"
+QUANTILES = 255
 
 
 @dataclass(frozen=True)
@@ -48,13 +55,15 @@ class Timeline:
     order: tuple[str, ...]
     width: int | float | None
     by: Column | None = None
+    #: A column that has the chunk of hot keys, or PLAIN if there are none; set by `Cuts.line`.
+    cut: str | None = None
 
     @classmethod
     def of(
-        cls, keys: str | Sequence[str], order: str | Sequence[str], width=None, by: Column | None = None
+        cls, keys: str | Sequence[str], order: str | Sequence[str], width=None, by: Column | None = None, cut: str | None = None
     ) -> Timeline:
         as_tuple = lambda x: (x,) if isinstance(x, str) else tuple(x)
-        return cls(as_tuple(keys), as_tuple(order), width, by)
+        return cls(as_tuple(keys), as_tuple(order), width, by, cut)
 
     def chunk(self) -> Column:
         if self.by is not None:
@@ -66,6 +75,8 @@ class Timeline:
 
     def chunk_name(self) -> str:
         """Column that holds the chunk; equal for timelines that cut a key in the same way."""
+        if self.cut is not None:
+            return self.cut
         cut = "by" if self.by is not None else f"{self.order[0]}_{self.width}"
         return ("__chunk_" + "_".join((*self.keys, cut))).replace(".", "_")
 
@@ -238,6 +249,48 @@ def hot_buckets(df: DataFrame, keys: Sequence[str]) -> list[int] | None:
     return [r[0] for r in counts.filter(F.col("__n") > limit).select("__bucket").collect()]
 
 
+@dataclass(frozen=True)
+class Cuts:
+    """Where the hot keys of a chain of scans are cut. `table` has the quantiles of each hot bucket; None: no key is hot."""
+
+    keys: tuple[str, ...]
+    lead: str
+    width: int | float
+    table: DataFrame | None
+
+    def mark(self, df: DataFrame) -> DataFrame:
+        """`df` with the chunk of its rows, null outside hot buckets; rows dropped or added later need no new cuts."""
+        if self.table is None:
+            return df
+        met = df.withColumn("__bucket", _bucket(self.keys)).join(F.broadcast(self.table), "__bucket", "left")
+        # Halving steps: how many quantiles lie at or below the time.
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(QUANTILES.bit_length()))])
+        below = lambda at, step: (at + step <= F.size("__at")) & (F.element_at("__at", at + step) <= F.col(self.lead))
+        nth = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(below(at, step), step).otherwise(0))
+        chunk = F.struct(Timeline.of(self.keys, self.lead, self.width).chunk().alias("wide"), nth.alias("nth"))
+        return met.withColumn(CUT, F.when(F.col("__at").isNotNull(), chunk)).drop("__bucket", "__at")
+
+    def line(self, keys: str | Sequence[str], order: str | Sequence[str]) -> Timeline:
+        """A timeline over these cuts; its keys hold those of the cuts, its order starts with the same column."""
+        return Timeline.of(keys, order, self.width, cut=PLAIN if self.table is None else CUT)
+
+
+def find_cuts(df: DataFrame, keys: str | Sequence[str], lead: str, width: int | float) -> Cuts:
+    """One pass over keys and leading column; the driver sees at most QUANTILES numbers for each of at most HASH_BUCKETS hot buckets."""
+    keys = (keys,) if isinstance(keys, str) else tuple(keys)
+    limit = hot_rows(df)
+    ranks = ", ".join(f"{k / (QUANTILES + 1)!r}D" for k in range(1, QUANTILES + 1))
+    kind = "bigint" if dict(df.dtypes)[lead] in ("bigint", "int", "smallint", "tinyint") else "double"
+    found = df.select(_bucket(keys).alias("__bucket"), F.col(lead).cast(kind).alias("__lead")).groupBy("__bucket").agg(
+        F.count(F.lit(1)).alias("__n"), F.expr(f"kll_sketch_agg_{kind}(__lead)").alias("__sketch")
+    )
+    quantiles = F.expr(f"kll_sketch_get_quantile_{kind}(__sketch, array({ranks}))")
+    hot = found.filter(F.col("__n") > limit).select("__bucket", quantiles.alias("__at"))
+    rows = [(r["__bucket"], sorted(set(r["__at"]))) for r in hot.collect()]
+    table = df.sparkSession.createDataFrame(rows, f"__bucket int, __at array<{kind}>") if rows else None
+    return Cuts(keys, lead, width, table)
+
+
 def _bucket(keys: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(HASH_BUCKETS)).cast("int")
 
@@ -264,12 +317,15 @@ def scan(
 
     if line.width is None and line.by is None:
         return one_window(kept)
-    if plain in df.columns:
+    if line.cut == PLAIN or plain in df.columns:
         return one_window(kept)
+    if line.cut is not None and chunk not in kept:
+        # The chunk belongs to the chain; its operator drops it at the end.
+        kept.append(chunk)
     held = chunk in df.columns and line.by is None
     if held:
-        # Hot keys were told before: their rows carry a chunk.
-        base = df
+        # Hot keys were told before: their rows carry a chunk. Both levels read a written table, not the chain before it twice.
+        base = df if line.cut is None else settle(df)
     else:
         hot = hot_buckets(df, keys)
         if hot is not None and not hot:
@@ -313,8 +369,13 @@ def occurrence(df: DataFrame, line: Timeline, same: str, out: str) -> DataFrame:
     """0-based position among neighbouring rows with an equal `same` value, on the key's own timeline.
 
     With `same` leading the order this numbers the rows of one instant without making every instant
-    a group of its own.
+    a group of its own. On a timeline of cuts, whose chunks never part rows of one instant, it is the row number less the
+    rank of the instant: one window pass.
     """
+    if line.cut is not None and same == line.order[0]:
+        place = Window.partitionBy(*line.keys, *([] if line.cut == PLAIN else [line.cut]))
+        within = F.row_number().over(place.orderBy(*line.order)) - F.rank().over(place.orderBy(same))
+        return df.withColumn(out, F.when(F.col(same).isNull(), 0).otherwise(within).cast("bigint"))
     rows = scan(df, line, {"__at": running_count(), "__same": previous(F.struct(same))}, hold=True)
     fresh = F.coalesce(F.col(f"__same.{same}") != F.col(same), F.lit(True))
     rows = scan(rows.withColumn("__new", F.when(fresh, F.col("__at"))), line, {"__start": latest(F.col("__new"))})

@@ -18,7 +18,7 @@ from oddsloom.functions.codes import (
     MISSING_FILL_ID,
     SELL_WORDS,
 )
-from oddsloom.operators.timeline import Timeline, number, occurrence
+from oddsloom.operators.timeline import Timeline, find_cuts, number, occurrence
 from oddsloom.session import NANOS
 
 
@@ -49,8 +49,9 @@ def public_trades(
     usable side, so accepted and rejected tables are filters of one result.
     """
     order = [seconds, tx, side, price, size]
-    rows = occurrence(df, Timeline.of(token, order, width_s), seconds, "__in_second")
-    rows = number(rows, Timeline.of([tx, token], order, width_s), "__in_tx")
+    cuts = find_cuts(df, token, seconds, width_s)
+    rows = occurrence(cuts.mark(df), cuts.line(token, order), seconds, "__in_second")
+    rows = number(rows, cuts.line([tx, token], order), "__in_tx")
     clean = F.upper(F.trim(F.col(side)))
     value = _finite(F.col(price))
     return rows.select(
@@ -104,8 +105,10 @@ def onchain_fills(
     """Fills inside [start, end]; unusable rows are dropped before any counter sees them."""
     p, s = _finite(F.col(price)), _finite(F.col(size))
     rows = df.filter(F.col(ts).between(start, end))
+    cuts = find_cuts(rows, token, ts, width)
+    rows = cuts.mark(rows)
     if raw_id is None:
-        rows = number(rows, Timeline.of(token, [ts, pos], width), "__sorted")
+        rows = number(rows, cuts.line(token, [ts, pos]), "__sorted")
     rows = rows.withColumns({"price_value": p, "size_value": s}).filter(
         "price_value > 0 AND price_value < 1 AND size_value > 0"
     )
@@ -116,8 +119,8 @@ def onchain_fills(
         given = F.col(raw_id)
         ident = F.when(given.isNull() | (given == "") | (F.lower(given) == "nan"), missing).otherwise(given)
     rows = rows.withColumn("__id", ident)
-    rows = occurrence(rows, Timeline.of(token, [ts, pos], width), ts, "__same_ns")
-    rows = number(rows, Timeline.of([token, "__id"], [ts, pos], width), "__same_id")
+    rows = occurrence(rows, cuts.line(token, [ts, pos]), ts, "__same_ns")
+    rows = number(rows, cuts.line([token, "__id"], [ts, pos]), "__same_id")
     word = F.replace(F.lower(F.trim(F.col(side))), F.lit("-"), F.lit("_")) if side else F.lit(None)
     parts = [F.expr("right(__id, 24)")]
     if suffix is not None:
