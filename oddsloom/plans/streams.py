@@ -38,14 +38,14 @@ g(user_id, n, pos, status, epoch, last, seen, stale) AS (
 GATE_ROWS = f"{GATE_SQL} SELECT user_id, pos, status, CAST(epoch AS BIGINT) AS epoch_id, stale FROM g"
 
 
-def gate_events(ticks):
+def gate_events(ticks, *more: str):
     size, ts = F.col("size"), F.col("ts_ns")
     shift = F.when(size % 9 == 0, F.col("event_id") % 400).otherwise(0)
     return ticks.select(
         "user_id", F.col("event_id").alias("pos"),
         F.concat(F.lit("h"), ((F.col("event_id") - shift) % 700).cast("string")).alias("identifier"),
         (ts - F.when(size % 7 == 0, 9 * HOUR).otherwise(0)).alias("available_ts"), ts.alias("source_ts"),
-        F.when(size % 4 > 0, ts + size * 15_000_000).alias("receive_ts"),
+        F.when(size % 4 > 0, ts + size * 15_000_000).alias("receive_ts"), *more,
     )
 
 
@@ -57,6 +57,53 @@ def stream_ticks(t: Tables):
     )
 
 
+# The same events, every thirteenth size being a gap mark instead.
+GAP_SQL = (
+    GATE_SQL.replace("AS ident,", "AS ident, size % 13 = 5 AS gap,", 1)
+    .replace("SELECT user_id, n, pos, 'accepted', 0, available_ts, [ident], coalesce(abs(receive_ts - source_ts) > 1000000000, false) FROM ev WHERE n = 1",
+             "SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, 0, NULL::BIGINT, []::VARCHAR[], false FROM ev")
+    .replace("CASE WHEN list_contains(g.seen, e.ident) THEN 'duplicate'", "CASE WHEN e.gap THEN 'gap' WHEN list_contains(g.seen, e.ident) THEN 'duplicate'")
+    .replace("CASE WHEN NOT list_contains(g.seen, e.ident) AND e.available_ts < g.last THEN g.epoch + 1", "CASE WHEN e.gap OR NOT list_contains(g.seen, e.ident) AND e.available_ts < g.last THEN g.epoch + 1")
+    .replace("CASE WHEN list_contains(g.seen, e.ident) THEN g.last", "CASE WHEN e.gap THEN NULL WHEN list_contains(g.seen, e.ident) THEN g.last")
+    .replace("CASE WHEN list_contains(g.seen, e.ident) THEN g.seen", "CASE WHEN e.gap THEN [] WHEN list_contains(g.seen, e.ident) THEN g.seen")
+    .replace("coalesce(NOT list_contains", "NOT e.gap AND coalesce(NOT list_contains")
+)
+GAP_ROWS = f"{GAP_SQL} SELECT user_id, pos, status, CAST(epoch AS BIGINT) AS epoch_id, stale FROM g WHERE n > 0"
+
+
+def gap_events(ticks):
+    return gate_events(ticks.withColumn("gap", F.col("size") % 13 == 5), "gap", "ts", "ts_ns")
+
+
+@query("gap_gate", "T2", GAP_ROWS)
+def _gap_gate(t: Tables):
+    out = ql.quality_gate(
+        gap_events(t.ticks.withColumn("ts", F.lit(None))), keys=["user_id"], pos="pos", identifier="identifier", available="available_ts", source_ts="source_ts",
+        receive_ts="receive_ts", width=5_000, gap=F.col("gap"),
+    )
+    return out.select("user_id", "pos", "status", "epoch_id", "stale")
+
+
+@query("stream_gap_gate", "T1 T2", GAP_ROWS)
+def _stream_gap_gate(t: Tables):
+    marked = gap_events(stream_ticks(t)).withWatermark("ts", "1 hour")
+    return st.drain(st.process(marked, ["user_id"], gate.QualityGate(idle_ns=30 * DAY_NS), time_mode="EventTime"))
+
+
+@query(
+    "gap_counters",
+    "A34 T2",
+    f"""{GAP_SQL} SELECT user_id, count(*) FILTER (status <> 'gap') AS total_events, count(*) FILTER (status = 'accepted') AS accepted_events, count(*) FILTER (status = 'duplicate') AS duplicate_events,
+    count(*) FILTER (status = 'out_of_order') AS out_of_order_events, count(*) FILTER (stale) AS stale_events, count(*) FILTER (status = 'gap') AS gap_events, CAST(max(epoch) + 1 AS BIGINT) AS epochs FROM g WHERE n > 0 GROUP BY 1""",
+)
+def _gap_counters(t: Tables):
+    out = ql.quality_gate(
+        gap_events(t.ticks.withColumn("ts", F.lit(None))), keys=["user_id"], pos="pos", identifier="identifier", available="available_ts", source_ts="source_ts",
+        receive_ts="receive_ts", width=5_000, gap=F.col("gap"), rounds=1, replay_rows=10_000,
+    )
+    return ql.quality_counters(out, keys=["user_id"], gaps=True)
+
+
 @query("quality_gate", "T1 T2", GATE_ROWS)
 def _gate(t: Tables):
     out = ql.quality_gate(

@@ -13,34 +13,49 @@ from math import log, sqrt
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from oddsloom.streaming.run import Expiring
+
 
 def _ordered(rows: Iterator[pd.DataFrame], pos: str) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(pos, kind="stable")
 
 
-class QualityGate(StatefulProcessor):
-    """Duplicate, out-of-order and staleness marks with epochs; all ids of an epoch, or the last `max_seen`, are kept."""
+class QualityGate(Expiring):
+    """Duplicate, out-of-order and staleness marks with epochs; all ids of an epoch, or the last `max_seen`, are kept.
+
+    A row with `gap` set is a control mark: it opens an epoch, forgets ids and time, and is no event itself."""
 
     schema = (
         "user_id bigint, pos bigint, status string, epoch_id bigint, stale boolean"
     )
 
-    def __init__(self, max_seen: int | None = None, max_delay_ns: int = 1_000_000_000):
+    def __init__(self, max_seen: int | None = None, max_delay_ns: int = 1_000_000_000, **life):
+        super().__init__(**life)
         self.max_seen = max_seen
         self.max_delay_ns = max_delay_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.head = handle.getValueState("head", "epoch bigint, last bigint, first bigint, next bigint")
         self.seen = handle.getMapState("seen", "id string", "slot bigint")
         self.slots = handle.getMapState("slots", "slot bigint", "id string")
+        self.states += [self.head, self.seen, self.slots]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         epoch, last, first, nxt = self.head.get() if self.head.exists() else (0, None, 0, 0)
         out = []
         batch = _ordered(rows, "pos")
-        for pos, ident, available, source, receive in zip(
-            batch["pos"], batch["identifier"], batch["available_ts"], batch["source_ts"], batch["receive_ts"]
+        self.lives(batch)
+        marks = batch["gap"] if "gap" in batch.columns else [False] * len(batch)
+        for pos, ident, available, source, receive, gap in zip(
+            batch["pos"], batch["identifier"], batch["available_ts"], batch["source_ts"], batch["receive_ts"], marks
         ):
+            if gap:
+                epoch, last, first, nxt = epoch + 1, None, 0, 0
+                self.seen.clear()
+                self.slots.clear()
+                out.append((key[0], pos, "gap", epoch, False))
+                continue
             if self.seen.containsKey((ident,)):
                 out.append((key[0], pos, "duplicate", epoch, False))
                 continue
@@ -63,9 +78,6 @@ class QualityGate(StatefulProcessor):
         self.head.update((epoch, last, first, nxt))
         yield pd.DataFrame(out, columns=["user_id", "pos", "status", "epoch_id", "stale"])
 
-    def close(self) -> None:
-        pass
-
 
 class TrailingTrades(StatefulProcessor):
     """Trades of the last `window_ns` per key; decision rows in the stream read their features."""

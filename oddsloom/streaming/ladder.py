@@ -12,9 +12,9 @@ from collections.abc import Iterable, Iterator
 from math import floor
 
 import pandas as pd
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
-from oddsloom.streaming.run import due, typed
+from oddsloom.streaming.run import Expiring, typed
 
 BID, ASK = 1, 2
 LEVEL = "array<struct<price:double,size:double>>"
@@ -79,42 +79,17 @@ class Ladder:
         return [(s, r) for s in self.rungs for r in self.rungs[s]]
 
 
-class _Expiring(StatefulProcessor):
-    """Books that are forgotten `grace_ns` after `close_ns` of their rows, or `idle_ns` after the last event (`ts_ns`)."""
+class _Books(Expiring):
+    """Books of levels that end with their market."""
 
-    def __init__(self, rung: float = 0.01, closes: bool = False, grace_ns: int = 0, idle_ns: int | None = None):
-        self.rung, self.closes, self.grace_ns, self.idle_ns = rung, closes, grace_ns, idle_ns
+    def __init__(self, rung: float = 0.01, **life):
+        super().__init__(**life)
+        self.rung = rung
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.levels = handle.getMapState("levels", "side int, rung bigint", f"levels {LEVEL}")
-        self.life = handle.getValueState("life", "heard bigint, close bigint")
-        self.states = [self.levels, self.life]
-
-    def _lives(self, batch: pd.DataFrame) -> None:
-        """Set the timers of a batch."""
-        if not self.closes and self.idle_ns is None:
-            return
-        heard, close = self.life.get() if self.life.exists() else (None, None)
-        if self.idle_ns is not None:
-            heard = max(int(batch["ts_ns"].max()), heard or 0)
-            self.handle.registerTimer(due(heard + self.idle_ns))
-        if self.closes and batch["close_ns"].notna().any():
-            close = max(int(batch["close_ns"].max()), close or 0)
-            self.handle.registerTimer(due(close + self.grace_ns))
-        self.life.update((heard, close))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        heard, close = self.life.get() if self.life.exists() else (None, None)
-        over = self.closes and close is not None and due(close + self.grace_ns) <= passed
-        if over or self.idle_ns is not None and heard is not None and due(heard + self.idle_ns) <= passed:
-            for state in self.states:
-                state.clear()
-        yield typed([], self.schema)
-
-    def close(self) -> None:
-        pass
+        self.states.append(self.levels)
 
 
 def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -125,7 +100,7 @@ def _pairs(levels) -> list[tuple[float, float]]:
     return [(x["price"], x["size"]) for x in levels]
 
 
-class DepthSync(_Expiring):
+class DepthSync(_Books):
     """A depth book that follows contiguous updates from a snapshot on.
 
     Rows: `kind` (snapshot, delta), ids `first_id`, `final_id`, and levels `bids`, `asks`; size 0 removes a level. An update
@@ -150,7 +125,7 @@ class DepthSync(_Expiring):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows)
-        self._lives(batch)
+        self.lives(batch)
         # Without a last id the book is not in step.
         last, waiting, filled = self.head.get() if self.head.exists() else (None, 0, [])
         book, out = Ladder(self.levels, [tuple(x) for x in filled or ()], self.rung), []
@@ -223,7 +198,7 @@ class DepthSync(_Expiring):
         return status, reach
 
 
-class TokenBooks(_Expiring):
+class TokenBooks(_Books):
     """Per-token book from snapshots and changes; a crossed or one-sided book waits for a snapshot.
 
     Availability never falls behind what was already known, unless the source clock fell back by `tolerance_ns` or more.
@@ -242,7 +217,7 @@ class TokenBooks(_Expiring):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows)
-        self._lives(batch)
+        self.lives(batch)
         ready, available, source, filled = self.head.get() if self.head.exists() else (False, None, None, [])
         book, out = Ladder(self.levels, [tuple(x) for x in filled or ()], self.rung), []
         for row in batch.itertuples(index=False):

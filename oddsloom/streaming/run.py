@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from oddsloom.session import shared_folder
 
@@ -115,3 +115,42 @@ def typed(rows: list[tuple], schema: str) -> pd.DataFrame:
     kinds = {"bigint": "Int64", "double": "float64", "boolean": "bool", "string": "object"}
     parts = [x.split() for x in schema.split(", ")]
     return pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=kinds[t]) for k, (c, t) in enumerate(parts)})
+
+
+class Expiring(StatefulProcessor):
+    """State that is forgotten `grace_ns` after `close_ns` of its rows, or `idle_ns` after the last event (`ts_ns`), by event-time timers.
+
+    Without either it stays, and needs no watermark."""
+
+    def __init__(self, closes: bool = False, grace_ns: int = 0, idle_ns: int | None = None):
+        self.closes, self.grace_ns, self.idle_ns = closes, grace_ns, idle_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.life = handle.getValueState("life", "heard bigint, close bigint")
+        self.states = [self.life]
+
+    def lives(self, batch: pd.DataFrame) -> None:
+        """Set the timers of a batch."""
+        if not self.closes and self.idle_ns is None:
+            return
+        heard, close = self.life.get() if self.life.exists() else (None, None)
+        if self.idle_ns is not None:
+            heard = max(int(batch["ts_ns"].max()), heard or 0)
+            self.handle.registerTimer(due(heard + self.idle_ns))
+        if self.closes and batch["close_ns"].notna().any():
+            close = max(int(batch["close_ns"].max()), close or 0)
+            self.handle.registerTimer(due(close + self.grace_ns))
+        self.life.update((heard, close))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        heard, close = self.life.get() if self.life.exists() else (None, None)
+        over = self.closes and close is not None and due(close + self.grace_ns) <= passed
+        if over or self.idle_ns is not None and heard is not None and due(heard + self.idle_ns) <= passed:
+            for state in self.states:
+                state.clear()
+        yield typed([], self.schema)
+
+    def close(self) -> None:
+        pass

@@ -114,6 +114,7 @@ class Book(dict):
 
     getValue = dict.__getitem__
     removeKey = dict.pop
+    containsKey = dict.__contains__
 
     def exists(self):
         return "one" in self
