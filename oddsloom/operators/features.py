@@ -258,6 +258,23 @@ def decision_segments(
     return seen.withColumn(out, F.coalesce("__seg", F.lit(0).cast("bigint"))).drop("__seg", "__seg_ts")
 
 
+def blocks(first: Column, last: Column) -> Column:
+    """A stretch of whole numbers as blocks (size, at): the numbers n with n >> size = at. At most two of each size."""
+    none = F.array().cast("array<struct<size:int,at:bigint>>")
+    piece = lambda k, at: F.array(F.struct(k.cast("int").alias("size"), at.alias("at")))
+
+    def halve(acc: Column, k: Column) -> Column:
+        low, high = acc["low"], acc["high"]
+        left = (low < high) & (low.bitwiseAND(F.lit(1)) == 1)
+        right = (low < high) & (high.bitwiseAND(F.lit(1)) == 1)
+        low, high = F.when(left, low + 1).otherwise(low), F.when(right, high - 1).otherwise(high)
+        cut = F.concat(acc["cut"], F.when(left, piece(k, acc["low"])).otherwise(none), F.when(right, piece(k, high)).otherwise(none))
+        return F.struct(F.shiftright(low, 1).alias("low"), F.shiftright(high, 1).alias("high"), cut.alias("cut"))
+
+    whole = F.struct(first.cast("bigint").alias("low"), (last.cast("bigint") + 1).alias("high"), none.alias("cut"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), whole, halve, lambda acc: acc["cut"])
+
+
 def opening_reference(
     decisions: DataFrame, references: DataFrame, *, keys: Sequence[str], decision_ts: str, market_start: str,
     available: str, source_ts: str, price: str, tie: Sequence[str], retention_ns: int, grid_ns: int, width: int,
@@ -265,9 +282,10 @@ def opening_reference(
     """Latest reference by arrival, and the latest arrival whose source time is not after the start.
 
     What arrived by the start qualifies as it is (nothing arrives before its source time). A late
-    arrival qualifies for the starts between its source and arrival times; starts lie on a grid of
-    `grid_ns`, so each reference is laid out on the few grid points it bridges and looked up per
-    start. Arrivals more than `retention_ns` before the latest one are forgotten.
+    arrival qualifies for the starts between its source and arrival times. These lie on a grid of
+    `grid_ns`; the stretch is cut into blocks of doubling size, at most two of each, and a start looks
+    into the one block of each size that holds it. So a source time of zero costs a row per doubling,
+    not one per grid point. Arrivals more than `retention_ns` before the latest one are forgotten.
     """
     keys = list(keys)
     refs = references.select(
@@ -294,12 +312,26 @@ def opening_reference(
     )
     first = ceil_div("__s", grid_ns)
     last = ceil_div("__a", grid_ns) - 1
-    late = (
-        refs.filter(first <= last)
-        .withColumn("__g", F.explode(F.sequence(first, last)))
-        .select(*keys, (F.col("__g") * grid_ns).alias(market_start), "__a", "__p", *tie)
-    )
-    out = look(out, late, [*keys, market_start], decision_ts, "__late")
+    ties = [f"__late_{t}" for t in tie]
+    late = settle(refs.filter(first <= last).withColumn("__b", F.explode(blocks(first, last))).select(
+        *keys, F.col("__b.size").alias("__size"), F.col("__b.at").alias("__block"), F.col("__a").alias("__late_at"), F.col("__p").alias("__late"),
+        *[F.col(t).alias(n) for t, n in zip(tie, ties)],
+    ))
+    # At most 64 numbers.
+    sizes = sorted(r[0] for r in late.select("__size").distinct().collect())
+    own = out.columns
+    if sizes:
+        spots = out.withColumn("__size", F.explode(F.array(*[F.lit(k) for k in sizes])))
+        spots = spots.withColumn("__block", F.call_function("shiftright", floor_div(market_start, grid_ns), F.col("__size")))
+        copies = late.withColumns({f"{n}_by": F.col(n) for n in ties})
+        found = asof_backward(
+            spots, copies, [*keys, "__size", "__block"], decision_ts, "__late_at", ["__late", *ties], width, right_tie=[f"{n}_by" for n in ties]
+        )
+        # Of the blocks of all sizes, the latest arrival.
+        newest = F.max_by("__late", F.when(F.col("__late_at").isNotNull(), F.struct("__late_at", *ties)))
+        out = found.groupBy(*own).agg(newest.alias("__late"), F.max("__late_at").alias("__late_at"))
+    else:
+        out = out.withColumns({"__late": F.lit(None).cast(refs.schema["__p"].dataType), "__late_at": F.lit(None).cast("bigint")})
     kept = lambda name: F.when(
         F.col(f"{name}_at") >= F.col("latest_reference_at") - F.lit(retention_ns), F.col(name)
     )
