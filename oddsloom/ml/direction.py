@@ -8,10 +8,10 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddsloom.ml.isotonic import isotonic_blocks, isotonic_value
 from oddsloom.operators.evaluate import calibration_line, clipped, log_loss, logit
 from oddsloom.session import beside, settle
 
@@ -100,8 +100,8 @@ def calibrator(df: DataFrame, *, p: str, y: str, weight: str, method: str) -> Ca
     if method == "isotonic":
         if df.count() < MIN_ISOTONIC_ROWS:
             raise ValueError(f"isotonic calibration needs at least {MIN_ISOTONIC_ROWS} rows")
-        fitted = IsotonicRegression(featuresCol=p, labelCol=y, weightCol=weight).fit(df)
-        return lambda rows, out: fitted.setPredictionCol(out).transform(rows)
+        blocks = isotonic_blocks(df, p=p, y=y, weight=weight)
+        return lambda rows, out: isotonic_value(rows, blocks, p=p, out=out)
     raise ValueError(f"unknown calibration {method}")
 
 
