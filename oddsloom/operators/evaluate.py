@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -120,9 +122,9 @@ def calibration_line(
 ) -> DataFrame:
     """Intercept and slope of a logistic fit on the forecast's logit; NULL with one class only.
 
-    Newton steps on two parameters: each iteration brings five sums to the driver. Rows are first
-    summed per distinct forecast. `ridge` penalises the slope (1/C of the usual parameterisation).
-    Raises ArithmeticError if the steps do not settle, as on forecasts that part the classes.
+    Newton steps on two parameters, halved while they lower the likelihood: each iteration brings six sums to the
+    driver. Rows are first summed per distinct forecast. `ridge` penalises the slope (1/C of the usual parameterisation).
+    NULL too where no finite line is best, as on forecasts that part the classes, or none is found in `iterations`.
     """
     w = F.col(weight) if weight else F.lit(1.0)
     data = settle(
@@ -133,27 +135,36 @@ def calibration_line(
     totals = data.agg(F.sum("w").alias("w"), F.sum("wy").alias("wy")).first()
     if not totals.w or totals.wy <= 0 or totals.wy >= totals.w:
         return spark.createDataFrame([(None, None)], schema)
-    a, b = 0.0, 0.0
+    a = b = da = db = 0.0
+    before, found = -math.inf, None
     for _ in range(iterations):
-        mu = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
+        z = F.lit(a) + F.lit(b) * F.col("x")
+        mu = 1 / (1 + F.exp(-z))
         v = F.col("w") * mu * (1 - mu)
         r = F.col("wy") - F.col("w") * mu
+        # ln(mu) and ln(1 - mu) without overflow.
+        softplus = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
         s = data.agg(
-            F.sum(r).alias("g0"), F.sum(r * F.col("x")).alias("g1"), F.sum(v).alias("h00"),
-            F.sum(v * F.col("x")).alias("h01"), F.sum(v * F.col("x") * F.col("x")).alias("h11"),
+            F.sum(r).alias("g0"), F.sum(r * F.col("x")).alias("g1"), F.sum(v).alias("h00"), F.sum(v * F.col("x")).alias("h01"),
+            F.sum(v * F.col("x") * F.col("x")).alias("h11"), F.sum(F.col("wy") * z - F.col("w") * softplus).alias("ll"),
         ).first()
+        reached = s.ll - ridge * b * b / 2
+        if reached < before - 1e-9 * abs(before):
+            da, db = da / 2, db / 2
+            a, b = a - da, b - db
+            continue
         g1, h11 = s.g1 - ridge * b, s.h11 + ridge
         det = s.h00 * h11 - s.h01 * s.h01
-        if det <= 0:
-            return spark.createDataFrame([(None, None)], schema)
+        if det <= 0 or ridge == 0 and s.ll > -1e-6 * totals.w:
+            break
+        before = reached
         da, db = (h11 * s.g0 - s.h01 * g1) / det, (s.h00 * g1 - s.h01 * s.g0) / det
         a, b = a + da, b + db
         if abs(da) + abs(db) < 1e-12 * (1 + abs(a) + abs(b)):
+            found = (float(a), float(b))
             break
-    else:
-        raise ArithmeticError(f"the fit did not settle in {iterations} steps: intercept {a}, slope {b}")
     release(data)
-    return spark.createDataFrame([(float(a), float(b))], schema)
+    return spark.createDataFrame([found or (None, None)], schema)
 
 
 def weighted_calibration_error(df: DataFrame, *, p: str, y: str, weight: str, by: Sequence[str] = ()) -> DataFrame:

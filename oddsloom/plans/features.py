@@ -119,9 +119,9 @@ grid AS (SELECT m.*, t0 + o AS decision_ts, o AS offset_ns FROM markets m, (SELE
 ends AS (SELECT g.*, k.close AS last_close, k.available_ts AS last_ts FROM grid g ASOF LEFT JOIN klines k ON g.symbol = k.symbol AND g.decision_ts >= k.available_ts)"""
 
 
-def _kline_sql() -> str:
+def _kline_sql(windows: dict[str, int] = KLINE_WINDOWS) -> str:
     parts = []
-    for w, span in KLINE_WINDOWS.items():
+    for w, span in windows.items():
         inside = f"k.available_ts >= e.decision_ts - {span}"
         vol = f"sum(k.volume) FILTER (WHERE {inside})"
         parts.append(
@@ -129,36 +129,55 @@ def _kline_sql() -> str:
             f"round(CASE WHEN count(k.close) FILTER (WHERE {inside}) > 0 THEN sqrt(sum(CASE WHEN {inside} AND k.prev_ts >= e.decision_ts - {span} THEN k.r2 ELSE 0 END)) END, 6) AS rv_{w}, "
             f"CASE WHEN count(k.close) FILTER (WHERE {inside}) > 0 THEN sqrt(sum(CASE WHEN {inside} AND k.prev_ts >= e.decision_ts - {span} THEN k.r2 ELSE 0 END)) END AS rv_{w}_exact, "
             f"round(coalesce((2 * sum(k.taker) FILTER (WHERE {inside}) - {vol}) / {vol}, 0), 6) AS flow_{w}, "
-            f"round({vol}, 6) AS volume_{w}, round(max(e.last_close) / (sum(k.quote_volume) FILTER (WHERE {inside}) / {vol}) - 1, 6) AS vwap_distance_{w}"
+            f"round({vol}, 6) AS volume_{w}, round(max(e.last_close) / CASE WHEN {vol} > 0 THEN sum(k.quote_volume) FILTER (WHERE {inside}) / {vol} ELSE max(e.last_close) END - 1, 6) AS vwap_distance_{w}"
         )
     return ", ".join(parts)
 
 
-KLINE_FEATURES = f"""{KLINES},
+def _kline_features_sql(windows: dict[str, int]) -> str:
+    longest = max(windows.values())
+    return f"""{KLINES},
 features AS (
-  SELECT e.market, e.symbol, e.t0, e.decision_ts, e.offset_ns, e.resolution, max(e.last_close) AS last_close, {_kline_sql()},
-         coalesce(min(k.available_ts) <= e.decision_ts - {DAY_NS} + {BAR}, false) AS full_history,
-         coalesce(sum(CASE WHEN k.prev_ts >= e.decision_ts - {DAY_NS} THEN k.gap ELSE 0 END) > 0, false) AS has_gap
-  FROM ends e LEFT JOIN linked k ON k.symbol = e.symbol AND k.available_ts <= e.decision_ts AND k.available_ts >= e.decision_ts - {DAY_NS}
+  SELECT e.market, e.symbol, e.t0, e.decision_ts, e.offset_ns, e.resolution, max(e.last_close) AS last_close, {_kline_sql(windows)},
+         coalesce(min(k.available_ts) <= e.decision_ts - {longest} + {BAR}, false) AS full_history,
+         coalesce(sum(CASE WHEN k.prev_ts >= e.decision_ts - {longest} THEN k.gap ELSE 0 END) > 0, false) AS has_gap
+  FROM ends e LEFT JOIN linked k ON k.symbol = e.symbol AND k.available_ts <= e.decision_ts AND k.available_ts >= e.decision_ts - {longest}
   GROUP BY 1, 2, 3, 4, 5, 6)"""
 
 
-def kline_features(t: Tables):
+KLINE_FEATURES = _kline_features_sql(KLINE_WINDOWS)
+# All nine windows of the feature set, minutes standing in for seconds.
+ALL_KLINE_WINDOWS = {f"{s}s": s * HOUR // 60 for s in ft.KLINE_WINDOWS_S}
+
+
+def kline_features(t: Tables, windows: dict[str, int] = KLINE_WINDOWS):
     return ft.kline_windows(
         grid(t), klines(t), keys=["symbol"], decision_ts="decision_ts", available="available_ts", open_ts="open_ts",
-        interval_ns=BAR, windows_ns=KLINE_WINDOWS, width=7 * DAY_NS,
+        interval_ns=BAR, windows_ns=windows, width=7 * DAY_NS,
     )
 
 
+def _kline_columns(out):
+    names = [c for c in out.columns if c.split("_")[0] in ("return", "rv", "flow", "volume", "vwap")]
+    return out.select("market", "decision_ts", *[F.round(c, 6).alias(c) for c in names], "full_history", "has_gap")
+
+
+@query(
+    "kline_features_all_windows",
+    "W2 W3",
+    f"WITH {_kline_features_sql(ALL_KLINE_WINDOWS)} SELECT * EXCLUDE (last_close, symbol, t0, offset_ns, resolution, {', '.join(f'rv_{w}_exact' for w in ALL_KLINE_WINDOWS)}) FROM features",
+)
+def _all_kline_features(t: Tables):
+    return _kline_columns(kline_features(t, ALL_KLINE_WINDOWS))
+
+
 @query(
     "kline_features",
     "W2 W3 J12",
     f"WITH {KLINE_FEATURES} SELECT * EXCLUDE (last_close, symbol, t0, offset_ns, resolution, {', '.join(f'rv_{w}_exact' for w in KLINE_WINDOWS)}) FROM features",
 )
 def _kline_features(t: Tables):
-    out = kline_features(t)
-    names = [c for c in out.columns if c.split("_")[0] in ("return", "rv", "flow", "volume", "vwap")]
-    return out.select("market", "decision_ts", *[F.round(c, 6).alias(c) for c in names], "full_history", "has_gap")
+    return _kline_columns(kline_features(t))
 
 
 def proxy_snapshots(t: Tables):
