@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.ml.isotonic import isotonic_blocks, isotonic_value
+from oddsloom.ml.logistic import Logistic, fit_logistic
 from oddsloom.operators.evaluate import calibration_line, clipped, log_loss, logit
 from oddsloom.session import beside, settle
 
@@ -21,22 +22,6 @@ TEMPERATURES = (0.5, 0.75, 1.0, 1.5, 2.0)
 
 
 
-def fit_logistic(df: DataFrame, *, features: Sequence[str], label: str, weight: str, c: float = 1.0):
-    """L2 logistic on standardised features. The penalty 1/(C * sum of weights) on Spark's averaged
-    loss equals the usual C on the summed loss."""
-    total = df.agg(F.sum(weight)).first()[0]
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(features), outputCol="raw"),
-            StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
-            LogisticRegression(
-                featuresCol="features", labelCol=label, weightCol=weight, regParam=1.0 / (c * total), elasticNetParam=0.0,
-                standardization=False, maxIter=200, tol=1e-9,
-            ),
-        ]
-    ).fit(df)
-
-
 def fit_trees(
     df: DataFrame, *, features: Sequence[str], label: str, weight: str, tail: str | None = None, depth: int = 4,
     iterations: int = 30, step: float = 0.1, seed: int = 17,
@@ -51,6 +36,8 @@ def fit_trees(
 
 
 def score(model, df: DataFrame, *, out: str = "p_raw") -> DataFrame:
+    if isinstance(model, Logistic):
+        return df.withColumn(out, model.probability())
     made = model.transform(df)
     return made.select(*df.columns, vector_to_array("probability")[1].alias(out))
 

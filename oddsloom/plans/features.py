@@ -431,23 +431,28 @@ SAMPLES = f"""samples AS (
   FROM orders)"""
 
 
-@query(
-    "walk_forward_split",
-    "W33",
-    f"""WITH {SAMPLES},
-    span AS (SELECT group_id, min(feature_ts) AS lo, max(feature_ts) AS hi, max(label_ts) AS deadline FROM samples GROUP BY 1),
+def folds_sql(split: dict) -> str:
+    """Whole groups of `samples` in the roles of complete folds (member, complete) and in the sealed part (marked)."""
+    return f"""span AS (SELECT group_id, min(feature_ts) AS lo, max(feature_ts) AS hi, max(label_ts) AS deadline FROM samples GROUP BY 1),
     ends AS (SELECT min(lo) AS first, max(hi) AS last FROM span),
-    marked AS (SELECT s.*, hi >= last - {SPLIT['holdout']} AS sealed FROM span s, ends),
+    marked AS (SELECT s.*, hi >= last - {split['holdout']} AS sealed FROM span s, ends),
     sealed AS (SELECT min(lo) AS sealed_start FROM marked WHERE sealed),
     folds AS (
-      SELECT k, first + {SPLIT['train'] + SPLIT['calibration'] + 2 * SPLIT['embargo']} + k * {SPLIT['step']} AS t FROM ends, sealed, (SELECT unnest(range(0, 60)) AS k)
-      WHERE first + {SPLIT['train'] + SPLIT['calibration'] + 2 * SPLIT['embargo']} + k * {SPLIT['step']} + {SPLIT['test']} <= sealed_start),
+      SELECT k, first + {split['train'] + split['calibration'] + 2 * split['embargo']} + k * {split['step']} AS t FROM ends, sealed, (SELECT unnest(range(0, 60)) AS k)
+      WHERE first + {split['train'] + split['calibration'] + 2 * split['embargo']} + k * {split['step']} + {split['test']} <= sealed_start),
     roles AS (
-      SELECT k, 'test' AS role, t AS a, t + {SPLIT['test']} AS b FROM folds UNION ALL
-      SELECT k, 'calibration', t - {SPLIT['embargo'] + SPLIT['calibration']}, t - {SPLIT['embargo']} FROM folds UNION ALL
-      SELECT k, 'train', t - {2 * SPLIT['embargo'] + SPLIT['calibration'] + SPLIT['train']}, t - {2 * SPLIT['embargo'] + SPLIT['calibration']} FROM folds),
+      SELECT k, 'test' AS role, t AS a, t + {split['test']} AS b FROM folds UNION ALL
+      SELECT k, 'calibration', t - {split['embargo'] + split['calibration']}, t - {split['embargo']} FROM folds UNION ALL
+      SELECT k, 'train', t - {2 * split['embargo'] + split['calibration'] + split['train']}, t - {2 * split['embargo'] + split['calibration']} FROM folds),
     member AS (SELECT m.group_id, r.k, r.role FROM marked m JOIN roles r ON NOT sealed AND lo >= a AND hi < b AND (role = 'test' OR deadline <= b)),
-    complete AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS fold FROM (SELECT k FROM member GROUP BY k HAVING count(DISTINCT role) = 3))
+    complete AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS fold FROM (SELECT k FROM member GROUP BY k HAVING count(DISTINCT role) = 3))"""
+
+
+@query(
+    "walk_forward_split",
+    "W33",
+    f"""WITH {SAMPLES},
+    {folds_sql(SPLIT)}
     SELECT fold, role, sample_id, s.group_id FROM samples s JOIN member m ON s.group_id = m.group_id JOIN complete c ON m.k = c.k
     UNION ALL SELECT -1, 'holdout', sample_id, s.group_id FROM samples s JOIN marked m ON s.group_id = m.group_id WHERE sealed""",
 )
