@@ -11,6 +11,7 @@ from oddsloom.plans.features import _window_sql
 from oddsloom.plans.registry import query
 from oddsloom.streaming import gate, ladder
 from oddsloom.streaming import run as st
+from oddsloom.streaming.feeds import feed_watch
 from oddsloom.streaming.venue import venue_features
 
 HOUR = 3_600_000_000_000
@@ -391,6 +392,31 @@ def _health(t: Tables):
     return st.feed_health(ages, required, feed="feed", now=F.lit(FEED_NOW), stale_ns=12 * HOUR, gaps=gaps)
 
 
+# Feeds of a year long gone, some of them with times far ahead of any clock.
+AHEAD_NS = 95 * 365 * DAY_NS
+
+
+@query(
+    "stream_feed_watch",
+    "T6",
+    f"""WITH {TICKS}, f AS (SELECT user_id AS feed, max(CASE WHEN user_id % 10 = 7 THEN ts_ns + {AHEAD_NS} ELSE ts_ns END) AS last_ts FROM ticks GROUP BY 1)
+    SELECT c_custkey AS feed, last_ts, CASE WHEN last_ts IS NULL THEN 'silent' WHEN c_custkey % 10 = 3 THEN 'gap' WHEN c_custkey % 10 = 7 THEN 'future' ELSE 'stale' END AS state
+    FROM customer LEFT JOIN f ON c_custkey = feed""",
+)
+def _watch(t: Tables):
+    feed = F.col("c_custkey").alias("feed")
+    required = st.read_stream(t.spark, t.path("customer"))
+    # Of a feed's marks the first gap is mended and the second is not.
+    marks = required.filter("c_custkey % 10 = 3").select(feed, F.explode(F.array(*[F.lit(k) for k in ("gap", "mended", "gap")])).alias("kind"), F.lit(None).cast("bigint").alias("ts_ns"))
+    events = stream_ticks(t).select(
+        F.col("user_id").alias("feed"), F.lit("event").alias("kind"), (F.col("ts_ns") + F.when(F.col("user_id") % 10 == 7, AHEAD_NS).otherwise(0)).alias("ts_ns")
+    )
+    rows = required.select(feed, F.lit("required").alias("kind"), F.lit(None).cast("bigint").alias("ts_ns")).unionByName(marks).unionByName(events)
+    changes = st.drain_live(feed_watch(rows, feed="feed", stale_ns=12 * HOUR))
+    newest = changes.groupBy("feed").agg(F.max(F.struct("change", "last_ts", "state")).alias("now"))
+    return newest.select("feed", "now.last_ts", "now.state")
+
+
 @query(
     "stream_flush",
     "T9 S9 S10",

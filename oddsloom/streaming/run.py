@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -67,6 +68,24 @@ def drain(stream: DataFrame, *, mode: str = "append", partition_by: Sequence[str
     return written.groupBy(*[F.col(k) for k in keys]).agg(newest.alias("__row")).select("__row.*")
 
 
+def drain_live(stream: DataFrame, *, wait_s: float = 0.2) -> DataFrame:
+    """What an append stream with processing-time timers writes until a micro-batch without new rows has ended.
+
+    Such streams never end by themselves: their clock always asks for one more micro-batch."""
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark).rstrip('/')}/oddsloom-stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.format("parquet").option("path", f"{base}/data").option("checkpointLocation", f"{base}/checkpoint")
+    query = writer.trigger(processingTime="0 seconds").start()
+    try:
+        while query.isActive and not ((p := query.lastProgress) and p["batchId"] > 0 and p["numInputRows"] == 0):
+            time.sleep(wait_s)
+        if query.exception():
+            raise query.exception()
+    finally:
+        query.stop()
+    return spark.read.schema(stream.schema).parquet(f"{base}/data")
+
+
 def tumbling(
     stream: DataFrame, *, keys: Sequence[str], event_time: str, length: str, late: str, aggs: Mapping[str, Column]
 ) -> DataFrame:

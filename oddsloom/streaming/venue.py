@@ -21,6 +21,7 @@ from math import log, sqrt
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from oddsloom.streaming.run import due, process, typed
@@ -73,8 +74,8 @@ class VenueState(StatefulProcessor):
     """Answers decision rows from the trades, books, references and gap marks of their key.
 
     Rows: `kind` (trade, book, reference, gap, decision), `ts_ns`, `pos` (order among equal times), and `price`, `quantity`,
-    `sign` of trades, `bid`, `ask`, `bid_size`, `ask_size` of books, `price`, `source_ns` of references, `start_ns` of
-    decisions (the market's start). Facts at the very time of a decision count. Trades without a positive price are left out.
+    `sign` of trades, `bid`, `ask`, `bid_size`, `ask_size` of books, `price`, `source_ns` of references (null: `ts_ns`), `start_ns` of
+    decisions (the market's start; null: none, so no opening reference). Facts at the very time of a decision count. Trades without a positive price are left out.
     """
 
     def __init__(self, key: str, windows_ns: Mapping[str, int], retention_ns: int, slot_ns: int | None = None, idle_ns: int | None = None):
@@ -258,4 +259,6 @@ def venue_features(
 ) -> DataFrame:
     """A row per decision, once the watermark (`late` behind the newest event time) has passed it."""
     state = VenueState(key, windows_ns, retention_ns, slot_ns, idle_ns)
-    return process(stream.withWatermark(event_time, late), [key], state, time_mode="EventTime")
+    # A null among whole numbers would make them floats on the way to Python, which hold no nanoseconds.
+    times = {"source_ns": F.coalesce("source_ns", "ts_ns"), "start_ns": F.coalesce("start_ns", F.lit(0))}
+    return process(stream.withColumns(times).withWatermark(event_time, late), [key], state, time_mode="EventTime")
