@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from oddsloom.functions.floats import ratio
+
 # Fixed values.
 CRYPTO_LABELS = ("crypto",)
 FEE_LABELS = (
@@ -80,16 +82,17 @@ def slipped_price(action: Column, bid: Column, ask: Column, tick: Column, ticks:
     return F.when(action == "buy", buy).otherwise(sell)
 
 
-def affordable_size(desired: Column, price: Column, taker_fee: Column, balance: Column, visible: Column) -> Column:
+def affordable_size(desired: Column, price: Column, taker_fee: Column, balance: Column, visible: Column, *, clamp: bool = True) -> Column:
     """Desired size within the balance (with its buffer) and the visible size.
 
     Without a reference price the worst case of 1 is assumed; NULL balance or visible size do not cap.
+    Without `clamp` prices count as they are: above 1 they cost more, and at 0 cash does not cap.
     """
     ref = F.when(price > 0, price).otherwise(1.0)
-    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ref))
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ref)) if clamp else price
     fee = F.greatest(F.lit(0.0), taker_fee)
     unit = p + fee * p * (1 - p)
-    limit = balance * float(AFFORDABILITY_BUFFER) / unit
+    limit = ratio(balance * float(AFFORDABILITY_BUFFER), unit)
     by_cash = F.when(balance.isNull(), desired).otherwise(F.greatest(F.lit(0.0), F.least(desired, limit)))
     capped = F.when(visible.isNull(), by_cash).when(visible <= 0, 0.0).otherwise(F.least(by_cash, visible))
     return F.when(desired <= 0, 0.0).otherwise(capped)

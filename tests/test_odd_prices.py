@@ -45,6 +45,7 @@ def folder(tmp_path_factory):
     "brier_advantage",
     "total_brier_advantage",
     "mark_to_market_pnl",
+    "sized_entries",
 ])
 def test_query_follows_its_sql(spark, folder, name):
     got = entry.queries()[name](spark, folder)
