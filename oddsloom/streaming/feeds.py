@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
-from oddsloom.streaming.run import due, process, typed
+from oddsloom.streaming.run import Keyed, due, process
 
 EVENT, REQUIRED, GAP, MENDED = "event", "required", "gap", "mended"
 _MS = 1_000_000
 
 
-class FeedWatch(StatefulProcessor):
+class FeedWatch(Keyed):
     """A row per change of a required feed's state: silent, gap, future, stale or ok, the first that holds.
 
     Rows: `kind` and `ts_ns`. A `required` row makes a feed one that is watched, silent until it is heard; an `event` carries
@@ -34,26 +31,25 @@ class FeedWatch(StatefulProcessor):
         self.handle = handle
         self.feed = handle.getValueState("feed", "required boolean, last bigint, gaps bigint, told string, change bigint, timer bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def answer(self, key, rows: list, timerValues) -> list[tuple]:
         required, last, gaps, told, change, timer = self.feed.get() if self.feed.exists() else (False, None, 0, None, 0, None)
-        for batch in rows:
-            kinds = batch["kind"]
-            required = bool(required or (kinds == REQUIRED).any())
-            heard = batch.loc[kinds == EVENT, "ts_ns"]
-            if len(heard):
-                last = max(int(heard.max()), last if last is not None else int(heard.max()))
-            # A mended feed has no gap left, whatever the order of the batch's rows says of those before.
-            marks = kinds[(kinds == GAP) | (kinds == MENDED)]
-            if len(marks):
-                at = (marks == MENDED).to_numpy().nonzero()[0]
-                gaps = len(marks) - 1 - int(at[-1]) if len(at) else gaps + len(marks)
-        yield self._tell(key, (required, last, gaps, told, change, timer), timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for row in rows:
+            if row.kind == EVENT:
+                last = int(row.ts_ns) if last is None else max(int(row.ts_ns), last)
+            elif row.kind == REQUIRED:
+                required = True
+            elif row.kind == GAP:
+                gaps += 1
+            elif row.kind == MENDED:
+                # A mended feed has no gap left, whatever the order of the batch's rows says of those before.
+                gaps = 0
+        return self._tell(key, (required, last, gaps, told, change, timer), timerValues)
+
+    def expired(self, key, timerValues) -> list[tuple]:
         required, last, gaps, told, change, _ = self.feed.get()
-        yield self._tell(key, (required, last, gaps, told, change, None), timerValues)
+        return self._tell(key, (required, last, gaps, told, change, None), timerValues)
 
-    def _tell(self, key, feed, timerValues) -> pd.DataFrame:
+    def _tell(self, key, feed, timerValues) -> list[tuple]:
         required, last, gaps, told, change, timer = feed
         now_ms = timerValues.getCurrentProcessingTimeInMs()
         age = None if last is None else now_ms * _MS - last
@@ -78,10 +74,7 @@ class FeedWatch(StatefulProcessor):
             change, told = change + 1, state
             out.append((key[0], change, now_ms, last, state))
         self.feed.update((required, last, gaps, told, change, clock))
-        return typed(out, self.schema)
-
-    def close(self) -> None:
-        pass
+        return out
 
 
 def feed_watch(rows: DataFrame, *, feed: str, stale_ns: int, future_ns: int = 5_000_000_000) -> DataFrame:

@@ -8,13 +8,12 @@ nothing for `idle_ns`, is forgotten by an event-time timer.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from math import floor
 
-import pandas as pd
 from pyspark.sql.streaming import StatefulProcessorHandle
 
-from oddsloom.streaming.run import Expiring, typed
+from oddsloom.streaming.run import Expiring
 
 BID, ASK = 1, 2
 LEVEL = "array<struct<price:double,size:double>>"
@@ -92,8 +91,8 @@ class _Books(Expiring):
         self.states.append(self.levels)
 
 
-def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values("pos", kind="stable")
+def _ordered(rows: list) -> list:
+    return sorted(rows, key=lambda r: r.pos)
 
 
 def _pairs(levels) -> list[tuple[float, float]]:
@@ -123,7 +122,7 @@ class DepthSync(_Books):
         self.waiting = handle.getListState("waiting", f"first_id bigint, final_id bigint, bids {LEVEL}, asks {LEVEL}")
         self.states += [self.head, self.waiting]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def answer(self, key, rows: list, timerValues) -> list[tuple]:
         batch = _ordered(rows)
         self.lives(batch)
         # Without a last id the book is not in step.
@@ -149,7 +148,7 @@ class DepthSync(_Books):
             last = None
             book.clear()
 
-        for row in batch.itertuples(index=False):
+        for row in batch:
             update = (int(row.first_id), int(row.final_id), _pairs(row.bids), _pairs(row.asks))
             if row.kind == "delta" and last is None:
                 status = "awaiting_snapshot"
@@ -170,7 +169,7 @@ class DepthSync(_Books):
             top = book.top() if status == "applied" else None
             out.append((key[0], int(row.pos), status, last, *(top or (None,) * 4)))
         self.head.update((last, waiting, book.save()))
-        yield typed(out, self.schema)
+        return out
 
     def _snapshot(self, book, snapshot, waiting, hold, write, lose) -> tuple[str, int | None]:
         held = self.waiting.get() if waiting else ()
@@ -215,12 +214,12 @@ class TokenBooks(_Books):
         self.head = handle.getValueState("head", "ready boolean, available bigint, source bigint, filled array<struct<side:int,rung:bigint>>")
         self.states.append(self.head)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def answer(self, key, rows: list, timerValues) -> list[tuple]:
         batch = _ordered(rows)
         self.lives(batch)
         ready, available, source, filled = self.head.get() if self.head.exists() else (False, None, None, [])
         book, out = Ladder(self.levels, [tuple(x) for x in filled or ()], self.rung), []
-        for row in batch.itertuples(index=False):
+        for row in batch:
             known = max(int(row.source_ts), int(row.receive_ts))
             if available is not None and int(row.source_ts) + self.tolerance_ns > source:
                 known = max(known, available)
@@ -246,4 +245,4 @@ class TokenBooks(_Books):
                 available, source = known, int(row.source_ts)
             out.append((key[0], int(row.pos), status, known, *(top or (None,) * 4)))
         self.head.update((ready, available, source, book.save()))
-        yield typed(out, self.schema)
+        return out

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,7 +35,7 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
 def process(stream: DataFrame, keys: Sequence[str], processor: StatefulProcessor, time_mode: str = "None") -> DataFrame:
     """`time_mode` is EventTime or ProcessingTime for processors with timers; the former needs a watermark."""
     use_rocksdb(stream.sparkSession)
-    return stream.groupBy(*keys).transformWithStateInPandas(processor, processor.schema, "Append", time_mode)
+    return stream.groupBy(*keys).transformWithState(ByRow(processor), processor.schema, "Append", time_mode)
 
 
 def drain(stream: DataFrame, *, mode: str = "append", partition_by: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
@@ -136,7 +136,51 @@ def typed(rows: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=kinds[t]) for k, (c, t) in enumerate(parts)})
 
 
-class Expiring(StatefulProcessor):
+class Keyed(StatefulProcessor):
+    """A processor that answers the rows of a key, and its timers, with tuples of its schema; on frames it gives frames."""
+
+    schema: str
+
+    def answer(self, key, rows: list, timerValues) -> list[tuple]:
+        raise NotImplementedError
+
+    def expired(self, key, timerValues) -> list[tuple]:
+        return []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield typed(self.answer(key, [r for frame in rows for r in frame.itertuples(index=False)], timerValues), self.schema)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield typed(self.expired(key, timerValues), self.schema)
+
+    def close(self) -> None:
+        pass
+
+
+class ByRow(StatefulProcessor):
+    """Runs a `Keyed` processor on Spark's rows: where keys are many, a frame per key and timer costs more than their work."""
+
+    def __init__(self, made: Keyed):
+        self.made, self.columns = made, [c.split()[0] for c in made.schema.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.made.init(handle)
+
+    def _rows(self, found: list[tuple]) -> Iterator[Row]:
+        row = Row(*self.columns)
+        return (row(*r) for r in found)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        return self._rows(self.made.answer(key, list(rows), timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self._rows(self.made.expired(key, timerValues))
+
+    def close(self) -> None:
+        self.made.close()
+
+
+class Expiring(Keyed):
     """State that is forgotten `grace_ns` after `close_ns` of its rows, or `idle_ns` after the last event (`ts_ns`), by event-time timers.
 
     Without either it stays, and needs no watermark."""
@@ -149,27 +193,24 @@ class Expiring(StatefulProcessor):
         self.life = handle.getValueState("life", "heard bigint, close bigint")
         self.states = [self.life]
 
-    def lives(self, batch: pd.DataFrame) -> None:
+    def lives(self, rows: list) -> None:
         """Set the timers of a batch."""
         if not self.closes and self.idle_ns is None:
             return
         heard, close = self.life.get() if self.life.exists() else (None, None)
         if self.idle_ns is not None:
-            heard = max(int(batch["ts_ns"].max()), heard or 0)
+            heard = max(*(int(r.ts_ns) for r in rows), heard or 0)
             self.handle.registerTimer(due(heard + self.idle_ns))
-        if self.closes and batch["close_ns"].notna().any():
-            close = max(int(batch["close_ns"].max()), close or 0)
+        if self.closes and (ends := [int(r.close_ns) for r in rows if not pd.isna(r.close_ns)]):
+            close = max(*ends, close or 0)
             self.handle.registerTimer(due(close + self.grace_ns))
         self.life.update((heard, close))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def expired(self, key, timerValues) -> list[tuple]:
         passed = timerValues.getCurrentWatermarkInMs()
         heard, close = self.life.get() if self.life.exists() else (None, None)
         over = self.closes and close is not None and due(close + self.grace_ns) <= passed
         if over or self.idle_ns is not None and heard is not None and due(heard + self.idle_ns) <= passed:
             for state in self.states:
                 state.clear()
-        yield typed([], self.schema)
-
-    def close(self) -> None:
-        pass
+        return []

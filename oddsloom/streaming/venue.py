@@ -16,15 +16,14 @@ altogether by a timer of its own.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator, Mapping
-from math import log, sqrt
+from collections.abc import Mapping
+from math import isnan, log, sqrt
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
-from oddsloom.streaming.run import due, process, typed
+from oddsloom.streaming.run import Keyed, due, process
 
 TRADE, BOOK, REFERENCE, GAP = range(4)
 _KINDS = {"trade": TRADE, "book": BOOK, "reference": REFERENCE, "gap": GAP}
@@ -70,7 +69,7 @@ class _Run:
         return out
 
 
-class VenueState(StatefulProcessor):
+class VenueState(Keyed):
     """Answers decision rows from the trades, books, references and gap marks of their key.
 
     Rows: `kind` (trade, book, reference, gap, decision), `ts_ns`, `pos` (order among equal times), and `price`, `quantity`,
@@ -117,24 +116,25 @@ class VenueState(StatefulProcessor):
         slot.rows, slot.r2, slot.notional, slot.signed = [tuple(r) for r in rows], r2, notional, signed
         return slot
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def answer(self, key, rows: list, timerValues) -> list[tuple]:
         filled, open_, heard, gap = self._load()
-        for batch in rows:
-            heard = max(heard, int(batch["ts_ns"].max()))
-            for row in batch[batch["kind"] == "decision"].itertuples(index=False):
-                open_.append((int(row.ts_ns), int(row.pos), int(row.start_ns)))
-                self.handle.registerTimer(due(row.ts_ns))
-            for name, kind in _KINDS.items():
-                part = batch[batch["kind"] == name]
-                if kind == TRADE:
-                    part = part[part["price"] > 0]
-                for slot, members in part.groupby(part["ts_ns"] // self.slot_ns):
-                    self._add(kind, int(slot), _facts(kind, members), filled)
+        facts: dict[tuple[int, int], list] = {}
+        for row in rows:
+            ts = int(row.ts_ns)
+            heard = max(heard, ts)
+            if row.kind == "decision":
+                open_.append((ts, int(row.pos), int(row.start_ns)))
+                self.handle.registerTimer(due(ts))
+            elif row.kind in _KINDS and (row.kind != "trade" or (row.price is not None and row.price > 0)):
+                kind = _KINDS[row.kind]
+                facts.setdefault((kind, ts // self.slot_ns), []).append(_fact(kind, row))
+        for (kind, slot), members in facts.items():
+            self._add(kind, slot, members, filled)
         if self.idle_ns is not None:
             self.handle.registerTimer(due(heard + self.idle_ns))
         self._prune(filled, open_, timerValues.getCurrentWatermarkInMs() * _MS)
         self._keep(filled, open_, heard, gap)
-        yield pd.DataFrame([], columns=self.columns)
+        return []
 
     def _add(self, kind: int, slot: int, facts: list, filled: set) -> None:
         have = self._read((kind, slot)).rows if (kind, slot) in filled else []
@@ -144,7 +144,7 @@ class VenueState(StatefulProcessor):
         self.slots.updateValue((kind, slot), (now.rows, now.r2, now.notional, now.signed))
         filled.add((kind, slot))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def expired(self, key, timerValues) -> list[tuple]:
         filled, open_, heard, gap = self._load()
         passed = timerValues.getCurrentWatermarkInMs()
         # The first timer of a batch answers for all that are due; the others find nothing open.
@@ -158,7 +158,7 @@ class VenueState(StatefulProcessor):
         elif ready:
             self._prune(filled, open_, passed * _MS)
             self._keep(filled, open_, heard, gap)
-        yield typed(out, self.schema)
+        return out
 
     def _prune(self, filled: set, open_: list, passed: int) -> None:
         horizon = min([passed, *(d[0] for d in open_)])
@@ -232,25 +232,23 @@ class VenueState(StatefulProcessor):
                     break
         return tuple(out.values())
 
-    def close(self) -> None:
-        pass
+
+def _number(x) -> float | None:
+    return None if x is None or isnan(x) else float(x)
 
 
-def _facts(kind: int, rows: pd.DataFrame) -> list[tuple]:
-    """(ts, pos, a, b, c, d, s) of facts: price, notional, signed of trades; both sides of books; price and source time of references."""
-    n = len(rows)
-    none = [None] * n
+def _fact(kind: int, row) -> tuple:
+    """(ts, pos, a, b, c, d, s) of a fact: price, notional, signed of trades; both sides of books; price and source time of references."""
     if kind == TRADE:
-        notional = rows["price"] * rows["quantity"]
-        parts = (rows["price"], notional, rows["sign"] * notional, none, none)
+        notional = row.price * row.quantity
+        parts = (row.price, notional, row.sign * notional, None, None)
     elif kind == BOOK:
-        parts = (rows["bid"], rows["ask"], rows["bid_size"], rows["ask_size"], none)
+        parts = (*(_number(x) for x in (row.bid, row.ask, row.bid_size, row.ask_size)), None)
     elif kind == REFERENCE:
-        parts = (rows["price"], none, none, none, rows["source_ns"].astype("int64"))
+        parts = (_number(row.price), None, None, None, int(row.source_ns))
     else:
-        parts = (none,) * 5
-    lists = [x if isinstance(x, list) else x.tolist() for x in (rows["ts_ns"].astype("int64"), rows["pos"].astype("int64"), *parts)]
-    return list(zip(*lists))
+        parts = (None,) * 5
+    return int(row.ts_ns), int(row.pos), *parts
 
 
 def venue_features(
