@@ -119,17 +119,20 @@ class VenueState(Keyed):
     def answer(self, key, rows: list, timerValues) -> list[tuple]:
         filled, open_, heard, gap = self._load()
         facts: dict[tuple[int, int], list] = {}
+        # One timer stands at the earliest open decision; it sets the next.
+        awaited = min((due(d[0]) for d in open_), default=None)
         for row in rows:
             ts = int(row.ts_ns)
             heard = max(heard, ts)
             if row.kind == "decision":
                 open_.append((ts, int(row.pos), int(row.start_ns)))
-                self.handle.registerTimer(due(ts))
             elif row.kind in _KINDS and (row.kind != "trade" or (row.price is not None and row.price > 0)):
                 kind = _KINDS[row.kind]
                 facts.setdefault((kind, ts // self.slot_ns), []).append(_fact(kind, row))
         for (kind, slot), members in facts.items():
             self._add(kind, slot, members, filled)
+        if open_ and (awaited is None or due(min(open_)[0]) < awaited):
+            self.handle.registerTimer(due(min(open_)[0]))
         if self.idle_ns is not None:
             self.handle.registerTimer(due(heard + self.idle_ns))
         self._prune(filled, open_, timerValues.getCurrentWatermarkInMs() * _MS)
@@ -156,6 +159,8 @@ class VenueState(Keyed):
             self.slots.clear()
             self.head.clear()
         elif ready:
+            if open_:
+                self.handle.registerTimer(due(min(open_)[0]))
             self._prune(filled, open_, passed * _MS)
             self._keep(filled, open_, heard, gap)
         return out
