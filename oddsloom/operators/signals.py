@@ -148,12 +148,16 @@ def fixed_rolling_sharpe(
     ).drop("__pos", "__m", "__s", "__n")
 
 
-def brier_advantage(series: DataFrame, *, keys, order, user: str, market: str, outcome: str, width: int, clamp: bool = True) -> DataFrame:
-    """Market Brier minus user Brier per row, and its running sum. Without `clamp`, forecasts outside [0, 1] are scored as they are."""
+def brier_advantage(
+    series: DataFrame, *, keys, order, user: str, market: str, outcome: str, width: int, clamp: bool = True, drop: bool = True
+) -> DataFrame:
+    """Market Brier minus user Brier per row, and its running sum. Without `clamp`, forecasts outside [0, 1] are scored as they are;
+    without `drop`, rows that lack a value stay, their advantage null (NaN for a NaN)."""
     within = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)) if clamp else c
     unit = lambda c: within(F.col(c).cast("double"))
     u, m, y = unit(user), unit(market), unit(outcome)
-    rows = series.dropna(how="any", subset=[user, market, outcome]).withColumn(
+    kept = series.dropna(how="any", subset=[user, market, outcome]) if drop else series
+    rows = kept.withColumn(
         "brier_advantage", (m - y) * (m - y) - (u - y) * (u - y)
     )
     from oddsloom.operators.timeline import running_sum
