@@ -32,9 +32,13 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(path)
 
 
-def process(stream: DataFrame, keys: Sequence[str], processor: StatefulProcessor, time_mode: str = "None") -> DataFrame:
-    """`time_mode` is EventTime or ProcessingTime for processors with timers; the former needs a watermark."""
+def process(stream: DataFrame, keys: Sequence[str], processor: StatefulProcessor, time_mode: str = "None", frames: bool = False) -> DataFrame:
+    """`time_mode` is EventTime or ProcessingTime for processors with timers; the former needs a watermark.
+
+    `frames` hands a key's rows over as pandas frames: cheaper where a key has many, dearer where keys have few."""
     use_rocksdb(stream.sparkSession)
+    if frames:
+        return stream.groupBy(*keys).transformWithStateInPandas(processor, processor.schema, "Append", time_mode)
     return stream.groupBy(*keys).transformWithState(ByRow(processor), processor.schema, "Append", time_mode)
 
 
