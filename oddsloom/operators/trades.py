@@ -18,7 +18,7 @@ from oddsloom.functions.codes import (
     MISSING_FILL_ID,
     SELL_WORDS,
 )
-from oddsloom.operators.timeline import Timeline, find_cuts, number, occurrence
+from oddsloom.operators.timeline import PLAIN, Timeline, find_cuts, hot_buckets, number, occurrence
 from oddsloom.session import NANOS
 
 
@@ -213,8 +213,10 @@ def exchange_trades(
 
     Counters advance on malformed rows too; those rows are then left out.
     """
-    same = Timeline.of([ticker, ts, price, size, taker], [ts, pos], width)
-    rows = occurrence(df, Timeline.of(ticker, [ts, pos], width), ts, "__tie")
+    # Without a hot ticker one window does; the cuts' sketches would cost more than they save.
+    cut = PLAIN if hot_buckets(df, [ticker]) == [] else None
+    same = Timeline.of([ticker, ts, price, size, taker], [ts, pos], width, cut=cut)
+    rows = occurrence(df, Timeline.of(ticker, [ts, pos], width, cut=cut), ts, "__tie")
     rows = number(rows, same, "__occurrence") if fallback_ids else rows
     room = F.lit(NANOS - 1) - F.pmod(F.col(ts), F.lit(NANOS))
     parsed = dollar_price(F.col(price))
