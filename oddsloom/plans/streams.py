@@ -88,7 +88,7 @@ def _gap_gate(t: Tables):
 @query("stream_gap_gate", "T1 T2", GAP_ROWS)
 def _stream_gap_gate(t: Tables):
     marked = gap_events(stream_ticks(t)).withWatermark("ts", "1 hour")
-    return st.drain(st.process(marked, ["user_id"], gate.QualityGate(idle_ns=30 * DAY_NS), time_mode="EventTime"))
+    return st.drain(gate.quality_marks(marked, idle_ns=30 * DAY_NS))
 
 
 @query(
@@ -116,7 +116,7 @@ def _gate(t: Tables):
 
 @query("stream_quality_gate", "T1 T2", GATE_ROWS)
 def _stream_gate(t: Tables):
-    return st.drain(st.process(gate_events(stream_ticks(t)), ["user_id"], gate.QualityGate(max_seen=GATE_MEMORY)))
+    return st.drain(gate.quality_marks(gate_events(stream_ticks(t)), max_seen=GATE_MEMORY))
 
 
 @query(
