@@ -53,3 +53,13 @@ def test_values_equal_those_of_spark(spark):
     want = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w").fit(df).setPredictionCol("q").transform(other).orderBy("p").toPandas()
     assert np.allclose(got["q"], want["q"], atol=1e-9)
     assert isotonic_value(df.withColumn("q", F.lit(1)), isotonic_blocks(df, p="p", y="y", weight="w"), p="p", out="q").columns == ["p", "y", "w", "q"]
+
+
+def test_rows_of_one_predictor_are_looked_up_once(spark, monkeypatch):
+    from oddsloom.ml import isotonic
+
+    asked, plain = [], isotonic.asof_backward
+    monkeypatch.setattr(isotonic, "asof_backward", lambda left, *a: asked.append(left.count()) or plain(left, *a))
+    df = spark.createDataFrame([(k % 3 / 4, float(k % 2), 1.0) for k in range(300)] + [(None, 1.0, 1.0)], "p double, y double, w double")
+    out = isotonic_value(df, isotonic_blocks(df, p="p", y="y", weight="w"), p="p", out="q")
+    assert asked == [3] and out.count() == 301 and out.filter("p IS NULL AND q IS NULL").count() == 1
