@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from oddsloom.functions.integers import floor_div
 from oddsloom.operators.timeline import (
+    MANY_ROWS,
     find_cuts,
     Timeline,
     before,
+    dealt,
     latest,
     number,
     previous,
@@ -632,7 +634,9 @@ def rolling_sharpe(
     placed = placed.withColumn("__home", floor_div("__pos", F.col("__size")))
     lent = F.col("__pos") % F.col("__size") >= F.col("__size") - w
     both = F.when(lent, F.array("__home", F.col("__home") + 1)).otherwise(F.array("__home"))
-    spread = placed.withColumn("__task", F.explode(both)).repartition(key, "__task")
+    spread = placed.withColumn("__task", F.explode(both))
+    rows = base.count()
+    spread = dealt(spread, rows, key, "__task") if rows > MANY_ROWS else spread.repartition(key, "__task")
     spread = spread.withColumns({"__block": floor_div("__pos", w), "__slot": F.col("__pos") % w})
     inside = Window.partitionBy(key, "__task", "__block").orderBy("__pos")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
