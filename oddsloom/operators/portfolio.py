@@ -537,11 +537,12 @@ def return_stats(series: DataFrame, *, keys: Sequence[str], order: Sequence[str]
 def compounded(returns: DataFrame, *, keys: Sequence[str], month: str, ret: str = "ret") -> DataFrame:
     """Monthly compounded returns; months inside the range without returns count as zero."""
     monthly = returns.groupBy(*keys, month).agg(F.product(1 + F.coalesce(F.col(ret), F.lit(0.0))).alias("__g"))
-    span = monthly.groupBy(*keys).agg(F.min(month).alias("__a"), F.max(month).alias("__b"))
-    calendar = span.select(*keys, F.explode(F.sequence("__a", "__b", F.expr("interval 1 month"))).alias(month))
-    return calendar.join(monthly, [*keys, month], "left").select(
-        *keys, month, (F.coalesce("__g", F.lit(1.0)) - 1).alias("ret")
-    )
+    # A month and those up to the next one with returns: at most one row a month, so a key's window is small.
+    then = F.lead(month).over(Window.partitionBy(*keys).orderBy(month))
+    gap = F.explode(F.sequence(F.col(month), F.coalesce(F.col("__then") - F.expr("interval 1 month"), F.col(month)), F.expr("interval 1 month")))
+    filled = monthly.withColumn("__then", then).select(*keys, F.col(month).alias("__month"), "__g", gap.alias(month))
+    g = F.when(F.col(month) == F.col("__month"), F.coalesce("__g", F.lit(1.0))).otherwise(1.0)
+    return filled.select(*keys, month, (g - 1).alias("ret"))
 
 
 def year_month_table(monthly: DataFrame, *, keys: Sequence[str], month: str) -> DataFrame:
@@ -549,9 +550,7 @@ def year_month_table(monthly: DataFrame, *, keys: Sequence[str], month: str) ->
     return (
         monthly.withColumns({"year": F.year(month), "__m": F.month(month)})
         .groupBy(*keys, "year")
-        .pivot("__m", list(range(1, 13)))
-        .agg(F.first(F.col("ret") * 100))
-        .select(*keys, "year", *[F.col(str(m)).alias(f"m{m:02d}") for m in range(1, 13)])
+        .agg(*[F.max(F.when(F.col("__m") == m, F.col("ret") * 100)).alias(f"m{m:02d}") for m in range(1, 13)])
     )
 
 
