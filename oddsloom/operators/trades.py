@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,9 +27,16 @@ def _sequence(value: Column) -> Column:
     return F.format_string("%06d", value)
 
 
-def _finite(text: Column) -> Column:
-    number_ = F.try_cast(F.trim(text), "double") if hasattr(F, "try_cast") else F.trim(text).try_cast("double")
-    return F.when(~F.isnan(number_) & (F.abs(number_) != float("inf")), number_)
+def _number(text: Column) -> Column:
+    return F.try_cast(F.trim(text), "double") if hasattr(F, "try_cast") else F.trim(text).try_cast("double")
+
+
+def _finite(text: Column, low: float = -math.inf, high: float = math.inf) -> Column:
+    """The number in a text, NULL unless it lies between the bounds (NaN never does).
+
+    The text is mentioned once: filters are pushed below the projection, where Spark takes each mention anew.
+    """
+    return F.get(F.filter(F.array(_number(text)), lambda v: (v > low) & (v < high)), F.lit(0))
 
 
 def public_trades(
@@ -53,10 +61,9 @@ def public_trades(
     rows = occurrence(cuts.mark(df), cuts.line(token, order), seconds, "__in_second")
     rows = number(rows, cuts.line([tx, token], order), "__in_tx")
     clean = F.upper(F.trim(F.col(side)))
-    value = _finite(F.col(price))
     return rows.select(
         *df.columns,
-        value.alias("price_value"),
+        _finite(F.col(price)).alias("price_value"),
         _finite(F.col(size)).alias("size_value"),
         F.when(clean == "BUY", AGGRESSOR_BUYER)
         .when(clean == "SELL", AGGRESSOR_SELLER)
@@ -66,7 +73,7 @@ def public_trades(
             "-", F.expr(f"right({tx}, 24)"), F.expr(f"right({token}, 4)"), _sequence(F.col("__in_tx"))
         ).alias("trade_id"),
         (F.col(seconds) * NANOS + F.least(F.col("__in_second"), F.lit(NANOS - 1))).alias("ts_event"),
-        F.coalesce((value > 0) & (value < 1), F.lit(False)).alias("tradable"),
+        _finite(F.col(price), 0, 1).isNotNull().alias("tradable"),
         F.coalesce(clean.isin("BUY", "SELL"), F.lit(False)).alias("known_side"),
     )
 
@@ -103,22 +110,20 @@ def onchain_fills(
     width: int,
 ) -> DataFrame:
     """Fills inside [start, end]; unusable rows are dropped before any counter sees them."""
-    p, s = _finite(F.col(price)), _finite(F.col(size))
+    p, s = _finite(F.col(price), 0, 1), _finite(F.col(size), 0)
     rows = df.filter(F.col(ts).between(start, end))
     cuts = find_cuts(rows, token, ts, width)
     rows = cuts.mark(rows)
     if raw_id is None:
         rows = number(rows, cuts.line(token, [ts, pos]), "__sorted")
-    rows = rows.withColumns({"price_value": p, "size_value": s}).filter(
-        "price_value > 0 AND price_value < 1 AND size_value > 0"
-    )
+    rows = rows.withColumns({"price_value": p, "size_value": s}).filter("price_value IS NOT NULL AND size_value IS NOT NULL")
     missing = F.concat(F.lit(f"{MISSING_FILL_ID}-"), F.col(ts).cast("string"))
     if raw_id is None:
         ident = F.concat(missing, F.lit("-"), F.col("__sorted").cast("string"))
     else:
         given = F.col(raw_id)
         ident = F.when(given.isNull() | (given == "") | (F.lower(given) == "nan"), missing).otherwise(given)
-    rows = rows.withColumn("__id", ident)
+    rows = cuts.deal(rows.withColumn("__id", ident))
     rows = occurrence(rows, cuts.line(token, [ts, pos]), ts, "__same_ns")
     rows = number(rows, cuts.line([token, "__id"], [ts, pos]), "__same_id")
     word = F.replace(F.lower(F.trim(F.col(side))), F.lit("-"), F.lit("_")) if side else F.lit(None)
@@ -164,8 +169,8 @@ def last_trade_ticks(
             & F.col(event_ts).isNotNull()
             & F.col(receive_ts).between(start, end)
         )
-        .withColumns({"__p": _finite(F.col("price")), "__s": _finite(F.col("size"))})
-        .filter("__p > 0 AND __p < 1 AND __s > 0")
+        .withColumns({"__p": _finite(F.col("price"), 0, 1), "__s": _finite(F.col("size"), 0)})
+        .filter("__p IS NOT NULL AND __s IS NOT NULL")
         .select(
             asset,
             F.col("__p").alias("price"),
@@ -183,10 +188,11 @@ def last_trade_ticks(
 
 def dollar_price(text: Column) -> Column:
     """Cents or dollars, told apart by the text: '1' is one cent, '1.0' one dollar; NULL if unusable."""
-    value = _finite(text)
     marked = text.rlike("[.eE]")
-    scaled = F.when((value >= 0) & ((value < 1) | ((value == 1) & marked)), value).otherwise(value / 100)
-    return F.when((scaled >= 0) & (scaled <= 1), scaled)
+    scaled = F.transform(
+        F.array(_number(text)), lambda v: F.when((v >= 0) & ((v < 1) | ((v == 1) & marked)), v).otherwise(v / 100)
+    )
+    return F.get(F.filter(scaled, lambda v: (v >= 0) & (v <= 1)), F.lit(0))
 
 
 @F.pandas_udf(StringType())
