@@ -47,3 +47,7 @@ def test_sealed_parts_hold_whole_groups(spark, folder, parts):
     found, month = check(spark, folder, parts, "sealed_holdout_predictions")
     # The sealed part begins on 9 June 2001, within a month of every customer: all of that month is sealed.
     assert {r.sample_id for r in found.collect()} == {key for key, (_, y, m) in month.items() if (y, m) >= (2001, 6)}
+
+
+def test_fold_parts_hold_whole_groups(spark, folder, parts):
+    check(spark, folder, parts, "walk_forward_predictions")
